@@ -7,17 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, near_dedup, oracles, url_filters
+from tessera.llm import decontaminate, fingerprints, language_id, line_dedup, near_dedup, oracles, quality, url_filters
 from tessera.llm.common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def held_out(modulus: int, rest: int):
+    """Whether crc32 of doc_id as text leaves that rest; rows without a doc_id are held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(True))
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    return fingerprints.edit_report(read(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the texts that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~held_out(5, 0)).select("text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs.filter(~held_out(4, 2)), read(spark, sf_dir, "labels").filter(~held_out(4, 2)))
+    return quality.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) where the document holds at least 80 % of the item's 5-word shingles."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document: lines before and after, the deleted ones, and the digest of the rest."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.line_dedup(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filters.judge_pages(read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -30,6 +61,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_benchmark_decontamination, op9_url_filters, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op5_benchmark_decontamination, op7_line_dedup, op9_url_filters, op10_minhash_near_dedup)
 }
 ORACLES: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
