@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, language_id, line_dedup, near_dedup, oracles, quality, url_filters
+from tessera.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, oracles, quality, url_filters
 from tessera.llm.common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -49,6 +49,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+ODD_CHAT = r"\### Assistant: </turn> ok"
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts imitate the template, formatted and read back."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_CHAT), (-7, 1, "assistant", ODD_CHAT)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_chats(turns.unionByName(odd)))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filters.judge_pages(read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -61,6 +71,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op5_benchmark_decontamination, op7_line_dedup, op9_url_filters, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op5_benchmark_decontamination, op7_line_dedup, op8_chat_formatting, op9_url_filters, op10_minhash_near_dedup)
 }
 ORACLES: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
