@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, oracles, quality, url_filters
+from tessera.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, oracles, quality, token_files, url_filters
 from tessera.llm.common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -42,6 +42,18 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum in the token files, read back from them."""
+    return token_files.read_token_files(token_files.write_token_files(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document: lines before and after, the deleted ones, and the digest of the rest."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +83,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op5_benchmark_decontamination, op7_line_dedup, op8_chat_formatting, op9_url_filters, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op5_benchmark_decontamination, op6_token_files, op7_line_dedup, op8_chat_formatting, op9_url_filters, op10_minhash_near_dedup)
 }
 ORACLES: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
