@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, oracles, quality, token_files, url_filters
+from tessera.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, oracles, piece_codec, quality, token_files, url_filters
 from tessera.llm.common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -18,6 +18,13 @@ def held_out(modulus: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(True))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
     return fingerprints.edit_report(read(spark, sf_dir, "documents"))
@@ -37,18 +44,19 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with merge-dropout and decoded again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = piece_codec.decode(piece_codec.encode(docs, model, seed=20, dropout=0.1), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) where the document holds at least 80 % of the item's 5-word shingles."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-def tokenizer_path(name: str) -> str:
-    """Where the public tokenizer's file is."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum in the token files, read back from them."""
     return token_files.read_token_files(token_files.write_token_files(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
@@ -83,6 +91,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op5_benchmark_decontamination, op6_token_files, op7_line_dedup, op8_chat_formatting, op9_url_filters, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op4_sentencepiece, op5_benchmark_decontamination, op6_token_files, op7_line_dedup, op8_chat_formatting, op9_url_filters, op10_minhash_near_dedup)
 }
 ORACLES: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
