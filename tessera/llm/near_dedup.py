@@ -2,14 +2,16 @@
 
 Each text becomes the set of its word shingles under one 63-bit hash; its sketch is the k least values. Texts with the
 same set form a class, and the rest works on one row a class. Inverted lists of retained values generate overlapping
-classes: short lists in full, long lists (a passage that many share, a large group of near copies) as stars around
-their least member first, then, for exactness, between whatever components are still apart. A union sketch estimates
-each pair's Jaccard similarity and drops pairs well below the threshold; the full sets decide about the others.
-Components of the confirmed links are the groups.
-
-Recall: a pair at the threshold t shares each of the least values of its union with probability t, so it misses all
-of TAKEN lists with probability (1 - t) ** TAKEN at most, and below 1e-5 where the values that many texts hold
-(HEAVY_SHARE of the sketch at most) are passed over in favour of rarer ones.
+classes: short lists in full, long lists (a large group of near copies) as stars around their least member first, then,
+for exactness, between whatever components are still apart. A union sketch estimates each pair's Jaccard similarity
+and drops pairs well below the threshold; the full sets decide about the others. Components of the confirmed links are
+the groups.
+
+Values that many texts hold (passages that they share) are heavy. A text indexes the TAKEN least values that are not;
+a pair at the threshold with at most HEAVY_SHARE of heavy values misses all of these lists with a probability below
+1e-7. Texts with more heavy values are indexed by a prefix of their whole set in addition: of n values in any one
+order, here heavy ones last, the first floor(n * (1 - t)) + 1 meet every smaller partner's first floor(n * (1 - t) / (1 +
+t)) + 1 for certain (t the threshold), so of two texts the smaller must hold the value among these nearer ones.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from tessera.llm.components import components
 
 SKETCH = 64  # values kept of each set
 TAKEN = 24  # rarer values of a sketch that are indexed
-TAKEN_HEAVY = 12  # values of any kind indexed where most of a sketch is heavy
 HEAVY_SHARE = 0.5
 SHORT_LIST = 16  # lists up to this long are paired in full at once
 CHUNK = 4 << 20
@@ -55,10 +56,10 @@ def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH, full: bool
                 columns = [batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64()))]
                 names = ["doc_id", "n_shingles", "set_key", "sketch"]
                 if full:
-                    columns, names = columns[:3] + [pa.array([s.tobytes() for s in sets], pa.binary())], names[:3] + ["members"]
+                    columns, names = columns[:3] + [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names[:3] + ["members"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    last = "members binary" if full else "sketch array<long>"
+    last = f"{'members' if full else 'sketch'} array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_shingles long, set_key binary, {last}")
 
 
@@ -79,16 +80,27 @@ def _close(percent: int):
     return (F.col("a_n") * 100 >= percent * F.col("b_n")) & (F.col("b_n") * 100 >= percent * F.col("a_n"))
 
 
+def _nearer():
+    """The smaller text holds the value among its near ones."""
+    return F.when(F.col("a_n") < F.col("b_n"), F.col("a_near")).when(F.col("a_n") > F.col("b_n"), F.col("b_near")).otherwise(F.col("a_near") | F.col("b_near"))
+
+
 def _sides(classes: DataFrame, side: str) -> DataFrame:
     return classes.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))
 
 
+def _whole_sets(chosen: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """set_key, n_shingles and members, the whole set, of the chosen classes (columns doc_id, set_key)."""
+    ids = materialise(chosen.select("doc_id").distinct(), "chosen")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    return shingle_rows(texts, shingle, full=True).select("set_key", "n_shingles", "members")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, tag: str) -> DataFrame:
     """The pairs (a, b) of set keys whose whole sets reach the threshold, as edges (u, v)."""
     wanted = pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select(F.col("b").alias("set_key"))).distinct()
-    chosen = materialise(wanted.join(classes.select("set_key", "doc_id"), "set_key"), f"chosen-{tag}")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = materialise(shingle_rows(texts, shingle, full=True).select("set_key", "members"), f"sets-{tag}")
+    sets = materialise(_whole_sets(wanted.join(classes.select("set_key", "doc_id"), "set_key"), docs, shingle), f"sets-{tag}")
     a, b = (sets.select(F.col("set_key").alias(s), F.col("members").alias(f"{s}_set")) for s in "ab")
 
     def run(batches):
@@ -96,8 +108,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("a_set"), batch.column("b_set")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * 100 >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -105,42 +117,102 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "u binary, v binary")
 
 
-def _postings(classes: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """value, set_key, n of the values of each class that are indexed: TAKEN rarer ones, and some of any kind where most are heavy."""
-    shared = classes.sparkSession.sparkContext.broadcast(heavy)
+def _heavy(rows: DataFrame, column: str, total: int) -> np.ndarray:
+    """The values that occur more often than total / 2**18 and 32 times: 2**18 (2 MB) at most, however large the table."""
+    counts = rows.select(F.explode(column).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    return np.sort(np.array([r[0] for r in counts.filter(F.col("n") > max(32, total >> 18)).select("value").collect()], np.int64))
+
+
+def _frequent(batch_values: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    if not len(heavy):
+        return np.zeros(len(batch_values), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, batch_values), len(heavy) - 1)] == batch_values
+
+
+def _lists(column):
+    """The values of an Arrow list column end to end, and the offsets of its rows."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def _rare_postings(classes: DataFrame, heavy) -> DataFrame:
+    """value, set_key, n of the TAKEN least values of each sketch that are not heavy."""
 
     def run(batches):
         import pyarrow as pa
 
-        many = shared.value
         for batch in batches:
-            lists = batch.column("sketch")
-            values, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            frequent = many[np.minimum(np.searchsorted(many, values), len(many) - 1)] == values if len(many) else np.zeros(len(values), bool)
+            values, offsets = _lists(batch.column("sketch"))
+            rare = ~_frequent(values, heavy.value)
             row = np.repeat(np.arange(len(batch)), np.diff(offsets))
-            place = np.arange(len(values)) - offsets[row]
-            upto = np.concatenate(([0], np.cumsum(~frequent)))
-            rare_place = upto[:-1] - upto[offsets[row]]
-            share = np.add.reduceat(np.append(frequent, False).astype(np.int64), offsets[:-1]) / np.maximum(np.diff(offsets), 1)
-            take = (~frequent & (rare_place < TAKEN)) | ((share[row] > HEAVY_SHARE) & (place < TAKEN_HEAVY))
+            upto = np.concatenate(([0], np.cumsum(rare)))
+            take = rare & (upto[:-1] - upto[offsets[row]] < TAKEN)
             row = pa.array(row[take])
             yield pa.RecordBatch.from_arrays([pa.array(values[take]), batch.column("set_key").take(row), batch.column("n_shingles").take(row)], ["value", "set_key", "n"])
 
-    return classes.select("set_key", "n_shingles", "sketch").mapInArrow(run, "value long, set_key binary, n long")
+    return classes.select("set_key", "n_shingles", "sketch").mapInArrow(run, "value long, set_key binary, n long").withColumn("near", F.lit(True))
+
+
+def _mostly_heavy(classes: DataFrame, heavy) -> DataFrame:
+    """set_key, doc_id of the classes of which more than HEAVY_SHARE of the sketch is heavy."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            values, offsets = _lists(batch.column("sketch"))
+            upto = np.concatenate(([0], np.cumsum(_frequent(values, heavy.value))))
+            share = (upto[offsets[1:]] - upto[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
+            yield batch.select(["set_key", "doc_id"]).filter(pa.array(share > HEAVY_SHARE))
+
+    return classes.select("set_key", "doc_id", "sketch").mapInArrow(run, "set_key binary, doc_id long")
+
+
+def _prefix_postings(sets: DataFrame, heavy, percent: int) -> DataFrame:
+    """value, set_key, n, near of the values of each whole set that no partner can lack all of, heavy ones last."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            values, offsets = _lists(batch.column("members"))
+            n = np.diff(offsets)
+            row = np.repeat(np.arange(len(batch)), n)
+            order = np.lexsort((values, _frequent(values, heavy.value), row))
+            place = np.arange(len(values)) - offsets[row]
+            taken = place < (n * (100 - percent) // 100 + 1)[row]
+            near = place < (n * (100 - percent) // (100 + percent) + 1)[row]
+            take, row = order[taken], pa.array(row[taken])
+            yield pa.RecordBatch.from_arrays([pa.array(values[take]), batch.column("set_key").take(row), batch.column("n_shingles").take(row), pa.array(near[taken])], ["value", "set_key", "n", "near"])
+
+    return sets.select("set_key", "n_shingles", "members").mapInArrow(run, "value long, set_key binary, n long, near boolean")
+
+
+def _postings(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """value, set_key, n, near: the inverted lists' rows; near values are those that count for the smaller text of a pair."""
+    spark = classes.sparkSession.sparkContext
+    total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    heavy = spark.broadcast(_heavy(classes, "sketch", total))
+    rows = _rare_postings(classes, heavy)
+    mostly = materialise(_mostly_heavy(classes, heavy), "mostly-heavy")
+    if mostly.isEmpty():
+        return rows
+    sets = materialise(_whole_sets(mostly, docs, shingle), "heavy-sets")
+    size = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    return rows.unionAll(_prefix_postings(sets, spark.broadcast(_heavy(sets, "members", size)), percent))
 
 
 def _across(hits: DataFrame, found: DataFrame, classes: DataFrame, percent: int, sketch: int) -> DataFrame | None:
     """Likely pairs within long lists whose members' components are still apart; None if there are no such lists."""
     long = hits.filter(F.col("size") > SHORT_LIST).join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
-    long = materialise(long.select("value", "set_key", "leader", F.coalesce("root", "set_key").alias("root")), "long")
+    long = materialise(long.select("value", "set_key", "leader", "near", F.coalesce("root", "set_key").alias("root")), "long")
     apart = materialise(long.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("value"), "apart")
     if apart.isEmpty():
         return None
     mains = materialise(long.filter("set_key = leader").select("value", F.col("root").alias("main")).join(apart, "value"), "mains")
     rows = materialise(long.join(mains, "value").join(classes.select("set_key", F.col("n_shingles").alias("n"), "sketch"), "set_key"), "open")
     # Members outside the component of the list's leader meet all others; those inside don't meet each other.
-    a, b = (rows.select("value", *(F.col(x).alias(y) for x, y in (("set_key", s), ("n", f"{s}_n"), ("sketch", f"{s}_sketch"), ("root", f"{s}_root"), ("leader", f"{s}_leader"), ("main", f"{s}_main")))) for s in "ab")
-    untried = (F.col("a_root") != F.col("b_root")) & (F.col("b") != F.col("b_leader")) & (F.col("a") != F.col("a_leader")) & _close(percent)
+    a, b = (rows.select("value", *(F.col(x).alias(y) for x, y in (("set_key", s), ("n", f"{s}_n"), ("near", f"{s}_near"), ("sketch", f"{s}_sketch"), ("root", f"{s}_root"), ("leader", f"{s}_leader"), ("main", f"{s}_main")))) for s in "ab")
+    untried = (F.col("a_root") != F.col("b_root")) & (F.col("b") != F.col("b_leader")) & (F.col("a") != F.col("a_leader")) & _close(percent) & _nearer()
     once = (F.col("a_root") != F.col("a_main")) & ((F.col("a") < F.col("b")) | (F.col("b_root") == F.col("b_main")))
     low = percent / 100 - 4 * (percent * (100 - percent) / 1e4 / sketch) ** 0.5
     alike = F.size(F.array_intersect("a_sketch", "b_sketch")) >= low * F.least(F.size("a_sketch"), F.size("b_sketch"))
@@ -160,18 +232,14 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     rows = materialise(shingle_rows(docs, shingle, sketch), "sketches")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    # At most total / limit = 2**16 values can be heavy, so the list is bounded however large the table.
-    limit = max(64, total >> 16)
-    counts = classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-    heavy = np.sort(np.array([r[0] for r in counts.filter(F.col("n") > limit).select("value").collect()], np.int64))
-    postings = _postings(classes, heavy)
-    lists = materialise(postings.groupBy("value").agg(F.count("*").alias("size"), F.min("set_key").alias("leader")).filter("size > 1"), "lists")
-    hits = materialise(postings.join(lists, "value"), "hits")
+    postings = _postings(classes, docs, shingle, percent)
+    lists = materialise(postings.groupBy("value").agg(F.count("*").alias("size"), F.min(F.when(F.col("near"), F.col("set_key"))).alias("leader")).filter("size > 1 and leader is not null"), "lists")
+    hits = postings.join(lists, "value").groupBy("value", "set_key").agg(F.max("n").alias("n"), F.max("near").alias("near"), F.max("size").alias("size"), F.max("leader").alias("leader"))
+    hits = materialise(hits, "hits")
     star = hits.filter((F.col("size") > SHORT_LIST) & (F.col("set_key") != F.col("leader"))).select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
     short = hits.filter(F.col("size") <= SHORT_LIST)
-    left, right = (short.select("value", F.col("set_key").alias(s), F.col("n").alias(f"{s}_n")) for s in "ab")
-    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & _close(percent)).select("a", "b")
+    left, right = (short.select("value", F.col("set_key").alias(s), F.col("n").alias(f"{s}_n"), F.col("near").alias(f"{s}_near")) for s in "ab")
+    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & _close(percent) & _nearer()).select("a", "b")
     tried = materialise(star.unionAll(pairs).distinct(), "pairs")
     likely = tried.join(_sides(classes, "a"), "a").join(_sides(classes, "b"), "b").filter(_close(percent))
     likely = materialise(_estimated(likely, percent, sketch).select("a", "b"), "likely")
