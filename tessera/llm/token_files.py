@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shared_dir
 
 MAGIC = b"TSPFOR1\n"
-BLOCK = 4096
+BLOCK = 1 << 14
 WIDTHS = (90, 95, 99, 100)  # percentiles of bit lengths
 _HEAD = struct.Struct("<IHHB")
 
@@ -33,18 +33,18 @@ def encode_block(ids: np.ndarray) -> bytes:
     """One block of 1 to BLOCK unsigned 32-bit ids."""
     low = int(ids.min())
     rest = ids.astype(np.uint32) - np.uint32(low)
-    bits = np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.int64)
-    ordered = np.sort(bits)
+    bits = np.frexp(rest.astype(np.float64))[1]  # bit lengths
+    upto = np.cumsum(np.bincount(bits, minlength=33))
     n, best = len(ids), None
     for p in WIDTHS:
-        width = int(ordered[min(n - 1, -(-n * p // 100) - 1)])
-        over = n - int(np.searchsorted(ordered, width, side="right"))
-        cost = width * ((n + 7) // 8) + 6 * over
+        width = int(np.searchsorted(upto, -(-n * p // 100)))
+        cost = width * ((n + 7) // 8) + 6 * (n - int(upto[width]))
         if best is None or cost < best[0]:
             best = (cost, width)
     width = best[1]
     out = np.flatnonzero(bits > width)
-    planes = np.packbits((rest[None, :] >> np.arange(width, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.uint8), axis=1)
+    kind = np.uint16 if width <= 16 else np.uint32
+    planes = np.packbits((rest.astype(kind)[None, :] >> np.arange(width, dtype=kind)[:, None] & kind(1)).astype(np.uint8), axis=1)
     return _HEAD.pack(low, n, len(out), width) + planes.tobytes() + out.astype("<u2").tobytes() + rest[out].astype("<u4").tobytes()
 
 
@@ -53,9 +53,11 @@ def decode_block(data: bytes) -> np.ndarray:
     low, n, over, width = _HEAD.unpack_from(data)
     row, at = (n + 7) // 8, _HEAD.size
     planes = np.unpackbits(np.frombuffer(data, np.uint8, width * row, at).reshape(width, row), axis=1, count=n)
-    rest = np.zeros(n, np.uint32)
+    kind = np.uint16 if width <= 16 else np.uint32
+    rest = np.zeros(n, kind)
     for k in range(width):
-        rest |= planes[k].astype(np.uint32) << np.uint32(k)
+        rest |= planes[k].astype(kind) << kind(k)
+    rest = rest.astype(np.uint32)
     at += width * row
     places = np.frombuffer(data, "<u2", over, at)
     rest[places] = np.frombuffer(data, "<u4", over, at + 2 * over)
@@ -140,50 +142,69 @@ class Reader:
             held = held[n:]
 
 
-_TAIL = re.compile(r"([A-Za-z0-9])([.,!?;:|&%$#*]+)$")
+_TAIL = re.compile(rb"[A-Za-z0-9]([.,!?;:|&%$#*]+)$")
+_MARKS = frozenset(bytes([c]) for c in b".,!?;:|&%$#*")
 
 
 class WordEncoder:
-    """ids of texts under a tokenizer whose pieces never cross white space, each different word encoded once.
+    """ids of texts under a tokenizer that folds case and whose pieces never cross white space.
 
-    Words are cut at blanks and line ends; what is cut off behind a letter or digit (full stops and the like) is a piece
-    of its own in such tokenizers. Words are cached up to `most`, then anew, so memory stays bounded.
+    Each different word is encoded once. Words are cut at blanks and line ends; what is cut off behind a letter or digit
+    (full stops and the like) is a piece of its own in such tokenizers. Words are cached up to `most`, then anew, so
+    memory stays bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words: dict[str, np.ndarray] = {}
-        self.stems: dict[str, list[int]] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        parts, wanted = [], {}
+        self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _encode(self, pieces: list[bytes]) -> None:
+        """Learn pieces. Those of letters alone are encoded many at a time: each is one word to the tokenizer, whose last token says so."""
+        plain, other = [], []
+        for p in pieces:
+            (plain if p.isalpha() else other).append(p)
+        runs = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for p, stop in zip(run, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                self.stems[p] = data[at:stop]
+                at = stop
+        for p, e in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)):
+            self.stems[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        cut = {}
         for w in new:
-            m = _TAIL.search(w)
-            stem, tail = (w[: m.end(1)], m[2]) if m else (w, "")
-            stem = stem.lower() if stem.isascii() else stem
-            parts.append((w, stem, tail))
-            for x in (stem, tail):
-                if x not in self.stems:
-                    wanted[x] = None
-        for x, e in zip(wanted, self.tokenizer.encode_batch_fast(list(wanted), add_special_tokens=False)):
-            self.stems[x] = e.ids
-        for w, stem, tail in parts:
-            self.words[w] = np.array(self.stems[stem] + self.stems[tail], np.uint32)
-
-    def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """Each text's ids, with `end` behind them."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+            if not w.isalpha():
+                if w[-1:] in _MARKS and (m := _TAIL.search(w)):
+                    cut[w] = (w[: m.start(1)], m[1])
+        wanted = new.difference(cut)
+        for pair in cut.values():
+            wanted.update(pair)
+        self._encode(list(wanted.difference(self.stems)))
+        stems = self.stems
+        self.words.update((w, stems[w]) for w in new if w not in cut)
+        self.words.update((w, stems[stem] + stems[tail]) for w, (stem, tail) in cut.items())
+
+    def __call__(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        """Each UTF-8 text's ids, with `end` behind them."""
+        # A-Z can be folded beforehand, but not where that could make a special token.
+        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.words) > self.most:
             self.words.clear()
+        if len(self.stems) > self.most:
             self.stems.clear()
         known = self.words
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(known)
         if new:
-            self._learn(sorted(new))
-        last = np.array([end], np.uint32)
-        return [np.concatenate([*map(known.__getitem__, words), last]) for words in split]
+            self._learn(new)
+        last = np.array([end], "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + last, "<u4") for words in split]
 
 
 def filesystem(uri: str):
@@ -223,7 +244,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, folder
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 stream = fs.open_output_stream(f"{path}.{attempt}")
                 out, encoder = Writer(stream), WordEncoder(tokenizer_path)
-            ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
+            ids, column = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
             for a in range(0, len(batch), 500):
                 for i, x in zip(ids[a : a + 500], encoder(column[a : a + 500].to_pylist(), end)):
                     out.add(i, x)
