@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: text and scoring."""

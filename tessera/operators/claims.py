@@ -1,0 +1,142 @@
+"""The claim ledger: reinforcement, validity, decay, contradictions, recall, supersession."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import scoring
+from tessera.functions.text import claim_hash, tokens
+
+LIVE = ("candidate", "active")
+#: From which states a claim may change into which.
+TRANSITIONS = (("candidate", "active"), ("candidate", "rejected"), ("active", "superseded"), ("active", "archived"))
+
+
+def reinforce(observed: DataFrame, first: float = 0.5) -> DataFrame:
+    """One claim for each subject, predicate and object: how often it was seen, since and until when, and its strength.
+
+    Each sighting after the first adds a step, up to 1. Closed form, so sightings combine before the shuffle.
+    """
+    claims = observed.groupBy("subject", "predicate", "object").agg(
+        F.min("event_id").alias("claim_id"), F.count("*").alias("seen"), F.min("observed_at").alias("valid_from"), F.max("observed_at").alias("updated_at")
+    )
+    confidence = F.when(F.col("seen") >= 20, "high").when(F.col("seen") >= 8, "medium").otherwise("low")
+    return claims.withColumn("strength", F.round(scoring.reinforced(first, F.col("seen")), 6)).withColumn("confidence", confidence).withColumn("dedupe_hash", claim_hash(F.col("subject"), F.col("predicate"), F.col("object")))
+
+
+def merge(claims: DataFrame, observed: DataFrame, first: float = 0.5) -> DataFrame:
+    """claims after more sightings: known ones gain strength and time, new ones are added."""
+    new = observed.groupBy("subject", "predicate", "object").agg(F.min("event_id").alias("new_id"), F.count("*").alias("more"), F.min("observed_at").alias("new_from"), F.max("observed_at").alias("new_at"))
+    both = claims.join(new, ["subject", "predicate", "object"], "full_outer")
+    strength = F.when(F.col("strength").isNull(), scoring.reinforced(first, F.col("more"))).otherwise(F.least(F.lit(1.0), F.col("strength") + scoring.STEP * F.coalesce("more", F.lit(0))))
+    return both.select(
+        "subject", "predicate", "object",
+        F.coalesce("claim_id", "new_id").alias("claim_id"),
+        (F.coalesce("seen", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("seen"),
+        F.coalesce("valid_from", "new_from").alias("valid_from"),
+        F.greatest("updated_at", "new_at").alias("updated_at"),
+        F.round(strength, 6).alias("strength"),
+    )
+
+
+def versions(observed: DataFrame) -> DataFrame:
+    """Sightings as a history: each holds from its time until the next one of the same subject and predicate."""
+    order = Window.partitionBy("subject", "predicate").orderBy("observed_at", "event_id")
+    return observed.select("event_id", "subject", "predicate", "object", F.col("observed_at").alias("valid_from"), F.lead("observed_at").over(order).alias("valid_until"))
+
+
+def valid_at(claims: DataFrame, time: Column) -> DataFrame:
+    """Claims whose interval [valid_from, valid_until) holds the time; a null end is open."""
+    return claims.filter((F.col("valid_from").isNull() | (F.col("valid_from") <= time)) & (F.col("valid_until").isNull() | (F.col("valid_until") > time)))
+
+
+def decay(claims: DataFrame, as_of: Column, floor: float = 0.01) -> DataFrame:
+    """Strength after the whole days since updated_at; claims of high confidence keep at least 0.2."""
+    days = F.floor(scoring.age_days(as_of, F.col("updated_at")))
+    least = F.when(F.col("confidence") == "high", 0.2).otherwise(floor)
+    return claims.withColumn("days", days).withColumn("decayed", F.round(scoring.decayed(F.col("strength"), days, least), 6))
+
+
+def floored(claims: DataFrame, least: float, days: int) -> DataFrame:
+    """Decayed claims at or below `least` that were not seen for so many days."""
+    return claims.filter((F.col("decayed") <= least) & (F.col("days") >= days))
+
+
+def contradictions(claims: DataFrame) -> DataFrame:
+    """Pairs of claims of one subject and predicate with different objects whose time spans overlap; the older id first."""
+    a, b = (claims.select("subject", "predicate", *(F.col(c).alias(f"{s}_{c}") for c in ("claim_id", "object", "valid_from", "updated_at"))) for s in "ab")
+    overlap = (F.col("a_valid_from") <= F.col("b_updated_at")) & (F.col("b_valid_from") <= F.col("a_updated_at"))
+    pairs = a.join(b, ["subject", "predicate"]).filter((F.col("a_claim_id") < F.col("b_claim_id")) & (F.col("a_object") != F.col("b_object")) & overlap)
+    return pairs.select("subject", "predicate", "a_claim_id", "a_object", "b_claim_id", "b_object")
+
+
+def recall(claims: DataFrame, as_of: Column, query: str | None = None, pool: int = 500, limit: int = 20) -> DataFrame:
+    """claim_id, score and parts of the best claims for a query.
+
+    The strongest `pool` claims are scored; with a query, those without a common token are left out. Of claims that
+    contradict each other the latest wins, and the others stay just below it.
+    """
+    weights = scoring.recall_weights(query is not None, False)
+    first = claims.orderBy(F.desc("strength"), F.desc("updated_at"), "claim_id").limit(pool)
+    age = scoring.age_days(as_of, F.col("updated_at"))
+    parts = {"strength": F.col("strength"), "recency": scoring.recency(age), "salience": scoring.salience(F.col("seen"))}
+    if query is not None:
+        wanted = F.array_distinct(tokens(F.lit(query)))
+        text = F.array_distinct(tokens(F.concat_ws(" ", "subject", "predicate", "object")))
+        parts["relevance"] = F.size(F.array_intersect(wanted, text)) / F.size(wanted)
+        first = first.filter(F.size(F.array_intersect(wanted, text)) > 0)
+    scored = first.withColumn("own", scoring.recall_score(parts, weights))
+    group = Window.partitionBy("subject", "predicate")
+    latest = F.max(F.struct("updated_at", "claim_id", "own")).over(group)
+    several = F.size(F.collect_set("object").over(group)) > 1
+    lost = several & (latest["claim_id"] != F.col("claim_id"))
+    score = F.when(lost, F.greatest(F.lit(0.0), F.least(F.col("own"), latest["own"] - 1e-6))).otherwise(F.col("own"))
+    return scored.select("claim_id", "subject", "predicate", "object", F.round(score, 6).alias("score"), lost.alias("demoted")).orderBy(F.desc("score"), "claim_id").limit(limit)
+
+
+def supersession(pairs: DataFrame) -> DataFrame:
+    """For pairs of an old and a new claim, whether the new may supersede, and why not.
+
+    It must be strictly newer, of a higher confidence, of the same actor, and neither an assumption nor inferred without
+    a trace. Columns read: old_/new_ of at, confidence, actor; new_status, new_trace.
+    """
+    rank = lambda c: scoring.confidence_rank(F.col(c))
+    reasons = F.array_compact(
+        F.array(
+            F.when(~F.col("old_actor").eqNullSafe(F.col("new_actor")), F.lit("actor")),
+            F.when(~F.coalesce(F.col("new_at") > F.col("old_at"), F.lit(False)), F.lit("not_newer")),
+            F.when(rank("new_confidence") <= rank("old_confidence"), F.lit("confidence")),
+            F.when(F.col("new_status") == "assumption", F.lit("assumption")),
+            F.when((F.col("new_status") == "inferred") & F.col("new_trace").isNull(), F.lit("untraced")),
+        )
+    )
+    return pairs.withColumn("reasons", reasons).withColumn("allowed", F.size("reasons") == 0)
+
+
+def transition(claims: DataFrame, wanted: DataFrame) -> DataFrame:
+    """claims after the wanted changes (claim_id, to_status) that their states allow; others stay as they are."""
+    spark = claims.sparkSession
+    allowed = F.broadcast(spark.createDataFrame(TRANSITIONS, "status string, to_status string"))  # a fixed table
+    moves = claims.join(wanted, "claim_id").join(allowed, ["status", "to_status"], "left_semi").select("claim_id", "to_status")
+    return claims.join(moves, "claim_id", "left").withColumn("status", F.coalesce("to_status", "status")).drop("to_status")
+
+
+def scrub(claims: DataFrame, disposable: Column) -> DataFrame:
+    """Sources that are disposable go; claims with no other source are rejected (candidates) or archived (active ones)."""
+    kept = F.filter("sources", lambda s: ~disposable_source(s, disposable))
+    gone = (F.size("sources") > 0) & (F.size(kept) == 0)
+    status = F.when(gone & (F.col("status") == "candidate"), "rejected").when(gone & (F.col("status") == "active"), "archived").otherwise(F.col("status"))
+    return claims.withColumn("status", status).withColumn("sources", F.when(gone, F.col("sources")).otherwise(kept))
+
+
+def disposable_source(source: Column, words: Column) -> Column:
+    """A part of the source's path is one of the words."""
+    return F.arrays_overlap(F.split(F.lower(source), "[^a-z0-9]+"), words)
+
+
+def acknowledge(claims: DataFrame, accesses: DataFrame) -> DataFrame:
+    """claims with access_count and last_access from access events (claim_id, at); repeated ids of one event count once."""
+    folded = accesses.distinct().groupBy("claim_id").agg(F.count("*").alias("more"), F.max("at").alias("at"))
+    joined = claims.join(folded, "claim_id", "left")
+    return joined.withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("more", F.lit(0))).withColumn("last_access", F.greatest("last_access", "at")).drop("more", "at")
