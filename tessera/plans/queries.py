@@ -307,10 +307,10 @@ def ego_subgraph(spark, sf_dir):
     return graph.ego(adapters.edges(spark, sf_dir), "r1", 2)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, s AS (SELECT DISTINCT node, other FROM b), w AS (SELECT 's1' AS node, ['s1'] AS path UNION ALL SELECT s.other, list_append(w.path, s.other) FROM w JOIN s ON s.node = w.node WHERE w.node <> 'n7' AND len(w.path) <= 4 AND NOT list_contains(w.path, s.other))
-SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS hops FROM w WHERE node = 'n7'""")
+@query(f"""WITH RECURSIVE {EDGES}, s AS (SELECT DISTINCT node, other FROM b), w AS (SELECT 'n1' AS node, ['n1'] AS path UNION ALL SELECT s.other, list_append(w.path, s.other) FROM w JOIN s ON s.node = w.node WHERE w.node <> 'n2' AND len(w.path) <= 4 AND NOT list_contains(w.path, s.other))
+SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS hops FROM w WHERE node = 'n2'""")
 def simple_paths(spark, sf_dir):
-    return graph.paths(adapters.edges(spark, sf_dir), "s1", "n7", 4)
+    return graph.paths(adapters.edges(spark, sf_dir), "n1", "n2", 4)
 
 
 @query(f"WITH {EDGES}, n AS (SELECT DISTINCT node FROM b), k AS (SELECT node, count(DISTINCT other) AS k FROM b WHERE node <> other GROUP BY 1) SELECT node, round(coalesce(k, 0) / ((SELECT count(*) FROM n) - 1), 6) AS centrality FROM n LEFT JOIN k USING (node)")
@@ -318,9 +318,9 @@ def degree_centrality(spark, sf_dir):
     return graph.degree_centrality(adapters.edges(spark, sf_dir))
 
 
-@query(f"WITH {EDGES}, t AS (SELECT node FROM b GROUP BY node ORDER BY count(*) DESC, node LIMIT 15) SELECT source, target, type FROM e WHERE source IN (SELECT node FROM t) AND target IN (SELECT node FROM t)")
+@query(f"WITH {EDGES}, t AS (SELECT node FROM b GROUP BY node ORDER BY count(*) DESC, node LIMIT 30) SELECT source, target, type FROM e WHERE source IN (SELECT node FROM t) AND target IN (SELECT node FROM t)")
 def graph_truncate(spark, sf_dir):
-    return graph.truncate(adapters.edges(spark, sf_dir), 15)
+    return graph.truncate(adapters.edges(spark, sf_dir), 30)
 
 
 @query()
@@ -357,10 +357,10 @@ def contradiction_context(spark, sf_dir):
     return quality_rules.marker_review(adapters.sections(spark, sf_dir), MARKER)
 
 
-@query("SELECT o_orderkey::VARCHAR AS page_id, date_diff('day', o_orderdate::DATE, DATE '1995-01-01')::INTEGER AS days_stale FROM orders WHERE o_orderdate::DATE < DATE '1995-01-01'")
+@query("SELECT o_orderkey::VARCHAR AS page_id, date_diff('day', o_orderdate::DATE, DATE '1998-01-01')::INTEGER AS days_stale FROM orders WHERE o_orderdate::DATE < DATE '1998-01-01'")
 def stale_queue(spark, sf_dir):
     o = storage.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("page_id"), F.col("o_orderdate").alias("stale_after"))
-    return quality_rules.stale(o, F.lit("1995-01-01"))
+    return quality_rules.stale(o, F.lit("1998-01-01"))
 
 
 @query("SELECT ts::DATE AS key, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1".replace("ts::DATE", "ts::DATE::VARCHAR"))
@@ -375,25 +375,29 @@ def digest_by_task(spark, sf_dir):
     return captures.digest(e, F.nullif(F.col("event_type"), F.lit("view")), "(no task)")
 
 
-@query("SELECT ts::DATE AS day, count(*) AS n FROM events WHERE ts::DATE NOT IN (SELECT ts::DATE FROM events WHERE event_type = 'error' AND user_id % 10 = 0) GROUP BY 1")
+@query("SELECT ts::DATE AS day, count(*) AS n FROM events WHERE ts::DATE NOT IN (SELECT ts::DATE FROM events WHERE event_type = 'error' AND user_id % 10 = 0 AND value > 100) GROUP BY 1")
 def pending_days_antijoin(spark, sf_dir):
     e = storage.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    return captures.pending_days(e, e.filter("event_type = 'error' and user_id % 10 = 0"))
+    return captures.pending_days(e, e.filter("event_type = 'error' and user_id % 10 = 0 and value > 100"))
 
 
-KEYWORDS = """k AS (SELECT conv_id || ':' || turn AS capture_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations), w AS (SELECT capture_id, len(w) AS n, unnest(w) AS word FROM k),
+def _document_captures(spark, sf_dir):
+    return storage.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("capture_id"), F.col("text").alias("observation"))
+
+
+KEYWORDS = """k AS (SELECT doc_id AS capture_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), w AS (SELECT capture_id, len(w) AS n, unnest(w) AS word FROM k),
 j AS (SELECT a.capture_id AS a_id, b.capture_id AS b_id, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM w a JOIN w b ON a.word = b.word AND a.capture_id < b.capture_id GROUP BY 1, 2)"""
 
 
 @query(f"WITH {KEYWORDS} SELECT a_id, b_id, round(j, 6) AS jaccard FROM j WHERE j >= 0.4")
 def jaccard_pairs(spark, sf_dir):
-    return captures.similar_pairs(adapters.captures(spark, sf_dir))
+    return captures.similar_pairs(_document_captures(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {KEYWORDS}, e AS MATERIALIZED (SELECT a_id AS u, b_id AS v FROM j WHERE j >= 0.4 UNION ALL SELECT b_id, a_id FROM j WHERE j >= 0.4), c AS (SELECT u, u AS g FROM e UNION SELECT e.v, c.g FROM c JOIN e ON e.u = c.u)
 SELECT u AS capture_id, min(g) AS group_id FROM c GROUP BY u""")
 def repeated_captures(spark, sf_dir):
-    return captures.repeated(adapters.captures(spark, sf_dir))
+    return captures.repeated(_document_captures(spark, sf_dir))
 
 
 @query("SELECT lower(word) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z]{4,}')) AS word FROM documents) GROUP BY 1 ORDER BY n DESC, word LIMIT 5")
@@ -445,13 +449,13 @@ def provenance_union(spark, sf_dir):
     return found.withColumn("actors", F.array_join("actors", ","))
 
 
-@query("WITH n AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events) SELECT * FROM n WHERE n > 3")
+@query("WITH n AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events) SELECT * FROM n WHERE n > 1")
 def rate_limit_log(spark, sf_dir):
-    return streams.over_limit(storage.table(spark, sf_dir, "events"))
+    return streams.over_limit(storage.table(spark, sf_dir, "events"), most=1)
 
 
-@query("SELECT c_custkey::VARCHAR AS key, CASE WHEN o_custkey IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'orphan' ELSE 'stale' END AS state FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey WHERE o_custkey IS NULL OR c_custkey IS NULL")
+@query("""WITH a AS (SELECT doc_id, 1 AS scope FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, max(quality) AS scope FROM labels GROUP BY 1)
+SELECT doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'orphan' ELSE 'stale' END AS state FROM a FULL JOIN b USING (doc_id) WHERE b.doc_id IS NULL OR a.doc_id IS NULL OR a.scope <> b.scope""")
 def index_drift(spark, sf_dir):
-    c = storage.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.lit(1).alias("scope"))
-    o = storage.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.lit(1).alias("scope")).distinct()
-    return storage.drift(c, o, "key", ["scope"])
+    d = storage.table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select("doc_id", F.lit(1).alias("scope"))
+    return storage.drift(d, storage.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("scope")), "doc_id", ["scope"])
