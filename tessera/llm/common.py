@@ -113,6 +113,24 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return sets
 
 
+def pieces(batch, column: str, limit: int = 2 << 20):
+    """Consecutive parts of an Arrow batch, each of about `limit` bytes (of a list column: items) of a column, or one row.
+
+    A batch may hold ten thousand long texts; what is made from them in Python is held for one part only.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    data = batch.column(column)
+    sizes = pc.list_value_length(data) if pa.types.is_list(data.type) else pc.binary_length(data)
+    upto = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def arrow_texts(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null as empty."""
     import pyarrow as pa

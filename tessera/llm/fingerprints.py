@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, pieces
 
 
 def canonical(text: str | None) -> str:
@@ -46,8 +46,8 @@ def collisions(docs: DataFrame, hashed: Callable[[str], bytes] = digest, text: s
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            forms = [canonical(t) for t in batch.column(0).to_pylist()]
+        for batch in (part for whole in batches for part in pieces(whole, text)):
+            forms = [canonical(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashed(f) for f in forms], pa.binary()), pa.array([pack.compress(f.encode()) for f in forms], pa.binary())], ["digest", "packed"])
 
     def unpack(batches):
@@ -58,7 +58,7 @@ def collisions(docs: DataFrame, hashed: Callable[[str], bytes] = digest, text: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([pack.decompress(p) for p in batch.column("packed").to_pylist()], pa.binary())], ["digest", "form"])
 
-    forms = docs.select(F.col(text).cast("string")).mapInArrow(run, "digest binary, packed binary")
+    forms = docs.select(F.col(text).cast("string").alias(text)).mapInArrow(run, "digest binary, packed binary")
     # One row a digest and task at most: the least and greatest bytes differ where a digest has more than one form.
     ends = forms.groupBy("digest").agg(F.min("packed").alias("least"), F.max("packed").alias("most"))
     shared = materialise(ends.filter("least <> most").select("digest"), "shared-digests")
@@ -88,7 +88,7 @@ def fingerprint(docs: DataFrame, hashed: Callable[[str], bytes] = digest) -> Dat
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             forms = [canonical(t) for t in batch.column("text").to_pylist()]
             extra = [pa.array([hashed(f) for f in forms], pa.binary()), *([pa.array([f.encode() for f in forms], pa.binary())] if clash else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "_hash", *(["_bytes"] if clash else [])])
@@ -118,7 +118,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc_id", "mark", "packed"])
 
@@ -157,7 +157,7 @@ def _edited(rows: DataFrame, hashed: Callable[[str], bytes], with_forms: bool) -
         import zstandard
 
         unpack, last = zstandard.ZstdDecompressor().decompress, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "packed")):
             for doc_id, packed, part, guest in zip(*(c.to_pylist() for c in batch.columns)):
                 text = unpack(packed).decode()
                 row = (doc_id, text, canonical(text), part)

@@ -15,6 +15,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import pieces
+
 SAMPLE_ROWS = 400  # training rows of each language at most
 SAMPLE_CHARS = 20_000  # and of longer texts none
 DICTIONARY_BYTES = 96 << 10
@@ -97,7 +99,7 @@ def predict(docs: DataFrame, model: Mapping[str, bytes], margin: float = MARGIN)
         import pyarrow as pa
 
         judge = Classifier(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             found = [judge(t, margin) for t in batch.column("text").to_pylist()]
             made = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score", "accepted"])

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, pieces
 
 GRAM_WORDS = 25
 MIN_WORDS = 50
@@ -67,7 +67,7 @@ def _line_rows(docs: DataFrame, gram_words: int, min_words: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             rows = []
             for text in batch.column("text").to_pylist():
                 folded = [line.lower().split() for line in text.split("\n")]

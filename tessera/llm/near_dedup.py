@@ -20,26 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_texts, materialise, shingle_sets
+from tessera.llm.common import arrow_texts, materialise, pieces, shingle_sets
 from tessera.llm.components import components
 
 SKETCH = 64  # values kept of each set
 TAKEN = 24  # rarer values of a sketch that are indexed
 HEAVY_SHARE = 0.5
 SHORT_LIST = 16  # lists up to this long are paired in full at once
-CHUNK = 4 << 20
-
-
-def _chunks(texts: list[bytes]):
-    """Slices of texts of about CHUNK bytes."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
 
 
 def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH, full: bool = False) -> DataFrame:
@@ -49,15 +36,13 @@ def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH, full: bool
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
-            texts = arrow_texts(batch.column("text"))
-            for a, b in _chunks(texts):
-                sets = shingle_sets(texts[a:b], shingle)
-                columns = [batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                names = ["doc_id", "n_shingles", "set_key", "sketch"]
-                if full:
-                    columns, names = columns[:3] + [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names[:3] + ["members"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
+            sets = shingle_sets(arrow_texts(batch.column("text")), shingle)
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            names = ["doc_id", "n_shingles", "set_key", "sketch"]
+            if full:
+                columns, names = columns[:3] + [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names[:3] + ["members"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     last = f"{'members' if full else 'sketch'} array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_shingles long, set_key binary, {last}")

@@ -21,12 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _GOLD, mix64
+from tessera.llm.common import _GOLD, mix64, pieces
 
 MARK = "▁"  # stands for a blank in pieces
 STREAMS = 8
 LONG = 200
-SLICE = 1_000_000  # code points encoded side by side
+SLICE = 500_000  # code points encoded side by side
 
 _K = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xCA5A826395121157, 0xA0761D6478BD642F)]
 
@@ -39,12 +39,12 @@ class PieceCodec:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        pieces = [model.id_to_piece(i) for i in range(size)]
+        names = [model.id_to_piece(i) for i in range(size)]
         plain = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(size)]
         self.size = size
-        self.bytes = np.array([next(i for i in range(size) if pieces[i] == f"<0x{b:02X}>") for b in range(256)], np.int64)
-        ids = {p: i for i, p in enumerate(pieces) if plain[i]}
-        self.text = [p.replace(MARK, " ").encode() if ok else b"" for p, ok in zip(pieces, plain)]
+        self.bytes = np.array([next(i for i in range(size) if names[i] == f"<0x{b:02X}>") for b in range(256)], np.int64)
+        ids = {p: i for i, p in enumerate(names) if plain[i]}
+        self.text = [p.replace(MARK, " ").encode() if ok else b"" for p, ok in zip(names, plain)]
         for b, i in enumerate(self.bytes.tolist()):
             self.text[i] = bytes([b])
         self.char = np.full(0x110000, -1, np.int64)
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1) -> D
         import pyarrow as pa
 
         codec = PieceCodec(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             texts, keys = batch.column("text").to_pylist(), batch.column("_key").to_pylist()
             made = codec.encode([t or "" for t in texts], seed, dropout, keys)
             ids = pa.array([None if t is None else i.astype(np.int32) for t, i in zip(texts, made)], pa.list_(pa.int32()))
@@ -275,7 +275,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         codec = PieceCodec(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "ids")):
             texts = [None if not i.is_valid else codec.decode(i.values.to_numpy()) for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import pieces, shared_dir
 
 MAGIC = b"TSPFOR1\n"
 BLOCK = 1 << 14
@@ -244,9 +244,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, folder
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 stream = fs.open_output_stream(f"{path}.{attempt}")
                 out, encoder = Writer(stream), WordEncoder(tokenizer_path)
-            ids, column = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
-            for a in range(0, len(batch), 500):
-                for i, x in zip(ids[a : a + 500], encoder(column[a : a + 500].to_pylist(), end)):
+            for part_of in pieces(batch, "text"):
+                for i, x in zip(part_of.column("doc_id").to_pylist(), encoder(part_of.column("text").cast(pa.binary()).to_pylist(), end)):
                     out.add(i, x)
         if out is not None:
             out.close()
