@@ -34,6 +34,28 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BITS = 1 << 23
+
+
+def presence_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of BITS bits (1 MB, whatever the table) in which the places of all non-null ids are set, and place 0 for null.
+
+    A pre-filter: an id whose place is clear is not among them; one whose place is set may be. The bits are gathered in
+    words of 62, of which there are a fixed number.
+    """
+    place = F.coalesce(F.pmod(F.xxhash64(column), F.lit(BITS)), F.lit(0))
+    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 62).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 62 as int)))").alias("bits"))
+    out = np.zeros(BITS // 62 + 1, np.int64)
+    for word, bits in words.collect():
+        out[word] = bits
+    return out
+
+
+def present(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places (see presence_bits) are set."""
+    return (bits[places // 62] >> (places % 62)) & 1 == 1
+
+
 def bind(value: Column, then) -> Column:
     """then(value), with value computed once however often `then` uses it."""
     return F.transform(F.array(value), then)[0]

@@ -140,7 +140,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GR
     """
     runs = repeated_runs(docs, min_words, gram_words)
     runs = materialise(runs.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed")), "removed")
-    joined = docs.drop("removed_lines").join(runs, (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left")
+    # Sorted and merged at any size: a broadcast would depend on how much is deleted.
+    joined = docs.drop("removed_lines").join(runs.hint("merge"), (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
     return joined.withColumn("text", text).withColumn("removed_lines", F.coalesce("_removed", F.array().cast("array<bigint>"))).drop("_doc", "_mark", "_removed")

@@ -20,12 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_texts, materialise, pieces, shingle_sets
+from tessera.llm.common import BITS, arrow_texts, materialise, pieces, presence_bits, present, shingle_sets
 from tessera.llm.components import components
 
 SKETCH = 64  # values kept of each set
 TAKEN = 24  # rarer values of a sketch that are indexed
 HEAVY_SHARE = 0.5
+NO_ID = -(2**63)  # stands for a null doc_id
 SHORT_LIST = 16  # lists up to this long are paired in full at once
 
 
@@ -71,22 +72,36 @@ def _nearer():
 
 
 def _sides(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))
+    return classes.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"), F.col("rep").alias(f"{side}_rep"))
 
 
 def _whole_sets(chosen: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """set_key, n_shingles and members, the whole set, of the chosen classes (columns doc_id, set_key)."""
-    ids = materialise(chosen.select("doc_id").distinct(), "chosen")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    return shingle_rows(texts, shingle, full=True).select("set_key", "n_shingles", "members")
+    """set_key, rep, n_shingles and members, the whole set, of the chosen documents (column rep), and of a few others.
+
+    Texts stay where they are: a bitmap of fixed size says which may be chosen. Joins on set_key and rep sort out the
+    others. Where there are so many chosen that the bitmap says yes to all, all sets are made.
+    """
+    bits = chosen.sparkSession.sparkContext.broadcast(presence_bits(chosen.select("rep"), "rep"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            may = batch.filter(pa.array(present(bits.value, batch.column("place").to_numpy(zero_copy_only=False))))
+            if len(may):
+                yield may.select(["doc_id", "text"])
+
+    rep = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    near = docs.select(rep.alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("place", place).mapInArrow(run, "doc_id long, text string")
+    return shingle_rows(near, shingle, full=True).select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "members")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, tag: str) -> DataFrame:
-    """The pairs (a, b) of set keys whose whole sets reach the threshold, as edges (u, v)."""
-    wanted = pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select(F.col("b").alias("set_key"))).distinct()
-    sets = materialise(_whole_sets(wanted.join(classes.select("set_key", "doc_id"), "set_key"), docs, shingle), f"sets-{tag}")
-    a, b = (sets.select(F.col("set_key").alias(s), F.col("members").alias(f"{s}_set")) for s in "ab")
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, tag: str) -> DataFrame:
+    """The pairs (a, b) of set keys, with their documents a_rep and b_rep, whose whole sets reach the threshold, as edges (u, v)."""
+    chosen = pairs.select(F.explode(F.array("a_rep", "b_rep")).alias("rep"))
+    sets = materialise(_whole_sets(chosen, docs, shingle), f"sets-{tag}")
+    a, b = (sets.select(F.col("set_key").alias(s), F.col("rep").alias(f"{s}_rep"), F.col("members").alias(f"{s}_set")) for s in "ab")
 
     def run(batches):
         import pyarrow as pa
@@ -99,7 +114,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
                 keep.append(both * 100 >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "u binary, v binary")
+    return pairs.join(a, ["a", "a_rep"]).join(b, ["b", "b_rep"]).select("a", "b", "a_set", "b_set").mapInArrow(run, "u binary, v binary")
 
 
 def _heavy(rows: DataFrame, column: str, total: int) -> np.ndarray:
@@ -138,7 +153,7 @@ def _rare_postings(classes: DataFrame, heavy) -> DataFrame:
 
 
 def _mostly_heavy(classes: DataFrame, heavy) -> DataFrame:
-    """set_key, doc_id of the classes of which more than HEAVY_SHARE of the sketch is heavy."""
+    """rep, set_key of the classes of which more than HEAVY_SHARE of the sketch is heavy."""
 
     def run(batches):
         import pyarrow as pa
@@ -147,9 +162,9 @@ def _mostly_heavy(classes: DataFrame, heavy) -> DataFrame:
             values, offsets = _lists(batch.column("sketch"))
             upto = np.concatenate(([0], np.cumsum(_frequent(values, heavy.value))))
             share = (upto[offsets[1:]] - upto[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
-            yield batch.select(["set_key", "doc_id"]).filter(pa.array(share > HEAVY_SHARE))
+            yield batch.select(["set_key", "rep"]).filter(pa.array(share > HEAVY_SHARE))
 
-    return classes.select("set_key", "doc_id", "sketch").mapInArrow(run, "set_key binary, doc_id long")
+    return classes.select("set_key", "rep", "sketch").mapInArrow(run, "set_key binary, rep long")
 
 
 def _prefix_postings(sets: DataFrame, heavy, percent: int) -> DataFrame:
@@ -181,7 +196,7 @@ def _postings(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -
     mostly = materialise(_mostly_heavy(classes, heavy), "mostly-heavy")
     if mostly.isEmpty():
         return rows
-    sets = materialise(_whole_sets(mostly, docs, shingle), "heavy-sets")
+    sets = materialise(_whole_sets(mostly, docs, shingle).join(mostly, ["set_key", "rep"]), "heavy-sets")
     size = sets.agg(F.sum("n_shingles")).first()[0] or 0
     return rows.unionAll(_prefix_postings(sets, spark.broadcast(_heavy(sets, "members", size)), percent))
 
@@ -194,14 +209,14 @@ def _across(hits: DataFrame, found: DataFrame, classes: DataFrame, percent: int,
     if apart.isEmpty():
         return None
     mains = materialise(long.filter("set_key = leader").select("value", F.col("root").alias("main")).join(apart, "value"), "mains")
-    rows = materialise(long.join(mains, "value").join(classes.select("set_key", F.col("n_shingles").alias("n"), "sketch"), "set_key"), "open")
+    rows = materialise(long.join(mains, "value").join(classes.select("set_key", "rep", F.col("n_shingles").alias("n"), "sketch"), "set_key"), "open")
     # Members outside the component of the list's leader meet all others; those inside don't meet each other.
-    a, b = (rows.select("value", *(F.col(x).alias(y) for x, y in (("set_key", s), ("n", f"{s}_n"), ("near", f"{s}_near"), ("sketch", f"{s}_sketch"), ("root", f"{s}_root"), ("leader", f"{s}_leader"), ("main", f"{s}_main")))) for s in "ab")
+    a, b = (rows.select("value", *(F.col(x).alias(y) for x, y in (("set_key", s), ("rep", f"{s}_rep"), ("n", f"{s}_n"), ("near", f"{s}_near"), ("sketch", f"{s}_sketch"), ("root", f"{s}_root"), ("leader", f"{s}_leader"), ("main", f"{s}_main")))) for s in "ab")
     untried = (F.col("a_root") != F.col("b_root")) & (F.col("b") != F.col("b_leader")) & (F.col("a") != F.col("a_leader")) & _close(percent) & _nearer()
     once = (F.col("a_root") != F.col("a_main")) & ((F.col("a") < F.col("b")) | (F.col("b_root") == F.col("b_main")))
     low = percent / 100 - 4 * (percent * (100 - percent) / 1e4 / sketch) ** 0.5
     alike = F.size(F.array_intersect("a_sketch", "b_sketch")) >= low * F.least(F.size("a_sketch"), F.size("b_sketch"))
-    return _estimated(a.join(b, (a["value"] == b["value"]) & untried & once & alike).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch"), percent, sketch).select("a", "b").distinct()
+    return _estimated(a.join(b, (a["value"] == b["value"]) & untried & once & alike).select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch"), percent, sketch).select("a", "b", "a_rep", "b_rep").distinct()
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -216,7 +231,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     docs = docs.select("doc_id", "text")
     rows = materialise(shingle_rows(docs, shingle, sketch), "sketches")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes, "classes")
+    classes = materialise(classes.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))), "classes")
     postings = _postings(classes, docs, shingle, percent)
     lists = materialise(postings.groupBy("value").agg(F.count("*").alias("size"), F.min(F.when(F.col("near"), F.col("set_key"))).alias("leader")).filter("size > 1 and leader is not null"), "lists")
     hits = postings.join(lists, "value").groupBy("value", "set_key").agg(F.max("n").alias("n"), F.max("near").alias("near"), F.max("size").alias("size"), F.max("leader").alias("leader"))
@@ -227,14 +242,14 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     pairs = left.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & _close(percent) & _nearer()).select("a", "b")
     tried = materialise(star.unionAll(pairs).distinct(), "pairs")
     likely = tried.join(_sides(classes, "a"), "a").join(_sides(classes, "b"), "b").filter(_close(percent))
-    likely = materialise(_estimated(likely, percent, sketch).select("a", "b"), "likely")
-    links = materialise(_confirmed(likely, classes, docs, shingle, percent, "first"), "links")
+    likely = materialise(_estimated(likely, percent, sketch).select("a", "b", "a_rep", "b_rep"), "likely")
+    links = materialise(_confirmed(likely, docs, shingle, percent, "first"), "links")
     found = materialise(components(links), "found")
     more = _across(hits, found, classes, percent, sketch)
     if more is not None:
         more = materialise(more, "likely-across")
         if not more.isEmpty():
-            links = links.unionAll(materialise(_confirmed(more, classes, docs, shingle, percent, "across"), "links-across"))
+            links = links.unionAll(materialise(_confirmed(more, docs, shingle, percent, "across"), "links-across"))
             found = materialise(components(links), "found")
     members = materialise(classes.select("set_key", "doc_id").join(found.withColumnRenamed("node", "set_key"), "set_key"), "members")
     least = materialise(members.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
