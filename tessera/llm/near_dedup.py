@@ -5,13 +5,16 @@ same set form a class, and the rest works on one row a class. Inverted lists of
 classes: short lists in full, long lists (a large group of near copies) as stars around their least member first, then,
 for exactness, between whatever components are still apart. A union sketch estimates each pair's Jaccard similarity
 and drops pairs well below the threshold; the full sets decide about the others. Components of the confirmed links are
-the groups.
+the groups. Before that, odd sketches (Mitzenmacher, Pagh and Pham, 2014) drop pairs for certain: each value of a set
+flips one of ODD bits, so two sets differ in at least as many values as their bits do.
 
 Values that many texts hold (passages that they share) are heavy. A text indexes the TAKEN least values that are not;
 a pair at the threshold with at most HEAVY_SHARE of heavy values misses all of these lists with a probability below
 1e-7. Texts with more heavy values are indexed by a prefix of their whole set in addition: of n values in any one
-order, here heavy ones last, the first floor(n * (1 - t)) + 1 meet every smaller partner's first floor(n * (1 - t) / (1 +
-t)) + 1 for certain (t the threshold), so of two texts the smaller must hold the value among these nearer ones.
+order, here heavy ones last, the first floor(n * (1 - t)) + 1 meet those of every partner for certain (t the threshold).
+At a pair's first common value nothing before it is shared, so the values from its place on must suffice for the
+threshold in both texts: where they don't, the value is not the pair's first, and the pair is left to that one. A long
+list's leader is its member with the largest share of heavy values, which of a group of near copies is the least edited.
 """
 
 from __future__ import annotations
@@ -27,11 +30,17 @@ SKETCH = 64  # values kept of each set
 TAKEN = 24  # rarer values of a sketch that are indexed
 HEAVY_SHARE = 0.5
 NO_ID = -(2**63)  # stands for a null doc_id
+ODD = 512  # bits of odd sketches
 SHORT_LIST = 16  # lists up to this long are paired in full at once
 
 
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """For each of ODD bits the parity of the number of values that fall on it, in longs."""
+    return np.packbits((np.bincount((values & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).view(np.int64)
+
+
 def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH, full: bool = False) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the whole set) and the sketch of each row's text; with full, the set."""
+    """doc_id, n_shingles, set_key (128-bit hash of the whole set), the sketch and the odd sketch of each row's text; with full, the set."""
 
     def run(batches):
         import pyarrow as pa
@@ -40,39 +49,52 @@ def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH, full: bool
         for batch in (part for whole in batches for part in pieces(whole, "text")):
             sets = shingle_sets(arrow_texts(batch.column("text")), shingle)
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            names = ["doc_id", "n_shingles", "set_key", "sketch"]
+            columns.append(pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64())))
+            names = ["doc_id", "n_shingles", "set_key", "sketch", "odd"]
             if full:
                 columns, names = columns[:3] + [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names[:3] + ["members"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    last = f"{'members' if full else 'sketch'} array<long>"
+    last = "members array<long>" if full else "sketch array<long>, odd array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_shingles long, set_key binary, {last}")
 
 
+def _close(percent: int):
+    """Sizes alone allow the threshold."""
+    return (F.col("a_n") * 100 >= percent * F.col("b_n")) & (F.col("b_n") * 100 >= percent * F.col("a_n"))
+
+
+def _alike(percent: int):
+    """The odd sketches differ in no more bits than sets at the threshold may differ in values."""
+    bits = sum((F.bit_count(F.get("a_odd", F.lit(k)).bitwiseXOR(F.get("b_odd", F.lit(k)))) for k in range(ODD // 64)), F.lit(0))
+    return bits * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+
+
+def _suffice(percent: int):
+    """What follows the value's place suffices for the threshold in both texts."""
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    return rest * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+
+
 def _estimated(pairs: DataFrame, percent: int, sketch: int) -> DataFrame:
-    """The pairs whose union sketch doesn't rule the threshold out: exact where it holds both sets, else within 4 deviations."""
+    """The pairs whose sizes, odd and union sketches don't rule the threshold out: exact where these hold both sets, else within 4 deviations."""
     t = percent / 100
     low = t - 4 * (t * (1 - t) / sketch) ** 0.5
     return (
         pairs.withColumn("_union", F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, sketch))
         .withColumn("_both", F.size(F.array_intersect("_union", F.array_intersect("a_sketch", "b_sketch"))))
         .withColumn("_whole", (F.col("a_n") <= sketch) & (F.col("b_n") <= sketch) & (F.size(F.array_union("a_sketch", "b_sketch")) <= sketch))
-        .filter(F.when(F.col("_whole"), F.col("_both") * 100 >= percent * F.size("_union")).otherwise(F.col("_both") >= low * F.size("_union")))
+        .filter(F.when(~(_close(percent) & _alike(percent)), False).when(F.col("_whole"), F.col("_both") * 100 >= percent * F.size("_union")).otherwise(F.col("_both") >= low * F.size("_union")))
     )
 
 
-def _close(percent: int):
-    """Sizes alone allow the threshold."""
-    return (F.col("a_n") * 100 >= percent * F.col("b_n")) & (F.col("b_n") * 100 >= percent * F.col("a_n"))
-
-
-def _nearer():
-    """The smaller text holds the value among its near ones."""
-    return F.when(F.col("a_n") < F.col("b_n"), F.col("a_near")).when(F.col("a_n") > F.col("b_n"), F.col("b_near")).otherwise(F.col("a_near") | F.col("b_near"))
+def _sides(classes: DataFrame, side: str) -> DataFrame:
+    return classes.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"), F.col("odd").alias(f"{side}_odd"), F.col("rep").alias(f"{side}_rep"))
 
 
-def _sides(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"), F.col("rep").alias(f"{side}_rep"))
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, sketch: int) -> DataFrame:
+    """a, b, a_rep, b_rep of the pairs (a, b) that the sketches don't rule out."""
+    return _estimated(pairs.join(_sides(classes, "a"), "a").join(_sides(classes, "b"), "b"), percent, sketch).select("a", "b", "a_rep", "b_rep")
 
 
 def _whole_sets(chosen: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -149,7 +171,7 @@ def _rare_postings(classes: DataFrame, heavy) -> DataFrame:
             row = pa.array(row[take])
             yield pa.RecordBatch.from_arrays([pa.array(values[take]), batch.column("set_key").take(row), batch.column("n_shingles").take(row)], ["value", "set_key", "n"])
 
-    return classes.select("set_key", "n_shingles", "sketch").mapInArrow(run, "value long, set_key binary, n long").withColumn("near", F.lit(True))
+    return classes.select("set_key", "n_shingles", "sketch").mapInArrow(run, "value long, set_key binary, n long").withColumn("place", F.lit(0).cast("long")).withColumn("share", F.lit(0.0))
 
 
 def _mostly_heavy(classes: DataFrame, heavy) -> DataFrame:
@@ -168,7 +190,10 @@ def _mostly_heavy(classes: DataFrame, heavy) -> DataFrame:
 
 
 def _prefix_postings(sets: DataFrame, heavy, percent: int) -> DataFrame:
-    """value, set_key, n, near of the values of each whole set that no partner can lack all of, heavy ones last."""
+    """value, set_key, n, place, share of the values of each whole set that no partner can lack all of, heavy ones last.
+
+    place is the value's number in this order, share the heavy part of the whole set.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -177,18 +202,19 @@ def _prefix_postings(sets: DataFrame, heavy, percent: int) -> DataFrame:
             values, offsets = _lists(batch.column("members"))
             n = np.diff(offsets)
             row = np.repeat(np.arange(len(batch)), n)
-            order = np.lexsort((values, _frequent(values, heavy.value), row))
+            often = _frequent(values, heavy.value)
+            order = np.lexsort((values, often, row))
             place = np.arange(len(values)) - offsets[row]
             taken = place < (n * (100 - percent) // 100 + 1)[row]
-            near = place < (n * (100 - percent) // (100 + percent) + 1)[row]
-            take, row = order[taken], pa.array(row[taken])
-            yield pa.RecordBatch.from_arrays([pa.array(values[take]), batch.column("set_key").take(row), batch.column("n_shingles").take(row), pa.array(near[taken])], ["value", "set_key", "n", "near"])
+            share = np.bincount(row, weights=often, minlength=len(batch)) / np.maximum(n, 1)
+            take, at = order[taken], row[taken]
+            yield pa.RecordBatch.from_arrays([pa.array(values[take]), batch.column("set_key").take(pa.array(at)), batch.column("n_shingles").take(pa.array(at)), pa.array(place[taken]), pa.array(share[at])], ["value", "set_key", "n", "place", "share"])
 
-    return sets.select("set_key", "n_shingles", "members").mapInArrow(run, "value long, set_key binary, n long, near boolean")
+    return sets.select("set_key", "n_shingles", "members").mapInArrow(run, "value long, set_key binary, n long, place long, share double")
 
 
 def _postings(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """value, set_key, n, near: the inverted lists' rows; near values are those that count for the smaller text of a pair."""
+    """value, set_key, n, place, share: the inverted lists' rows; place is 0 for values of sketches, which are in no such order."""
     spark = classes.sparkSession.sparkContext
     total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
     heavy = spark.broadcast(_heavy(classes, "sketch", total))
@@ -204,19 +230,19 @@ def _postings(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -
 def _across(hits: DataFrame, found: DataFrame, classes: DataFrame, percent: int, sketch: int) -> DataFrame | None:
     """Likely pairs within long lists whose members' components are still apart; None if there are no such lists."""
     long = hits.filter(F.col("size") > SHORT_LIST).join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
-    long = materialise(long.select("value", "set_key", "leader", "near", F.coalesce("root", "set_key").alias("root")), "long")
+    long = materialise(long.select("value", "set_key", "leader", "place", F.coalesce("root", "set_key").alias("root")), "long")
     apart = materialise(long.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("value"), "apart")
     if apart.isEmpty():
         return None
     mains = materialise(long.filter("set_key = leader").select("value", F.col("root").alias("main")).join(apart, "value"), "mains")
-    rows = materialise(long.join(mains, "value").join(classes.select("set_key", "rep", F.col("n_shingles").alias("n"), "sketch"), "set_key"), "open")
+    rows = materialise(long.join(mains, "value").join(classes.select("set_key", F.col("n_shingles").alias("n"), "odd"), "set_key"), "open")
     # Members outside the component of the list's leader meet all others; those inside don't meet each other.
-    a, b = (rows.select("value", *(F.col(x).alias(y) for x, y in (("set_key", s), ("rep", f"{s}_rep"), ("n", f"{s}_n"), ("near", f"{s}_near"), ("sketch", f"{s}_sketch"), ("root", f"{s}_root"), ("leader", f"{s}_leader"), ("main", f"{s}_main")))) for s in "ab")
-    untried = (F.col("a_root") != F.col("b_root")) & (F.col("b") != F.col("b_leader")) & (F.col("a") != F.col("a_leader")) & _close(percent) & _nearer()
+    a, b = (rows.select("value", *(F.col(x).alias(y) for x, y in (("set_key", s), ("n", f"{s}_n"), ("place", f"{s}_place"), ("odd", f"{s}_odd"), ("root", f"{s}_root"), ("leader", f"{s}_leader"), ("main", f"{s}_main")))) for s in "ab")
+    untried = (F.col("a_root") != F.col("b_root")) & (F.col("b") != F.col("b_leader")) & (F.col("a") != F.col("a_leader")) & _close(percent) & _suffice(percent)
     once = (F.col("a_root") != F.col("a_main")) & ((F.col("a") < F.col("b")) | (F.col("b_root") == F.col("b_main")))
-    low = percent / 100 - 4 * (percent * (100 - percent) / 1e4 / sketch) ** 0.5
-    alike = F.size(F.array_intersect("a_sketch", "b_sketch")) >= low * F.least(F.size("a_sketch"), F.size("b_sketch"))
-    return _estimated(a.join(b, (a["value"] == b["value"]) & untried & once & alike).select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch"), percent, sketch).select("a", "b", "a_rep", "b_rep").distinct()
+    # Written before the sketches are joined, else their dear comparison would move into this join.
+    pairs = materialise(a.join(b, (a["value"] == b["value"]) & untried & once & _alike(percent)).select("a", "b").distinct(), "pairs-across")
+    return _likely(pairs, classes, percent, sketch)
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -230,19 +256,20 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     """
     docs = docs.select("doc_id", "text")
     rows = materialise(shingle_rows(docs, shingle, sketch), "sketches")
-    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
     classes = materialise(classes.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))), "classes")
     postings = _postings(classes, docs, shingle, percent)
-    lists = materialise(postings.groupBy("value").agg(F.count("*").alias("size"), F.min(F.when(F.col("near"), F.col("set_key"))).alias("leader")).filter("size > 1 and leader is not null"), "lists")
-    hits = postings.join(lists, "value").groupBy("value", "set_key").agg(F.max("n").alias("n"), F.max("near").alias("near"), F.max("size").alias("size"), F.max("leader").alias("leader"))
+    near = F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)
+    leader = F.max(F.when(near, F.struct("share", "set_key")))["set_key"]
+    lists = materialise(postings.groupBy("value").agg(F.count("*").alias("size"), leader.alias("leader")).filter("size > 1 and leader is not null"), "lists")
+    hits = postings.join(lists, "value").groupBy("value", "set_key").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("size").alias("size"), F.max("leader").alias("leader"))
     hits = materialise(hits, "hits")
     star = hits.filter((F.col("size") > SHORT_LIST) & (F.col("set_key") != F.col("leader"))).select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
     short = hits.filter(F.col("size") <= SHORT_LIST)
-    left, right = (short.select("value", F.col("set_key").alias(s), F.col("n").alias(f"{s}_n"), F.col("near").alias(f"{s}_near")) for s in "ab")
-    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & _close(percent) & _nearer()).select("a", "b")
+    left, right = (short.select("value", F.col("set_key").alias(s), F.col("n").alias(f"{s}_n"), F.col("place").alias(f"{s}_place")) for s in "ab")
+    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & _close(percent) & _suffice(percent)).select("a", "b")
     tried = materialise(star.unionAll(pairs).distinct(), "pairs")
-    likely = tried.join(_sides(classes, "a"), "a").join(_sides(classes, "b"), "b").filter(_close(percent))
-    likely = materialise(_estimated(likely, percent, sketch).select("a", "b", "a_rep", "b_rep"), "likely")
+    likely = materialise(_likely(tried, classes, percent, sketch), "likely")
     links = materialise(_confirmed(likely, docs, shingle, percent, "first"), "links")
     found = materialise(components(links), "found")
     more = _across(hits, found, classes, percent, sketch)
