@@ -39,7 +39,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text under merge-dropout, and whether they decode to it: doc_id, lang, source, n_tokens, ids, lossless."""
     model = tokenizer_path("piece_bpe_32k.model")
-    coded = piece_codec.decode(piece_codec.encode(docs.select("doc_id", "text", "lang", "source"), model, seed=20, dropout=0.1), model)
+    coded = piece_codec.round_trip(docs.select("doc_id", "text", "lang", "source"), model, seed=20, dropout=0.1)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 

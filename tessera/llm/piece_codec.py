@@ -26,7 +26,8 @@ from tessera.llm.common import _GOLD, mix64, pieces
 MARK = "▁"  # stands for a blank in pieces
 STREAMS = 8
 LONG = 200
-SLICE = 500_000  # code points encoded side by side
+SLICE = 100_000  # code points encoded side by side
+PART = 256 << 10  # bytes of text, or ids, taken from an Arrow batch at once
 
 _K = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xCA5A826395121157, 0xA0761D6478BD642F)]
 
@@ -244,6 +245,35 @@ class PieceCodec:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+def _encoded(codec: PieceCodec, batches, seed: int, dropout: float):
+    """The Arrow batches, in bounded parts, with ids in place of _key."""
+    import pyarrow as pa
+
+    for batch in (part for whole in batches for part in pieces(whole, "text", PART)):
+        texts, keys = batch.column("text").to_pylist(), batch.column("_key").to_pylist()
+        made = codec.encode([t or "" for t in texts], seed, dropout, keys)
+        ids = pa.array([None if t is None else i.astype(np.int32) for t, i in zip(texts, made)], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_key"]).columns, ids], [n for n in batch.schema.names if n != "_key"] + ["ids"])
+
+
+def _decoded(codec: PieceCodec, batches):
+    """The Arrow batches, in bounded parts, with decoded behind."""
+    import pyarrow as pa
+
+    for batch in (part for whole in batches for part in pieces(whole, "ids", PART)):
+        texts = [None if not i.is_valid else codec.decode(i.values.to_numpy()) for i in batch.column("ids")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which chooses a text's streams."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if "doc_id" in docs.columns else F.lit(0).cast("long"))
+
+
+def _kinds(df: DataFrame) -> str:
+    return "".join(f"`{n}` {t}, " for n, t in df.dtypes)
+
+
 def encode(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1) -> DataFrame:
     """docs with a column ids (an older one is replaced): the ids of each whole text.
 
@@ -251,33 +281,21 @@ def encode(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1) -> D
     as 0, so equal texts of equal doc_id are encoded alike. An empty table stays empty.
     """
     docs = docs.drop("ids", "_key")
-
-    def run(batches):
-        import pyarrow as pa
-
-        codec = PieceCodec(path)
-        for batch in (part for whole in batches for part in pieces(whole, "text")):
-            texts, keys = batch.column("text").to_pylist(), batch.column("_key").to_pylist()
-            made = codec.encode([t or "" for t in texts], seed, dropout, keys)
-            ids = pa.array([None if t is None else i.astype(np.int32) for t, i in zip(texts, made)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_key"]).columns, ids], [n for n in batch.schema.names if n != "_key"] + ["ids"])
-
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if "doc_id" in docs.columns else F.lit(0)
-    kinds = "".join(f"`{n}` {t}, " for n, t in docs.dtypes)
-    return docs.withColumn("_key", key).mapInArrow(run, kinds + "ids array<int>")
+    return _keyed(docs).mapInArrow(lambda batches: _encoded(PieceCodec(path), batches, seed, dropout), _kinds(docs) + "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with a column decoded (an older one is replaced): the text of its ids; null for null ids."""
     encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(lambda batches: _decoded(PieceCodec(path), batches), _kinds(encoded) + "decoded string")
 
-    def run(batches):
-        import pyarrow as pa
 
+def round_trip(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1) -> DataFrame:
+    """decode(encode(docs)) in one pass: each task has one Python worker, with one codec, instead of two."""
+    docs = docs.drop("ids", "_key", "decoded")
+
+    def run(batches):
         codec = PieceCodec(path)
-        for batch in (part for whole in batches for part in pieces(whole, "ids")):
-            texts = [None if not i.is_valid else codec.decode(i.values.to_numpy()) for i in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        yield from _decoded(codec, _encoded(codec, batches, seed, dropout))
 
-    kinds = "".join(f"`{n}` {t}, " for n, t in encoded.dtypes)
-    return encoded.mapInArrow(run, kinds + "decoded string")
+    return _keyed(docs).mapInArrow(run, _kinds(docs) + "ids array<int>, decoded string")

@@ -48,7 +48,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with merge-dropout and decoded again."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_path("piece_bpe_32k.model")
-    coded = piece_codec.decode(piece_codec.encode(docs, model, seed=20, dropout=0.1), model)
+    coded = piece_codec.round_trip(docs, model, seed=20, dropout=0.1)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
