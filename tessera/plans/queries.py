@@ -22,7 +22,7 @@ PAGES = "p AS (SELECT doc_id::VARCHAR AS page_id, string_split(text, chr(10))[1]
 LINES = "l AS (SELECT doc_id::VARCHAR AS page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
 OBS = "o AS (SELECT event_id, user_id::VARCHAR AS subject, event_type AS predicate, floor(value / 250)::BIGINT::VARCHAR AS object, ts AS observed_at, (event_id % 3)::VARCHAR AS actor, value, json_extract_string(props, '$.k')::BIGINT AS k FROM events)"
 CLAIMS = OBS + """, c0 AS (SELECT subject, predicate, object, min(event_id) AS claim_id, count(*) AS seen, min(observed_at) AS valid_from, max(observed_at) AS updated_at FROM o GROUP BY ALL),
-c AS (SELECT *, CASE WHEN seen >= 20 THEN 'high' WHEN seen >= 8 THEN 'medium' ELSE 'low' END AS confidence, round(least(1.0, 0.5 + 0.05 * (seen - 1)), 6) AS strength,
+c AS (SELECT *, CASE WHEN seen >= 20 THEN 'high' WHEN seen >= 8 THEN 'medium' ELSE 'low' END AS confidence, round(least(1.0, 0.5 + 0.05 * (seen - 1)), 6)::DOUBLE AS strength,
 sha256(concat_ws(chr(10), lower(trim(subject)), lower(trim(predicate)), lower(trim(object)))) AS dedupe_hash FROM c0)"""
 DECAYED = CLAIMS + """, dd AS (SELECT *, greatest(0, date_diff('microsecond', updated_at, TIMESTAMP '2024-02-01') // 86400000000) AS days FROM c),
 d AS (SELECT *, round(greatest(CASE WHEN confidence = 'high' THEN 0.2 ELSE 0.01 END, strength * power(0.995, days)), 6) AS decayed FROM dd)"""
@@ -190,7 +190,7 @@ def claim_status_counts(spark, sf_dir):
 @query(f"""WITH {OBS}, a AS (SELECT subject, predicate, object, min(event_id) AS claim_id, count(*) AS seen, min(observed_at) AS valid_from, max(observed_at) AS updated_at FROM o WHERE observed_at < TIMESTAMP '2024-01-15' GROUP BY ALL),
 n AS (SELECT subject, predicate, object, min(event_id) AS new_id, count(*) AS more, min(observed_at) AS new_from, max(observed_at) AS new_at FROM o WHERE observed_at >= TIMESTAMP '2024-01-15' GROUP BY ALL)
 SELECT subject, predicate, object, coalesce(claim_id, new_id) AS claim_id, coalesce(seen, 0) + coalesce(more, 0) AS seen, coalesce(valid_from, new_from) AS valid_from, greatest(updated_at, new_at) AS updated_at,
-round(CASE WHEN seen IS NULL THEN least(1.0, 0.5 + 0.05 * (more - 1)) ELSE least(1.0, round(least(1.0, 0.5 + 0.05 * (seen - 1)), 6) + 0.05 * coalesce(more, 0)) END, 6) AS strength FROM a FULL JOIN n USING (subject, predicate, object)""")
+round(CASE WHEN seen IS NULL THEN least(1.0, 0.5 + 0.05 * (more - 1)) ELSE least(1.0, round(least(1.0, 0.5 + 0.05 * (seen - 1)), 6) + 0.05 * coalesce(more, 0)) END, 6)::DOUBLE AS strength FROM a FULL JOIN n USING (subject, predicate, object)""")
 def claim_merge(spark, sf_dir):
     o = adapters.observations(spark, sf_dir)
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
@@ -432,8 +432,8 @@ def policy_decisions(spark, sf_dir):
     return policy.evaluate(requests, spark.createDataFrame(POLICIES, "policy_id string, kind string, operation string, condition string, decision string, enabled boolean"))
 
 
-@query(f"""WITH {PAGES}, u AS (SELECT 'trace' AS type, 'e' || event_id AS id, round(0.2 + CASE WHEN contains(event_type, 'error') THEN 0.35 ELSE 0 END + CASE WHEN user_id % 50 = 1 THEN 0.2 ELSE 0 END, 6) AS relevance FROM events WHERE contains(event_type, 'error') OR user_id % 50 = 1
-UNION ALL SELECT 'page', page_id, round(0.1 + 0.25 + CASE WHEN lane = 'src1' THEN 0.15 ELSE 0 END, 6) FROM p WHERE contains(lower(concat_ws(' ', title, body)), 'error'))
+@query(f"""WITH {PAGES}, u AS (SELECT 'trace' AS type, 'e' || event_id AS id, round(0.2 + CASE WHEN contains(event_type, 'error') THEN 0.35 ELSE 0 END + CASE WHEN user_id % 50 = 1 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS relevance FROM events WHERE contains(event_type, 'error') OR user_id % 50 = 1
+UNION ALL SELECT 'page', page_id, round(0.1 + 0.25 + CASE WHEN lane = 'src1' THEN 0.15 ELSE 0 END, 6)::DOUBLE FROM p WHERE contains(lower(concat_ws(' ', title, body)), 'error'))
 SELECT type, id, relevance, (SELECT count(*) FROM u) AS total FROM u ORDER BY relevance DESC, type, id LIMIT 25""")
 def precedent_search(spark, sf_dir):
     e = storage.table(spark, sf_dir, "events")
