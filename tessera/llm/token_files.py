@@ -142,71 +142,86 @@ class Reader:
             held = held[n:]
 
 
-_TAIL = re.compile(rb"[A-Za-z0-9]([.,!?;:|&%$#*]+)$")
+_TAIL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ɏ]([.,!?;:|&%$#*]+)$")
 _MARKS = frozenset(bytes([c]) for c in b".,!?;:|&%$#*")
 
 
+def _latin_letters(word: bytes) -> bool:
+    """Whether a word is of Latin letters alone, in small letters as well (İ becomes a letter and a mark)."""
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode()
+    return max(text) < "ɐ" and text.isalpha() and text.lower().isalpha()
+
+
 class WordEncoder:
     """ids of texts under a tokenizer that folds case and whose pieces never cross white space.
 
     Each different word is encoded once. Words are cut at blanks and line ends; what is cut off behind a letter or digit
-    (full stops and the like) is a piece of its own in such tokenizers. Words are cached up to `most`, then anew, so
-    memory stays bounded.
+    (full stops and the like) is a piece of its own in such tokenizers. Words are cached up to `most`; then those of
+    the texts at hand stay, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
 
     def _encode(self, pieces: list[bytes]) -> None:
         """Learn pieces. Those of letters alone are encoded many at a time: each is one word to the tokenizer, whose last token says so."""
         plain, other = [], []
         for p in pieces:
-            (plain if p.isalpha() else other).append(p)
-        runs = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            data, at = ids.tobytes(), 0
-            for p, stop in zip(run, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
-                self.stems[p] = data[at:stop]
-                at = stop
-        for p, e in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)):
-            self.stems[p] = np.array(e.ids, "<u4").tobytes()
+            (plain if _latin_letters(p) else other).append(p)
+        for k in range(0, len(plain), 1000):
+            run = plain[k : k + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(run).decode(), add_special_tokens=False).ids, "<u4")
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            self.words.update(zip(run, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for k in range(0, len(other), 1000):
+            run = other[k : k + 1000]
+            for p, e in zip(run, self.tokenizer.encode_batch_fast([p.decode() for p in run], add_special_tokens=False)):
+                self.words[p] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, new: set[bytes]) -> None:
-        cut = {}
+        cut = []
         for w in new:
-            if not w.isalpha():
-                if w[-1:] in _MARKS and (m := _TAIL.search(w)):
-                    cut[w] = (w[: m.start(1)], m[1])
-        wanted = new.difference(cut)
-        for pair in cut.values():
-            wanted.update(pair)
-        self._encode(list(wanted.difference(self.stems)))
-        stems = self.stems
-        self.words.update((w, stems[w]) for w in new if w not in cut)
-        self.words.update((w, stems[stem] + stems[tail]) for w, (stem, tail) in cut.items())
+            if w[-1:] in _MARKS and (m := _TAIL.search(text := w.decode())):
+                cut.append((w, text[: m.start(1)].encode(), m[1].encode()))
+        wanted = new.difference(w for w, _, _ in cut)
+        for _, stem, tail in cut:
+            wanted.add(stem)
+            wanted.add(tail)
+        words = self.words
+        self._encode(list(wanted.difference(words)))
+        words.update((w, words[stem] + words[tail]) for w, stem, tail in cut)
 
     def __call__(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """Each UTF-8 text's ids, with `end` behind them."""
         # A-Z can be folded beforehand, but not where that could make a special token.
         split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.stems) > self.most:
-            self.stems.clear()
+        here = set().union(*split)
+        if len(self.words) > self.most:  # the words that go on occurring stay
+            self.words = {w: self.words[w] for w in here.intersection(self.words)}
         known = self.words
-        new = set().union(*split).difference(known)
+        new = here.difference(known)
         if new:
             self._learn(new)
         last = np.array([end], "<u4").tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, words)) + last, "<u4") for words in split]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The Python worker's encoder for a tokenizer; its next tasks find the words that it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def filesystem(uri: str):
     """The pyarrow filesystem and path of a shared folder's address."""
     from pyarrow import fs
@@ -243,7 +258,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, folder
                 fs, path = filesystem(f"{folder}/part-{part:06d}.pfor")
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 stream = fs.open_output_stream(f"{path}.{attempt}")
-                out, encoder = Writer(stream), WordEncoder(tokenizer_path)
+                out, encoder = Writer(stream), word_encoder(tokenizer_path)
             for part_of in pieces(batch, "text"):
                 for i, x in zip(part_of.column("doc_id").to_pylist(), encoder(part_of.column("text").cast(pa.binary()).to_pylist(), end)):
                     out.add(i, x)
