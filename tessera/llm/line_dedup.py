@@ -1,12 +1,14 @@
-"""Line dedup: later repeats of runs of lines are deleted, found by winnowing over line hashes.
-
-A text is its lines (split at \\n), a line its hash after case and white space are folded. A gram is a line with as many
-following lines as it takes to reach GRAM_WORDS words; a window is all grams within the fewest lines that reach
-min_words words. Each window's least gram hash is selected as a fingerprint, so two texts that share a run of lines of
-min_words words or more share a fingerprint within it for certain. Every fingerprint's first place (least doc_id, then
-line) is kept; each later document's place is joined with it, and the match is extended along the diagonal both ways,
-line by line. Runs of at least min_words words are deleted from the later document. Repeats within one document are
-found on the diagonals of its own fingerprints.
+"""Line dedup: later repeats of runs of lines are deleted, found by the hashes of all their least windows.
+
+A text is its lines (split at \\n), a line its hash after case and white space are folded. A window is the fewest lines
+from a line on, or up to a line, that hold min_words words. Every run of min_words words or more is the union of the
+windows within it: those that begin at its lines, and the one that ends with it, which the last words of a run may
+need. So a run is repeated just if all of its windows are, and no run has to be extended: each window's first place
+(least doc_id, then mark, then line) is kept, and the lines of all its other places are deleted, in other texts and in
+the same one. A line makes two windows at most, and a window that many texts hold is met once by each.
+
+A window's key is 128 bits long, from prefix sums of its lines' hashes, so its cost does not depend on its length. Of N
+windows some two that differ have equal keys with a probability of about N * N / 2**129, were the keys ideal.
 """
 
 from __future__ import annotations
@@ -15,130 +17,102 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, pieces
+from tessera.llm.common import materialise, mix64, pieces
 
-GRAM_WORDS = 25
 MIN_WORDS = 50
 
+_BASES = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]  # odd: they have inverses
+_INVERSES = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, gram_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and 63-bit hashes of the selected grams of one text's lines."""
-    import xxhash
 
-    n = len(hashes)
-    upto = np.concatenate(([0], np.cumsum(words)))
-    # The first line end by which gram_words or min_words words are reached from each start; n + 1 if they never are.
-    gram_end = np.searchsorted(upto, upto[:-1] + gram_words)
-    window_end = np.searchsorted(upto, upto[:-1] + min_words)
-    starts = np.flatnonzero(gram_end <= n)
-    if not len(starts) or window_end[0] > n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    raw = np.ascontiguousarray(hashes).view(np.uint8).tobytes()
-    grams = np.full(n, np.iinfo(np.int64).max)
-    grams[starts] = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) >> 1 for a, b in zip(starts.tolist(), gram_end[starts].tolist())]
-    chosen, last, ends = set(), -1, gram_end.tolist()
-    values = grams.tolist()
-    for a, e in enumerate(window_end.tolist()):
-        if e > n:
-            break
-        if last >= a and ends[last] <= e and values[last] <= min((values[i] for i in range(max(a, last), e) if ends[i] <= e), default=values[last]):
-            continue  # the selection of the window before still is a least one
-        last = min((i for i in range(a, e) if ends[i] <= e), key=lambda i: (values[i], i))
-        chosen.add(last)
-    places = np.array(sorted(chosen), np.int64)
-    return places, grams[places]
-
-
-def equal_runs(a: np.ndarray, b: np.ndarray, words: np.ndarray, shift: int, min_words: int) -> list[tuple[int, int]]:
-    """Maximal runs [s, e) of lines of a with a[i] == b[i - shift] that hold min_words words or more."""
-    lo, hi = max(0, shift), min(len(a), len(b) + shift)
-    if hi <= lo:
-        return []
-    same = np.concatenate(([False], a[lo:hi] == b[lo - shift : hi - shift], [False]))
-    edges = np.flatnonzero(same[1:] != same[:-1]) + lo
+def windows(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the least windows of min_words words that begin at, or end with, a line; each once."""
+    n = len(words)
     upto = np.concatenate(([0], np.cumsum(words)))
-    return [(s, e) for s, e in edges.reshape(-1, 2).tolist() if upto[e] - upto[s] >= min_words]
+    ends = np.searchsorted(upto, upto[:-1] + min_words)
+    begin = np.flatnonzero(ends <= n)
+    starts = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+    finish = np.flatnonzero(starts >= 0)
+    both = np.unique(np.concatenate((begin * (n + 1) + ends[begin], starts[finish] * (n + 1) + finish + 1)))
+    return both // (n + 1), both % (n + 1)
+
+
+def window_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit keys of each window, from the lines' 128-bit hashes (two columns)."""
+    keys = []
+    for half, base, inverse in zip(hashes.T, _BASES, _INVERSES):
+        up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(half), base))))
+        down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(half), inverse))))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(half * up[:-1])))
+        keys.append(mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)).view(np.int64))
+    return keys
 
 
-def _line_rows(docs: DataFrame, gram_words: int, min_words: int) -> DataFrame:
-    """doc_id, mark, hashes and words of the lines, places and prints of the fingerprints, own: runs repeated within the text."""
+def _window_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, mark, and the keys and bounds of each window of the text, a row a window."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in (part for whole in batches for part in pieces(whole, "text")):
-            rows = []
-            for text in batch.column("text").to_pylist():
+            rows, made = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 folded = [line.lower().split() for line in text.split("\n")]
-                words = np.array([len(w) for w in folded], np.int64)
-                hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) >> 1 for w in folded], np.int64)
-                places, prints = fingerprints(hashes, words, gram_words, min_words)
-                own, first, shifts = [], {}, set()
-                for p, f in zip(places.tolist(), prints.tolist()):
-                    if f in first:
-                        shifts.add(p - first[f][1])
-                        first[f] = (first[f][0], p)
-                    else:
-                        first[f] = (p, p)
-                for shift in shifts:
-                    own += equal_runs(hashes, hashes, words, shift, min_words)
-                rows.append((hashes, words, [p for p, _ in first.values()], list(first), [x for r in own for x in r]))
-            longs = pa.list_(pa.int64())
-            made = [pa.array([r[k] for r in rows], longs) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *made], ["doc_id", "mark", "hashes", "words", "places", "prints", "own"])
-
-    return docs.mapInArrow(run, "doc_id long, mark long, hashes array<long>, words array<long>, places array<long>, prints array<long>, own array<long>")
-
-
-def _extended(matches: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, mark and the runs (flat starts and ends) by which each match extends along its diagonal."""
+                starts, ends = windows(np.array([len(w) for w in folded], np.int64), min_words)
+                if len(starts):
+                    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in folded]), np.uint64).reshape(-1, 2)
+                    rows.append(np.full(len(starts), k))
+                    made.append((*window_keys(hashes, starts, ends), starts, ends))
+            if rows:
+                row = pa.array(np.concatenate(rows))
+                columns = [pa.array(np.concatenate(c)) for c in zip(*made)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("mark").take(row), *columns], ["doc_id", "mark", "key", "key2", "start", "end"])
+
+    return docs.mapInArrow(run, "doc_id long, mark long, key long, key2 long, start long, end long")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """doc_id, mark, removed: the sorted distinct lines of each text's windows (starts, ends)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            runs = []
-            columns = [batch.column(c) for c in ("hashes", "words", "first_hashes", "shift")]
-            for k in range(len(batch)):
-                a, w, b, shift = (c[k] for c in columns)
-                runs.append([x for r in equal_runs(a.values.to_numpy(), b.values.to_numpy(), w.values.to_numpy(), shift.as_py(), min_words) for x in r])
-            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "mark", "runs"])
-            yield made.filter(pa.array([bool(r) for r in runs], pa.bool_()))
+            removed = []
+            for starts, ends in zip(batch.column("starts"), batch.column("ends")):
+                starts, ends = starts.values.to_numpy(), ends.values.to_numpy()
+                n = int(ends.max()) + 1
+                removed.append(np.flatnonzero(np.cumsum(np.bincount(starts, minlength=n) - np.bincount(ends, minlength=n)) > 0))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(removed, pa.list_(pa.int64()))], ["doc_id", "mark", "removed"])
 
-    return matches.mapInArrow(run, "doc_id long, mark long, runs array<long>")
+    return spans.mapInArrow(run, "doc_id long, mark long, removed array<long>")
 
 
 KEY = ["doc_id", "mark"]
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, mark and removed, the sorted distinct numbers (from 0) of the lines to delete; only texts that lose some.
 
     mark is a hash of the text: rows that repeat a doc_id with another text are texts of their own, in order of mark,
     and rows that repeat both are one text. Null texts and doc_ids take no part. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    lines = materialise(_line_rows(rows.filter("doc_id is not null and text is not null"), gram_words, min_words), "lines")
-    prints = lines.select(*KEY, F.explode(F.arrays_zip("prints", "places")).alias("x")).select(*KEY, F.col("x.prints").alias("print"), F.col("x.places").alias("place"))
-    first = prints.groupBy("print").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("first")).filter("n > 1")
-    first = materialise(first.select("print", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.place").alias("first_place")), "first-places")
-    later = prints.join(first, "print").filter("doc_id <> first_id or mark <> first_mark")
-    matches = materialise(later.select(*KEY, "first_id", "first_mark", (F.col("place") - F.col("first_place")).alias("shift")).distinct(), "matches")
-    firsts = lines.select(F.col("doc_id").alias("first_id"), F.col("mark").alias("first_mark"), F.col("hashes").alias("first_hashes"))
-    sides = matches.join(lines.select(*KEY, "hashes", "words"), KEY).join(firsts, ["first_id", "first_mark"])
-    runs = _extended(sides.select(*KEY, "hashes", "words", "first_hashes", "shift"), min_words).unionAll(lines.filter(F.size("own") > 0).select(*KEY, F.col("own").alias("runs")))
-    spans = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.sequence(F.get("runs", i), F.get("runs", i + 1) - 1))
-    return runs.select(*KEY, F.explode(F.flatten(spans)).alias("line")).groupBy(*KEY).agg(F.sort_array(F.collect_set("line")).alias("removed"))
-
-
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+    found = materialise(_window_rows(rows.filter("doc_id is not null and text is not null"), min_words), "windows")
+    first = found.groupBy("key", "key2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start")).alias("first")).filter("n > 1")
+    first = materialise(first.select("key", "key2", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.start").alias("first_start")), "first-places")
+    later = found.join(first, ["key", "key2"]).filter("doc_id <> first_id or mark <> first_mark or start <> first_start")
+    return _merged(later.groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later repeats gone from text, and the numbers of the deleted lines as column removed_lines.
 
     Every row stays: a text that repeats earlier ones wholly becomes empty. Null texts stay null, and rows without a
     doc_id stay as they are. Other columns are kept; of a clashing column removed_lines the old one is dropped.
     """
-    runs = repeated_runs(docs, min_words, gram_words)
+    runs = repeated_runs(docs, min_words)
     runs = materialise(runs.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed")), "removed")
     # Sorted and merged at any size: a broadcast would depend on how much is deleted.
     joined = docs.drop("removed_lines").join(runs.hint("merge"), (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left")
