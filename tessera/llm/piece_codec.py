@@ -1,15 +1,16 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding without loss.
 
 A merge-type (BPE) model joins neighbouring symbols into the piece of the best score until no candidate is left. Here
-each candidate, known by its word, its stream and its three bounds in the word, is skipped if a keyed hash falls below
-the dropout rate. The hash depends on the candidate alone, so the agenda may pop candidates in any order of discovery
-and the same seed always gives the same segmentation; an occurrence of a word draws one of STREAMS streams by the seed,
-its text's key and its place, which makes segmentations vary from text to text and within a text. With a rate of 0 the
-ids are those of the library, but for the word-boundary sign itself.
+each candidate, known by its text's key, its word, the word's place in the text and its three bounds in the word, is
+skipped if a keyed hash falls below the dropout rate. The hash depends on the candidate alone, so the agenda may pop
+candidates in any order of discovery and the same seed always gives the same segmentation; every occurrence of a word
+has draws of its own. With a rate of 0 the ids are those of the library, but for the word-boundary sign itself.
 
 Words are what no piece crosses: a run of boundary signs with what follows it up to the next one, and each character
-without a piece of its own, which becomes bytes. Agendas of all different (word, stream) pairs of a slice of texts are
-processed side by side in arrays; a word of over LONG symbols has a heap of its own.
+without a piece of its own, which becomes bytes. Agendas of all different words of a slice of texts are processed side
+by side in arrays, without dropout first. An occurrence that skips none of the merges made there comes to the same
+pieces, since what else it skips was never merged; every other occurrence has an agenda of its own. A word of over LONG
+symbols has a heap of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import _GOLD, mix64, pieces
 
 MARK = "▁"  # stands for a blank in pieces
-STREAMS = 8
 LONG = 200
 SLICE = 100_000  # code points encoded side by side
 PART = 256 << 10  # bytes of text, or ids, taken from an Arrow batch at once
@@ -92,10 +92,13 @@ class PieceCodec:
         return out
 
     @staticmethod
-    def _skipped(word: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, limit: np.uint64) -> np.ndarray:
+    def _bounds(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the candidate's bounds."""
+        return mix64(start.astype(np.uint64) * _K[0] + middle.astype(np.uint64) * _K[1] + end.astype(np.uint64) * _K[2] + _GOLD)
+
+    def _skipped(self, word: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, limit: np.uint64) -> np.ndarray:
         """Whether the candidate's keyed hash falls below the limit."""
-        place = start.astype(np.uint64) * _K[0] + middle.astype(np.uint64) * _K[1] + end.astype(np.uint64) * _K[2]
-        return mix64(word ^ mix64(place + _GOLD)) < limit
+        return mix64(word ^ self._bounds(start, middle, end)) < limit
 
     def _long_word(self, symbols: list[int], key: int, limit: np.uint64) -> list[int]:
         """One word's agenda on a heap: same candidates, order and skips as side by side."""
@@ -124,13 +127,18 @@ class PieceCodec:
                 offer(before[i])
         return [live[i] for i in range(n) if not gone[i]]
 
-    def _agendas(self, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of many words end to end, and how many each has."""
+    def _agendas(self, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of many words end to end, how many each has, and word and hash of bounds of each merge that was made, by word."""
         word = np.repeat(np.arange(len(lengths)), lengths)
         begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         start = np.arange(len(symbols)) - begins[word]
         live, none = symbols.copy(), self.size
-        done_word, done_start, done_piece = [], [], []
+        done_word, done_start, done_piece, merged_word, merged_bounds = [], [], [], [], []
+
+        def ends(j: np.ndarray) -> np.ndarray:
+            """Where the symbols behind those at j end, in their words."""
+            after = np.minimum(j + 2, len(live) - 1)
+            return np.where((j + 2 < len(live)) & (word[after] == word[j]), start[after], lengths[word[j]])
 
         def ranked(at: np.ndarray) -> np.ndarray:
             """The ranks of the candidates that start at these places; none where there is no candidate or it is skipped."""
@@ -141,9 +149,7 @@ class PieceCodec:
             if limit:
                 ok = np.flatnonzero(found < none)
                 j = i[ok]
-                after = np.minimum(j + 2, len(live) - 1)
-                end = np.where((j + 2 < len(live)) & (word[after] == word[j]), start[after], lengths[word[j]])
-                found[ok[self._skipped(keys[word[j]], start[j], start[j + 1], end, limit)]] = none
+                found[ok[self._skipped(keys[word[j]], start[j], start[j + 1], ends(j), limit)]] = none
             out[pair] = found
             return out
 
@@ -158,6 +164,9 @@ class PieceCodec:
                 done_piece.append(live[settled])
             hit = np.flatnonzero((rank == best) & ~settled)
             hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])] if len(hit) else hit  # the leftmost of each word
+            if not limit and len(hit):
+                merged_word.append(word[hit])
+                merged_bounds.append(self._bounds(start[hit], start[hit + 1], ends(hit)))
             live[hit] = self.by_rank[rank[hit]]
             keep = ~settled
             keep[hit + 1] = False
@@ -170,10 +179,13 @@ class PieceCodec:
             rank[at] = ranked(at)
         words, starts, pieces = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (done_word, done_start, done_piece))
         order = np.lexsort((starts, words))
-        return pieces[order], np.bincount(words, minlength=len(lengths))
+        merged = np.concatenate(merged_word) if merged_word else np.empty(0, np.int64)
+        bounds = np.concatenate(merged_bounds) if merged_bounds else np.empty(0, np.uint64)
+        by_word = np.argsort(merged, kind="stable")
+        return pieces[order], np.bincount(words, minlength=len(lengths)), merged[by_word], bounds[by_word]
 
     def encode(self, texts: Sequence[str], seed: int = 0, dropout: float = 0.0, keys: Sequence[int] | None = None) -> list[np.ndarray]:
-        """Each text's ids. keys (one integer a text, by default its place) choose its streams, with the seed."""
+        """Each text's ids. keys (one integer a text, by default its place) key its draws, with the seed."""
         keys = list(range(len(texts)) if keys is None else keys)
         if "" in texts:  # no text has no ids, not even the dummy prefix
             full = iter(self.encode([t for t in texts if t], seed, dropout, [k for k, t in zip(keys, texts) if t]))
@@ -204,36 +216,62 @@ class PieceCodec:
         place = np.arange(len(starts)) - np.searchsorted(starts, starts_of_text)[text]
         salt = mix64(np.array([seed & (2**64 - 1)], np.uint64) + _GOLD)
         base = np.array([k & (2**64 - 1) for k in keys], np.uint64)
-        streams = (mix64(mix64(base[text] + salt) + place.astype(np.uint64) * _K[0]) % np.uint64(STREAMS)) if dropout else np.zeros(len(starts), np.uint64)
         inner = (np.arange(len(points)) - np.repeat(starts, lengths)).astype(np.uint64)
         content = np.add.reduceat(mix64((points.astype(np.uint64) << np.uint64(32) | inner) * _GOLD + _K[1]), starts)
-        word_key = mix64(content + salt + streams * _K[1])
-        _, first, which = np.unique(word_key, return_index=True, return_inverse=True)
+        _, first, which = np.unique(content, return_index=True, return_inverse=True)
         # Equal hashes must be equal words: compare every word with the one that stands for it, symbol by symbol.
         same = lengths == lengths[first][which]
         shift = np.repeat(starts[first][which] - starts, np.where(same, lengths, 0))
         mine = np.flatnonzero(np.repeat(same, lengths))
-        if not same.all() or (points[mine] != points[mine + shift]).any() or (streams != streams[first][which]).any():
+        if not same.all() or (points[mine] != points[mine + shift]).any():
             first, which = np.arange(len(starts)), np.arange(len(starts))
         limit = np.uint64(min(2**64 - 1, int(dropout * 2**64)))
-        unique_lengths = lengths[first]
+        drawn = mix64(content + mix64(mix64(base[text] + salt) + place.astype(np.uint64) * _K[0]))  # an occurrence's key
+
+        def agendas(at: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            n = lengths[at]
+            take = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))
+            return self._agendas(symbol[take], n, drawn[at], limit)
+
         fallback = raw[starts[first]]
-        short = np.flatnonzero(~fallback & (unique_lengths <= LONG))
-        take = np.repeat(starts[first[short]] - np.concatenate(([0], np.cumsum(unique_lengths[short])))[:-1], unique_lengths[short]) + np.arange(int(unique_lengths[short].sum()))
-        pieces, counts = self._agendas(symbol[take], unique_lengths[short], word_key[first[short]], limit)
+        long = ~fallback & (lengths[first] > LONG)
+        short = np.flatnonzero(~fallback & ~long)
+        pieces, counts, merged, bounds = agendas(first[short], np.uint64(0))
+        again = np.empty(0, np.int64)  # occurrences with agendas of their own
+        if limit:
+            merges = np.zeros(len(first), np.int64)
+            merges[short] = np.bincount(merged, minlength=len(short))
+            n = merges[which]
+            word = np.repeat(np.arange(len(starts)), n)
+            at = np.repeat((np.cumsum(merges) - merges)[which] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))
+            skips = np.zeros(len(starts), bool)
+            skips[word[mix64(drawn[word] ^ bounds[at]) < limit]] = True
+            again = np.flatnonzero(skips)
         begins = np.zeros(len(first), np.int64)
         sizes = np.zeros(len(first), np.int64)
         begins[short], sizes[short] = np.concatenate(([0], np.cumsum(counts)))[:-1], counts
         parts, total = [pieces], len(pieces)
-        for u in np.flatnonzero(fallback | (unique_lengths > LONG)).tolist():
-            s = int(starts[first[u]])
-            if fallback[u]:
-                made = self.bytes[list(chr(int(points[s])).encode("utf-8", "surrogatepass"))]
-            else:
-                made = np.array(self._long_word(symbol[s : s + int(unique_lengths[u])].tolist(), int(word_key[first[u]]), limit), np.int64)
+        if len(again):
+            pieces, counts = agendas(again, limit)[:2]
+            which[again] = len(begins) + np.arange(len(again))
+            begins, sizes = np.append(begins, total + np.cumsum(counts) - counts), np.append(sizes, counts)
+            parts.append(pieces)
+            total += len(pieces)
+        for u in np.flatnonzero(fallback).tolist():
+            made = self.bytes[list(chr(int(points[starts[first[u]]])).encode("utf-8", "surrogatepass"))]
             begins[u], sizes[u] = total, len(made)
             parts.append(made)
             total += len(made)
+        heaps = np.flatnonzero(~raw[starts] & (lengths > LONG)) if limit else first[long]
+        if len(heaps):
+            if limit:
+                which[heaps] = len(begins) + np.arange(len(heaps))
+                begins, sizes = np.append(begins, np.zeros(len(heaps), np.int64)), np.append(sizes, np.zeros(len(heaps), np.int64))
+            for o in heaps.tolist():
+                made = np.array(self._long_word(symbol[starts[o] : starts[o] + lengths[o]].tolist(), int(drawn[o]), limit), np.int64)
+                begins[which[o]], sizes[which[o]] = total, len(made)
+                parts.append(made)
+                total += len(made)
         pool = np.concatenate(parts)
         n = sizes[which]
         ids = pool[np.repeat(begins[which] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))]
@@ -266,7 +304,7 @@ def _decoded(codec: PieceCodec, batches):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, which chooses a text's streams."""
+    """docs with _key, which keys a text's draws."""
     return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if "doc_id" in docs.columns else F.lit(0).cast("long"))
 
 
@@ -277,7 +315,7 @@ def _kinds(df: DataFrame) -> str:
 def encode(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1) -> DataFrame:
     """docs with a column ids (an older one is replaced): the ids of each whole text.
 
-    A null text has null ids, an empty one none. doc_id, where there is one, keys a text's streams; a null doc_id counts
+    A null text has null ids, an empty one none. doc_id, where there is one, keys a text's draws; a null doc_id counts
     as 0, so equal texts of equal doc_id are encoded alike. An empty table stays empty.
     """
     docs = docs.drop("ids", "_key")

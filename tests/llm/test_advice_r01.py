@@ -2,7 +2,8 @@
 
 import random
 
-from tessera.llm import line_dedup
+from tessera.llm import line_dedup, piece_codec
+from tessera.llm.queries import tokenizer_path
 
 
 def all_repeated_lines(texts: dict[int, str], min_words: int = 50) -> dict[int, set[int]]:
@@ -32,3 +33,19 @@ def test_op7_first_holder_of_a_part_hides_no_run(spark):
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: set(r["removed_lines"]) for r in line_dedup.line_dedup(docs).collect()}
     assert got == all_repeated_lines(texts)
+
+
+def test_op4_every_occurrence_has_its_own_draws(monkeypatch):
+    """A merge is dropped at the rate, a word has more than a few segmentations, and what is shared is what agendas of their own give."""
+    codec = piece_codec.PieceCodec(tokenizer_path("piece_bpe_32k.model"))
+    assert codec.char[ord("a")] >= 0 and int(codec.char[ord(piece_codec.MARK)]) * codec.size + int(codec.char[ord("a")]) in codec.pairs
+    texts = [" ".join(["a"] * 500)] * 20
+    dropped = sum(len(ids) - 500 for ids in codec.encode(texts, seed=20, dropout=0.1))
+    assert 0.08 * 10_000 < dropped < 0.12 * 10_000
+    assert len({tuple(ids.tolist()) for ids in codec.encode(["information"] * 500, seed=20, dropout=0.1)}) > 8
+    mixed = ["the information of the information, straße 日本語 😀 ▁ \x01 the end"] * 5 + ["x" * 300 + " the " + "x" * 300]
+    shared = [codec.encode(mixed, seed=3, dropout=rate) for rate in (0.1, 0.5, 0.0)]
+    monkeypatch.setattr(piece_codec, "LONG", 0)
+    for rate, ids in zip((0.1, 0.5, 0.0), shared):
+        alone = codec.encode(mixed, seed=3, dropout=rate)
+        assert [i.tolist() for i in ids] == [i.tolist() for i in alone] and [codec.decode(i) for i in ids] == mixed
