@@ -4,7 +4,8 @@ Each text becomes the set of its word shingles under one 63-bit hash; its sketch
 same set form a class, and the rest works on one row a class. Inverted lists of retained values generate overlapping
 classes: short lists in full, long lists (a large group of near copies) as stars around their least member first, then,
 for exactness, between whatever components are still apart. A union sketch estimates each pair's Jaccard similarity
-and drops pairs well below the threshold; the full sets decide about the others. Components of the confirmed links are
+and drops pairs so far below the threshold that one at it gets there with a probability below MISS; the full sets
+decide about the others. Components of the confirmed links are
 the groups. Before that, odd sketches (Mitzenmacher, Pagh and Pham, 2014) drop pairs for certain: each value of a set
 flips one of ODD bits, so two sets differ in at least as many values as their bits do.
 
@@ -19,6 +20,8 @@ list's leader is its member with the largest share of heavy values, which of a g
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,7 @@ SKETCH = 64  # values kept of each set
 TAKEN = 24  # rarer values of a sketch that are indexed
 HEAVY_SHARE = 0.5
 NO_ID = -(2**63)  # stands for a null doc_id
+MISS = 1e-9  # probability of dropping a pair at the threshold by its union sketch
 ODD = 512  # bits of odd sketches
 SHORT_LIST = 16  # lists up to this long are paired in full at once
 
@@ -76,15 +80,28 @@ def _suffice(percent: int):
     return rest * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
 
 
+def least_common(percent: int, sketch: int) -> int:
+    """Fewer of a union sketch's values than this are common to a pair at the threshold with a probability below MISS.
+
+    By the binomial distribution; the values are drawn without replacement, which strays less.
+    """
+    t, below, k = percent / 100, 0.0, 0
+    while k < sketch:
+        below += math.comb(sketch, k) * t**k * (1 - t) ** (sketch - k)
+        if below >= MISS:
+            break
+        k += 1
+    return k
+
+
 def _estimated(pairs: DataFrame, percent: int, sketch: int) -> DataFrame:
-    """The pairs whose sizes, odd and union sketches don't rule the threshold out: exact where these hold both sets, else within 4 deviations."""
-    t = percent / 100
-    low = t - 4 * (t * (1 - t) / sketch) ** 0.5
+    """The pairs whose sizes, odd and union sketches don't rule the threshold out: exact where these hold both sets, else but for MISS."""
+    low = least_common(percent, sketch)
     return (
         pairs.withColumn("_union", F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, sketch))
         .withColumn("_both", F.size(F.array_intersect("_union", F.array_intersect("a_sketch", "b_sketch"))))
         .withColumn("_whole", (F.col("a_n") <= sketch) & (F.col("b_n") <= sketch) & (F.size(F.array_union("a_sketch", "b_sketch")) <= sketch))
-        .filter(F.when(~(_close(percent) & _alike(percent)), False).when(F.col("_whole"), F.col("_both") * 100 >= percent * F.size("_union")).otherwise(F.col("_both") >= low * F.size("_union")))
+        .filter(F.when(~(_close(percent) & _alike(percent)), False).when(F.col("_whole"), F.col("_both") * 100 >= percent * F.size("_union")).otherwise(F.col("_both") >= low))
     )
 
 
