@@ -30,6 +30,42 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def address_key(url: Column) -> Column:
+    """What equal addresses share: scheme and host in lower case, no #fragment, / for an empty path. Others stay as they are."""
+    part = lambda k: F.regexp_extract(url, r"(?s)^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?", k)
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = F.concat(lower(part(1)), F.lit("://"), lower(part(2)), F.when(part(3) == "", F.lit("/")).otherwise(part(3)), part(4))
+    return F.when(part(1) == "", url).otherwise(whole)
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its . and .. segments, as RFC 3986 (5.2.4) removes them."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(F.when(last, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def resolved(source: Column, target: Column) -> Column:
+    """The absolute address that target means on the page source (RFC 3986, 5.2.2); null if it has a scheme without ://."""
+    scheme, host, path, query = (F.regexp_extract(source, r"(?s)^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?", k) for k in (1, 2, 3, 4))
+    root = F.concat(scheme, F.lit("://"), host)
+    tail = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(scheme == "", None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("/"), F.concat(root, _without_dots(own), tail))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("#"), F.concat(root, path, query, target))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), tail))
+    )
+
+
 def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The rule that fits, as a struct of rule and verdict; null if none does.
 
@@ -45,8 +81,7 @@ def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """source, target: the addresses that a page redirects to or names as canonical, from its html.
 
-    Targets without a scheme are resolved against the page's url (// and / forms). Pages without a url or such a tag
-    give no edges.
+    Targets without a scheme are resolved against the page's url. Pages without a url or such a tag give no edges.
     """
     html = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?s)<!--.*?-->|<script\b.*?</script>", "")
     tags = F.when(F.lower(F.col("html")).contains("canonical") | F.lower(F.col("html")).contains("refresh"), F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1)))
@@ -56,30 +91,26 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     refresh = F.when(F.lower(quoted("http-equiv")) == "refresh", F.regexp_extract(quoted("content"), r"(?is)\burl\s*=\s*['\"]?([^'\"\s]+)", 1))
     target = F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&"))
 
-    def whole(t: Column) -> Column:
-        scheme, host = (F.regexp_extract("source", r"(?s)^(.*?)://([^/?#]*)", k) for k in (1, 2))
-        return F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(scheme, F.lit("://"), host, t))
-
-    return tag.select("source", bind(target, whole).alias("target")).filter("source is not null and target is not null and target <> '' and source <> target")
+    return tag.select("source", bind(target, lambda t: resolved(F.col("source"), t)).alias("target")).filter("source is not null and target is not null and target <> '' and source <> target")
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None) -> DataFrame:
     """page_id, url, host, path, rule, verdict for every row of pages.
 
     edges (source, target) are addresses known to be aliases; without them they are taken from the html. An address
-    need not be a page itself: a rule that blocks it blocks its aliases as well. Null and malformed urls have empty host
+    need not be a page itself: a rule that blocks it blocks its aliases as well. Addresses are compared by address_key. Null and malformed urls have empty host
     and path, fit no rule, and are allowed. Rows that repeat a page_id or url are judged alike; an empty table gives no
     rows; columns besides page_id, url and html are ignored.
     """
     edges = alias_edges(pages) if edges is None else edges
     judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules))
-    links = materialise(edges.select(F.col("source").alias("u"), F.col("target").alias("v")), "aliases")
+    links = materialise(edges.select(address_key(F.col("source")).alias("u"), address_key(F.col("target")).alias("v")).filter("u <> v"), "aliases")
     verdict = F.col("hit.verdict")
     if links.isEmpty():
         return judged.select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict"))
     groups = materialise(components(links), "alias-groups")
     own = match_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
     blocked = materialise(groups.withColumn("own", own).filter("own = 'block'").select("root").distinct(), "blocked-groups")
-    spread = materialise(groups.join(blocked, "root", "left_semi").select(F.col("node").alias("url"), F.lit("block").alias("spread")), "spread")
-    return judged.join(spread, "url", "left").select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(verdict, "spread", F.lit("allow")).alias("verdict"))
+    spread = materialise(groups.join(blocked, "root", "left_semi").select(F.col("node").alias("_key"), F.lit("block").alias("spread")), "spread")
+    return judged.withColumn("_key", address_key(F.col("url"))).join(spread, "_key", "left").select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(verdict, "spread", F.lit("allow")).alias("verdict"))

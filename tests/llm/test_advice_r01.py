@@ -2,8 +2,9 @@
 
 import math
 import random
+from urllib.parse import urldefrag, urljoin, urlsplit
 
-from tessera.llm import line_dedup, near_dedup, piece_codec
+from tessera.llm import line_dedup, near_dedup, piece_codec, url_filters
 from tessera.llm.queries import tokenizer_path
 
 
@@ -63,3 +64,28 @@ def test_op10_unlucky_union_sketch_keeps_the_pair(spark):
     assert {r["common"] for r in kept.select("common").collect()} == {32, 38, 60}
     low = near_dedup.least_common(80, 64)
     assert sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(low)) < 1e-9
+
+
+def test_op9_verdicts_spread_over_every_form_of_link(spark):
+    """Chains, relative targets, other case and fragments, a blocked alias that is no page, and an explicit allow."""
+    links = [
+        ("http://a.org/x/1.html", "next.html"), ("http://a.org/x/next.html", "../y/./z?p=1#top"), ("http://a.org/y/z?p=1", "HTTP://Bad.org/q"),
+        ("http://b.org/d/e", "?p=2"), ("http://b.org/d/e?p=2", "//BAD.org/r"), ("http://c.org", "./x"), ("http://C.org/x#f", "/../bad"),
+        ("http://c.org/bad", "http://bad.org"), ("http://ok.org/a", "http://bad.org/"), ("http://d.org/a", "b/.."), ("http://d.org/", "#x"),
+        ("http://e.org/go?u=http://x", "?u=http://y"), ("http://e.org/go?u=http://y", "mailto:bad@bad.org"),
+    ]
+    tag = ('<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">')
+    rules = [("bad.org", "", "block"), ("ok.org", "", "allow")]
+    pages = spark.createDataFrame([(k, u, tag[k % 2] % t) for k, (u, t) in enumerate(links)], "page_id long, url string, html string")
+    got = {r["url"]: r["verdict"] for r in url_filters.judge_pages(pages, rules).collect()}
+
+    def key(u):
+        p = urlsplit(urldefrag(u).url)
+        return f"{p.scheme.lower()}://{p.netloc.lower()}{p.path or '/'}" + (f"?{p.query}" if p.query else "")
+
+    groups = [{key(u), key(urljoin(u, t))} for u, t in links if not t.startswith("mailto:")]
+    for _ in groups:
+        groups = [set().union(*(h for h in groups if g & h)) for g in groups]
+    bad = {n for g in groups for n in g if any(urlsplit(m).netloc == "bad.org" for m in g)}
+    assert got == {u: "allow" if "ok.org" in u or key(u) not in bad else "block" for u, _ in links}
+    assert sum(v == "block" for v in got.values()) == 8
