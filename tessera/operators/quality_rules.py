@@ -56,19 +56,25 @@ def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
     return pages.select("page_id").join(links.select(F.col("target").alias("page_id")).distinct(), "page_id", "left_anti")
 
 
-def orphan_suggestions(orphan: DataFrame, pages: DataFrame, most: int = 3, common: int = 1_000) -> DataFrame:
-    """For each orphan, the pages that share most tags with it.
+def orphan_suggestions(orphan: DataFrame, pages: DataFrame, most: int = 3) -> DataFrame:
+    """For each orphan, the pages that share most tags with it; of equally many, those of least page_id.
 
-    Candidates meet by shared tag. Tags that more than `common` pages hold suggest nothing and are left out, so no tag
-    pairs a large part of the pages.
+    Pages of equal tags are one set. The sets of orphans meet all sets by shared tag, so the pairs looked at grow with
+    the different sets that hold a tag, not with its pages. Of each set the most + 1 least pages suffice: one of them
+    may be the orphan.
     """
-    tags = pages.select("page_id", F.explode(F.array_distinct("tags")).alias("tag"))
-    telling = tags.groupBy("tag").count().filter(F.col("count") <= common).select("tag")
-    tags = tags.join(telling, "tag")
-    mine = tags.join(orphan, "page_id", "left_semi").select(F.col("page_id").alias("orphan_id"), "tag")
-    shared = mine.join(tags, "tag").filter("orphan_id <> page_id").groupBy("orphan_id", "page_id").agg(F.count("*").alias("n_shared"))
-    order = Window.partitionBy("orphan_id").orderBy(F.desc("n_shared"), "page_id")
-    return shared.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    tags = pages.select("page_id", F.explode("tags").alias("tag")).filter("tag is not null")
+    sets = tags.groupBy("page_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(by[0]).orderBy(*by[1:]))
+    least = sets.withColumn("k", first("tags", "page_id")).filter(F.col("k") <= most + 1).select("tags", "page_id")
+    mine = sets.join(orphan, "page_id", "left_semi").select(F.col("page_id").alias("orphan_id"), F.col("tags").alias("own"))
+    a = mine.select("own").distinct().select("own", F.explode("own").alias("tag"))
+    b = sets.select("tags").distinct().select("tags", F.explode("tags").alias("tag"))
+    shared = a.join(b, "tag").groupBy("own", "tags").agg(F.count("*").alias("n_shared"))
+    order = (F.desc("n_shared"), "page_id")
+    best = shared.join(least, "tags").withColumn("k", first("own", *order)).filter(F.col("k") <= most + 1)
+    found = mine.join(best, "own").filter("orphan_id <> page_id").select("orphan_id", "page_id", "n_shared")
+    return found.withColumn("place", first("orphan_id", *order)).filter(F.col("place") <= most)
 
 
 def settle(findings: DataFrame, enabled: Mapping[str, bool] | None = None, severities: Mapping[str, str] | None = None, suppressed: DataFrame | None = None) -> DataFrame:
