@@ -11,6 +11,7 @@ starts of all blocks and the documents' ids and lengths, so any document can be
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -145,17 +146,59 @@ class Reader:
 _TAIL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ɏ]([.,!?;:|&%$#*]+)$")
 _MARKS = frozenset(bytes([c]) for c in b".,!?;:|&%$#*")
 
+#: The parts of a tokenizer's description for which WordEncoder's cuts hold.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def cuts_hold(description: dict) -> bool:
+    """Whether a tokenizer (its JSON) folds case, never joins over white space, splits letters from marks and ends words by </w>.
+
+    Special tokens must be of the kind <|...|>, whose text WordEncoder leaves as it is.
+    """
+    model, pre = description["model"], description["pre_tokenizer"] or {}
+    steps = pre.get("pretokenizers", [])
+    return (
+        description["normalizer"] == _NORMALIZER
+        and len(steps) == 2
+        and steps[0] == _SPLIT
+        and steps[1]["type"] == "ByteLevel"
+        and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+        and model["type"] == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not (model.get("dropout") or model.get("unk_token") or model.get("ignore_merges"))
+        and all(t["content"].startswith("<|") and t["content"].endswith("|>") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in description["added_tokens"])
+    )
+
+
+def _plain_end(c: str) -> bool:
+    """Whether a character is of letters or digits alone in small letters as well (İ becomes a letter and a mark)."""
+    return c.isalnum() and c.lower().isalnum()
+
 
 def _latin_letters(word: bytes) -> bool:
-    """Whether a word is of Latin letters alone, in small letters as well (İ becomes a letter and a mark)."""
+    """Whether a word is of Latin letters alone, in small letters as well."""
     if word.isascii():
         return word.isalpha()
     text = word.decode()
     return max(text) < "ɐ" and text.isalpha() and text.lower().isalpha()
 
 
-class WordEncoder:
-    """ids of texts under a tokenizer that folds case and whose pieces never cross white space.
+class TextEncoder:
+    """ids of whole texts under any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        """Each UTF-8 text's ids, with `end` behind them."""
+        return [np.array([*e.ids, end], "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+
+class WordEncoder(TextEncoder):
+    """ids of texts under a tokenizer for which cuts_hold.
 
     Each different word is encoded once. Words are cut at blanks and line ends; what is cut off behind a letter or digit
     (full stops and the like) is a piece of its own in such tokenizers. Words are cached up to `most`; then those of
@@ -163,9 +206,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        super().__init__(path)
+        self.most = most
         self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.words: dict[bytes, bytes] = {}
 
@@ -187,7 +229,7 @@ class WordEncoder:
     def _learn(self, new: set[bytes]) -> None:
         cut = []
         for w in new:
-            if w[-1:] in _MARKS and (m := _TAIL.search(text := w.decode())):
+            if w[-1:] in _MARKS and (m := _TAIL.search(text := w.decode())) and _plain_end(text[m.start()]):
                 cut.append((w, text[: m.start(1)].encode(), m[1].encode()))
         wanted = new.difference(w for w, _, _ in cut)
         for _, stem, tail in cut:
@@ -199,8 +241,9 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """Each UTF-8 text's ids, with `end` behind them."""
-        # A-Z can be folded beforehand, but not where that could make a special token.
-        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
+        # A-Z can be folded beforehand, but not where that could make a special token, nor before a combining mark
+        # (U+0300 to U+036F): j and a caron have a composed form, J and a caron have none.
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         here = set().union(*split)
         if len(self.words) > self.most:  # the words that go on occurring stay
             self.words = {w: self.words[w] for w in here.intersection(self.words)}
@@ -212,13 +255,15 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(known.__getitem__, words)) + last, "<u4") for words in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def encoder_of(path: str) -> TextEncoder:
     """The Python worker's encoder for a tokenizer; its next tasks find the words that it knows."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        with open(path, encoding="utf-8") as f:
+            words = cuts_hold(json.load(f))
+        _ENCODERS[path] = WordEncoder(path) if words else TextEncoder(path)
     return _ENCODERS[path]
 
 
@@ -236,7 +281,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, folder
     rows that repeat a doc_id are in order of a hash of their text. One file per range of doc_id is written under
     `folder` (by default a new one in the shared folder): under another name first, then moved, so a task that is run
     again replaces a file by the same file. base is the number of ids in the files before. An empty table has no files.
-    The tokenizer must not make pieces across white space.
+    Texts are encoded whole, but under tokenizers for which cuts_hold, whose words are encoded once each. A text of any
+    length is one row: its ids are held by one task, blocks and not files. Other columns are ignored.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -258,7 +304,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, folder
                 fs, path = filesystem(f"{folder}/part-{part:06d}.pfor")
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 stream = fs.open_output_stream(f"{path}.{attempt}")
-                out, encoder = Writer(stream), word_encoder(tokenizer_path)
+                out, encoder = Writer(stream), encoder_of(tokenizer_path)
             for part_of in pieces(batch, "text"):
                 for i, x in zip(part_of.column("doc_id").to_pylist(), encoder(part_of.column("text").cast(pa.binary()).to_pylist(), end)):
                     out.add(i, x)
