@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,36 +17,64 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("tessera.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine serves a local master, whose executors are this process. On a cluster
+    such a folder would lose data in silence, so there it is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-", dir=None)
         spark.conf.set("tessera.shared.dir", path)
     return path.rstrip("/")
 
 
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialise wrote for these tables. Only for tables that nothing still to be computed reads."""
+    for df in tables:
+        path = _WRITTEN.pop(df, None)
+        if path:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+BITS = 1 << 23  # of the smallest bitmap, 1 MB
+MOST_BITS = 1 << 28  # of the largest, 32 MB
 
 
-BITS = 1 << 23
+def presence_size(n: int) -> int | None:
+    """The bits of a bitmap for n ids, eight an id at least; None if that is more than MOST_BITS."""
+    bits = BITS
+    while bits < 8 * n:
+        bits *= 2
+    return bits if bits <= MOST_BITS else None
 
 
-def presence_bits(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITS bits (1 MB, whatever the table) in which the places of all non-null ids are set, and place 0 for null.
+def presence_bits(ids: DataFrame, column: str, size: int = BITS) -> np.ndarray:
+    """A bitmap of `size` bits in which the places of all non-null ids are set, and place 0 for null.
 
     A pre-filter: an id whose place is clear is not among them; one whose place is set may be. The bits are gathered in
-    words of 62, of which there are a fixed number.
+    words of 62, of which there are size / 62 at most.
     """
-    place = F.coalesce(F.pmod(F.xxhash64(column), F.lit(BITS)), F.lit(0))
+    place = F.coalesce(F.pmod(F.xxhash64(column), F.lit(size)), F.lit(0))
     words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 62).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 62 as int)))").alias("bits"))
-    out = np.zeros(BITS // 62 + 1, np.int64)
+    out = np.zeros(size // 62 + 1, np.int64)
     for word, bits in words.collect():
         out[word] = bits
     return out
@@ -78,7 +107,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def word_hashes(buffer: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +164,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return sets
 
 
-def pieces(batch, column: str, limit: int = 2 << 20):
+def pieces(batch, column: str, limit: int = 1 << 20):
     """Consecutive parts of an Arrow batch, each of about `limit` bytes (of a list column: items) of a column, or one row.
 
     A batch may hold ten thousand long texts; what is made from them in Python is held for one part only.
