@@ -1,10 +1,11 @@
 """Language ID by compression: each language has a zstandard dictionary of raw content, and the smallest output wins.
 
-Texts are folded first: lower case, letters only, single blanks. A language's dictionary is folded training text, its
-most telling part last; no entropy tables, only content that matches can point into. A text is compressed once per
-language with the same parameters; the fewest bytes decide, and between equals (of a word or two) the language with more
-training rows. The margin is the share of bytes by which the runner-up is
-larger; narrow margins are rejected.
+Texts are folded first: lower case, letters only, single blanks. A language's dictionary is made of segments of folded
+training texts, the most telling ones last, where matches are cheapest; no entropy tables, only content that matches can
+point into. How telling a segment is, is the sum over its different words of p * log(p / q), with p the word's share of
+the language's words in the sample and q its share of all. A text is compressed once per language with the same
+parameters; the fewest bytes decide, and between equals (of a word or two) the language with more training rows. The
+margin is the share of bytes by which the runner-up is larger; narrow margins are rejected.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces
+from tessera.llm.common import materialise, pieces
 
-SAMPLE_ROWS = 400  # training rows of each language at most
-SAMPLE_CHARS = 20_000  # and of longer texts none
+SAMPLE_ROWS = 400  # training rows of each language at most, with their whole texts
+SEGMENT = 24  # words
 DICTIONARY_BYTES = 96 << 10
+MOST_LANGUAGES = 1000
 MARGIN = 0.02
 LEVEL = 5
 
@@ -32,29 +34,66 @@ def fold(text: str | None) -> str:
     return f" {words} " if words else ""
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def _segments(sample: DataFrame) -> DataFrame:
+    """lang, segment: the folded texts in runs of SEGMENT words, a blank before each word, equal ones once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
+            langs, found = [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                words = fold(text).split()
+                mine = ["".join(f" {w}" for w in words[k : k + SEGMENT]) for k in range(0, len(words), SEGMENT)]
+                langs += [lang] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string())], ["lang", "segment"])
+
+    return sample.select("lang", "text").mapInArrow(run, "lang string, segment string").distinct()
+
+
+def _best(segments: DataFrame, size: int) -> DataFrame:
+    """lang, segment, telling of the most telling segments of each language, as many as fit into size bytes."""
+    words = segments.select("lang", "segment", F.explode(F.array_distinct(F.split(F.ltrim("segment"), " "))).alias("word"))
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("of_lang"))
+    everywhere = counts.groupBy("word").agg(F.sum("n").alias("n_all"))
+    whole = F.broadcast(counts.agg(F.sum("n").alias("of_all")))  # one row
+    p, q = F.col("n") / F.col("of_lang"), F.col("n_all") / F.col("of_all")
+    weights = counts.join(everywhere, "word").join(totals, "lang").join(whole).select("lang", "word", (p * F.log(p / q)).alias("weight"))
+    scored = words.join(weights, ["lang", "word"]).groupBy("lang", "segment").agg(F.round(F.sum("weight"), 12).alias("telling"))
+    # A part of a language's segments at a time, then those that are left: no task sees all segments of a language.
+    for by in (["lang", F.pmod(F.xxhash64("segment"), F.lit(64))], ["lang"]):
+        upto = F.sum(F.octet_length("segment")).over(Window.partitionBy(*by).orderBy(F.desc("telling"), "segment"))
+        scored = scored.withColumn("upto", upto).filter(F.col("upto") <= size).drop("upto")
+    return scored
+
+
+def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Language -> dictionary, the most frequent language first, from columns text and lang of labelled; null texts and languages are passed over.
 
-    The sample is bounded: per language at most `rows` rows of at most `chars` characters, those of the least hash of
-    their text, so it depends on the rows alone. The number of languages is taken to be small (thousands at most). No
-    usable rows give an empty model, under which every text is und.
+    The sample is bounded: per language at most `rows` different texts, those of least hash, so it depends on the rows
+    alone; of these rows the whole texts are read. Of their segments the most telling that fit into `size` bytes reach
+    the driver. More than MOST_LANGUAGES languages are refused. No usable rows give an empty model, under which every
+    text is und; a language whose texts have no letters has no dictionary. Other columns are ignored.
     """
-    usable = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(f"text is not null and lang is not null and length(text) <= {chars}")
+    usable = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     usable = usable.withColumn("draw", F.xxhash64("text").bitwiseAND(F.lit(2**53 - 1)))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
-    # Expect a few more rows than are wanted, so that no language's rows have to meet in one task.
+    # Expect a few more rows than are wanted, so that few of a language's rows have to meet in one task.
     shares = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, (2 * rows + 50) / n) * (2**53 - 1)))))
-    drawn: dict[str, list] = {}
-    for r in usable.filter(F.col("draw") <= shares[F.col("lang")]).groupBy("lang", "draw").agg(F.min("text").alias("text")).collect():
-        drawn.setdefault(r.lang, []).append((r.draw, r.text))
-    model = {}
-    for lang, found in sorted(drawn.items(), key=lambda x: (-counts[x[0]], x[0])):
-        content = "".join(fold(t) for _, t in sorted(found)[:rows]).encode()
-        if content:
-            model[lang] = content[-size:]
-    return model
+    drawn = usable.filter(F.col("draw") <= shares[F.col("lang")]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    sample = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("place") <= rows)
+    segments = materialise(_segments(sample), "segments")
+    found: dict[str, list] = {}
+    for r in _best(segments, size).collect():
+        found.setdefault(r["lang"], []).append((r["telling"], r["segment"]))
+    order = sorted(found, key=lambda lang: (-counts[lang], lang))
+    return {lang: ("".join(s for _, s in sorted(found[lang])) + " ").encode() for lang in order}
 
 
 class Classifier:
