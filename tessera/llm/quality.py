@@ -135,15 +135,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """The model from docs (doc_id, text) and labels (doc_id, quality); labels other than 0 and 1 are passed over.
 
     At most `rows` labelled documents are used, those of the least hash of doc_id; of several labels of a doc_id the
-    greatest holds. Only the sample's statistics are computed and collected.
+    greatest holds, and of several texts the one of least statistics. Only the sample's statistics are computed and
+    collected. Without labels, or documents for them, the model is a bias.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     total = known.count()
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / max(1, total)))).limit(rows)
+    draw = F.xxhash64("doc_id").bitwiseAND(F.lit(2**53 - 1))
+    # A share of the rows that is almost surely enough comes first, so that few rows are sorted.
+    near = known.withColumn("draw", draw).filter(F.col("draw") <= int(min(1.0, (1.1 * rows + 1000) / max(1, total)) * (2**53 - 1)))
+    sample = near.orderBy("draw", "doc_id").limit(rows).select("doc_id", "quality")
     # The sample has at most `rows` rows of two numbers, so it is broadcast and the texts stay where they are.
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    taken = joined.select(statistics(F.col("text")).alias("s"), "quality").select(*(F.col(f"s.{f}").cast("double").alias(f) for f in FEATURES), "quality").limit(2 * rows).toPandas()
+    one = joined.select("doc_id", "quality", statistics(F.col("text")).alias("s")).groupBy("doc_id").agg(F.min(F.struct("s", "quality")).alias("x"))
+    taken = one.select(*(F.col(f"x.s.{f}").cast("double").alias(f) for f in FEATURES), F.col("x.quality").alias("quality")).toPandas()
     taken = taken.sort_values(list(taken.columns), kind="stable")
     return fit_rules(taken[list(FEATURES)].to_numpy(float), taken["quality"].to_numpy(float))
 
