@@ -7,12 +7,13 @@ WITH w AS (
   SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
   UNION ALL
   SELECT 'b', item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark WHERE text IS NOT NULL
-), s AS (
-  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
-), n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE side = 'b' GROUP BY id)
+), b AS (
+  SELECT DISTINCT id, least(5, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i+least(5, len(w))-1], ' '))) AS g FROM w WHERE side = 'b' AND len(w) > 0
+), d AS (
+  SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM w, (SELECT DISTINCT k FROM b) WHERE side = 'd' AND len(w) >= k
+), n AS (SELECT id AS item_id, count(*) AS n_item FROM b GROUP BY id)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
-FROM (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM s d JOIN s b ON d.g = b.g WHERE d.side = 'd' AND b.side = 'b' GROUP BY 1, 2)
+FROM (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d JOIN b USING (k, g) GROUP BY 1, 2)
 JOIN n USING (item_id) WHERE n_shared * 100 >= n_item * 80
 """
 
