@@ -1,25 +1,31 @@
-"""Line dedup: later repeats of runs of lines are deleted, found by the hashes of all their least windows.
+"""Line dedup: later repeats of runs of lines are deleted, found by winnowing with one fingerprint a window.
 
 A text is its lines (split at \\n), a line its hash after case and white space are folded. A window is the fewest lines
-from a line on, or up to a line, that hold min_words words. Every run of min_words words or more is the union of the
-windows within it: those that begin at its lines, and the one that ends with it, which the last words of a run may
-need. So a run is repeated just if all of its windows are, and no run has to be extended: each window's first place
-(least doc_id, then mark, then line) is kept, and the lines of all its other places are deleted, in other texts and in
-the same one. A line makes two windows at most, and a window that many texts hold is met once by each.
-
-A window's key is 128 bits long, from prefix sums of its lines' hashes, so its cost does not depend on its length. Of N
-windows some two that differ have equal keys with a probability of about N * N / 2**129, were the keys ideal.
+from a line on, or up to a line, that hold min_words words. Its fingerprint is the least hash of its lines (Schleimer,
+Wilkerson and Aiken, 2003), so two places that hold a run of min_words words share the fingerprints of all windows in
+it for certain. Places are joined by fingerprint and by a hash of the window's lines, as the first place of a fingerprint
+alone may hold less of a run than other places do.
+
+Every run of min_words words or more is the union of the windows within it: those that begin at its lines, and the one
+that ends with it, which the last words of a run may need. So a run is repeated just if all of its windows are, and a
+match is extended both ways by the windows that overlap it: each window's first place (least doc_id, then mark, then
+line) is kept, and the lines of all its other places are deleted, in other texts and in the same one. A line makes two
+windows at most, and a window that many texts hold is met once by each.
+
+A window's hash is 128 bits long, from prefix sums of its lines' hashes, so its cost does not depend on its length. Of N
+windows some two that differ have equal hashes with a probability of about N * N / 2**129, were they ideal.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, mix64, pieces
+from tessera.llm.common import bind, materialise, mix64, pieces
 
 MIN_WORDS = 50
+KEY, WINDOW = ["doc_id", "mark"], ["print", "key", "key2"]
 
 _BASES = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]  # odd: they have inverses
 _INVERSES = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
@@ -48,8 +54,19 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> lis
     return keys
 
 
+def window_minima(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least of hashes[start:end] for each window: from minima over runs of powers of two, two of which cover it."""
+    level = np.frexp((ends - starts).astype(np.float64))[1] - 1
+    out, table = np.empty(len(starts), hashes.dtype), hashes
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[starts[at]], table[ends[at] - (1 << k)])
+        table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    return out
+
+
 def _window_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, mark, and the keys and bounds of each window of the text, a row a window."""
+    """doc_id, mark, and the fingerprint, hash and bounds of each window of the text, a row a window."""
 
     def run(batches):
         import pyarrow as pa
@@ -63,13 +80,13 @@ def _window_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 if len(starts):
                     hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in folded]), np.uint64).reshape(-1, 2)
                     rows.append(np.full(len(starts), k))
-                    made.append((*window_keys(hashes, starts, ends), starts, ends))
+                    made.append((window_minima(hashes[:, 0], starts, ends).view(np.int64), *window_keys(hashes, starts, ends), starts, ends))
             if rows:
                 row = pa.array(np.concatenate(rows))
                 columns = [pa.array(np.concatenate(c)) for c in zip(*made)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("mark").take(row), *columns], ["doc_id", "mark", "key", "key2", "start", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("mark").take(row), *columns], ["doc_id", "mark", *WINDOW, "start", "end"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, key long, key2 long, start long, end long")
+    return docs.mapInArrow(run, "doc_id long, mark long, print long, key long, key2 long, start long, end long")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -78,7 +95,7 @@ def _merged(spans: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "starts", 100_000)):
             removed = []
             for starts, ends in zip(batch.column("starts"), batch.column("ends")):
                 starts, ends = starts.values.to_numpy(), ends.values.to_numpy()
@@ -89,9 +106,6 @@ def _merged(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(run, "doc_id long, mark long, removed array<long>")
 
 
-KEY = ["doc_id", "mark"]
-
-
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, mark and removed, the sorted distinct numbers (from 0) of the lines to delete; only texts that lose some.
 
@@ -100,22 +114,37 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     found = materialise(_window_rows(rows.filter("doc_id is not null and text is not null"), min_words), "windows")
-    first = found.groupBy("key", "key2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start")).alias("first")).filter("n > 1")
-    first = materialise(first.select("key", "key2", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.start").alias("first_start")), "first-places")
-    later = found.join(first, ["key", "key2"]).filter("doc_id <> first_id or mark <> first_mark or start <> first_start")
+    first = found.groupBy(*WINDOW).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start")).alias("first")).filter("n > 1")
+    first = materialise(first.select(*WINDOW, F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.start").alias("first_start")), "first-places")
+    later = found.join(first, WINDOW).filter("doc_id <> first_id or mark <> first_mark or start <> first_start")
     return _merged(later.groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
 
 
+def _without(lines: Column, removed: Column) -> Column:
+    """The lines whose numbers (from 0) are not among the sorted, distinct removed ones: what lies between them is copied in slices."""
+
+    def kept(x: Column) -> Column:
+        gap = lambda k: F.get(x["marks"], k) - F.get(x["marks"], k - 1) - 1
+        gaps = F.filter(F.sequence(F.lit(1), F.size(x["marks"]) - 1), lambda k: gap(k) > 0)
+        return F.flatten(F.transform(gaps, lambda k: F.slice(x["lines"], F.get(x["marks"], k - 1) + 2, gap(k))))
+
+    marks = lambda x: F.concat(F.array(F.lit(-1)), x["removed"], F.array(F.size(x["lines"])))
+    both = F.struct(lines.alias("lines"), removed.cast("array<int>").alias("removed"))
+    return bind(both, lambda x: bind(F.struct(x["lines"].alias("lines"), marks(x).alias("marks")), kept))
+
+
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later repeats gone from text, and the numbers of the deleted lines as column removed_lines.
 
     Every row stays: a text that repeats earlier ones wholly becomes empty. Null texts stay null, and rows without a
-    doc_id stay as they are. Other columns are kept; of a clashing column removed_lines the old one is dropped.
+    doc_id stay as they are; of texts with fewer than min_words words nothing goes. Other columns are kept; of a clashing
+    column removed_lines the old one is dropped. An empty table stays empty. A text of any length is one row, worked on
+    in time proportional to its length.
     """
     runs = repeated_runs(docs, min_words)
     runs = materialise(runs.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed")), "removed")
     # Sorted and merged at any size: a broadcast would depend on how much is deleted.
     joined = docs.drop("removed_lines").join(runs.hint("merge"), (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
+    kept = F.array_join(_without(F.split("text", "\n"), F.col("_removed")), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
     return joined.withColumn("text", text).withColumn("removed_lines", F.coalesce("_removed", F.array().cast("array<bigint>"))).drop("_doc", "_mark", "_removed")
