@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import pieces
+
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
@@ -87,23 +89,27 @@ def format_chats(turns: DataFrame, template: Template = marked, trained: Sequenc
     """Conversations as formatted text with turn spans and the loss mask: one row per conv_id.
 
     turns has conv_id, turn, role and text, one row per turn; the order is (turn, role, text), null first, and rows that
-    repeat all of these are turns of their own. Null roles and texts count as empty; a null conv_id is a conversation of
-    its own. Columns: conv_id, n_turns, formatted, turn_spans and loss_spans (arrays of [start, end) in code points;
-    loss_spans covers the texts of `trained` roles), rewrites (the template changes what it has rendered: the spans are
-    then null). An empty table gives no rows; other columns are ignored.
-
-    A conversation is rendered in one task, prefix by prefix, as a template sees it as a whole; conversations are as
-    long as their own turns, not as the table.
+    repeat all of these are turns of their own. Null roles and texts count as empty. Each row without a conv_id is a
+    conversation of its own, of one turn: which of them belong together isn't known. Columns: conv_id, n_turns,
+    formatted, turn_spans and loss_spans (arrays of [start, end) in code points; loss_spans covers the texts of
+    `trained` roles), rewrites (the template changes what it has rendered: the spans are then null). An empty table
+    gives no rows; other columns are ignored.
+
+    A conversation is rendered in one task, prefix by prefix, as a template sees it as a whole, so the work on one grows
+    with its length times its turns, as for any black box. Conversations are as long as their own turns, not as the
+    table; a very long text is held by its conversation's task only.
     """
     roles = frozenset(trained)
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chats = turns.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("one")).groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("one"))
+    chats = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    chats = chats.unionAll(rows.filter("conv_id is null").select("conv_id", F.array("one").alias("turns")))
 
     def run(batches):
         import pyarrow as pa
 
         spans_kind = pa.list_(pa.list_(pa.int64()))
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "turns", 2_000)):
             out = []
             for chat in batch.column("turns"):
                 said = [(t["role"], t["text"]) for t in chat.as_py()]
@@ -129,7 +135,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "formatted")):
             out = []
             for conv, text, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans"))):
                 turns = parse_marked(text)
