@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 
-def _pull(edges: DataFrame, largest: bool, what: str) -> DataFrame:
-    """One star step over edges (u, v): every u hands its least neighbour to the others."""
+def _both(edges: DataFrame, largest: bool) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not largest:
-        both = both.filter("v < u")
-    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), what)
-    # `least` is read from a table: both sides of the join are plain exchanges, so a hot node is split at run time.
-    joined = both.join(least, "u")
+    return both if largest else both.filter("v < u")
+
+
+def _least(edges: DataFrame, largest: bool) -> DataFrame:
+    """u, m: each node's least neighbour, or itself."""
+    return _both(edges, largest).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def _pull(edges: DataFrame, least: DataFrame, largest: bool) -> DataFrame:
+    """One star step over edges (u, v): every u hands its least neighbour to the others.
+
+    `least` is read from a table: both sides of the join are plain exchanges, so a hot node is split at run time.
+    """
+    joined = _both(edges, largest).join(least, "u")
     if largest:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,6 +45,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == state or not mark[0]:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = mark
-        now = materialise(_pull(now, True, "large-star"), "edges")
-        now = materialise(_pull(now, False, "small-star"), "edges")
+        for largest, what in ((True, "large-star"), (False, "small-star")):
+            least = materialise(_least(now, largest), what)
+            before, now = now, materialise(_pull(now, least, largest), "edges")
+            discard(before, least)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

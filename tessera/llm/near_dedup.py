@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BITS, arrow_texts, materialise, pieces, presence_bits, present, shingle_sets
+from tessera.llm.common import arrow_texts, discard, materialise, pieces, presence_bits, presence_size, present, shingle_sets
 from tessera.llm.components import components
 
 SKETCH = 64  # values kept of each set
@@ -94,9 +94,12 @@ def least_common(percent: int, sketch: int) -> int:
     return k
 
 
-def _estimated(pairs: DataFrame, percent: int, sketch: int) -> DataFrame:
-    """The pairs whose sizes, odd and union sketches don't rule the threshold out: exact where these hold both sets, else but for MISS."""
-    low = least_common(percent, sketch)
+def _estimated(pairs: DataFrame, percent: int, sketch: int, exact: bool = False) -> DataFrame:
+    """The pairs whose sizes, odd and union sketches don't rule the threshold out: exact where these hold both sets, else but for MISS.
+
+    With exact, a union sketch that doesn't hold both sets rules nothing out.
+    """
+    low = 0 if exact else least_common(percent, sketch)
     return (
         pairs.withColumn("_union", F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, sketch))
         .withColumn("_both", F.size(F.array_intersect("_union", F.array_intersect("a_sketch", "b_sketch"))))
@@ -109,18 +112,24 @@ def _sides(classes: DataFrame, side: str) -> DataFrame:
     return classes.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"), F.col("odd").alias(f"{side}_odd"), F.col("rep").alias(f"{side}_rep"))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int, sketch: int) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, sketch: int, exact: bool) -> DataFrame:
     """a, b, a_rep, b_rep of the pairs (a, b) that the sketches don't rule out."""
-    return _estimated(pairs.join(_sides(classes, "a"), "a").join(_sides(classes, "b"), "b"), percent, sketch).select("a", "b", "a_rep", "b_rep")
+    return _estimated(pairs.join(_sides(classes, "a"), "a").join(_sides(classes, "b"), "b"), percent, sketch, exact).select("a", "b", "a_rep", "b_rep")
 
 
 def _whole_sets(chosen: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """set_key, rep, n_shingles and members, the whole set, of the chosen documents (column rep), and of a few others.
 
-    Texts stay where they are: a bitmap of fixed size says which may be chosen. Joins on set_key and rep sort out the
-    others. Where there are so many chosen that the bitmap says yes to all, all sets are made.
+    Texts stay where they are: a bitmap of bounded size says which may be chosen. Joins on set_key and rep sort out the
+    others. Where there are more chosen than such a bitmap can tell apart, the texts are joined with them by shuffle.
     """
-    bits = chosen.sparkSession.sparkContext.broadcast(presence_bits(chosen.select("rep"), "rep"))
+    rep = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(rep.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = presence_size(chosen.count())
+    if size is None:
+        near = rows.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return shingle_rows(near, shingle, full=True).select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "members")
+    bits = chosen.sparkSession.sparkContext.broadcast(presence_bits(chosen.select("rep"), "rep", size))
 
     def run(batches):
         import pyarrow as pa
@@ -130,9 +139,7 @@ def _whole_sets(chosen: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
             if len(may):
                 yield may.select(["doc_id", "text"])
 
-    rep = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    near = docs.select(rep.alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("place", place).mapInArrow(run, "doc_id long, text string")
+    near = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(size))).mapInArrow(run, "doc_id long, text string")
     return shingle_rows(near, shingle, full=True).select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "members")
 
 
@@ -145,7 +152,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, ta
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "a_set")):
             keep = []
             for x, y in zip(batch.column("a_set"), batch.column("b_set")):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
@@ -215,7 +222,7 @@ def _prefix_postings(sets: DataFrame, heavy, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "members")):
             values, offsets = _lists(batch.column("members"))
             n = np.diff(offsets)
             row = np.repeat(np.arange(len(batch)), n)
@@ -230,13 +237,16 @@ def _prefix_postings(sets: DataFrame, heavy, percent: int) -> DataFrame:
     return sets.select("set_key", "n_shingles", "members").mapInArrow(run, "value long, set_key binary, n long, place long, share double")
 
 
-def _postings(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """value, set_key, n, place, share: the inverted lists' rows; place is 0 for values of sketches, which are in no such order."""
+def _postings(classes: DataFrame, docs: DataFrame, shingle: int, percent: int, exact: bool) -> DataFrame:
+    """value, set_key, n, place, share: the inverted lists' rows; place is 0 for values of sketches, which are in no such order.
+
+    With exact, all classes have the postings of their prefixes.
+    """
     spark = classes.sparkSession.sparkContext
     total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
     heavy = spark.broadcast(_heavy(classes, "sketch", total))
     rows = _rare_postings(classes, heavy)
-    mostly = materialise(_mostly_heavy(classes, heavy), "mostly-heavy")
+    mostly = classes.select("set_key", "rep") if exact else materialise(_mostly_heavy(classes, heavy), "mostly-heavy")
     if mostly.isEmpty():
         return rows
     sets = materialise(_whole_sets(mostly, docs, shingle).join(mostly, ["set_key", "rep"]), "heavy-sets")
@@ -244,7 +254,7 @@ def _postings(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -
     return rows.unionAll(_prefix_postings(sets, spark.broadcast(_heavy(sets, "members", size)), percent))
 
 
-def _across(hits: DataFrame, found: DataFrame, classes: DataFrame, percent: int, sketch: int) -> DataFrame | None:
+def _across(hits: DataFrame, found: DataFrame, classes: DataFrame, percent: int, sketch: int, exact: bool) -> DataFrame | None:
     """Likely pairs within long lists whose members' components are still apart; None if there are no such lists."""
     long = hits.filter(F.col("size") > SHORT_LIST).join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
     long = materialise(long.select("value", "set_key", "leader", "place", F.coalesce("root", "set_key").alias("root")), "long")
@@ -259,37 +269,44 @@ def _across(hits: DataFrame, found: DataFrame, classes: DataFrame, percent: int,
     once = (F.col("a_root") != F.col("a_main")) & ((F.col("a") < F.col("b")) | (F.col("b_root") == F.col("b_main")))
     # Written before the sketches are joined, else their dear comparison would move into this join.
     pairs = materialise(a.join(b, (a["value"] == b["value"]) & untried & once & _alike(percent)).select("a", "b").distinct(), "pairs-across")
-    return _likely(pairs, classes, percent, sketch)
+    return _likely(pairs, classes, percent, sketch, exact)
 
 
-def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: int = SKETCH, exact: bool = False) -> DataFrame:
     """Groups of near duplicates: doc_id, n_shingles, component_id, one row per row of docs.
 
     Two texts are linked if their sets of shingles of `shingle` words have a Jaccard similarity of percent/100 or more;
     component_id is the least doc_id that links reach. Texts without words (null, empty, blank) are linked with nothing
     and are their own component. Equal texts are one node, whatever their number. A null doc_id takes part, but never
     becomes a component_id unless its group has no other; rows that repeat a doc_id are judged by their own texts. An
-    empty table gives no rows. Needs columns doc_id and text and ignores others.
+    empty table gives no rows. Needs columns doc_id and text and ignores others. A text of any length is one row: its
+    set is made and compared in its task.
+
+    A link is missed with a probability of about 1e-7 at the threshold, and less above it; with exact, none is (but for
+    equal 63-bit hashes of different shingles), at the cost of the prefixes of all sets in the inverted lists.
     """
     docs = docs.select("doc_id", "text")
     rows = materialise(shingle_rows(docs, shingle, sketch), "sketches")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
     classes = materialise(classes.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))), "classes")
-    postings = _postings(classes, docs, shingle, percent)
+    postings = _postings(classes, docs, shingle, percent, exact)
     near = F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)
     leader = F.max(F.when(near, F.struct("share", "set_key")))["set_key"]
     lists = materialise(postings.groupBy("value").agg(F.count("*").alias("size"), leader.alias("leader")).filter("size > 1 and leader is not null"), "lists")
     hits = postings.join(lists, "value").groupBy("value", "set_key").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("size").alias("size"), F.max("leader").alias("leader"))
     hits = materialise(hits, "hits")
+    discard(lists)
     star = hits.filter((F.col("size") > SHORT_LIST) & (F.col("set_key") != F.col("leader"))).select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
     short = hits.filter(F.col("size") <= SHORT_LIST)
     left, right = (short.select("value", F.col("set_key").alias(s), F.col("n").alias(f"{s}_n"), F.col("place").alias(f"{s}_place")) for s in "ab")
     pairs = left.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & _close(percent) & _suffice(percent)).select("a", "b")
     tried = materialise(star.unionAll(pairs).distinct(), "pairs")
-    likely = materialise(_likely(tried, classes, percent, sketch), "likely")
+    likely = materialise(_likely(tried, classes, percent, sketch, exact), "likely")
+    discard(tried)
     links = materialise(_confirmed(likely, docs, shingle, percent, "first"), "links")
+    discard(likely)
     found = materialise(components(links), "found")
-    more = _across(hits, found, classes, percent, sketch)
+    more = _across(hits, found, classes, percent, sketch, exact)
     if more is not None:
         more = materialise(more, "likely-across")
         if not more.isEmpty():
@@ -303,8 +320,8 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group: one document of each group stays. See near_components."""
-    groups = near_components(docs, shingle, percent)
+    groups = near_components(docs, shingle, percent, exact=exact)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
