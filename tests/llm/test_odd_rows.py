@@ -240,7 +240,7 @@ def test_chat_formatting(spark):
     got = chat_format.format_chats(chats)
     assert sorted((r["conv_id"] or 0, r["n_turns"]) for r in got.collect()) == [(0, 1), (0, 1), (1, 2), (2, 1), (3, 3)]
     back = {(r["conv_id"], r["n_turns"], r["loss_chars"], r["turns_sha256"]) for r in chat_format.read_back(got).collect()}
-    assert (1, 2, 17, sha("user\nhi\nassistant\n\\### User: </turn>\n\n")) in back and (3, 3, 2 * len(LONG), sha(f"Assistant\n\nassistant\n{LONG}\nassistant\n{LONG}\n")) in back
+    assert (1, 2, 19, sha("user\nhi\nassistant\n\\### User: </turn>\n\n")) in back and (3, 3, 2 * len(LONG), sha(f"Assistant\n\nassistant\n{LONG}\nassistant\n{LONG}\n")) in back
     assert chat_format.format_chats(chats.filter("false")).count() == 0
 
 
