@@ -11,7 +11,6 @@ SATURATION = 20
 DAILY_DECAY = 0.995
 STEP = 0.05
 RRF_K = 60
-WEIGHTS = {"strength": 0.45, "recency": 0.25, "salience": 0.15, "relevance": 0.05, "semantic": 0.10}
 CONFIDENCE = ("unknown", "low", "medium", "high")
 
 
@@ -52,17 +51,15 @@ def confidence_rank(x: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(c) for c in CONFIDENCE)), x), F.lit(0)) - 1, F.lit(0)).cast("int")
 
 
+#: Weights of a recall score's parts, without a query, with one, and with one and semantic likenesses.
+PARTS = ("strength", "recency", "salience", "relevance", "semantic")
+RECALL_WEIGHTS = {"plain": (9 / 17, 5 / 17, 3 / 17, 0.0, 0.0), "lexical": (0.45, 0.25, 0.15, 0.15, 0.0), "semantic": (0.45, 0.25, 0.15, 0.05, 0.10)}
+
+
 def recall_weights(has_query: bool, has_semantics: bool) -> dict[str, float]:
-    """Weights of the parts of a recall score: without semantics relevance takes its share, without a query the rest is rescaled."""
-    w = dict(WEIGHTS)
-    if not has_semantics:
-        w["relevance"] += w.pop("semantic")
-    if not has_query:
-        w.pop("relevance")
-        w.pop("semantic", None)
-        total = sum(w.values())
-        w = {k: v / total for k, v in w.items()}
-    return w
+    """The row of weights for a recall; parts without weight are left out."""
+    row = RECALL_WEIGHTS[("semantic" if has_semantics else "lexical") if has_query else "plain"]
+    return {part: weight for part, weight in zip(PARTS, row) if weight}
 
 
 def recall_score(parts: dict[str, Column], weights: dict[str, float]) -> Column:

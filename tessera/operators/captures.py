@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import compact, keywords, slug, title_of
 from tessera.sources.storage import cut
 
+#: Words that say nothing about a capture.
+STOP_WORDS = (
+    "this", "that", "with", "from", "have", "been", "were", "will", "would", "could", "should", "about", "which", "their", "there", "these", "those", "when", "where", "what", "while", "after", "before", "between",
+)
+STATUSES = ("draft", "review", "accepted", "rejected", "archived")
+
 
-def build(captures: DataFrame) -> DataFrame:
-    """capture_id `inbox/<day>/<slug>` and title for observations (day, observation); equal ids get -2, -3, ... in order."""
+def build(captures: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """capture_id `inbox/<day>/<slug>` and title for observations (day, observation); equal ids get -2, -3, ... in order of text, then `order`."""
     base = F.concat_ws("/", F.lit("inbox"), F.col("day").cast("string"), slug(F.col("observation")))
     rows = captures.withColumn("base", base).withColumn("title", title_of(F.col("observation")))
-    place = F.row_number().over(Window.partitionBy("base").orderBy("observation"))
+    place = F.row_number().over(Window.partitionBy("base").orderBy("observation", *order))
     return rows.withColumn("place", place).withColumn("capture_id", F.when(F.col("place") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "place"))).drop("base", "place")
 
 
@@ -35,41 +44,88 @@ def daily_facts(captures: DataFrame, chars: int = 500) -> DataFrame:
 
 
 def transition(captures: DataFrame, wanted: DataFrame) -> DataFrame:
-    """captures with the wanted status by capture_id."""
-    return captures.join(wanted.select("capture_id", F.col("status").alias("_to")), "capture_id", "left").withColumn("status", F.coalesce("_to", "status")).drop("_to")
+    """captures with the wanted status by capture_id, where it is one of STATUSES."""
+    known = wanted.filter(F.col("status").isin(*STATUSES)).groupBy("capture_id").agg(F.max("status").alias("_to"))
+    return captures.join(known, "capture_id", "left").withColumn("status", F.coalesce("_to", "status")).drop("_to")
+
+
+ODD = 512  # bits of the sketches that rule pairs out
 
 
-def promotion_audit(pages: DataFrame, captures: DataFrame) -> DataFrame:
-    """page_id, capture_id, title, status: every source of a page, with its capture where there is one."""
-    sources = pages.select("page_id", F.explode("sources").alias("capture_id"))
-    return sources.join(captures.select("capture_id", "title", "status"), "capture_id", "left").select("page_id", "capture_id", "title", "status")
+def _keyword_sets(captures: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+    """capture_id and the 64-bit hashes of its keywords."""
+    words = F.transform(keywords(F.col("observation"), stop), lambda w: F.xxhash64(w))
+    return cut(captures.select("capture_id", words.alias("words")).filter(F.size("words") > 0))
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """value, capture_id, n, place, odd: the values of each set that a similar one can't lack all of, in one order for all sets.
+
+    Values of many sets, of which there is a bounded number, come last in order of their frequency, the others by value.
+    odd has the parities of ODD groups of values.
+    """
+    counts = sets.select(F.explode("words").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.filter(F.col("n") > max(32, total >> 18)).collect()  # 2**18 at most, whatever the table
+    often = np.array([(r["value"], r["n"]) for r in often], np.int64).reshape(-1, 2)
+    often = often[np.argsort(often[:, 0])]
+    heavy, ranks = often[:, 0], np.argsort(np.argsort(often[:, 1], kind="stable"), kind="stable")
+    shared = sets.sparkSession.sparkContext.broadcast((heavy, ranks))
+
+    def run(batches):
+        import pyarrow as pa
+
+        heavy, ranks = shared.value
+        for batch in batches:
+            ids, values, places, sizes, odds = [], [], [], [], []
+            for k, words in enumerate(batch.column("words")):
+                v = words.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(heavy, v), max(0, len(heavy) - 1))
+                rank = np.where(heavy[at] == v, ranks[at], -1) if len(heavy) else np.full(len(v), -1)
+                keep = len(v) - math.ceil(least * len(v) - 1e-9) + 1
+                order = np.lexsort((v, rank))[:keep]
+                odd = np.packbits((np.bincount(v & (ODD - 1), minlength=ODD) & 1).astype(np.uint8)).view(np.int64)
+                ids.append(np.full(len(order), k))
+                values.append(v[order])
+                places.append(np.arange(len(order)))
+                sizes.append(np.full(len(order), len(v)))
+                odds.append(np.tile(odd, len(order)))
+            if ids:
+                at = np.concatenate(ids)
+                columns = [pa.array(np.concatenate(values)), batch.column("capture_id").take(pa.array(at)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (ODD // 64)), pa.array(np.concatenate(odds)))]
+                yield pa.RecordBatch.from_arrays(columns, ["value", "capture_id", "n", "place", "odd"])
+
+    return sets.mapInArrow(run, f"value long, capture_id {dict(sets.dtypes)['capture_id']}, n long, place long, odd array<long>")
 
 
 def similar_pairs(captures: DataFrame, least: float = 0.4, stop: tuple[str, ...] = ()) -> DataFrame:
     """a_id, b_id, jaccard of captures whose keyword sets are at least so similar.
 
-    A prefix filter keeps the join small: keywords are put in order of rarity, and a pair this similar shares one of the
-    first n - ceil(least * n) + 1 of either. Keywords that very many captures hold come last and so are rarely joined on.
+    Sets are 64-bit hashes in one order, frequent ones last. A similar pair shares one of the first n - ceil(least * n) + 1
+    of either; at the first common one, what follows must suffice in both sets, and the sets' odd sketches must not differ
+    in more bits than similar sets differ in values. These exact bounds leave few pairs to be compared as a whole.
     """
-    sets = captures.select("capture_id", keywords(F.col("observation"), stop).alias("words")).filter(F.size("words") > 0)
-    rows = sets.select("capture_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    df = rows.groupBy("word").agg(F.count("*").alias("df"))
-    order = rows.join(df, "word").groupBy("capture_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
-    prefix = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    keys = order.select("capture_id", "n", F.explode(F.transform(prefix, lambda x: x["word"])).alias("word"))
-    a, b = (keys.select("word", F.col("capture_id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n")) for s in "ab")
+    sets = _keyword_sets(captures, stop)
+    keys = cut(_prefixes(sets, least))
+    a, b = (keys.select("value", F.col("capture_id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("place").alias(f"{s}_place"), F.col("odd").alias(f"{s}_odd")) for s in "ab")
+    size = F.col("a_n") + F.col("b_n")
     near = (F.col("a_n") >= F.col("b_n") * least) & (F.col("b_n") >= F.col("a_n") * least)
-    candidates = a.join(b, "word").filter((F.col("a_id") < F.col("b_id")) & near).select("a_id", "b_id").distinct()
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) * (1 + least) >= size * least - 1e-6
+    apart = sum((F.bit_count(F.get("a_odd", F.lit(k)).bitwiseXOR(F.get("b_odd", F.lit(k)))) for k in range(ODD // 64)), F.lit(0))
+    candidates = a.join(b, (a["value"] == b["value"]) & (F.col("a_id") < F.col("b_id")) & near & rest & (apart * (1 + least) <= size * (1 - least) + 1e-6)).select("a_id", "b_id").distinct()
     left, right = (sets.select(F.col("capture_id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words")) for s in "ab")
-    both = candidates.join(left, "a_id").join(right, "b_id")
+    both = cut(candidates).join(left, "a_id").join(right, "b_id")
     common = F.size(F.array_intersect("a_words", "b_words"))
     jaccard = common / (F.size("a_words") + F.size("b_words") - common)
     return both.select("a_id", "b_id", jaccard.alias("j")).filter(F.col("j") >= least).select("a_id", "b_id", F.round("j", 6).alias("jaccard"))
 
 
-def repeated(captures: DataFrame, least: float = 0.4, rounds: int = 30) -> DataFrame:
-    """capture_id, group_id: groups of captures linked by similarity, by the least id, through min-label joins."""
-    pairs = cut(similar_pairs(captures, least))
+def repeated(captures: DataFrame, least: float = 0.4, rounds: int = 60, stop: tuple[str, ...] = ()) -> DataFrame:
+    """capture_id, group_id: groups of captures linked by similarity, by the least id, through min-label joins.
+
+    Labels jump over labels, so the rounds grow with the logarithm of a group's width; raises if `rounds` don't suffice.
+    """
+    pairs = cut(similar_pairs(captures, least, stop))
     steps = cut(pairs.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).unionAll(pairs.select("b_id", "a_id")))
     labels = cut(steps.select("u").distinct().withColumn("group_id", F.col("u")))
     for _ in range(rounds):
@@ -79,8 +135,71 @@ def repeated(captures: DataFrame, least: float = 0.4, rounds: int = 30) -> DataF
         changed = jumped.join(labels.withColumnRenamed("group_id", "old"), "u").filter("group_id <> old").limit(1).count()
         labels = jumped
         if not changed:
-            break
-    return labels.withColumnRenamed("u", "capture_id")
+            return labels.withColumnRenamed("u", "capture_id")
+    raise RuntimeError(f"groups did not settle in {rounds} rounds")
+
+
+def repeat_groups(captures: DataFrame, least: float = 0.4, newest: int | None = None) -> DataFrame:
+    """group_id, n, key, title: groups of captures (capture_id, title, observation) with like keywords, largest first.
+
+    Keywords come from title and text, without stop words. key has the first five words that all captures of a group
+    share, found by counting; similar-captures if there are none. newest: only so many captures, by updated_at and id.
+    """
+    if newest is not None:
+        captures = captures.orderBy(F.desc("updated_at"), F.desc("capture_id")).limit(newest)
+    texts = captures.select("capture_id", F.concat_ws(" ", "title", "observation").alias("observation"))
+    groups = cut(repeated(texts, least, stop=STOP_WORDS))
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
+    words = texts.join(groups, "capture_id").select("group_id", F.explode(keywords(F.col("observation"), STOP_WORDS)).alias("word"))
+    common = words.groupBy("group_id", "word").agg(F.count("*").alias("k")).join(sizes, "group_id").filter("k = n").groupBy("group_id").agg(F.slice(F.array_sort(F.collect_set("word")), 1, 5).alias("words"))
+    named = sizes.join(common, "group_id", "left")
+    key = F.coalesce(F.array_join("words", "-"), F.lit("similar-captures"))
+    title = F.concat(F.initcap(F.coalesce(F.array_join("words", " "), F.lit("repeated pattern"))), F.lit(" Procedure"))
+    return named.select("group_id", "n", key.alias("key"), title.alias("title")).orderBy(F.desc("n"), "key", "group_id")
+
+
+def proposals(groups: DataFrame, members: DataFrame, existing: DataFrame, most: int = 3) -> DataFrame:
+    """The first groups (of repeat_groups) of which no procedure has two sources yet.
+
+    members: group_id, capture_id; existing: page_id, capture_id of the sources of procedures.
+    """
+    taken = members.join(existing, "capture_id").groupBy("group_id", "page_id").agg(F.countDistinct("capture_id").alias("k")).filter("k >= 2").select("group_id").distinct()
+    return groups.join(taken, "group_id", "left_anti").orderBy(F.desc("n"), "key", "group_id").limit(most)
+
+
+def steps(captures: DataFrame, most: int = 8) -> DataFrame:
+    """capture_id, place, step: the steps that bullets and numbered lines of a text name, or its first plain line."""
+    lines = F.split(F.coalesce("observation", F.lit("")), "\n")
+    bullets = F.transform(F.filter(lines, lambda x: x.rlike(r"^\s*([-*+]\s+|\d+[.)]\s+)\S")), lambda x: F.trim(F.regexp_replace(x, r"^\s*([-*+]\s+|\d+[.)]\s+)", "")))
+    plain = F.slice(F.transform(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.ltrim(x).rlike("^[#>]")), lambda x: F.trim(x)), 1, 1)
+    verb = r"(?i)^(check|create|deploy|ensure|inspect|record|review|run|update|verify)\b"
+    said = lambda x: F.when(x.rlike(verb), x).otherwise(F.concat(F.lit("Review and apply: "), x))
+    found = F.array_distinct(F.transform(F.when(F.size(bullets) > 0, bullets).otherwise(plain), lambda x: F.substring(said(F.rtrim(x, F.lit("."))), 1, 300)))
+    rows = captures.select("capture_id", F.posexplode(F.slice(found, 1, most)).alias("place", "step"))
+    return rows.withColumn("place", F.col("place") + 1)
+
+
+def excerpt(body: Column) -> Column:
+    """The first line that is neither a heading nor a quote, without its bullet, to 500 characters."""
+    lines = F.transform(F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^[#>]")), lambda x: F.regexp_replace(x, r"^[-*+ ]+", ""))
+    return F.substring(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), 1, 500)
+
+
+def promoted(captures: DataFrame, pages: DataFrame) -> DataFrame:
+    """capture_id, target, outcome of promoting captures to their suggested targets: promoted, no_target, exists."""
+    known = pages.select(F.col("page_id").alias("target"), F.lit(True).alias("_known")).distinct()
+    rows = captures.select(F.col("page_id").alias("capture_id"), F.nullif(F.trim("suggested_target"), F.lit("")).alias("target"))
+    outcome = F.when(F.col("target").isNull(), "no_target").when(F.col("_known"), "exists").otherwise("promoted")
+    return rows.join(known, "target", "left").select("capture_id", "target", outcome.alias("outcome"))
+
+
+def promotions(pages: DataFrame) -> DataFrame:
+    """direction, capture_id, page_id, title, status: captures with where they were promoted to, and pages with the captures that they name as sources."""
+    captures = pages.filter("kind = 'capture'").filter(F.col("page_id").rlike("^(inbox|notes)/"))
+    out = captures.filter("promoted_to is not null").select(F.lit("promoted").alias("direction"), F.col("page_id").alias("capture_id"), F.col("promoted_to").alias("page_id"), "title", "status")
+    named = pages.select("page_id", F.explode("sources").alias("capture_id")).filter(F.col("capture_id").rlike("^(inbox|notes)/"))
+    back = named.join(captures.select(F.col("page_id").alias("capture_id"), "title", "status"), "capture_id", "left")
+    return out.unionByName(back.select(F.lit("source").alias("direction"), "capture_id", "page_id", "title", "status"))
 
 
 def title_words(captures: DataFrame, most: int = 5) -> DataFrame:

@@ -57,12 +57,13 @@ def ego(edges: DataFrame, center: str, radius: int) -> DataFrame:
     return edges.join(inside.withColumnRenamed("node", "source"), "source", "left_semi").join(inside.withColumnRenamed("node", "target"), "target", "left_semi")
 
 
-def paths(edges: DataFrame, start: str, end: str, depth: int, limit: int | None = None) -> DataFrame:
-    """Simple paths from start to end in either direction, of at most depth edges: path, hops.
+def paths(edges: DataFrame, start: str, end: str, depth: int, types: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Simple paths from start to end along the edges (of some types), of at most depth of them: path, hops.
 
     A path that has met the end isn't extended, and no path goes through a node twice.
     """
-    steps = both_ways(edges).select("node", "other").distinct()
+    allowed = edges if types is None else edges.filter(F.col("type").isin(types))
+    steps = allowed.select(F.col("source").alias("node"), F.col("target").alias("other")).distinct()
     frontier = edges.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>")
     found = None
     for hop in range(1, depth + 1):
@@ -91,8 +92,9 @@ def truncate(edges: DataFrame, most: int) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, community by synchronous label propagation: each round every node takes the label most frequent around it.
 
-    A node counts itself once, ties go to the least label, and it stops when no label changes, or after `rounds`.
-    Unlike updates in turn this needs no order of nodes, so it runs on any number of executors.
+    A node counts itself once, else two nodes could swap labels for ever; ties go to the least label. It stops when no
+    label changes, and raises if `rounds` don't suffice. Updates in turn would need an order of nodes, and so one task;
+    this runs on any number of executors, and may find other communities.
     """
     steps = cut(both_ways(edges).filter("node <> other").select("node", "other").unionAll(nodes(edges).select("node", F.col("node").alias("other"))).distinct())
     labels = cut(nodes(edges).withColumn("community", F.col("node")))
@@ -103,8 +105,8 @@ def communities(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.join(labels.withColumnRenamed("community", "old"), "node").filter("community <> old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
 def betweenness(edges: DataFrame, sources: int = 20, exact_below: int = 50) -> DataFrame:
@@ -149,6 +151,16 @@ def entry_points(edges: DataFrame, limit: int = 5) -> DataFrame:
     return both.select("node", score.alias("score")).orderBy(F.desc("score"), "node").limit(limit)
 
 
+def top_nodes(metrics: DataFrame, metric: str, k: int = 10) -> DataFrame:
+    """The nodes of the greatest metric, ties by node."""
+    return metrics.orderBy(F.desc(metric), "node").limit(max(0, k))
+
+
+def analytics(edges: DataFrame) -> DataFrame:
+    """node, centrality, betweenness, community of every node."""
+    return degree_centrality(edges).join(betweenness(edges), "node").join(communities(edges), "node")
+
+
 def best_paths_per_node(walks: DataFrame, most: int = 3) -> DataFrame:
     """The first paths of each node by hops, then score."""
     order = Window.partitionBy("node").orderBy("hops", F.desc("score"), "path")

@@ -1,35 +1,78 @@
-"""Precedent search over traces and pages, and the union of provenance."""
+"""Precedent search over traces, policies, pages and the graph around an entity, and the union of provenance."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed weights of what makes a precedent relevant.
-TRACE_WEIGHTS = {"base": 0.2, "actor": 0.2, "keyword": 0.35, "policy": 0.3, "task": 0.15}
-PAGE_WEIGHTS = {"base": 0.1, "keyword": 0.25, "lane": 0.15}
+TRACE_WEIGHTS = {"base": 0.2, "actor": 0.2, "keyword": 0.35, "policy": 0.3, "entity": 0.2, "task": 0.15}
+PAGE_WEIGHTS = {"base": 0.1, "decision": 0.35, "capture": 0.1, "keyword": 0.25, "entity": 0.2, "actor": 0.2, "policy": 0.2, "task": 0.2, "lane": 0.15}
+POLICY_EXACT, POLICY_OTHER, NEIGHBOUR = 0.6, 0.25, 0.15
+GRAPH_TYPES = ("trace", "decision", "page", "policy", "capture")
 
 
-def trace_precedents(traces: DataFrame, keyword: str, actor: str | None = None, policy: str | None = None, task: str | None = None) -> DataFrame:
-    """type, id, relevance of traces that share more than being traces. traces: trace_id, actor, summary, policy_refs, task_id."""
-    hits = {
-        "keyword": F.lower(F.concat_ws(" ", "summary", "actor")).contains(keyword.lower()),
-        "actor": F.lit(False) if actor is None else F.col("actor") == actor,
-        "policy": F.lit(False) if policy is None else F.array_contains("policy_refs", policy),
-        "task": F.lit(False) if task is None else F.col("task_id") == task,
-    }
-    score = reduce(lambda a, x: a + F.when(x[1], TRACE_WEIGHTS[x[0]]).otherwise(0.0), hits.items(), F.lit(TRACE_WEIGHTS["base"]))
-    any_hit = reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), hits.values(), F.lit(False))
-    return traces.filter(any_hit).select(F.lit("trace").alias("type"), F.col("trace_id").alias("id"), F.round(score, 6).alias("relevance"))
+def needle(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
 
 
-def page_precedents(pages: DataFrame, keyword: str, lane: str | None = None) -> DataFrame:
-    """type, id, relevance of pages that hold the keyword."""
-    near = F.lower(F.concat_ws(" ", "title", "body")).contains(keyword.lower())
-    score = F.lit(PAGE_WEIGHTS["base"] + PAGE_WEIGHTS["keyword"]) + (F.lit(0.0) if lane is None else F.when(F.col("lane") == lane, PAGE_WEIGHTS["lane"]).otherwise(0.0))
-    return pages.filter(near).select(F.lit("page").alias("type"), F.col("page_id").alias("id"), F.round(score, 6).alias("relevance"))
+def haystack(*columns: Column | str) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", *columns), r"\s+", " ")))
+
+
+def _scored(rows: DataFrame, weights: dict[str, float], given: dict[str, Column | None], base: Column) -> tuple[DataFrame, Column]:
+    """The rows that meet every criterion that is given, and their score: the base and the weights of the criteria."""
+    score = base
+    for name, holds in given.items():
+        if holds is not None:
+            rows = rows.filter(holds)
+            score = score + F.lit(weights.get(name, 0.0))
+    return rows, F.round(score, 6)
+
+
+def trace_precedents(traces: DataFrame, keyword: str | None = None, actor: str | None = None, policy: str | None = None, task: str | None = None, lane: str | None = None, situation: str | None = None, entity: str | None = None) -> DataFrame:
+    """type, id, relevance of traces that meet all criteria; an entity only adds to the score."""
+    text = haystack("trace_id", "actor", "reason_summary", "outcome", F.array_join("policy_refs", " "), "task_id", "page_id", "candidate_id")
+    given = {
+        "actor": F.col("actor") == actor if actor else None, "policy": F.array_contains("policy_refs", policy) if policy else None, "task": F.col("task_id") == task if task else None,
+        "keyword": text.contains(needle(keyword)) if keyword else None, "lane": F.col("lane") == lane if lane else None, "situation": haystack("reason_summary").contains(needle(situation)) if situation else None,
+    }
+    base = F.lit(TRACE_WEIGHTS["base"]) + (F.when(text.contains(needle(entity)), TRACE_WEIGHTS["entity"]).otherwise(0.0) if entity else F.lit(0.0))
+    rows, score = _scored(traces, TRACE_WEIGHTS, given, base)
+    return rows.select(F.lit("trace").alias("type"), F.concat(F.lit("trace:"), "trace_id").alias("id"), score.alias("relevance"))
+
+
+def policy_precedents(policies: DataFrame, keyword: str | None = None, policy: str | None = None, entity: str | None = None) -> DataFrame:
+    """type, id, relevance of policies (policy_id, name, description) that meet all criteria; none without a criterion."""
+    text = haystack("policy_id", "name", "description")
+    rows = policies if keyword or policy or entity else policies.filter("false")
+    rows = rows.filter(F.col("policy_id") == policy) if policy else rows
+    for word in (keyword, entity):
+        rows = rows.filter(text.contains(needle(word))) if word else rows
+    return rows.select(F.lit("policy").alias("type"), F.concat(F.lit("policy:"), "policy_id").alias("id"), F.lit(POLICY_EXACT if policy else POLICY_OTHER).alias("relevance"))
+
+
+def page_precedents(pages: DataFrame, keyword: str | None = None, lane: str | None = None, actor: str | None = None, policy: str | None = None, task: str | None = None, situation: str | None = None, entity: str | None = None) -> DataFrame:
+    """type (page, decision, capture), id, relevance of pages that meet all criteria."""
+    text = haystack("page_id", "title", "summary", "body")
+    kind = F.coalesce("kind", F.lit("page"))
+    given = {
+        "lane": F.col("lane") == lane if lane else None, "actor": F.col("actor") == actor if actor else None, "task": F.col("source_task") == task if task else None, "policy": F.array_contains("policies", policy) if policy else None,
+        "keyword": text.contains(needle(keyword)) if keyword else None, "entity": text.contains(needle(entity)) if entity else None, "situation": haystack(kind, "summary", "body").contains(needle(situation)) if situation else None,
+    }
+    base = F.lit(PAGE_WEIGHTS["base"]) + F.when(kind == "decision", PAGE_WEIGHTS["decision"]).when(kind == "capture", PAGE_WEIGHTS["capture"]).otherwise(0.0)
+    rows, score = _scored(pages, PAGE_WEIGHTS, given, base)
+    return rows.select(F.when(kind.isin("decision", "capture"), kind).otherwise("page").alias("type"), F.col("page_id").alias("id"), score.alias("relevance"))
+
+
+def graph_precedents(edges: DataFrame, nodes: DataFrame, node: str, limit: int = 50) -> DataFrame:
+    """type, id, relevance of the nodes around one."""
+    from tessera.operators.links import neighbours
+
+    near = neighbours(edges, nodes, node, limit=limit).filter(F.col("node_type").isin(*GRAPH_TYPES))
+    return near.select(F.col("node_type").alias("type"), "id", F.lit(NEIGHBOUR).alias("relevance")).distinct()
 
 
 def search(branches: list[DataFrame], limit: int) -> DataFrame:
@@ -37,7 +80,7 @@ def search(branches: list[DataFrame], limit: int) -> DataFrame:
     rows = reduce(DataFrame.unionByName, (b.withColumn("branch", F.lit(k)) for k, b in enumerate(branches)))
     first = rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("branch"))).filter("place = 1").drop("place", "branch")
     total = first.agg(F.count("*").alias("total"))
-    return first.orderBy(F.desc("relevance"), "type", "id").limit(limit).join(F.broadcast(total))
+    return first.orderBy(F.desc("relevance"), "type", "id").limit(limit).join(F.broadcast(total))  # one row of a total
 
 
 def provenance(links: DataFrame, captures: DataFrame) -> DataFrame:
@@ -47,3 +90,18 @@ def provenance(links: DataFrame, captures: DataFrame) -> DataFrame:
     """
     rows = links.join(captures, "capture_id")
     return rows.groupBy("page_id").agg(F.countDistinct("capture_id").alias("n_captures"), F.sort_array(F.collect_set("actor")).alias("actors"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+def search_provenance(hits: DataFrame, candidates: DataFrame) -> DataFrame:
+    """hits (page_id, actor, lane, observed_at) with candidate_id and the fields of the best candidate that names the page, if any.
+
+    Candidates with any provenance of their own come first, the oldest of them; of the others the newest. A candidate's
+    nulls hold as well.
+    """
+    refs = candidates.select("candidate_id", "created_at", F.explode(F.array_distinct(F.concat("source_page_ids", "source_capture_ids"))).alias("page_id"), F.col("actor").alias("_actor"), F.col("lane").alias("_lane"), F.col("observed_at").alias("_observed_at"), (F.col("observed_at").isNotNull() | F.col("valid_from").isNotNull() | F.col("valid_until").isNotNull() | (F.coalesce(F.trim("actor"), F.lit("")) != "") | (F.coalesce(F.trim("lane"), F.lit("")) != "")).alias("own"))
+    time = F.unix_micros(F.col("created_at").cast("timestamp"))
+    rank = F.struct((~F.col("own")).cast("int").alias("a"), F.when(F.col("own"), time).otherwise(-time).alias("b"), "candidate_id")
+    best = refs.groupBy("page_id").agg(F.min(F.struct(rank.alias("rank"), "candidate_id", "_actor", "_lane", "_observed_at")).alias("x")).select("page_id", "x.candidate_id", "x._actor", "x._lane", "x._observed_at")
+    joined = hits.join(best, "page_id", "left")
+    pick = lambda own, other: F.when(F.col("candidate_id").isNotNull(), F.col(other)).otherwise(F.col(own)).alias(own)
+    return joined.select("page_id", "candidate_id", pick("actor", "_actor"), pick("lane", "_lane"), pick("observed_at", "_observed_at"))

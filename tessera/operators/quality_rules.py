@@ -1,37 +1,175 @@
-"""Data-quality rules over pages and claims: one row per finding, all rules in one union."""
+"""Data-quality rules over pages, links and claims: one row per finding, all rules in one union.
+
+A finding is page_id, rule, severity, target, detail. Pages have page_id, title, kind, visibility, summary, sources,
+confidence, epistemic_status, evidence, reviewed_at, stale_after, valid_until, trigger, schema_version, author,
+validated_at, validated, steps and body; a text field counts as missing if it is null or blank.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEVERITIES = {"missing_title": "error", "missing_kind": "warning", "missing_summary": "info", "short_body": "warning", "contradiction": "warning", "duplicate_title": "warning", "orphan": "info", "stale": "warning", "low_confidence": "info"}
 ORDER = {"error": 0, "warning": 1, "info": 2}
+#: What stands for an open conflict in a line, and folders whose pages need no sources.
+MARKER = r"(?i)\b(CONTRADICTION|CONFLICT|DISPUTED)\s*:|TODO\s*:\s*verify"
+LOOSE_FOLDERS = "^(inbox|notes)/"
+RECOMMENDED = ("title", "kind", "visibility", "summary")
+PROCEDURES = ("procedure", "procedure-candidate")
+#: Rules whose finding a change of the header mends by itself.
+FIXABLE = (
+    "missing_frontmatter", "missing_title", "missing_kind", "missing_visibility", "missing_summary", "missing_sources", "stale_page", "procedure_missing_steps", "procedure_missing_trigger",
+    "procedure-schema-version", "epistemic-label", "epistemic-unsourced",
+)
+#: What to do about a rule's findings.
+ADVICE = {
+    "missing_frontmatter": "add a header with title, kind, visibility and summary", "missing_sources": "list the sources", "broken_internal_link": "mend or remove the link", "orphan_page": "link to this page from another one",
+    "duplicate_title": "rename one of the pages", "stale_page": "review the page and set a new date", "low_confidence": "verify the content", "contradiction_marker": "settle the conflict", "procedure_missing_steps": "list the steps",
+    "procedure_missing_trigger": "say when to use it", "procedure_step_not_in_body": "describe the step", "procedure-schema-version": "state the version of the schema", "procedure-unvalidated": "validate it", "epistemic-label": "say how this is known",
+    "epistemic-weak": "verify it or add evidence", "epistemic-unsourced": "add sources or evidence", "epistemic-claim": "review the claim or add a trace", **{f"missing_{f}": f"add the field {f}" for f in RECOMMENDED},
+}
+CATEGORIES = {
+    "stale_pages": ("stale_page",), "missing_metadata": ("missing_frontmatter", "missing_title", "missing_kind", "missing_visibility", "missing_summary"), "contradictions": ("contradiction_marker",), "low_confidence": ("low_confidence",), "expired_facts": ("expired_fact",),
+    "procedure_issues": ("procedure_missing_steps", "procedure_missing_trigger", "procedure_step_not_in_body"),
+}
 
 
-def field_findings(pages: DataFrame, short: int = 20) -> DataFrame:
-    """page_id, rule of every page with an empty title, kind or summary, or a body of fewer than `short` characters."""
-    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    rules = F.array_compact(
-        F.array(
-            F.when(blank("title"), F.lit("missing_title")),
-            F.when(blank("kind"), F.lit("missing_kind")),
-            F.when(blank("summary"), F.lit("missing_summary")),
-            F.when(F.length(F.coalesce("body", F.lit(""))) < short, F.lit("short_body")),
-        )
-    )
-    return pages.select("page_id", F.explode(rules).alias("rule"))
+def blank(c: str | Column) -> Column:
+    column = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.trim(column), F.lit("")) == ""
 
 
-def marker_findings(lines: DataFrame, pattern: str) -> DataFrame:
-    """page_id, rule, line_no of the first line of each page that matches."""
-    hits = lines.filter(F.col("line").rlike(pattern)).groupBy("page_id").agg(F.min("line_no").alias("line_no"))
-    return hits.select("page_id", F.lit("contradiction").alias("rule"), F.col("line_no").cast("long").alias("line_no"))
+def iso_date(c: str) -> Column:
+    """The date that a field begins with; null if it is none."""
+    first = F.substring(F.trim(F.col(c).cast("string")), 1, 10)
+    return F.when(first.rlike(r"^\d{4}-\d{2}-\d{2}$"), first.try_cast("date"))
+
+
+def finding(rule: str, severity: str, when: Column, detail: Column | None = None, target: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    row = F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (none if target is None else target).alias("target"), (none if detail is None else detail).alias("detail"))
+    return F.when(when, row)
+
+
+def found(pages: DataFrame, *findings: Column) -> DataFrame:
+    """The findings that are not null, a row each."""
+    return pages.select("page_id", F.explode(F.array_compact(F.array(*findings))).alias("x")).select("page_id", "x.rule", "x.severity", "x.target", "x.detail")
+
+
+def header_findings(pages: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Missing fields of the header; a page without any has one finding. Fields in `optional` may be missing."""
+    empty = reduce(lambda a, b: a & b, (F.col(f).isNull() for f in RECOMMENDED)) & (F.size("sources") == 0)
+    missing = [finding(f"missing_{f}", "warning", ~empty & blank(f)) for f in RECOMMENDED if f not in optional]
+    unsourced = ~empty & (F.coalesce(F.size("sources"), F.lit(0)) <= 0) & ~F.col("page_id").rlike(LOOSE_FOLDERS)
+    return found(pages, finding("missing_frontmatter", "warning", empty), *missing, finding("missing_sources", "warning", unsourced))
+
+
+def freshness_findings(pages: DataFrame, today: Column) -> DataFrame:
+    """Dates that are none, pages past their date, and facts past their validity."""
+    day = today.cast("date")
+    invalid = [finding(f"invalid_{c}", "warning", F.col(c).isNotNull() & iso_date(c).isNull(), F.col(c)) for c in ("reviewed_at", "stale_after", "valid_until")]
+    stale = finding("stale_page", "warning", iso_date("stale_after") < day, iso_date("stale_after").cast("string"))
+    return found(pages, *invalid, stale, finding("expired_fact", "warning", iso_date("valid_until") < day, iso_date("valid_until").cast("string")))
+
+
+def confidence_findings(pages: DataFrame) -> DataFrame:
+    return found(pages, finding("low_confidence", "info", F.lower(F.trim("confidence")).isin("low", "unknown"), F.col("confidence")))
+
+
+def cleaned(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"\s+", " "))
+
+
+def marker_findings(pages: DataFrame, pattern: str = MARKER) -> DataFrame:
+    """The first line of each body that holds a marker, to 240 characters."""
+    lines = F.transform(F.split(F.coalesce("body", F.lit("")), "\n"), cleaned)
+    first = F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0))
+    return found(pages.filter(F.col("body").rlike(r"(?i)CONTRADICTION|CONFLICT|DISPUTED|TODO") if pattern == MARKER else F.lit(True)).withColumn("_line", first), finding("contradiction_marker", "warning", F.col("_line").isNotNull(), F.substring("_line", 1, 240)))
+
 
+def procedure_findings(pages: DataFrame) -> DataFrame:
+    """What procedures lack; a step counts as described if its number is somewhere in the body."""
+    rows = pages.filter(F.col("kind").isin(*PROCEDURES))
+    no_steps = F.coalesce(F.size("steps"), F.lit(0)) <= 0
+    lacks = lambda rule, c: finding(rule, "warning", blank(c))
+    fixed = found(
+        rows, finding("procedure_missing_steps", "error", no_steps), lacks("procedure_missing_trigger", "trigger"), lacks("procedure-schema-version", "schema_version"), lacks("procedure-missing-author", "author"),
+        lacks("procedure-missing-validated-at", "validated_at"), finding("procedure-unvalidated", "warning", (F.col("kind") == "procedure") & ~F.coalesce("validated", F.lit(False))),
+    )
+    steps = rows.select("page_id", "body", F.posexplode("steps").alias("k", "step")).filter(~F.contains(F.coalesce("body", F.lit("")), (F.col("k") + 1).cast("string")))
+    return fixed.unionByName(steps.select("page_id", F.lit("procedure_step_not_in_body").alias("rule"), F.lit("info").alias("severity"), F.lit(None).cast("string").alias("target"), F.col("step").alias("detail")))
 
-def marker_review(lines: DataFrame, pattern: str, around: int = 2) -> DataFrame:
+
+def epistemic_findings(pages: DataFrame) -> DataFrame:
+    """Decisions and captures without a status, and assumptions where they carry weight or stand alone."""
+    kind, assumed = F.coalesce("kind", F.lit("page")), F.coalesce(F.col("epistemic_status") == "assumption", F.lit(False))
+    alone = assumed & (F.coalesce(F.size("sources"), F.lit(0)) <= 0) & blank("evidence") & (kind != "capture")
+    return found(
+        pages, finding("epistemic-label", "warning", kind.isin("decision", "capture") & blank("epistemic_status")), finding("epistemic-weak", "warning", assumed & kind.isin("project", "service", "decision")), finding("epistemic-unsourced", "error", alone)
+    )
+
+
+def claim_findings(claims: DataFrame) -> DataFrame:
+    """Claims that are assumptions, at their first page, or ?."""
+    rows = claims.filter("candidate_type = 'claim' and epistemic_status = 'assumption'").withColumn("page_id", F.coalesce(F.get("source_page_ids", F.lit(0)), F.lit("?")))
+    return found(rows, finding("epistemic-claim", "warning", F.lit(True), F.col("candidate_id")))
+
+
+def duplicate_title_findings(pages: DataFrame) -> DataFrame:
+    """Pages whose folded title others have as well; counts are joined back, so a common title is no group in one task."""
+    keyed = pages.select("page_id", F.lower(cleaned(F.col("title"))).alias("key")).filter("key <> ''")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return found(keyed.join(shared, "key"), finding("duplicate_title", "warning", F.lit(True), F.col("key")))
+
+
+def link_findings(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Broken links, and pages that no other page links to. links: source, target, exists."""
+    broken = found(links.filter("not exists").select(F.col("source").alias("page_id"), F.col("target").alias("t")).distinct(), finding("broken_internal_link", "error", F.lit(True), target=F.col("t")))
+    inbound = links.filter("exists and source <> target").select(F.col("target").alias("page_id")).distinct()
+    return broken.unionByName(found(pages.select("page_id").join(inbound, "page_id", "left_anti"), finding("orphan_page", "info", F.lit(True))))
+
+
+def lint(pages: DataFrame, links: DataFrame, today: Column, optional: tuple[str, ...] = ()) -> DataFrame:
+    """All rules of pages and links."""
+    parts = (header_findings(pages, optional), freshness_findings(pages, today), confidence_findings(pages), marker_findings(pages), procedure_findings(pages), epistemic_findings(pages), duplicate_title_findings(pages), link_findings(pages, links))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def settle(findings: DataFrame, enabled: Mapping[str, bool] | None = None, severities: Mapping[str, str] | None = None, suppressed: DataFrame | None = None) -> DataFrame:
+    """Findings after configuration: rules switched off go, severities are replaced, and suppressed (page_id, rule, reason) pairs are marked."""
+    off = [r for r, on in (enabled or {}).items() if not on]
+    rows = findings.filter(~F.col("rule").isin(off)) if off else findings
+    for rule, severity in (severities or {}).items():
+        rows = rows.withColumn("severity", F.when(F.col("rule") == rule, severity).otherwise(F.col("severity")))
+    if suppressed is None:
+        return rows.withColumn("suppressed", F.lit(False)).withColumn("reason", F.lit(None).cast("string"))
+    known = suppressed.groupBy("page_id", "rule").agg(F.min("reason").alias("reason"), F.lit(True).alias("suppressed"))
+    return rows.join(known, ["page_id", "rule"], "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+
+
+def ordered(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """By severity, page, rule, target and detail; a report of the first ones with a limit."""
+    place = F.coalesce(*(F.when(F.col("severity") == s, F.lit(k)) for s, k in ORDER.items()), F.lit(9))
+    rows = findings.orderBy(place, "page_id", "rule", F.coalesce("target", F.lit("")), F.coalesce("detail", F.lit("")))
+    return rows if limit is None else rows.limit(limit)
+
+
+def advised(findings: DataFrame) -> DataFrame:
+    """Findings with what to do about them, and whether a change of the header does it."""
+    advice = F.coalesce(*(F.when(F.col("rule") == r, F.lit(a)) for r, a in ADVICE.items()))
+    return findings.withColumn("advice", advice).withColumn("fixable", F.col("rule").isin(*FIXABLE))
+
+
+def fixable(findings: DataFrame) -> DataFrame:
+    """Advised findings that are fixable and not suppressed."""
+    return advised(findings).filter("fixable and not suppressed")
+
+
+def marker_review(lines: DataFrame, pattern: str = MARKER, around: int = 2) -> DataFrame:
     """page_id, line_no and the lines around every match.
 
     Only the lines around matches are shuffled into windows, joined by page and place.
@@ -39,25 +177,37 @@ def marker_review(lines: DataFrame, pattern: str, around: int = 2) -> DataFrame:
     hits = lines.filter(F.col("line").rlike(pattern)).select("page_id", "line_no")
     near = hits.select("page_id", "line_no", F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + around)).alias("n"))
     text = lines.select("page_id", F.col("line_no").alias("n"), "line")
-    found = near.join(text, ["page_id", "n"]).groupBy("page_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("x"))
+    found_lines = near.join(text, ["page_id", "n"]).groupBy("page_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("x"))
     side = lambda keep: F.array_join(F.transform(F.filter("x", keep), lambda e: e["line"]), "\n")
-    return found.select("page_id", "line_no", side(lambda e: e["n"] < F.col("line_no")).alias("before"), side(lambda e: e["n"] == F.col("line_no")).alias("line"), side(lambda e: e["n"] > F.col("line_no")).alias("after"))
+    return found_lines.select("page_id", "line_no", side(lambda e: e["n"] < F.col("line_no")).alias("before"), side(lambda e: e["n"] == F.col("line_no")).alias("line"), side(lambda e: e["n"] > F.col("line_no")).alias("after"))
+
+
+def first_markers(lines: DataFrame, pattern: str = MARKER) -> DataFrame:
+    """page_id, rule, line_no of the first line of each page that matches."""
+    hits = lines.filter(F.col("line").rlike(pattern)).groupBy("page_id").agg(F.min("line_no").alias("line_no"))
+    return hits.select("page_id", F.lit("contradiction_marker").alias("rule"), F.col("line_no").cast("long").alias("line_no"))
 
 
 def stale(pages: DataFrame, as_of: Column, column: str = "stale_after") -> DataFrame:
     """page_id, days_stale of pages whose date has passed, longest first."""
-    date = F.substring(F.col(column).cast("string"), 1, 10).try_cast("date")
-    days = F.datediff(as_of.cast("date"), date)
+    days = F.datediff(as_of.cast("date"), iso_date(column))
     return pages.select("page_id", days.alias("days_stale")).filter("days_stale > 0").orderBy(F.desc("days_stale"), "page_id")
 
 
+def review_queue(pages: DataFrame, as_of: Column) -> DataFrame:
+    """page_id, state, days_stale: stale pages, and pages without any date outside the loose folders."""
+    days = F.datediff(as_of.cast("date"), iso_date("stale_after"))
+    state = F.when(days > 0, "stale").when(F.col("stale_after").isNull() & F.col("reviewed_at").isNull() & ~F.col("page_id").rlike(LOOSE_FOLDERS), "missing_metadata")
+    return pages.select("page_id", state.alias("state"), F.when(days > 0, days).alias("days_stale")).filter("state is not null")
+
+
 def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Pages that nothing links to."""
     return pages.select("page_id").join(links.select(F.col("target").alias("page_id")).distinct(), "page_id", "left_anti")
 
 
-def orphan_suggestions(orphan: DataFrame, pages: DataFrame, most: int = 3) -> DataFrame:
-    """For each orphan, the pages that share most tags with it; of equally many, those of least page_id.
+def orphan_suggestions(orphan: DataFrame, pages: DataFrame, most: int = 3, among: DataFrame | None = None) -> DataFrame:
+    """For each orphan, the pages (of those in among, if given) that share most tags with it; of equally many, those of least page_id.
 
     Pages of equal tags are one set. The sets of orphans meet all sets by shared tag, so the pairs looked at grow with
     the different sets that hold a tag, not with its pages. Of each set the most + 1 least pages suffice: one of them
@@ -66,28 +216,97 @@ def orphan_suggestions(orphan: DataFrame, pages: DataFrame, most: int = 3) -> Da
     tags = pages.select("page_id", F.explode("tags").alias("tag")).filter("tag is not null")
     sets = tags.groupBy("page_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
     first = lambda *by: F.row_number().over(Window.partitionBy(by[0]).orderBy(*by[1:]))
-    least = sets.withColumn("k", first("tags", "page_id")).filter(F.col("k") <= most + 1).select("tags", "page_id")
+    allowed = sets if among is None else sets.join(among, "page_id", "left_semi")
+    least = allowed.withColumn("k", first("tags", "page_id")).filter(F.col("k") <= most + 1).select("tags", "page_id")
     mine = sets.join(orphan, "page_id", "left_semi").select(F.col("page_id").alias("orphan_id"), F.col("tags").alias("own"))
     a = mine.select("own").distinct().select("own", F.explode("own").alias("tag"))
-    b = sets.select("tags").distinct().select("tags", F.explode("tags").alias("tag"))
+    b = allowed.select("tags").distinct().select("tags", F.explode("tags").alias("tag"))
     shared = a.join(b, "tag").groupBy("own", "tags").agg(F.count("*").alias("n_shared"))
     order = (F.desc("n_shared"), "page_id")
     best = shared.join(least, "tags").withColumn("k", first("own", *order)).filter(F.col("k") <= most + 1)
-    found = mine.join(best, "own").filter("orphan_id <> page_id").select("orphan_id", "page_id", "n_shared")
-    return found.withColumn("place", first("orphan_id", *order)).filter(F.col("place") <= most)
+    near = mine.join(best, "own").filter("orphan_id <> page_id").select("orphan_id", "page_id", "n_shared")
+    return near.withColumn("place", first("orphan_id", *order)).filter(F.col("place") <= most)
 
 
-def settle(findings: DataFrame, enabled: Mapping[str, bool] | None = None, severities: Mapping[str, str] | None = None, suppressed: DataFrame | None = None) -> DataFrame:
-    """Findings (page_id, rule) after configuration: severity, whether suppressed, and their order by severity, page, rule."""
-    levels = {**SEVERITIES, **(severities or {})}
-    off = [r for r, on in (enabled or {}).items() if not on]
-    rows = findings.filter(~F.col("rule").isin(off)) if off else findings
-    level = F.coalesce(*(F.when(F.col("rule") == r, F.lit(s)) for r, s in levels.items()), F.lit("info"))
-    rows = rows.withColumn("severity", level)
-    if suppressed is not None:
-        rows = rows.join(suppressed.select("page_id", "rule").distinct().withColumn("suppressed", F.lit(True)), ["page_id", "rule"], "left").na.fill(False, ["suppressed"])
-    place = F.coalesce(*(F.when(F.col("severity") == s, F.lit(k)) for s, k in ORDER.items()), F.lit(9))
-    return rows.orderBy(place, "page_id", "rule")
+def title_words(title: Column) -> Column:
+    """Distinct words of four letters or digits and more, in lower case."""
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4)))
+
+
+def link_suggestions(orphan: DataFrame, pages: DataFrame, most: int = 3, among: DataFrame | None = None) -> DataFrame:
+    """orphan_id, page_id, score, place: where (among these pages, if given) an orphan might be linked from.
+
+    A page scores 10 and the number of shared tags if there are any, and the number of shared title words if there are
+    two or more. Pages that share only tags come from orphan_suggestions, whose best ones are enough; those that share
+    title words are met by pairs of words, so a single common word brings none together.
+    """
+    words = pages.select("page_id", title_words(F.col("title")).alias("words"))
+    pairs = F.flatten(F.transform("words", lambda w, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda v: F.concat(w, F.lit(" "), v))))
+    keyed = words.filter("size(words) > 1").select("page_id", F.explode(pairs).alias("pair"))
+    mine = keyed.join(orphan, "page_id", "left_semi").select(F.col("page_id").alias("orphan_id"), "pair")
+    close = mine.join(keyed if among is None else keyed.join(among, "page_id", "left_semi"), "pair").filter("orphan_id <> page_id").select("orphan_id", "page_id").distinct()
+    near = close.unionByName(orphan_suggestions(orphan, pages, most, among).select("orphan_id", "page_id")).distinct()
+    side = pages.select("page_id", F.array_distinct("tags").alias("tags"), title_words(F.col("title")).alias("words"))
+    both = near.join(side.withColumnsRenamed({"page_id": "orphan_id", "tags": "o_tags", "words": "o_words"}), "orphan_id").join(side, "page_id")
+    tags, shared = F.size(F.array_intersect("o_tags", "tags")), F.size(F.array_intersect("o_words", "words"))
+    score = F.when(tags > 0, tags + 10).otherwise(0) + F.when(shared >= 2, shared).otherwise(0)
+    place = F.row_number().over(Window.partitionBy("orphan_id").orderBy(F.desc("score"), "page_id"))
+    return both.select("orphan_id", "page_id", score.alias("score")).filter("score > 0").withColumn("place", place).filter(F.col("place") <= most)
+
+
+def close_ids(targets: DataFrame, pages: DataFrame, most: int = 2, least: float = 0.4, block: int = 2_000) -> DataFrame:
+    """target, page_id, ratio, place: the page ids most like each broken target (column target), by matching blocks (Ratcliff and Obershelp).
+
+    The distinct targets are taken in blocks, each held against all ids where these lie; a task keeps its best few of a
+    target. Ids too short, too long or of too different letters are passed over by exact bounds.
+    """
+    wanted = targets.select("target").filter("target is not null").distinct()
+    out, held = None, []
+
+    def against(names: list[str]) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import difflib
+            import heapq
+
+            best: dict[str, list] = {n: [] for n in names}
+            for frame in frames:
+                for n in names:
+                    match = difflib.SequenceMatcher()
+                    match.set_seq2(n)
+                    for page in frame["page_id"]:
+                        match.set_seq1(page)
+                        if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= least:
+                            best[n].append((r, page))
+                    best[n] = heapq.nlargest(most, best[n])
+            yield pd.DataFrame([(n, p, r) for n, found_ids in best.items() for r, p in found_ids], columns=["target", "page_id", "ratio"])
+
+        return pages.select("page_id").mapInPandas(run, "target string, page_id string, ratio double")
+
+    for row in wanted.toLocalIterator():
+        held.append(row[0])
+        if len(held) == block:
+            out, held = against(held) if out is None else out.unionAll(against(held)), []
+    if held or out is None:
+        out = against(held) if out is None else out.unionAll(against(held))
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("ratio"), F.desc("page_id")))
+    return out.withColumn("place", place).filter(F.col("place") <= most).withColumn("ratio", F.round("ratio", 6))
+
+
+def heartbeat(findings: DataFrame) -> DataFrame:
+    """category, n, first_page: findings that are not suppressed by category of upkeep; the details are the findings themselves."""
+    named = F.coalesce(*(F.when(F.col("rule").isin(*rules), F.lit(c)) for c, rules in CATEGORIES.items()))
+    rows = findings.filter("not suppressed").withColumn("category", named).filter("category is not null")
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+def heartbeat_captures(findings: DataFrame, pages: DataFrame, done: DataFrame, self_task: str = "heartbeat-self-audit") -> DataFrame:
+    """category, n of what is to be captured today: findings outside the upkeep's own pages, in categories not captured yet (done: category).
+
+    Missing metadata is never captured.
+    """
+    own = pages.filter(F.col("source_task") == self_task).select("page_id")
+    left = heartbeat(findings.join(own, "page_id", "left_anti")).filter("category <> 'missing_metadata'")
+    return left.join(done.select("category").distinct(), "category", "left_anti").select("category", "n")
 
 
 def missing_fields(pages: DataFrame, required: Mapping[str, list[str]]) -> DataFrame:

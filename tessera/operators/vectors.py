@@ -2,40 +2,68 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import idf
 from tessera.functions.text import tokens
+from tessera.sources.storage import cut
 
 
-def chunks(pages: DataFrame, size: int = 500, overlap: int = 100, section: str = r"(?=\n#{1,6}\s)") -> DataFrame:
-    """page_id, chunk_index, content: sections packed up to `size`, each chunk beginning with the end of the one before.
+HEADINGS = r"(?=\n#{1,6}\s)"
 
-    A section that is longer is one chunk. Packing carries state along a page, so it runs in Arrow batches.
+
+def chunks(pages: DataFrame, size: int = 500, overlap: int = 100, section: str = HEADINGS) -> DataFrame:
+    """chunk_id, page_id, chunk_index, content: sections packed up to `size`, each chunk beginning with the end of the one before.
+
+    A section that is longer is one chunk. Packing carries state along a page, so it runs over batches of pages.
     """
 
+    def packed(parts: list[str]) -> Iterator[str]:
+        held = ""
+        for part in parts:
+            if held and len(held) + len(part) > size:
+                yield held.strip()
+                held = f"{held[-overlap:]}\n{part}" if overlap else part
+            else:
+                held = f"{held}\n{part}".strip()
+        if held.strip():
+            yield held.strip()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
         split = re.compile(section)
         for frame in frames:
-            out = []
-            for page, text in zip(frame["page_id"], frame["body"]):
-                held, n = "", 0
-                for part in filter(str.strip, split.split(text or "")):
-                    if held and len(held) + len(part) > size:
-                        out.append((page, n, held))
-                        held, n = held[-overlap:] if overlap else "", n + 1
-                    held += part
-                if held.strip():
-                    out.append((page, n, held))
-            yield pd.DataFrame(out, columns=["page_id", "chunk_index", "content"])
+            rows = [(f"{p}#{k}", p, k, c) for p, text in zip(frame["page_id"], frame["body"]) for k, c in enumerate(packed([x.strip() for x in split.split(text or "") if x.strip()]))]
+            yield pd.DataFrame(rows, columns=["chunk_id", "page_id", "chunk_index", "content"])
+
+    return pages.select("page_id", "body").mapInPandas(run, "chunk_id string, page_id string, chunk_index long, content string")
+
+
+def index(pages: DataFrame) -> DataFrame:
+    """Chunks with the actor and lane of their pages, to search in."""
+    return chunks(pages).join(pages.select("page_id", "actor", "lane"), "page_id")
+
+
+def index_counts(chunked: DataFrame) -> DataFrame:
+    """n_chunks, n_pages, n_scoped (with an actor or lane): one row."""
+    return chunked.agg(F.count("*").alias("n_chunks"), F.countDistinct("page_id").alias("n_pages"), F.count_if(F.col("actor").isNotNull() | F.col("lane").isNotNull()).alias("n_scoped"))
+
+
+def page_scopes(chunked: DataFrame) -> DataFrame:
+    return chunked.groupBy("page_id").agg(F.max("actor").alias("actor"), F.max("lane").alias("lane"))
 
-    return pages.select("page_id", "body").mapInPandas(run, "page_id string, chunk_index long, content string")
+
+def frequency_change(old: DataFrame, new: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """token, df after postings (page_id, token) of some pages are replaced: old ones count down, new ones up, and tokens without a page go."""
+    sign = lambda posts, n: posts.select("token", F.lit(n).alias("n"))
+    rows = frequencies.select("token", F.col("df").alias("n")).unionAll(sign(old, -1)).unionAll(sign(new, 1))
+    return rows.groupBy("token").agg(F.sum("n").alias("df")).filter("df > 0")
 
 
 def term_frequencies(chunked: DataFrame) -> DataFrame:
@@ -45,23 +73,98 @@ def term_frequencies(chunked: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "token", "n").agg((F.count("*") / F.col("n")).alias("tf")).drop("n")
 
 
-def sparse_cosine(pages: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """page_id and TF-IDF cosine with the query. Tokens outside the query have idf 1 in a page's norm."""
-    terms = sorted(set(query.lower().split()))
-    tf = term_frequencies(pages)
-    total = pages.agg(F.count("*").alias("n_pages"))
-    hits = tf.filter(F.col("token").isin(terms))
-    df = hits.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total))  # one row a query term
-    weights = df.select("token", idf(F.col("n_pages"), F.col("df")).alias("idf"))
-    share = 1.0 / len(terms)
-    weighed = tf.join(F.broadcast(weights), "token", "left")
-    per_page = weighed.groupBy("page_id").agg(
-        F.sum(F.when(F.col("idf").isNotNull(), F.col("tf") * F.col("idf") * share * F.col("idf"))).alias("dot"),
-        F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(1.0)), 2))).alias("norm"),
-    )
-    query_norm = weights.agg(F.sqrt(F.sum(F.pow(F.col("idf") * share, 2))).alias("query_norm"))
-    scored = per_page.filter("dot > 0").join(F.broadcast(query_norm))
-    return scored.select("page_id", F.round(F.col("dot") / (F.col("norm") * F.col("query_norm")), 6).alias("score")).orderBy(F.desc("score"), F.desc("page_id")).limit(limit)
+def squares(x: Column) -> Column:
+    """The sum of the squares of how often each value stands in an array."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(s: Column, t: Column) -> Column:
+        # A run of length r adds 1 + 3 + ... + (2r - 1) = r * r.
+        run = F.when(s["last"] == t, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(t.alias("last"), run.alias("run"), (s["sum"] + 2 * run - 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(x), start, step, lambda s: s["sum"])
+
+
+def sparse_cosine(pages: DataFrame, query: str, limit: int = 10, key: str = "page_id", text: str = "body", lane: str | None = None, actor: str | None = None) -> DataFrame:
+    """key and TF-IDF cosine with the query of the best rows of a lane and actor. Tokens outside the query have idf 1 in a row's norm.
+
+    One pass over the texts: a row's norm and the counts of the query's tokens come from the row itself, and only they are
+    kept. Frequencies count all rows, whatever the scope.
+    """
+    found = re.findall("[a-z0-9]{2,}", query.lower())
+    terms = sorted(set(found))
+    scope = [c for c in ("lane", "actor") if c in pages.columns]
+
+    def counts(t: Column) -> Column:
+        return F.struct(F.size(t).alias("n"), squares(t).alias("squares"), F.array(*(F.size(F.filter(t, lambda x: x == q)) for q in terms)).alias("counts"))  # noqa: B023
+
+    bound = F.transform(F.array(tokens(F.col(text), 2)), counts)[0]
+    rows = cut(pages.select(key, *scope, bound.alias("c")).select(key, *scope, "c.*"))
+    df = rows.agg(F.count("*").alias("n_rows"), *(F.count_if(F.get("counts", F.lit(k)) > 0).alias(f"df{k}") for k in range(len(terms))))  # one row
+    share = [found.count(t) / len(found) for t in terms]
+    weights = [F.when(F.col(f"df{k}") > 0, idf(F.col("n_rows"), F.col(f"df{k}"))).otherwise(F.lit(1.0)) for k in range(len(terms))]
+    hits = rows.filter(F.exists("counts", lambda c: c > 0))
+    for column, value in (("lane", lane), ("actor", actor)):
+        hits = hits if value is None else hits.filter(F.col(column) == value)
+    c = [F.get("counts", F.lit(k)) for k in range(len(terms))]
+    tf = [x / F.col("n") for x in c]
+    total = lambda parts: sum(parts, F.lit(0.0))
+    dot_product = total(t * w * s * w for t, w, s in zip(tf, weights, share))
+    norm = F.sqrt((F.col("squares") - total(x * x for x in c)) / (F.col("n") * F.col("n")) + total(t * w * t * w for t, w in zip(tf, weights)))
+    query_norm = F.sqrt(total(w * s * w * s for w, s in zip(weights, share)))
+    scored = hits.join(F.broadcast(df)).select(key, F.round(dot_product / (norm * query_norm), 6).alias("score"))
+    return scored.filter("score > 0").orderBy(F.desc("score"), F.desc(key)).limit(limit)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2_000) -> DataFrame:
+    """query_id, vec_id, score, place: for each query (vec_id, embedding) the k vectors of the greatest cosine, clamped to 0; ties by vec_id.
+
+    The queries are taken in blocks of bounded size, each held against all vectors where these lie; a task keeps the best
+    k of a query in each batch. Vectors of no length score 0.
+    """
+    import numpy as np
+
+    def unit(x) -> np.ndarray:
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(length > 0, length, 1)
+
+    def against(ids: list, matrix: np.ndarray) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(matrix)))
+
+        def run(batches):
+            import pyarrow as pa
+
+            names, q = shared.value
+            for batch in batches:
+                v = unit(np.stack(batch.column("embedding").to_pylist()).astype(np.float64))
+                score = np.round(np.maximum(q @ v.T, 0), 6)
+                own = np.array(batch.column("vec_id").to_pylist())
+                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, order.shape[1]), "vec_id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+
+        return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+
+    out, ids, rows = None, [], []
+    for row in queries.select("vec_id", "embedding").filter("embedding is not null").toLocalIterator():
+        ids.append(row[0])
+        rows.append(row[1])
+        if len(ids) == block:
+            part = against(ids, np.array(rows, np.float64))
+            out, ids, rows = part if out is None else out.unionAll(part), [], []
+    if ids:
+        part = against(ids, np.array(rows, np.float64))
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, place int")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def similarities(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
+    """vec_id and cosine with a query, from -1 to 1, of given vectors."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    norm = sum(float(x) ** 2 for x in query) ** 0.5
+    return vectors.select("vec_id", F.round(dot(F.col("embedding"), q) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.lit(norm)), 6).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

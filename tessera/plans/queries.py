@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring
-from tessera.operators import captures, claims, extract, fusion, graph, lexical, pages, policy, precedents, quality_rules, vectors
+from tessera.operators import captures, fusion, graph, lexical, pages, precedents, quality_rules, vectors
+from tessera.plans.registry import ORACLES, query
 from tessera.sources import adapters, storage
 from tessera.streaming import claims as streams
 
 QUERY = "the trash nicht"
 MARKER = "worthless|disgusting|trash"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 PAGES = "p AS (SELECT doc_id::VARCHAR AS page_id, string_split(text, chr(10))[1] AS title, lang AS kind, source AS lane, [lang, source] AS tags, substr(text, 1, 200) AS summary, text AS body, n_chars AS size FROM documents)"
 LINES = "l AS (SELECT doc_id::VARCHAR AS page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
-OBS = "o AS (SELECT event_id, user_id::VARCHAR AS subject, event_type AS predicate, floor(value / 250)::BIGINT::VARCHAR AS object, ts AS observed_at, (event_id % 3)::VARCHAR AS actor, value, json_extract_string(props, '$.k')::BIGINT AS k FROM events)"
-CLAIMS = OBS + """, c0 AS (SELECT subject, predicate, object, min(event_id) AS claim_id, count(*) AS seen, min(observed_at) AS valid_from, max(observed_at) AS updated_at FROM o GROUP BY ALL),
-c AS (SELECT *, CASE WHEN seen >= 20 THEN 'high' WHEN seen >= 8 THEN 'medium' ELSE 'low' END AS confidence, round(least(1.0, 0.5 + 0.05 * (seen - 1)), 6)::DOUBLE AS strength,
-sha256(concat_ws(chr(10), lower(trim(subject)), lower(trim(predicate)), lower(trim(object)))) AS dedupe_hash FROM c0)"""
-DECAYED = CLAIMS + """, dd AS (SELECT *, greatest(0, date_diff('microsecond', updated_at, TIMESTAMP '2024-02-01') // 86400000000) AS days FROM c),
-d AS (SELECT *, round(greatest(CASE WHEN confidence = 'high' THEN 0.2 ELSE 0.01 END, strength * power(0.995, days)), 6) AS decayed FROM dd)"""
 EDGES = """e AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target, 'located_in' AS type FROM customer
 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' FROM nation),
 b AS (SELECT source AS node, target AS other, type, 'out' AS direction FROM e UNION ALL SELECT target, source, type, 'in' FROM e)"""
@@ -34,18 +23,6 @@ sec AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS s
 POSTS = """t AS (SELECT page_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]{1,}')) AS token FROM p), post AS (SELECT page_id, token, count(*) AS tf FROM t GROUP BY ALL)"""
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _terms_score(fields_only: bool = False) -> str:
     parts = []
     for t in QUERY.split():
@@ -169,94 +146,6 @@ def precision_recall_at_k(spark, sf_dir):
     return fusion.measures(results, d.join(good, "doc_id", "left_semi").select("query_id", "doc_id").distinct(), 20)
 
 
-def _claims(spark, sf_dir):
-    return claims.reinforce(adapters.observations(spark, sf_dir))
-
-
-def _as_of():
-    return F.lit(adapters.AS_OF).cast("timestamp_ntz")
-
-
-@query(f"WITH {CLAIMS} SELECT subject, predicate, object, claim_id, seen, valid_from, updated_at, strength, confidence, dedupe_hash FROM c")
-def claim_reinforce(spark, sf_dir):
-    return _claims(spark, sf_dir)
-
-
-@query(f"WITH {CLAIMS} SELECT confidence, count(*) AS n FROM c GROUP BY 1")
-def claim_status_counts(spark, sf_dir):
-    return pages.counts_by(_claims(spark, sf_dir), "confidence")
-
-
-@query(f"""WITH {OBS}, a AS (SELECT subject, predicate, object, min(event_id) AS claim_id, count(*) AS seen, min(observed_at) AS valid_from, max(observed_at) AS updated_at FROM o WHERE observed_at < TIMESTAMP '2024-01-15' GROUP BY ALL),
-n AS (SELECT subject, predicate, object, min(event_id) AS new_id, count(*) AS more, min(observed_at) AS new_from, max(observed_at) AS new_at FROM o WHERE observed_at >= TIMESTAMP '2024-01-15' GROUP BY ALL)
-SELECT subject, predicate, object, coalesce(claim_id, new_id) AS claim_id, coalesce(seen, 0) + coalesce(more, 0) AS seen, coalesce(valid_from, new_from) AS valid_from, greatest(updated_at, new_at) AS updated_at,
-round(CASE WHEN seen IS NULL THEN least(1.0, 0.5 + 0.05 * (more - 1)) ELSE least(1.0, round(least(1.0, 0.5 + 0.05 * (seen - 1)), 6) + 0.05 * coalesce(more, 0)) END, 6)::DOUBLE AS strength FROM a FULL JOIN n USING (subject, predicate, object)""")
-def claim_merge(spark, sf_dir):
-    o = adapters.observations(spark, sf_dir)
-    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    return claims.merge(claims.reinforce(o.filter(F.col("observed_at") < cut)), o.filter(F.col("observed_at") >= cut))
-
-
-@query(f"""WITH {OBS}, v AS (SELECT event_id, subject, predicate, object, observed_at AS valid_from, lead(observed_at) OVER (PARTITION BY subject, predicate ORDER BY observed_at, event_id) AS valid_until FROM o)
-SELECT * FROM v WHERE valid_from <= TIMESTAMP '2024-01-20' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-01-20')""")
-def claims_valid_at(spark, sf_dir):
-    return claims.valid_at(claims.versions(adapters.observations(spark, sf_dir)), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-
-
-@query(f"WITH {DECAYED} SELECT claim_id, confidence, strength, days, decayed FROM d")
-def claim_decay(spark, sf_dir):
-    return claims.decay(_claims(spark, sf_dir), _as_of()).select("claim_id", "confidence", "strength", "days", "decayed")
-
-
-@query(f"WITH {DECAYED} SELECT claim_id, decayed, days FROM d WHERE decayed <= 0.5 AND days >= 5")
-def floored_claims(spark, sf_dir):
-    return claims.floored(claims.decay(_claims(spark, sf_dir), _as_of()), 0.5, 5).select("claim_id", "decayed", "days")
-
-
-@query(f"""WITH {CLAIMS} SELECT a.subject, a.predicate, a.claim_id AS a_claim_id, a.object AS a_object, b.claim_id AS b_claim_id, b.object AS b_object
-FROM c a JOIN c b ON a.subject = b.subject AND a.predicate = b.predicate AND a.claim_id < b.claim_id AND a.object <> b.object AND a.valid_from <= b.updated_at AND b.valid_from <= a.updated_at""")
-def claim_contradictions(spark, sf_dir):
-    return claims.contradictions(_claims(spark, sf_dir))
-
-
-def _recall_sql(query_text: str | None, limit: int) -> str:
-    w = scoring.recall_weights(query_text is not None, False)
-    relevance, keep = "0", ""
-    if query_text:
-        q = sorted(set(query_text.split()))
-        text = "list_distinct(regexp_extract_all(lower(concat_ws(' ', subject, predicate, object)), '[a-z0-9]{1,}'))"
-        hits = f"len(list_intersect({q}, {text}))"
-        relevance, keep = f"{hits} / {len(q)} * {w['relevance']}", f"WHERE {hits} > 0"
-    return f"""WITH {CLAIMS}, f AS (SELECT * FROM (SELECT * FROM c ORDER BY strength DESC, updated_at DESC, claim_id LIMIT 500) {keep}),
-s AS (SELECT *, round(strength * {w['strength']} + power(0.5, greatest(0, date_diff('microsecond', updated_at, TIMESTAMP '2024-02-01') / 86400e6) / 30.0) * {w['recency']} + least(1.0, ln(1 + seen) / ln(21)) * {w['salience']} + {relevance}, 6) AS own FROM f),
-g AS (SELECT *, count(DISTINCT object) OVER (PARTITION BY subject, predicate) > 1 AS several, first_value(claim_id) OVER z AS win_id, first_value(own) OVER z AS win FROM s WINDOW z AS (PARTITION BY subject, predicate ORDER BY updated_at DESC, claim_id DESC))
-SELECT claim_id, subject, predicate, object, round(CASE WHEN several AND win_id <> claim_id THEN greatest(0, least(own, win - 1e-6)) ELSE own END, 6) AS score, several AND win_id <> claim_id AS demoted FROM g ORDER BY score DESC, claim_id LIMIT {limit}"""
-
-
-@query(_recall_sql(None, 20))
-def recall_scored(spark, sf_dir):
-    return claims.recall(_claims(spark, sf_dir), _as_of())
-
-
-@query(_recall_sql("click purchase 7", 200))
-def recall_demoted(spark, sf_dir):
-    return claims.recall(_claims(spark, sf_dir), _as_of(), "click purchase 7", limit=200)
-
-
-@query(f"""WITH {CLAIMS}, p AS (SELECT a.claim_id AS old_id, b.claim_id AS new_id, a.updated_at AS old_at, b.updated_at AS new_at, a.confidence AS oc, b.confidence AS nc, (a.claim_id % 3) AS oa, (b.claim_id % 3) AS na, b.claim_id % 4 AS st
-FROM c a JOIN c b ON a.subject = b.subject AND a.predicate = b.predicate AND a.claim_id < b.claim_id AND a.object <> b.object AND a.valid_from <= b.updated_at AND b.valid_from <= a.updated_at),
-q AS (SELECT old_id, new_id, concat_ws(',', CASE WHEN oa <> na THEN 'actor' END, CASE WHEN NOT new_at > old_at THEN 'not_newer' END,
-CASE WHEN list_position(['unknown', 'low', 'medium', 'high'], nc) <= list_position(['unknown', 'low', 'medium', 'high'], oc) THEN 'confidence' END, CASE WHEN st = 0 THEN 'assumption' END, CASE WHEN st = 1 THEN 'untraced' END) AS reasons FROM p)
-SELECT old_id, new_id, reasons, reasons = '' AS allowed FROM q""")
-def supersession_gate(spark, sf_dir):
-    c = _claims(spark, sf_dir)
-    side = lambda s: c.select(F.col("claim_id").alias(f"{s}_id"), F.col("updated_at").alias(f"{s}_at"), F.col("confidence").alias(f"{s}_confidence"), (F.col("claim_id") % 3).alias(f"{s}_actor"))
-    pairs = claims.contradictions(c).select(F.col("a_claim_id").alias("old_id"), F.col("b_claim_id").alias("new_id")).join(side("old"), "old_id").join(side("new"), "new_id")
-    status = F.when(F.col("new_id") % 4 == 0, "assumption").when(F.col("new_id") % 4 == 1, "inferred").otherwise("observed")
-    gated = claims.supersession(pairs.withColumn("new_status", status).withColumn("new_trace", F.lit(None).cast("string")))
-    return gated.select("old_id", "new_id", F.array_join("reasons", ",").alias("reasons"), "allowed")
-
-
 @query("""WITH t AS (SELECT user_id, event_id, json_extract_string(props, '$.k')::BIGINT AS k, ts FROM events), b AS (SELECT user_id, sum(k) AS total FROM t GROUP BY 1)
 SELECT user_id, total, arg_max(k, (ts, event_id)) AS last, (SELECT round(avg(k), 6) FROM (SELECT k FROM t x WHERE x.user_id = b.user_id AND k > 0 ORDER BY ts DESC, event_id DESC LIMIT 10)) AS recent FROM b JOIN t USING (user_id) GROUP BY ALL""")
 def token_rollup(spark, sf_dir):
@@ -307,12 +196,6 @@ def ego_subgraph(spark, sf_dir):
     return graph.ego(adapters.edges(spark, sf_dir), "r1", 2)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, s AS (SELECT DISTINCT node, other FROM b), w AS (SELECT 'n1' AS node, ['n1'] AS path UNION ALL SELECT s.other, list_append(w.path, s.other) FROM w JOIN s ON s.node = w.node WHERE w.node <> 'n2' AND len(w.path) <= 4 AND NOT list_contains(w.path, s.other))
-SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS hops FROM w WHERE node = 'n2'""")
-def simple_paths(spark, sf_dir):
-    return graph.paths(adapters.edges(spark, sf_dir), "n1", "n2", 4)
-
-
 @query(f"WITH {EDGES}, n AS (SELECT DISTINCT node FROM b), k AS (SELECT node, count(DISTINCT other) AS k FROM b WHERE node <> other GROUP BY 1) SELECT node, round(coalesce(k, 0) / ((SELECT count(*) FROM n) - 1), 6) AS centrality FROM n LEFT JOIN k USING (node)")
 def degree_centrality(spark, sf_dir):
     return graph.degree_centrality(adapters.edges(spark, sf_dir))
@@ -339,15 +222,9 @@ def duplicate_titles(spark, sf_dir):
     return pages.duplicate_titles(adapters.pages(spark, sf_dir))
 
 
-@query(f"""WITH {PAGES}, u AS (SELECT page_id, unnest(list_filter([CASE WHEN trim(coalesce(title, '')) = '' THEN 'missing_title' END, CASE WHEN trim(coalesce(kind, '')) = '' THEN 'missing_kind' END, CASE WHEN trim(coalesce(summary, '')) = '' THEN 'missing_summary' END, CASE WHEN length(coalesce(body, '')) < 200 THEN 'short_body' END], lambda x: x IS NOT NULL)) AS rule FROM p)
-SELECT page_id, rule, CASE rule WHEN 'missing_title' THEN 'error' WHEN 'missing_summary' THEN 'info' ELSE 'warning' END AS severity FROM u""")
-def field_findings(spark, sf_dir):
-    return quality_rules.settle(quality_rules.field_findings(adapters.pages(spark, sf_dir), 200))
-
-
-@query(f"WITH {LINES} SELECT page_id, 'contradiction' AS rule, min(line_no)::BIGINT AS line_no FROM l WHERE regexp_matches(line, '{MARKER}') GROUP BY page_id")
+@query(f"WITH {LINES} SELECT page_id, 'contradiction_marker' AS rule, min(line_no)::BIGINT AS line_no FROM l WHERE regexp_matches(line, '{MARKER}') GROUP BY page_id")
 def contradiction_lines(spark, sf_dir):
-    return quality_rules.marker_findings(adapters.sections(spark, sf_dir), MARKER)
+    return quality_rules.first_markers(adapters.sections(spark, sf_dir), MARKER)
 
 
 @query(f"""WITH {LINES}, h AS (SELECT page_id, line_no FROM l WHERE regexp_matches(line, '{MARKER}'))
@@ -405,43 +282,6 @@ def title_words(spark, sf_dir):
     return captures.title_words(adapters.pages(spark, sf_dir))
 
 
-@query()
-def extracted_claims(spark, sf_dir):
-    return extract.claims(adapters.captures(spark, sf_dir))
-
-
-@query(f"""WITH {CLAIMS}, t AS (SELECT claim_id, 'u' || subject AS target, confidence FROM c), x AS (SELECT DISTINCT a.claim_id FROM c a JOIN c b ON a.subject = b.subject AND a.predicate = b.predicate AND a.claim_id <> b.claim_id AND a.object <> b.object AND a.valid_from <= b.updated_at AND b.valid_from <= a.updated_at),
-g AS (SELECT target, count(*) AS n_claims, min(claim_id) AS first_claim, bool_or(claim_id IN (SELECT claim_id FROM x)) AS clash, bool_and(confidence = 'high') AS sure, substr(target, 2)::INT % 2 = 0 AS known FROM t GROUP BY target)
-SELECT target, n_claims, first_claim, CASE WHEN NOT known THEN 'create_stub' WHEN clash THEN 'update_fact' ELSE 'append_fact' END AS operation, CASE WHEN clash THEN 'high' WHEN NOT known OR NOT sure THEN 'medium' ELSE 'low' END AS risk, known AND sure AND NOT clash AS auto_appliable FROM g""")
-def patch_plans(spark, sf_dir):
-    c = _claims(spark, sf_dir)
-    pairs = claims.contradictions(c)
-    clashing = pairs.select(F.explode(F.array("a_claim_id", "b_claim_id")).alias("claim_id"))
-    known = c.select(F.concat(F.lit("u"), "subject").alias("page_id")).distinct().filter("cast(substr(page_id, 2) as int) % 2 = 0")
-    return policy.plan(c.select("claim_id", F.concat(F.lit("u"), "subject").alias("target"), "confidence"), clashing, known)
-
-
-POLICIES = [("p1", None, None, "contradicted", "review", True), ("p2", "de", "write", "always", "deny", True), ("p3", None, "write", "not_confident", "review", True), ("p4", None, None, "always", "deny", False)]
-
-
-@query("""WITH r AS (SELECT doc_id AS request_id, lang AS kind, CASE WHEN doc_id % 2 = 0 THEN 'write' ELSE 'read' END AS operation, doc_id % 5 = 0 AS contradicted, n_chars > 1000 AS confident FROM documents)
-SELECT request_id, 'p1' AS policy_id, 'review' AS decision FROM r WHERE contradicted UNION ALL SELECT request_id, 'p2', 'deny' FROM r WHERE kind = 'de' AND operation = 'write' UNION ALL SELECT request_id, 'p3', 'review' FROM r WHERE operation = 'write' AND NOT confident""")
-def policy_decisions(spark, sf_dir):
-    d = storage.table(spark, sf_dir, "documents")
-    requests = d.select(F.col("doc_id").alias("request_id"), F.col("lang").alias("kind"), F.when(F.col("doc_id") % 2 == 0, "write").otherwise("read").alias("operation"), (F.col("doc_id") % 5 == 0).alias("contradicted"), (F.col("n_chars") > 1000).alias("confident"))
-    return policy.evaluate(requests, spark.createDataFrame(POLICIES, "policy_id string, kind string, operation string, condition string, decision string, enabled boolean"))
-
-
-@query(f"""WITH {PAGES}, u AS (SELECT 'trace' AS type, 'e' || event_id AS id, round(0.2 + CASE WHEN contains(event_type, 'error') THEN 0.35 ELSE 0 END + CASE WHEN user_id % 50 = 1 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS relevance FROM events WHERE contains(event_type, 'error') OR user_id % 50 = 1
-UNION ALL SELECT 'page', page_id, round(0.1 + 0.25 + CASE WHEN lane = 'src1' THEN 0.15 ELSE 0 END, 6)::DOUBLE FROM p WHERE contains(lower(concat_ws(' ', title, body)), 'error'))
-SELECT type, id, relevance, (SELECT count(*) FROM u) AS total FROM u ORDER BY relevance DESC, type, id LIMIT 25""")
-def precedent_search(spark, sf_dir):
-    e = storage.table(spark, sf_dir, "events")
-    traces = e.select(F.concat(F.lit("e"), "event_id").alias("trace_id"), F.when(F.col("user_id") % 50 == 1, "me").otherwise("you").alias("actor"), F.col("event_type").alias("summary"), F.array().cast("array<string>").alias("policy_refs"), F.lit(None).cast("string").alias("task_id"))
-    branches = [precedents.trace_precedents(traces, "error", actor="me"), precedents.page_precedents(adapters.pages(spark, sf_dir), "error", "src1")]
-    return precedents.search(branches, 25)
-
-
 @query("SELECT user_id AS page_id, count(DISTINCT event_id) AS n_captures, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS actors, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
 def provenance_union(spark, sf_dir):
     e = storage.table(spark, sf_dir, "events")

@@ -26,7 +26,25 @@ def history(events: DataFrame, page_id: str | None = None, actor: str | None = N
     return events.orderBy(F.desc("ts"), "page_id", "action").limit(limit)
 
 
-def compact(spark: SparkSession, folder: str, target: str, before: str) -> None:
-    """The days before a date, written gzipped to target."""
-    old = scan(spark, folder).filter(F.col("day") < F.lit(before).cast("date"))
-    old.write.mode("overwrite").option("compression", "gzip").partitionBy("day").json(target)
+def compact(spark: SparkSession, folder: str, target: str, before: str) -> int:
+    """Moves the days before a date to target, gzipped; gives the number of days moved.
+
+    A day goes from folder once it is written to target, whole; run again after a failure, it is written anew. So every
+    event is in one of the two folders, and everything is what read_all reads.
+    """
+    days = [r[0] for r in scan(spark, folder).filter(F.col("day") < F.lit(before).cast("date")).select(F.col("day").cast("string")).distinct().orderBy("day").collect()]
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for day in days:
+        scan(spark, folder).filter(F.col("day") == F.lit(day).cast("date")).drop("day").write.mode("overwrite").option("compression", "gzip").json(f"{target}/day={day}")
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/day={day}"), True)
+    return len(days)
+
+
+def read_all(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """The events of a log and of its compacted days."""
+    return scan(spark, folder).unionByName(scan(spark, target))
+
+
+def follow(spark: SparkSession, folder: str) -> DataFrame:
+    """The log as a stream."""
+    return spark.readStream.schema(f"{SCHEMA}, day date").json(folder)

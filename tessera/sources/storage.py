@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; without it one of this machine, for a local master only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.cut.dir", None)
+    if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tessera-cut-")
+        spark.conf.set("tessera.cut.dir", path)
+    return path.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder; for loops of joins."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint()
+    """df with its lineage cut: written once to the shared folder as Parquet and read back; for loops of joins."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:

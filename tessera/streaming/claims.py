@@ -33,6 +33,12 @@ def rate_windows(events: DataFrame, length: str = "60 minutes", slide: str = "10
     return counted.filter(F.col("n") > most).select("user_id", F.col("window.start").alias("start"), "n")
 
 
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """user_id, start, n of sessions that end when nothing comes for a while."""
+    counted = events.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return counted.select("user_id", F.col("w.start").alias("start"), "n")
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """All that is there now, in micro-batches, to Parquet; `complete` results go to the folder of their last batch."""
     if mode == "append":

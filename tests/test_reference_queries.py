@@ -4,7 +4,7 @@ import pytest
 from oracle import SF, same
 
 import __spark_entry__
-from tessera.plans.queries import ORACLES, QUERIES
+from tessera.plans import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
