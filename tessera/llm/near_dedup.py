@@ -43,24 +43,30 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((values & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).view(np.int64)
 
 
-def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH, full: bool = False) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the whole set), the sketch and the odd sketch of each row's text; with full, the set."""
+def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH) -> DataFrame:
+    """doc_id, n_shingles, set_key (128-bit hash of the whole set), the sketch and the odd sketch of each row's text."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         for batch in (part for whole in batches for part in pieces(whole, "text")):
             sets = shingle_sets(arrow_texts(batch.column("text")), shingle)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            columns.append(pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64())))
-            names = ["doc_id", "n_shingles", "set_key", "sketch", "odd"]
-            if full:
-                columns, names = columns[:3] + [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names[:3] + ["members"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = _set_columns(batch, sets) + [pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sketch", "odd"])
 
-    last = "members array<long>" if full else "sketch array<long>, odd array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_shingles long, set_key binary, {last}")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>, odd array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _set_columns(batch, sets: list[np.ndarray]) -> list:
+    """doc_id, n_shingles, set_key."""
+    import pyarrow as pa
+    import xxhash
+
+    return [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
 
 
 def _close(percent: int):
@@ -127,20 +133,22 @@ def _whole_sets(chosen: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     rows = docs.select(rep.alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = presence_size(chosen.count())
     if size is None:
-        near = rows.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return shingle_rows(near, shingle, full=True).select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "members")
-    bits = chosen.sparkSession.sparkContext.broadcast(presence_bits(chosen.select("rep"), "rep", size))
+        bits = None
+        rows = rows.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("place", F.lit(0).cast("long"))
+    else:
+        bits = chosen.sparkSession.sparkContext.broadcast(presence_bits(chosen.select("rep"), "rep", size))
+        rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            may = batch.filter(pa.array(present(bits.value, batch.column("place").to_numpy(zero_copy_only=False))))
-            if len(may):
-                yield may.select(["doc_id", "text"])
+            may = batch if bits is None else batch.filter(pa.array(present(bits.value, batch.column("place").to_numpy(zero_copy_only=False))))
+            for part in pieces(may, "text"):
+                sets = shingle_sets(arrow_texts(part.column("text")), shingle)
+                yield pa.RecordBatch.from_arrays([*_set_columns(part, sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["rep", "n_shingles", "set_key", "members"])
 
-    near = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(size))).mapInArrow(run, "doc_id long, text string")
-    return shingle_rows(near, shingle, full=True).select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "members")
+    return rows.mapInArrow(run, "rep long, n_shingles long, set_key binary, members array<long>")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, tag: str) -> DataFrame:
