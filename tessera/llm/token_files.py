@@ -27,6 +27,7 @@ from tessera.llm.common import pieces, shared_dir
 MAGIC = b"TSPFOR1\n"
 BLOCK = 1 << 14
 WIDTHS = (90, 95, 99, 100)  # percentiles of bit lengths
+PART = 8 << 20  # bytes of text encoded at once: the more, the fewer words are met again
 _HEAD = struct.Struct("<IHHB")
 
 
@@ -305,7 +306,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, folder
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 stream = fs.open_output_stream(f"{path}.{attempt}")
                 out, encoder = Writer(stream), encoder_of(tokenizer_path)
-            for part_of in pieces(batch, "text"):
+            for part_of in pieces(batch, "text", PART):
                 for i, x in zip(part_of.column("doc_id").to_pylist(), encoder(part_of.column("text").cast(pa.binary()).to_pylist(), end)):
                     out.add(i, x)
         if out is not None:
