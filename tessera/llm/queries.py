@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, oracles, piece_codec, quality, token_files, url_filters
+from tessera.llm import chat_format, decontaminate, fill_middle, filter_audit, fingerprints, language_id, line_dedup, near_dedup, oracles, piece_codec, quality, token_files, toxicity, url_filters
 from tessera.llm.common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -90,7 +90,26 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its middle last, where it was cut, and the text restored from that."""
+    out = fill_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in every order."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text, learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.filter(~held_out(5, 0)), read(spark, sf_dir, "labels").filter(~held_out(5, 0)))
+    return toxicity.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op4_sentencepiece, op5_benchmark_decontamination, op6_token_files, op7_line_dedup, op8_chat_formatting, op9_url_filters, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_quality_classifier, op4_sentencepiece, op5_benchmark_decontamination, op6_token_files, op7_line_dedup, op8_chat_formatting, op9_url_filters, op10_minhash_near_dedup, op11_fill_in_middle, op12_filter_audit, op13_toxicity)
 }
 ORACLES: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
