@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces
+from tessera.llm.common import discard, materialise, pieces
 
 SAMPLE_ROWS = 20_000  # labelled documents that a model is fitted on at most
 MOST_TERMS = 2_000
-LEAST_DOCUMENTS = 3  # toxic documents that a term occurs in at least
+LEAST_PLACES = 3  # pairs of neighbours between which a term stands in toxic documents at least
 THRESHOLD = 0.5
 STRETCH = 1 << 16  # characters taken at once
 AROUND, WINDOW = 300, 6  # characters looked at on each side of a find, and words of them
@@ -256,19 +256,18 @@ def _odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> float:
     return float(np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)))
 
 
-def _distinct_words(batches: Iterator) -> Iterator:
-    """(word, toxic) for the distinct words of every text, a stretch at a time."""
+def _places(batches: Iterator) -> Iterator:
+    """(word, left, right, toxic): the distinct words of every text with the words on both sides, a stretch at a time."""
     import pyarrow as pa
 
+    names = ["word", "left", "right", "toxic"]
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-            words: set[str] = set()
             for _, part in stretches(text.as_py() or ""):
-                words.update(w for w in words_of(part) if 3 <= len(w) <= 40 and _LETTERS.search(w))
-            some = sorted(words)
-            for k in range(0, len(some), 100_000):
-                cut = some[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()), pa.array([toxic] * len(cut), pa.int32())], ["word", "toxic"])
+                words = words_of(part)
+                some = [x for x in set(zip(words, ["", *words], [*words[1:], ""])) if 3 <= len(x[0]) <= 40 and _LETTERS.search(x[0])]
+                if some:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in zip(*some)), pa.array([toxic] * len(some), pa.int32())], names)
 
 
 def _finds_of_sample(batches: Iterator, model: Model) -> Iterator:
@@ -311,28 +310,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int
     """The model from docs (doc_id, text) and labels (doc_id, toxic); labels other than 0 and 1 are passed over.
 
     At most `rows` labelled doc_ids are used, those of the least hash; of several labels of a doc_id the greatest holds,
-    and all its rows count. Whole texts are read; null counts as empty. A term is a word of 3 to 40 characters in
-    LEAST_DOCUMENTS toxic documents or more whose likelihood ratio is above what chance gives among as many words; the
-    `terms` of the greatest ratio are kept, in order of ratio and word. Misspelled terms get a weight of their own, pulled
-    to 0.6 of the right form's where few are seen. Without both labels, every score is the same.
+    and all its rows count. Whole texts are read; null counts as empty. Words are counted by the pairs of neighbours that
+    they stand between, so copies of a document count once, and near copies hardly more. A term is a word of 3 to 40
+    characters with LEAST_PLACES such places in toxic documents or more whose likelihood ratio is above what chance gives
+    among as many words; the `terms` of the greatest ratio are kept, in order of ratio and word. Misspelled terms get a
+    weight of their own, pulled to 0.6 of the right form's where few are seen. Without both labels, every score is the same.
     """
-    sample = _sample(docs, labels, rows)
+    sample = materialise(_sample(docs, labels, rows), "toxic-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
+        discard(sample)
         return Model({})
-    counts = sample.select("text", "toxic").mapInArrow(_distinct_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter(F.col("t") >= LEAST_DOCUMENTS)
-    share, n = F.lit(n_toxic / (n_toxic + n_clean)), F.col("t") + F.col("c")
+    places = sample.select("text", "toxic").mapInArrow(_places, "word string, left string, right string, toxic int")
+    places = places.groupBy("word", F.xxhash64("left", "right").alias("place")).agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+    counts = materialise(places.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxic-words")
+    all_toxic, all_clean = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    share, n = F.lit(all_toxic / max(1, all_toxic + all_clean)), F.col("t") + F.col("c")
     ratio = 2 * (F.col("t") * F.log(F.col("t") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0))
-    judged = counts.withColumn("ratio", ratio).filter(F.col("t") > n * share)
-    tested = judged.count()
-    least = 2 * float(np.log(max(tested, 2)))
+    judged = counts.filter((F.col("t") >= LEAST_PLACES) & (F.col("t") > n * share)).withColumn("ratio", ratio)
+    least = 2 * float(np.log(max(judged.count(), 2)))
     taken = judged.filter(F.col("ratio") >= least).orderBy(F.desc("ratio"), "word").limit(terms).select("word", "t", "c").collect()
-    right = {r["word"]: _odds(r["t"], r["c"], n_toxic, n_clean) for r in taken}
+    right = {r["word"]: _odds(r["t"], r["c"], all_toxic, all_clean) for r in taken}
     right = {w: o for w, o in right.items() if o > 1}
     first = Model({w: (o, 0.6 * o) for w, o in right.items()})
     names = sorted(right)
-    found = sample.mapInArrow(lambda it: _finds_of_sample(it, first), "doc_id long, toxic long, term long, wrong long, around long")
+    found = materialise(sample.mapInArrow(lambda it: _finds_of_sample(it, first), "doc_id long, toxic long, term long, wrong long, around long"), "toxic-finds")
     # At most two rows a term, and a row for each of 16 contexts.
     wrong = found.filter("wrong = 1").groupBy("term").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("t"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("doc_id"))).alias("c")).collect()
     weights = dict(first.weights)
@@ -351,6 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int
         cues = _logistic(x, y, np.array(PRIOR), np.array([1e9, 2.0, 2.0, 2.0]))
     weighed = Model(weights, tuple(map(float, cues)))
     stats = sample.select("text", "toxic").mapInArrow(lambda it: _statistics_of_sample(it, weighed), "total double, top double, dense double, toxic int").toPandas()
+    discard(sample, counts, found)
     stats = stats.sort_values(list(stats.columns), kind="stable")
     x = np.column_stack([np.ones(len(stats)), stats[["total", "top", "dense"]].to_numpy(float)])
     curve = _logistic(x, stats["toxic"].to_numpy(float), np.zeros(4), np.array([0.0, 0.1, 0.1, 0.1]))
