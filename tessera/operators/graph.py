@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.storage import cut
+from tessera.sources.storage import cut, discard
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -89,24 +89,31 @@ def truncate(edges: DataFrame, most: int) -> DataFrame:
     return edges.join(top.withColumnRenamed("node", "source"), "source", "left_semi").join(top.withColumnRenamed("node", "target"), "target", "left_semi")
 
 
-def communities(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, community by synchronous label propagation: each round every node takes the label most frequent around it.
+def communities(edges: DataFrame) -> DataFrame:
+    """node, community by asynchronous label propagation in rounds; a community is named by its least member.
 
-    A node counts itself once, else two nodes could swap labels for ever; ties go to the least label. It stops when no
-    label changes, and raises if `rounds` don't suffice. Updates in turn would need an order of nodes, and so one task;
-    this runs on any number of executors, and may find other communities.
+    A node wants the label most frequent among its neighbours, the least of tied ones. Of the nodes that want another
+    label, those whose keyed hash is above that of all their neighbours that want one change in this round. So neighbours
+    never change together, and a round is the same as its changes one after the other. Each change makes more edges agree,
+    or as many with a lesser label, so every graph settles, after finitely many rounds and without a cap on them. Nodes
+    without neighbours stay alone.
     """
-    steps = cut(both_ways(edges).filter("node <> other").select("node", "other").unionAll(nodes(edges).select("node", F.col("node").alias("other"))).distinct())
-    labels = cut(nodes(edges).withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        votes = steps.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("x")).select("node", F.col("x.community").alias("community"))
-        new = cut(best)
-        changed = new.join(labels.withColumnRenamed("community", "old"), "node").filter("community <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+    steps = cut(both_ways(edges).filter("node <> other").select("node", "other").distinct())
+    labels, turn = cut(nodes(edges).withColumn("label", F.col("node"))), 0
+    while True:
+        votes = steps.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("x")).select("node", F.col("x.label").alias("best"))
+        rank = F.struct(F.md5(F.concat_ws(":", F.lit(str(turn)), "node")).alias("hash"), "node")
+        wanting = cut(best.join(labels, "node").filter("best <> label").select("node", "best", rank.alias("rank")))
+        if wanting.isEmpty():
+            break
+        around = steps.join(wanting.select("node", "rank"), "node").groupBy(F.col("other").alias("node")).agg(F.max("rank").alias("most"))
+        first = wanting.join(around, "node", "left").filter(F.col("most").isNull() | (F.col("rank") > F.col("most")))
+        before, labels = labels, cut(labels.join(first.select("node", "best"), "node", "left").select("node", F.coalesce("best", "label").alias("label")))
+        discard(before, wanting)
+        turn += 1
+    names = labels.groupBy("label").agg(F.min("node").alias("community"))
+    return labels.join(names, "label").select("node", "community")
 
 
 def betweenness(edges: DataFrame, sources: int = 20, exact_below: int = 50) -> DataFrame:
@@ -145,7 +152,7 @@ def entry_points(edges: DataFrame, limit: int = 5) -> DataFrame:
     """Nodes by degree centrality plus the share of communities that they border on."""
     label = cut(communities(edges))
     total = label.agg(F.countDistinct("community").alias("n"))
-    near = both_ways(edges).join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.countDistinct("community").alias("k"))
+    near = both_ways(edges).filter("node <> other").join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.countDistinct("community").alias("k"))
     both = degree_centrality(edges).join(near, "node", "left").join(F.broadcast(total))
     score = F.round(F.col("centrality") + F.coalesce("k", F.lit(0)) / F.col("n"), 6)
     return both.select("node", score.alias("score")).orderBy(F.desc("score"), "node").limit(limit)

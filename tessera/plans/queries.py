@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import captures, fusion, graph, lexical, pages, precedents, quality_rules, vectors
+from tessera.plans import graph_sql
 from tessera.plans.registry import ORACLES, query
 from tessera.sources import adapters, storage
 from tessera.streaming import claims as streams
@@ -206,12 +207,12 @@ def graph_truncate(spark, sf_dir):
     return graph.truncate(adapters.edges(spark, sf_dir), 30)
 
 
-@query()
+@query(f"WITH RECURSIVE {EDGES}, {graph_sql.COMMUNITIES} SELECT node, community FROM cm")
 def graph_communities(spark, sf_dir):
     return graph.communities(adapters.edges(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {EDGES}, {graph_sql.COMMUNITIES}, {graph_sql.BETWEENNESS} SELECT node, betweenness FROM bt")
 def graph_betweenness(spark, sf_dir):
     return graph.betweenness(adapters.edges(spark, sf_dir))
 

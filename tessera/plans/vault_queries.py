@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, ledger, links, pages, quality_rules
+from tessera.plans import graph_sql
 from tessera.plans.registry import query
 from tessera.sources import model, storage
 
@@ -367,11 +368,14 @@ def top_nodes(spark, sf_dir):
     return graph.top_nodes(graph.degrees(link_graph(spark, sf_dir)).select("node", (F.col("n_in") + F.col("n_out")).alias("degree")), "degree", 10)
 
 
-@query()
+ANALYTICS = f"{LINK_GRAPH}, {graph_sql.COMMUNITIES}, {graph_sql.CENTRALITY}, {graph_sql.BETWEENNESS}"
+
+
+@query(f"{ANALYTICS} SELECT node, centrality, betweenness, community FROM ce JOIN bt USING (node) JOIN cm USING (node)")
 def graph_analytics(spark, sf_dir):
     return graph.analytics(link_graph(spark, sf_dir))
 
 
-@query()
+@query(f"{ANALYTICS}, nc AS (SELECT s.node, count(DISTINCT community) AS k FROM s JOIN cm ON cm.node = s.other GROUP BY 1) SELECT node, round(centrality + coalesce(k, 0) / (SELECT count(DISTINCT community) FROM cm), 6) AS score FROM ce LEFT JOIN nc USING (node) ORDER BY score DESC, node LIMIT 5")
 def graph_entry_points(spark, sf_dir):
     return graph.entry_points(link_graph(spark, sf_dir))
