@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring
 from tessera.functions.text import claim_hash, folded, tokens
+from tessera.operators import intervals
+from tessera.sources.storage import cut, discard
 
 LIVE = ("candidate", "active")
 #: From which status a candidate may change into which.
@@ -157,14 +159,26 @@ def contradicting(new: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     """claim_id, candidate_id of new claims and live ones of the same subject and predicate with another object, while both hold.
 
     A new claim holds from valid_from, else observed_at, else now, until valid_until; null ends are open. Only claims of
-    its own actor count where it has one.
+    its own actor count where it has one. Claims of one object, actor and interval are one group, and groups meet by
+    subject, predicate and time, so what is joined follows the pairs that hold together and not the size of a subject.
     """
-    a = triple(new).select("claim_id", F.col("n_subject").alias("a_subject"), F.col("n_predicate").alias("a_predicate"), F.col("n_object").alias("a_object"), F.col("actor").alias("a_actor"), F.coalesce("valid_from", "observed_at", now).alias("a_from"), F.col("valid_until").alias("a_until"))
-    b = triple(live_claims(claims)).select("candidate_id", "n_subject", "n_predicate", "n_object", "actor", "valid_from", "valid_until")
-    holds = (F.col("valid_until").isNull() | (F.col("valid_until") > F.col("a_from"))) & (F.col("a_until").isNull() | F.col("valid_from").isNull() | (F.col("valid_from") < F.col("a_until")))
-    mine = F.col("a_actor").isNull() | (F.col("a_actor") == "") | (F.col("a_actor") == F.col("actor"))
-    on = (F.col("a_subject") == F.col("n_subject")) & (F.col("a_predicate") == F.col("n_predicate")) & (F.col("a_object") != F.col("n_object")) & holds & mine
-    return a.join(b, on).select("claim_id", "candidate_id")
+    micros = lambda time, open_end: F.coalesce(F.unix_micros(time.cast("timestamp")), F.lit(open_end))
+    low, high = -(2**60), 2**60
+    begin = F.coalesce("valid_from", "observed_at", now)
+    a = triple(new).select("claim_id", "n_subject", "n_predicate", F.col("n_object").alias("object"), F.nullif("actor", F.lit("")).alias("actor"), micros(begin, high).alias("begin"), micros(F.col("valid_until"), high).alias("end"))
+    b = triple(live_claims(claims)).select("candidate_id", "n_subject", "n_predicate", F.col("n_object").alias("object"), "actor", micros(F.col("valid_from"), low).alias("begin"), micros(F.col("valid_until"), high).alias("end"))
+    key, rest = ["n_subject", "n_predicate"], ["object", "actor", "begin", "end"]
+    kinds = lambda df: df.filter("n_subject is not null and n_predicate is not null and object is not null").select(*key, *rest).distinct()
+    pairs = intervals.overlapping(kinds(a), kinds(b), key, "object").filter(F.col("a_actor").isNull() | (F.col("a_actor") == F.col("b_actor")))
+
+    def members(pairs: DataFrame, df: DataFrame, side: str) -> DataFrame:
+        named = df.withColumnsRenamed({c: f"_{c}" for c in (*key, *rest)})
+        on = (F.col("n_subject") == F.col("_n_subject")) & (F.col("n_predicate") == F.col("_n_predicate"))
+        for c in rest:
+            on = on & F.col(f"{side}_{c}").eqNullSafe(F.col(f"_{c}"))
+        return pairs.join(named, on).drop(*(f"_{c}" for c in (*key, *rest)))
+
+    return members(members(pairs, a, "a"), b, "b").select("claim_id", "candidate_id")
 
 
 def supersession(pairs: DataFrame) -> DataFrame:
@@ -188,10 +202,37 @@ def supersession(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("reasons", reasons).withColumn("allowed", F.size("reasons") == 0)
 
 
+def in_order(pairs: DataFrame) -> DataFrame:
+    """pairs (place, old_id, new_id, allowed, needs_live) with `done`, each judged after the ones before it.
+
+    An allowed pair is done if no earlier done one has retired its old claim, nor, where needs_live, its new one. `place`
+    is any ordered column without ties. A pair is settled once nothing unsettled before it can touch its claims: the first
+    unsettled one always is, so this ends, after as many rounds as the longest chain of pairs that hang on each other.
+    """
+    left = cut(pairs.filter("allowed").select("place", "old_id", "new_id", "needs_live"))
+    retired = pairs.sparkSession.createDataFrame([], left.select("place", F.col("old_id").alias("id")).schema)
+    while not left.isEmpty():
+        next_of = left.groupBy(F.col("old_id").alias("id")).agg(F.min("place").alias("next"))
+        old, new = (next_of.withColumnsRenamed({"id": f"{s}_id", "next": f"{s}_next"}) for s in ("old", "new"))
+        near = left.join(old, "old_id").join(new, "new_id", "left")
+        # The new claim may yet be retired by an unsettled pair before this one, which then must be settled first.
+        free = ~F.col("needs_live") | F.col("new_next").isNull() | (F.col("new_next") >= F.col("place"))
+        first = cut(near.filter((F.col("place") == F.col("old_next")) & free).select("place", F.col("old_id").alias("id")))
+        before, retired = retired, cut(retired.unionByName(first))
+        gone = first.withColumnsRenamed({"id": "old_id", "place": "_at"})
+        rest = left.join(gone.drop("_at"), "old_id", "left_anti")
+        ended = first.withColumnsRenamed({"id": "new_id", "place": "_at"})
+        late = F.col("needs_live") & F.col("_at").isNotNull() & (F.col("_at") < F.col("place"))
+        was, left = left, cut(rest.join(ended, "new_id", "left").filter(~late).select("place", "old_id", "new_id", "needs_live"))
+        discard(was, first, before)
+    return pairs.join(retired.withColumn("done", F.lit(True)).drop("id"), "place", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+
+
 def supersede(claims: DataFrame, requests: DataFrame) -> DataFrame:
-    """What becomes of requests (old_id, new_id, actor): outcome superseded, self, not_live, old_missing or new_missing.
+    """What becomes of requests (place, old_id, new_id, actor): outcome superseded, self, not_live, old_missing or new_missing.
 
-    With an actor, claims of others are missing. The checks are those of one request at a time, before any is carried out.
+    With an actor, claims of others are missing. Requests are carried out one after the other by place, each on what the
+    ones before have left: of several on one old claim the first possible one retires it.
     """
     known = claims.select(F.col("candidate_id").alias("_id"), F.col("status").alias("_status"), F.col("actor").alias("_owner"))
     side = lambda s: known.withColumnsRenamed({c: f"{c}_{s}" for c in known.columns})
@@ -201,14 +242,18 @@ def supersede(claims: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(F.col("_id_old").isNull(), "old_missing").when(F.col("old_id") == F.col("new_id"), "self").when(~F.col("_status_old").isin(*LIVE), "not_live")
         .when(F.col("_id_new").isNull(), "new_missing").otherwise("superseded")
     )
-    return both.select("old_id", "new_id", outcome.alias("outcome"))
+    judged = cut(both.select("place", "old_id", "new_id", outcome.alias("outcome")))
+    # The new claim need not be live, so a request hangs on the earlier ones on its old claim alone: the first one wins.
+    first = judged.filter("outcome = 'superseded'").groupBy("old_id").agg(F.min("place").alias("first"))
+    late = (F.col("first") < F.col("place")) & F.col("outcome").isin("superseded", "new_missing")
+    return judged.join(first, "old_id", "left").select("place", "old_id", "new_id", F.when(late, "not_live").otherwise(F.col("outcome")).alias("outcome"))
 
 
 def superseded(claims: DataFrame, done: DataFrame) -> DataFrame:
-    """candidate_id, status, superseded_by, supersedes of claims after the superseded pairs (old_id, new_id); of several new ones of an old one the last id."""
+    """candidate_id, status, superseded_by, supersedes of claims after the superseded pairs (place, old_id, new_id); a claim that superseded several names the last."""
     pairs = done.filter("outcome = 'superseded'")
-    by = pairs.groupBy(F.col("old_id").alias("candidate_id")).agg(F.max("new_id").alias("superseded_by"))
-    of = pairs.groupBy(F.col("new_id").alias("candidate_id")).agg(F.max("old_id").alias("supersedes"))
+    by = pairs.select(F.col("old_id").alias("candidate_id"), F.col("new_id").alias("superseded_by"))
+    of = pairs.groupBy(F.col("new_id").alias("candidate_id")).agg(F.max_by("old_id", "place").alias("supersedes"))
     joined = claims.select("candidate_id", "status").join(by, "candidate_id", "left").join(of, "candidate_id", "left")
     return joined.select("candidate_id", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise(F.col("status")).alias("status"), "superseded_by", "supersedes")
 

@@ -143,13 +143,17 @@ def auto_supersede(spark, sf_dir):
 
 
 REQUESTS = "CASE event_id % 5 WHEN 0 THEN 'c' || CAST(event_id AS STRING) WHEN 1 THEN 'none' ELSE 'c' || CAST(event_id - event_id % 5 AS STRING) END"
-SUPERSEDE = f"""r AS (SELECT CASE WHEN event_id % 17 = 0 THEN 'gone' ELSE candidate_id END AS old_id, {REQUESTS} AS new_id, CASE WHEN event_id % 3 = 0 THEN 'ann' END AS actor FROM ledger),
-d AS (SELECT r.old_id, r.new_id, CASE WHEN o.candidate_id IS NULL THEN 'old_missing' WHEN r.old_id = r.new_id THEN 'self' WHEN o.status NOT IN ('candidate', 'active') THEN 'not_live' WHEN w.candidate_id IS NULL THEN 'new_missing' ELSE 'superseded' END AS outcome
-FROM r LEFT JOIN ledger o ON r.old_id = o.candidate_id AND (r.actor IS NULL OR r.actor = o.actor) LEFT JOIN ledger w ON r.new_id = w.candidate_id AND (r.actor IS NULL OR r.actor = w.actor))"""
+AGAIN = "'c' || CAST(event_id - event_id % 3 AS STRING)"
+SUPERSEDE = f"""r AS (SELECT event_id AS place, CASE WHEN event_id % 17 = 0 THEN 'gone' ELSE candidate_id END AS old_id, {REQUESTS} AS new_id, CASE WHEN event_id % 3 = 0 THEN 'ann' END AS actor FROM ledger
+UNION ALL SELECT event_id + 10000000, {AGAIN}, candidate_id, NULL FROM ledger),
+t AS (SELECT place, r.old_id, r.new_id, CASE WHEN o.candidate_id IS NULL THEN 'old_missing' WHEN r.old_id = r.new_id THEN 'self' WHEN o.status NOT IN ('candidate', 'active') THEN 'not_live' WHEN w.candidate_id IS NULL THEN 'new_missing' ELSE 'superseded' END AS outcome
+FROM r LEFT JOIN ledger o ON r.old_id = o.candidate_id AND (r.actor IS NULL OR r.actor = o.actor) LEFT JOIN ledger w ON r.new_id = w.candidate_id AND (r.actor IS NULL OR r.actor = w.actor)),
+d AS (SELECT place, old_id, new_id, CASE WHEN outcome IN ('superseded', 'new_missing') AND place > min(place) FILTER (outcome = 'superseded') OVER (PARTITION BY old_id) THEN 'not_live' ELSE outcome END AS outcome FROM t)"""
 
 
 def _requests(claims):
-    return claims.select(F.when(F.col("event_id") % 17 == 0, "gone").otherwise(F.col("candidate_id")).alias("old_id"), F.expr(REQUESTS).alias("new_id"), F.when(F.col("event_id") % 3 == 0, "ann").alias("actor"))
+    first = claims.select(F.col("event_id").alias("place"), F.when(F.col("event_id") % 17 == 0, "gone").otherwise(F.col("candidate_id")).alias("old_id"), F.expr(REQUESTS).alias("new_id"), F.when(F.col("event_id") % 3 == 0, "ann").alias("actor"))
+    return first.unionAll(claims.select(F.col("event_id") + 10_000_000, F.expr(AGAIN), "candidate_id", F.lit(None).cast("string")))
 
 
 @query(f"WITH {LEDGER}, {SUPERSEDE} SELECT * FROM d")
@@ -158,7 +162,7 @@ def claim_supersede(spark, sf_dir):
     return ledger.supersede(claims, _requests(claims))
 
 
-@query(f"""WITH {LEDGER}, {SUPERSEDE}, a AS (SELECT old_id, max(new_id) AS superseded_by FROM d WHERE outcome = 'superseded' GROUP BY 1), b AS (SELECT new_id, max(old_id) AS supersedes FROM d WHERE outcome = 'superseded' GROUP BY 1)
+@query(f"""WITH {LEDGER}, {SUPERSEDE}, a AS (SELECT old_id, new_id AS superseded_by FROM d WHERE outcome = 'superseded'), b AS (SELECT new_id, arg_max(old_id, place) AS supersedes FROM d WHERE outcome = 'superseded' GROUP BY 1)
 SELECT candidate_id, CASE WHEN superseded_by IS NOT NULL THEN 'superseded' ELSE status END AS status, superseded_by, supersedes FROM ledger LEFT JOIN a ON candidate_id = old_id LEFT JOIN b ON candidate_id = new_id""")
 def claims_superseded(spark, sf_dir):
     claims = rows(spark, sf_dir)

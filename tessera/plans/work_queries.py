@@ -197,7 +197,7 @@ def plans(spark, sf_dir):
     rows, v = model.frame(spark, sf_dir, "ledger"), vault(spark, sf_dir)
     routed = policy.route(rows, v)
     claims = rows.filter("candidate_type = 'claim' and status = 'candidate'").join(routed, "candidate_id")
-    new = rows.filter("candidate_type = 'claim'").withColumn("claim_id", F.col("candidate_id"))
+    new = claims.withColumn("claim_id", F.col("candidate_id"))
     pairs = ledger.contradicting(new, rows, ledger_queries.now()).withColumnRenamed("candidate_id", "old_id")
     clashes = pairs.join(rows.select(F.col("candidate_id").alias("old_id"), "object"), "old_id").select(F.col("claim_id").alias("candidate_id"), "object")
     return policy.plan(claims, clashes, v, policies(spark))
