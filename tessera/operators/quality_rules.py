@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import cut
+
 ORDER = {"error": 0, "warning": 1, "info": 2}
 #: What stands for an open conflict in a line, and folders whose pages need no sources.
 MARKER = r"(?i)\b(CONTRADICTION|CONFLICT|DISPUTED)\s*:|TODO\s*:\s*verify"
@@ -238,13 +240,27 @@ def link_suggestions(orphan: DataFrame, pages: DataFrame, most: int = 3, among:
 
     A page scores 10 and the number of shared tags if there are any, and the number of shared title words if there are
     two or more. Pages that share only tags come from orphan_suggestions, whose best ones are enough; those that share
-    title words are met by pairs of words, so a single common word brings none together.
+    title words are met by pairs of words, so a single common word brings none together, and as classes of equal words and
+    tags, so pages with one title count once.
     """
-    words = pages.select("page_id", title_words(F.col("title")).alias("words"))
+    words = cut(pages.select("page_id", title_words(F.col("title")).alias("words"), F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isNotNull()))).alias("tags")).filter("size(words) > 1"))
+    allowed = words if among is None else words.join(among, "page_id", "left_semi")
     pairs = F.flatten(F.transform("words", lambda w, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda v: F.concat(w, F.lit(" "), v))))
-    keyed = words.filter("size(words) > 1").select("page_id", F.explode(pairs).alias("pair"))
-    mine = keyed.join(orphan, "page_id", "left_semi").select(F.col("page_id").alias("orphan_id"), "pair")
-    close = mine.join(keyed if among is None else keyed.join(among, "page_id", "left_semi"), "pair").filter("orphan_id <> page_id").select("orphan_id", "page_id").distinct()
+    # Pages of equal title words and tags score alike, and the least ones come first: most + 1 of a class are enough.
+    ranked = allowed.withColumn("k", F.row_number().over(Window.partitionBy("words", "tags").orderBy("page_id"))).filter(F.col("k") <= most + 1)
+    own, other = (df.select(F.col("words").alias(f"{s}_words"), F.col("tags").alias(f"{s}_tags")).distinct() for df, s in ((words.join(orphan, "page_id", "left_semi"), "a"), (ranked, "b")))
+    keyed = lambda df, s: df.select(f"{s}_words", f"{s}_tags", F.col(f"{s}_words").alias("words")).select(f"{s}_words", f"{s}_tags", F.explode(pairs).alias("pair"))
+    met = keyed(own, "a").join(keyed(other, "b"), "pair").select("a_words", "a_tags", "b_words", "b_tags").distinct()
+    n_tags, n_words = F.size(F.array_intersect("a_tags", "b_tags")), F.size(F.array_intersect("a_words", "b_words"))
+    value = F.when(n_tags > 0, n_tags + 10).otherwise(0) + n_words
+    # Of an orphan's class the best classes, most + 1 of them, hold its best pages.
+    best = met.withColumn("value", value).withColumn("k", F.row_number().over(Window.partitionBy("a_words", "a_tags").orderBy(F.desc("value"), "b_words", "b_tags")))
+    least = best.groupBy("a_words", "a_tags").agg(F.min(F.when(F.col("k") <= most + 1, F.col("value"))).alias("least"))
+    best = best.join(least, ["a_words", "a_tags"]).filter(F.col("value") >= F.col("least")).select("a_words", "a_tags", "b_words", "b_tags", "value")
+    page = best.join(ranked.select("page_id", F.col("words").alias("b_words"), F.col("tags").alias("b_tags")), ["b_words", "b_tags"])
+    page = page.withColumn("k", F.row_number().over(Window.partitionBy("a_words", "a_tags").orderBy(F.desc("value"), "page_id"))).filter(F.col("k") <= most + 1).select("a_words", "a_tags", "page_id")
+    mine = words.join(orphan, "page_id", "left_semi").select(F.col("page_id").alias("orphan_id"), F.col("words").alias("a_words"), F.col("tags").alias("a_tags"))
+    close = mine.join(page, ["a_words", "a_tags"]).filter("orphan_id <> page_id").select("orphan_id", "page_id")
     near = close.unionByName(orphan_suggestions(orphan, pages, most, among).select("orphan_id", "page_id")).distinct()
     side = pages.select("page_id", F.array_distinct("tags").alias("tags"), title_words(F.col("title")).alias("words"))
     both = near.join(side.withColumnsRenamed({"page_id": "orphan_id", "tags": "o_tags", "words": "o_words"}), "orphan_id").join(side, "page_id")
@@ -254,42 +270,87 @@ def link_suggestions(orphan: DataFrame, pages: DataFrame, most: int = 3, among:
     return both.select("orphan_id", "page_id", score.alias("score")).filter("score > 0").withColumn("place", place).filter(F.col("place") <= most)
 
 
-def close_ids(targets: DataFrame, pages: DataFrame, most: int = 2, least: float = 0.4, block: int = 2_000) -> DataFrame:
-    """target, page_id, ratio, place: the page ids most like each broken target (column target), by matching blocks (Ratcliff and Obershelp).
+#: Fixed value: letters from common to rare, as ids hold them; others are rarer still.
+COMMON_FIRST = "e/taoinsrhldc-0123456789umpgfbywvkxjqz"
+
+
+def _letters(x: Column) -> Column:
+    """The letters of an id, each with its how-manyeth occurrence, the rarest first: equal letters of two ids are a set's."""
+    chars = F.array_sort(F.filter(F.split(x, ""), lambda c: c != ""))
+    place = lambda c: F.nullif(F.call_function("instr", F.lit(COMMON_FIRST), c), F.lit(0))
+    rows = F.transform(chars, lambda c, i: F.struct((F.array_position(chars, c).cast("int") - i - 2).alias("nth"), (-F.coalesce(place(c), F.lit(99))).alias("rare"), c.alias("c")))
+    return F.transform(F.array_sort(rows), lambda r: F.concat(r["c"], F.lit("#"), r["nth"].cast("string")))
+
 
-    The distinct targets are taken in blocks, each held against all ids where these lie; a task keeps its best few of a
-    target. Ids too short, too long or of too different letters are passed over by exact bounds.
+def like_ids(targets: DataFrame, pages: DataFrame, least: float) -> DataFrame:
+    """target, page_id, ratio of all pairs whose ratio (matching blocks, Ratcliff and Obershelp) is at least `least`.
+
+    The ratio is at most twice the letters in common over both lengths. So the rarest letters of either id hold one that
+    both have (prefixes), and lengths differ by a factor at most: ids meet by (letter, length), pairs that the bound keeps
+    are compared, once each. Empty ids are like none.
+    """
+    narrow, wide = least / (2 - least), (2 - least) / least
+
+    def prefixed(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(name)).filter(F.col(name) != "").distinct().withColumn("set", _letters(F.col(name))).withColumn("n", F.size("set"))
+        # Of n letters, least / 2 * (n + the shortest partner's) must be common: one is among the first of these.
+        common = F.ceil(F.lit(least / 2) * (F.col("n") + F.ceil(F.col("n") * narrow - 1e-9)) - 1e-9)
+        return rows.withColumn("prefix", F.slice("set", 1, F.greatest(F.lit(1), F.col("n") - common + 1).cast("int")))
+
+    a = prefixed(targets, "target").withColumnsRenamed({"set": "a_set", "n": "a_n"})
+    b = prefixed(pages, "page_id").withColumnsRenamed({"set": "b_set"})
+    lengths = F.sequence(F.ceil(F.col("a_n") * narrow - 1e-9).cast("int"), F.floor(F.col("a_n") * wide + 1e-9).cast("int"))
+    keyed = a.select("target", "a_n", F.explode("prefix").alias("letter"), lengths.alias("lengths")).withColumn("n", F.explode("lengths")).drop("lengths")
+    met = keyed.join(b.select("page_id", "n", F.explode("prefix").alias("letter")), ["letter", "n"]).select("target", "page_id").distinct()
+    both = met.join(a.select("target", "a_set", "a_n"), "target").join(b.select("page_id", "b_set", "n"), "page_id")
+    near = both.filter(2 * F.size(F.array_intersect("a_set", "b_set")) >= least * (F.col("a_n") + F.col("n")) - 1e-9).select("target", "page_id")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import difflib
+
+        match = difflib.SequenceMatcher()
+        for frame in frames:
+            ratios = []
+            for target, rows in frame.groupby("target", sort=False)["page_id"]:
+                match.set_seq2(target)
+                for page in rows:
+                    match.set_seq1(page)
+                    ratios.append((target, page, match.ratio()))
+            out = pd.DataFrame(ratios, columns=["target", "page_id", "ratio"])
+            yield out[out["ratio"] >= least]
+
+    return near.mapInPandas(compare, "target string, page_id string, ratio double")
+
+
+def close_ids(targets: DataFrame, pages: DataFrame, most: int = 2, least: float = 0.4, steps: tuple[float, ...] = (0.8, 0.6)) -> DataFrame:
+    """target, page_id, ratio, place: the `most` page ids most like each broken target (column target), at `least` or more.
+
+    Targets are tried at the highest bound first: one that has `most` ids there has its best ones. Only the others go on to
+    the next, lower bound, which more pairs pass. Of equal ratios the greater id comes first.
     """
-    wanted = targets.select("target").filter("target is not null").distinct()
-    out, held = None, []
-
-    def against(names: list[str]) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import difflib
-            import heapq
-
-            best: dict[str, list] = {n: [] for n in names}
-            for frame in frames:
-                for n in names:
-                    match = difflib.SequenceMatcher()
-                    match.set_seq2(n)
-                    for page in frame["page_id"]:
-                        match.set_seq1(page)
-                        if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= least:
-                            best[n].append((r, page))
-                    best[n] = heapq.nlargest(most, best[n])
-            yield pd.DataFrame([(n, p, r) for n, found_ids in best.items() for r, p in found_ids], columns=["target", "page_id", "ratio"])
-
-        return pages.select("page_id").mapInPandas(run, "target string, page_id string, ratio double")
-
-    for row in wanted.toLocalIterator():
-        held.append(row[0])
-        if len(held) == block:
-            out, held = against(held) if out is None else out.unionAll(against(held)), []
-    if held or out is None:
-        out = against(held) if out is None else out.unionAll(against(held))
-    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("ratio"), F.desc("page_id")))
-    return out.withColumn("place", place).filter(F.col("place") <= most).withColumn("ratio", F.round("ratio", 6))
+    left = cut(targets.select("target").filter("target is not null").distinct())
+    pages, out = cut(pages.select("page_id").distinct()), None
+    for bound in (*(s for s in steps if s > least), least):
+        place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("ratio"), F.desc("page_id")))
+        found = cut(like_ids(left, pages, bound).withColumn("place", place).filter(F.col("place") <= most))
+        full = found.filter(F.col("place") == most).select("target")
+        kept = found if bound == least else found.join(full, "target", "left_semi")
+        out = kept if out is None else out.unionByName(kept)
+        left = cut(left.join(full, "target", "left_anti"))
+    return out.withColumn("ratio", F.round("ratio", 6))
+
+
+def with_suggestions(findings: DataFrame, pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Findings with `suggestions`: of a broken link the page ids most like its target, of an orphan the pages to link it from; else none."""
+    close = close_ids(findings.filter("rule = 'broken_internal_link'").select("target"), pages).select(F.lit("broken_internal_link").alias("_rule"), F.col("target").alias("_of"), "place", "page_id")
+    inbound = links.filter("exists and source <> target").select(F.col("target").alias("page_id")).distinct()
+    orphan = findings.filter("rule = 'orphan_page'").select("page_id").distinct()
+    from_ = link_suggestions(orphan, pages, among=inbound)
+    ranked = from_.withColumn("place", F.row_number().over(Window.partitionBy("orphan_id").orderBy(F.desc("score"), "page_id"))).select(F.lit("orphan_page").alias("_rule"), F.col("orphan_id").alias("_of"), "place", "page_id")
+    lists = close.unionByName(ranked).groupBy("_rule", "_of").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "page_id"))), lambda x: x["page_id"]).alias("suggestions"))  # three at most
+    of = F.when(F.col("rule") == "broken_internal_link", F.col("target")).when(F.col("rule") == "orphan_page", F.col("page_id"))
+    joined = findings.withColumn("_key", of).join(lists, (F.col("rule") == F.col("_rule")) & (F.col("_key") == F.col("_of")), "left")
+    return joined.withColumn("suggestions", F.coalesce("suggestions", F.array().cast("array<string>"))).drop("_key", "_rule", "_of")
 
 
 def heartbeat(findings: DataFrame) -> DataFrame:

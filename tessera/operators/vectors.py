@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -116,48 +116,75 @@ def sparse_cosine(pages: DataFrame, query: str, limit: int = 10, key: str = "pag
     return scored.filter("score > 0").orderBy(F.desc("score"), F.desc(key)).limit(limit)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2_000) -> DataFrame:
+CELL_QUERIES, CELL_VECTORS = 16_384, 65_536  # about as many are held by one task
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, cell: tuple[int, int] = (CELL_QUERIES, CELL_VECTORS)) -> DataFrame:
     """query_id, vec_id, score, place: for each query (vec_id, embedding) the k vectors of the greatest cosine, clamped to 0; ties by vec_id.
 
-    The queries are taken in blocks of bounded size, each held against all vectors where these lie; a task keeps the best
-    k of a query in each batch. Vectors of no length score 0.
+    A grid: queries and vectors are dealt to groups of about the sizes of a cell by their ids' hashes, and one task holds a
+    group of each. A vector is sent once for each group of queries and a query once for each group of vectors, none goes
+    through the driver. A cell keeps the best k of a query, and the best of its cells are merged. Vectors of no length
+    score 0; null ones are passed over.
     """
+    kept = lambda df: df.filter("embedding is not null and vec_id is not null").select("vec_id", "embedding")
+    queries, vectors = kept(queries), kept(vectors)
+    rows, columns = (max(1, -(-df.count() // n)) for df, n in zip((queries, vectors), cell))
+    group = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(group(rows).alias("row"), every(columns).alias("column"), "vec_id", "embedding")
+    v = vectors.select(every(rows).alias("row"), group(columns).alias("column"), "vec_id", "embedding")
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        def matrix(frame: pd.DataFrame) -> np.ndarray:
+            x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            return x / np.where(length > 0, length, 1)
+
+        found = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})]
+        if len(left) and len(right):
+            held, own = matrix(right).T, right["vec_id"].to_numpy()
+            step = max(1, (1 << 22) // len(right))  # scores of a few queries at a time
+            for at in range(0, len(left), step):
+                part = left.iloc[at : at + step]
+                score = np.round(np.maximum(matrix(part) @ held, 0), 6)
+                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+                found.append(pd.DataFrame({"query_id": np.repeat(part["vec_id"].to_numpy(), order.shape[1]), "vec_id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
+        return pd.concat(found)
+
+    out = q.groupBy("row", "column").cogroup(v.groupBy("row", "column")).applyInPandas(nearest, "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("place", place).filter(F.col("place") <= k)
+
+
+HASHED = 256
+
+
+def hashed_embedding(texts: pd.Series, size: int = HASHED) -> pd.Series:
+    """Signed feature hashing of a text's words and pairs of words: a vector that needs no model, of length 1 unless empty."""
+    import re
+    import zlib
+
     import numpy as np
 
-    def unit(x) -> np.ndarray:
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(length > 0, length, 1)
+    def one(text: str) -> list[float]:
+        words = re.findall(r"\w+", (text or "").lower())
+        out = np.zeros(size)
+        for term in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))):
+            h = zlib.crc32(term.encode())
+            out[h % size] += 1 if h >> 31 else -1
+        length = float(np.linalg.norm(out))
+        return (out / length if length else out).tolist()
 
-    def against(ids: list, matrix: np.ndarray) -> DataFrame:
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(matrix)))
+    return texts.map(one)
 
-        def run(batches):
-            import pyarrow as pa
 
-            names, q = shared.value
-            for batch in batches:
-                v = unit(np.stack(batch.column("embedding").to_pylist()).astype(np.float64))
-                score = np.round(np.maximum(q @ v.T, 0), 6)
-                own = np.array(batch.column("vec_id").to_pylist())
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, order.shape[1]), "vec_id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-        return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-
-    out, ids, rows = None, [], []
-    for row in queries.select("vec_id", "embedding").filter("embedding is not null").toLocalIterator():
-        ids.append(row[0])
-        rows.append(row[1])
-        if len(ids) == block:
-            part = against(ids, np.array(rows, np.float64))
-            out, ids, rows = part if out is None else out.unionAll(part), [], []
-    if ids:
-        part = against(ids, np.array(rows, np.float64))
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, place int")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("place", place).filter(F.col("place") <= k)
+def embedded(chunks: DataFrame, embed: Callable[[pd.Series], pd.Series] = hashed_embedding, text: str = "content") -> DataFrame:
+    """chunks with `embedding`: what embed makes of their texts, a batch at a time; null texts count as empty."""
+    run = F.pandas_udf(lambda x: embed(x.fillna("")), "array<double>")
+    return chunks.withColumn("embedding", run(F.col(text).cast("string")))
 
 
 def similarities(vectors: DataFrame, query: Sequence[float]) -> DataFrame:

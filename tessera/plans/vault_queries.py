@@ -379,3 +379,10 @@ def graph_analytics(spark, sf_dir):
 @query(f"{ANALYTICS}, nc AS (SELECT s.node, count(DISTINCT community) AS k FROM s JOIN cm ON cm.node = s.other GROUP BY 1) SELECT node, round(centrality + coalesce(k, 0) / (SELECT count(DISTINCT community) FROM cm), 6) AS score FROM ce LEFT JOIN nc USING (node) ORDER BY score DESC, node LIMIT 5")
 def graph_entry_points(spark, sf_dir):
     return graph.entry_points(link_graph(spark, sf_dir))
+
+
+@query()
+def lint_suggested(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    known = links.page_links(v)
+    return quality_rules.with_suggestions(quality_rules.link_findings(v, known), v, known).withColumn("suggestions", F.array_join("suggestions", ","))
