@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import rrf
 from tessera.functions.text import compact, token_estimate
-from tessera.operators.graph import both_ways
+from tessera.operators.graph import best_paths_per_node, both_ways
 from tessera.operators.links import ENTITY_TYPES
 from tessera.sources.storage import cut
 
@@ -54,14 +54,14 @@ def means(measured: DataFrame) -> DataFrame:
 OUTGOING, INCOMING, GRAPH_WEIGHT = 0.85, 0.65, 0.2
 
 
-def expand(hits: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 2, types: Sequence[str] | None = None, limit: int = 10) -> DataFrame:
-    """page_id, score, n_paths, path, entities, because: search hits and the pages that edges lead to from them.
+def expand(hits: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 2, types: Sequence[str] | None = None, limit: int = 10, most: int = 3) -> DataFrame:
+    """page_id, score, n_paths, path, paths, entities, because: search hits and the pages that edges lead to from them.
 
     hits: page_id, score, cut to a few before. A path's score is its hit's, times 0.85 for each edge along its direction
     and 0.65 for each against. A node is gone on from once, when it is first reached, over its best path (score, then
     hit, then path); pages are recorded each time that they are reached. A page gains 0.2 of its best path; one that is
-    no hit has the best path's score besides. path: of the fewest edges, then the best; entities: what is no page on its
-    paths.
+    no hit has the best path's score besides. paths: the `most` first ones, each with the hit that it comes from, by edges,
+    then score; path: the first of them; entities: what is no page on its paths.
     """
     kinds = nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type"))
     chosen = edges.filter(F.col("type").isin(*types)) if types else edges
@@ -83,10 +83,13 @@ def expand(hits: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 2, t
     is_hit = F.col("base").isNotNull()
     first = F.min(F.struct("hops", (-F.col("score")).alias("s"), "hit", "path"))["path"]
     gains = reached.groupBy(F.col("node").alias("page_id")).agg(F.max("score").alias("best"), F.count("*").alias("n_paths"), first.alias("path"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities")))).alias("entities"), F.max("other_type").alias("type"))
+    leading = best_paths_per_node(reached.select(F.col("node"), "hops", "score", F.concat_ws(": ", "hit", "path").alias("path")).distinct(), most)
+    told = leading.groupBy(F.col("node").alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]), " | ").alias("paths"))
+    gains = gains.join(told, "page_id")
     rows = gains.join(hits.select("page_id", F.col("score").alias("base")), "page_id", "full_outer").filter(is_hit | (F.col("type") == "page"))
     best = F.coalesce("best", F.lit(0.0))
     because = F.concat_ws("; ", F.when(is_hit, "direct text match"), F.when(F.col("path").isNotNull(), F.concat(F.lit("reachable via: "), "path")))
-    scored = rows.select("page_id", F.round(F.coalesce("base", best) + best * GRAPH_WEIGHT, 6).alias("score"), F.coalesce("n_paths", F.lit(0)).alias("n_paths"), "path", F.array_join(F.coalesce("entities", F.array().cast("array<string>")), ",").alias("entities"), because.alias("because"))
+    scored = rows.select("page_id", F.round(F.coalesce("base", best) + best * GRAPH_WEIGHT, 6).alias("score"), F.coalesce("n_paths", F.lit(0)).alias("n_paths"), "path", "paths", F.array_join(F.coalesce("entities", F.array().cast("array<string>")), ",").alias("entities"), because.alias("because"))
     return scored.orderBy(F.desc("score"), "page_id").limit(limit)
 
 
@@ -99,6 +102,28 @@ def enrichment(results: DataFrame, claims: DataFrame, traces: DataFrame) -> Data
     return rows.join(page, "page_id", "left_semi").distinct().unionByName(page.filter(F.col("page_id").startswith("decisions/")).select("page_id", F.lit("decision").alias("relation"), F.col("page_id").alias("ref_id")))
 
 
+def hybrid(lexical: DataFrame, vector: DataFrame, edges: DataFrame, limit: int = 10, weights: tuple[float, float] = (0.5, 0.3)) -> DataFrame:
+    """page_id, score, sources of fused results and of pages that they link to; of equal scores those that more lists hold come first, then ids.
+
+    lexical and vector: page_id, score, cut to a few before; edges: source, target.
+    """
+    fused = cut(reciprocal_rank_fusion(lexical, vector, limit, weights))
+    named = fused.select("page_id", F.concat_ws("+", F.when(F.col("lexical_rank").isNotNull(), "lexical"), F.when(F.col("vector_rank").isNotNull(), "vector")).alias("found"))
+    linked = edges.join(fused.select(F.col("page_id").alias("source")), "source", "left_semi").select(F.col("target").alias("page_id"), F.lit("links").alias("link")).distinct()
+    rows = graph_boost(fused, edges).join(named, "page_id", "left").join(linked, "page_id", "left")
+    sources = F.concat_ws("+", "found", "link")
+    return rows.select("page_id", "score", sources.alias("sources")).orderBy(F.desc("score"), F.desc(F.size(F.split("sources", r"\+"))), "page_id").limit(limit)
+
+
+CITATION = 200
+
+
+def cited(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """results with title, kind, visibility and citation of their pages: the snippet found (a column of pages, may be null), else how the text begins."""
+    known = pages.select("page_id", "title", "kind", "visibility", F.coalesce("snippet", F.substring("body", 1, CITATION)).alias("citation"))
+    return results.join(known, "page_id", "left")
+
+
 def described(results: DataFrame, pages: DataFrame) -> DataFrame:
     """results with the title and kind of their pages."""
     return results.join(pages.select("page_id", "title", "kind"), "page_id", "left")

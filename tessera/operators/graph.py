@@ -57,22 +57,75 @@ def ego(edges: DataFrame, center: str, radius: int) -> DataFrame:
     return edges.join(inside.withColumnRenamed("node", "source"), "source", "left_semi").join(inside.withColumnRenamed("node", "target"), "target", "left_semi")
 
 
+def distances(steps: DataFrame, end: str, depth: int) -> DataFrame:
+    """node, left: how many steps (node, other) it takes at least to reach the end, for nodes within depth; a search backwards."""
+    frontier = steps.sparkSession.createDataFrame([(end, 0)], "node string, left int")
+    known = frontier
+    for left in range(1, depth + 1):
+        new = steps.join(frontier.select(F.col("node").alias("other")), "other", "left_semi").select("node").distinct()
+        frontier = cut(new.join(known.select("node"), "node", "left_anti").withColumn("left", F.lit(left)))
+        if frontier.isEmpty():
+            break
+        known = cut(known.unionByName(frontier))
+    return known
+
+
 def paths(edges: DataFrame, start: str, end: str, depth: int, types: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Simple paths from start to end along the edges (of some types), of at most depth of them: path, hops.
 
-    A path that has met the end isn't extended, and no path goes through a node twice.
+    A path that has met the end isn't extended, and no path goes through a node twice. A search backwards comes first: a
+    walk is gone on with only where its hops and those that are left at least are within the depth. With a limit the depth
+    is raised from the shortest distance until there are enough paths, and of the walks of shortest paths, which can't
+    meet a node twice, each node keeps `limit` ones: so a dense graph with many paths has few rows.
     """
     allowed = edges if types is None else edges.filter(F.col("type").isin(types))
-    steps = allowed.select(F.col("source").alias("node"), F.col("target").alias("other")).distinct()
-    frontier = edges.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>")
-    found = None
+    steps = cut(allowed.select(F.col("source").alias("node"), F.col("target").alias("other")).distinct())
+    left = cut(distances(steps, end, depth))
+    nearest = left.filter(F.col("node") == start).first()
+    none = edges.sparkSession.createDataFrame([], "path string, hops int")
+    if nearest is None or start == end:
+        return none
+    useful = cut(steps.join(left.withColumnRenamed("node", "other"), "other"))
+
+    def walks(most: int, keep: int | None) -> DataFrame:
+        frontier, found = edges.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>"), none
+        for hop in range(1, most + 1):
+            grown = frontier.join(useful.filter(F.col("left") <= most - hop), "node").filter(~F.array_contains("path", F.col("other")))
+            grown = grown.select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
+            if keep is not None:
+                place = F.row_number().over(Window.partitionBy("node").orderBy(F.array_join("path", ">")))
+                grown = grown.withColumn("place", place).filter(F.col("place") <= keep).drop("place")
+            grown = cut(grown)
+            found = found.unionAll(grown.filter(F.col("node") == end).select(F.array_join("path", ">").alias("path"), F.lit(hop).alias("hops")))
+            frontier = grown.filter(F.col("node") != end)
+        return found
+
+    if limit is None:
+        return walks(depth, None)
+    for most in range(nearest["left"], depth + 1):
+        found = walks(most, limit if most == nearest["left"] else None)
+        if most == depth or found.limit(limit).count() == limit:
+            break
+    return found.orderBy("hops", "path").limit(limit)
+
+
+def first_paths(edges: DataFrame, start: str, depth: int, targets: DataFrame | None = None) -> DataFrame:
+    """node, hops, steps (from, edge, to) of one shortest path along the edges from start to each node, or each of some targets (node).
+
+    All targets share one search: a node keeps the least path by which it is first reached.
+    """
+    moves = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type").distinct()
+    step = "struct<`from`:string,edge:string,to:string>"
+    frontier = edges.sparkSession.createDataFrame([(start, 0, [])], f"node string, hops int, steps array<{step}>")
+    seen = frontier
     for hop in range(1, depth + 1):
-        grown = frontier.join(steps, "node").filter(~F.array_contains("path", F.col("other")))
-        grown = cut(grown.select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path")))
-        here = grown.filter(F.col("node") == end).select(F.array_join("path", ">").alias("path"), F.lit(hop).alias("hops"))
-        found = here if found is None else found.unionAll(here)
-        frontier = grown.filter(F.col("node") != end)
-    return found if limit is None else found.orderBy("hops", "path").limit(limit)
+        taken = F.concat("steps", F.array(F.struct(F.col("node").alias("from"), F.col("type").alias("edge"), F.col("other").alias("to"))))
+        grown = frontier.join(moves, "node").select(F.col("other").alias("node"), taken.alias("steps"))
+        new = grown.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("steps").alias("steps"))
+        frontier = cut(new.select("node", F.lit(hop).alias("hops"), "steps"))
+        seen = cut(seen.unionByName(frontier))
+    found = seen.filter("hops > 0")
+    return found if targets is None else found.join(targets.select("node").distinct(), "node", "left_semi")
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
@@ -89,27 +142,33 @@ def truncate(edges: DataFrame, most: int) -> DataFrame:
     return edges.join(top.withColumnRenamed("node", "source"), "source", "left_semi").join(top.withColumnRenamed("node", "target"), "target", "left_semi")
 
 
+ID_TURNS = 32
+
+
 def communities(edges: DataFrame) -> DataFrame:
     """node, community by asynchronous label propagation in rounds; a community is named by its least member.
 
     A node wants the label most frequent among its neighbours, the least of tied ones. Of the nodes that want another
-    label, those whose keyed hash is above that of all their neighbours that want one change in this round. So neighbours
-    never change together, and a round is the same as its changes one after the other. Each change makes more edges agree,
-    or as many with a lesser label, so every graph settles, after finitely many rounds and without a cap on them. Nodes
-    without neighbours stay alone.
+    label, those that come before all their neighbours that want one change in this round. So neighbours never change
+    together, and a round is the same as its changes one after the other. Each change makes more edges agree, or as many
+    with a lesser label, so every graph settles, after finitely many rounds and without a cap on them. For the first
+    ID_TURNS rounds nodes that have changed less often come first, then lesser ids, as if nodes took turns; then the order
+    is that of a hash keyed by the round, under which long chains of ids don't wait for one another. Nodes without
+    neighbours stay alone.
     """
     steps = cut(both_ways(edges).filter("node <> other").select("node", "other").distinct())
-    labels, turn = cut(nodes(edges).withColumn("label", F.col("node"))), 0
+    labels, turn = cut(nodes(edges).select("node", F.col("node").alias("label"), F.lit(0).alias("moves"))), 0
     while True:
-        votes = steps.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
+        votes = steps.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("x")).select("node", F.col("x.label").alias("best"))
-        rank = F.struct(F.md5(F.concat_ws(":", F.lit(str(turn)), "node")).alias("hash"), "node")
+        order = F.lpad(F.col("moves").cast("string"), 9, "0") if turn < ID_TURNS else F.md5(F.concat_ws(":", F.lit(str(turn)), "node"))
+        rank = F.struct(order.alias("order"), "node")
         wanting = cut(best.join(labels, "node").filter("best <> label").select("node", "best", rank.alias("rank")))
         if wanting.isEmpty():
             break
-        around = steps.join(wanting.select("node", "rank"), "node").groupBy(F.col("other").alias("node")).agg(F.max("rank").alias("most"))
-        first = wanting.join(around, "node", "left").filter(F.col("most").isNull() | (F.col("rank") > F.col("most")))
-        before, labels = labels, cut(labels.join(first.select("node", "best"), "node", "left").select("node", F.coalesce("best", "label").alias("label")))
+        around = steps.join(wanting.select("node", "rank"), "node").groupBy(F.col("other").alias("node")).agg(F.min("rank").alias("least"))
+        first = wanting.join(around, "node", "left").filter(F.col("least").isNull() | (F.col("rank") < F.col("least")))
+        before, labels = labels, cut(labels.join(first.select("node", "best"), "node", "left").select("node", F.coalesce("best", "label").alias("label"), (F.col("moves") + F.col("best").isNotNull().cast("int")).alias("moves")))
         discard(before, wanting)
         turn += 1
     names = labels.groupBy("label").agg(F.min("node").alias("community"))

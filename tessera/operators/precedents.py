@@ -75,6 +75,19 @@ def graph_precedents(edges: DataFrame, nodes: DataFrame, node: str, limit: int =
     return near.select(F.col("node_type").alias("type"), "id", F.lit(NEIGHBOUR).alias("relevance")).distinct()
 
 
+def with_paths(found: DataFrame, edges: DataFrame, node: str, depth: int = 3) -> DataFrame:
+    """found with `path`: the first shortest way along the edges from a node to each result, of three edges at most; null if there is none.
+
+    A result stands for the node of its id or, as pages are nodes under their plain id, of what follows its type.
+    """
+    from tessera.operators.graph import first_paths
+
+    names = found.select("id", F.explode(F.array_distinct(F.array("id", F.concat_ws(":", "type", "id"), F.regexp_replace("id", "^[a-z]+:", "")))).alias("node"))
+    ways = first_paths(edges, node, depth, names).select("node", "hops", F.array_join(F.transform("steps", lambda s: F.concat(s["from"], F.lit(" -"), s["edge"], F.lit("-> "), s["to"])), "; ").alias("way"))
+    best = names.join(ways, "node").groupBy("id").agg(F.min_by("way", F.struct("hops", "way")).alias("path"))
+    return found.join(best, "id", "left")
+
+
 def search(branches: list[DataFrame], limit: int) -> DataFrame:
     """The most relevant of several branches; of one id in several, the branch named first. With the total before the cut."""
     rows = reduce(DataFrame.unionByName, (b.withColumn("branch", F.lit(k)) for k, b in enumerate(branches)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,26 +21,31 @@ HEADINGS = r"(?=\n#{1,6}\s)"
 def chunks(pages: DataFrame, size: int = 500, overlap: int = 100, section: str = HEADINGS) -> DataFrame:
     """chunk_id, page_id, chunk_index, content: sections packed up to `size`, each chunk beginning with the end of the one before.
 
-    A section that is longer is one chunk. Packing carries state along a page, so it runs over batches of pages.
+    A section that is longer is one chunk. With a page's sections laid end to end, each chunk is a stretch of that text,
+    so only the places where chunks begin and end are worked out, from the sections' lengths.
     """
 
-    def packed(parts: list[str]) -> Iterator[str]:
-        held = ""
-        for part in parts:
-            if held and len(held) + len(part) > size:
-                yield held.strip()
-                held = f"{held[-overlap:]}\n{part}" if overlap else part
-            else:
-                held = f"{held}\n{part}".strip()
-        if held.strip():
-            yield held.strip()
+    def stretches(text: str, parts: list[str]) -> Iterator[tuple[int, int]]:
+        places = [0, *accumulate(len(p) + 1 for p in parts)]
+        begin = end = 0
+        for place, part in zip(places, parts):
+            if end > begin and end - begin + len(part) > size:
+                yield begin, end
+                begin = max(begin, end - overlap) if overlap else place
+            else:  # what an overlap begins with is blank no more once a section joins it
+                begin = end - len(text[begin:end].lstrip())
+            end = place + len(part)
+        if parts:
+            yield begin, end
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         split = re.compile(section)
         for frame in frames:
-            rows = [(f"{p}#{k}", p, k, c) for p, text in zip(frame["page_id"], frame["body"]) for k, c in enumerate(packed([x.strip() for x in split.split(text or "") if x.strip()]))]
+            rows = []
+            for page, body in zip(frame["page_id"], frame["body"]):
+                parts = [x for x in map(str.strip, split.split(body or "")) if x]
+                text = "\n".join(parts)
+                rows += [(f"{page}#{k}", page, k, text[a:b].strip()) for k, (a, b) in enumerate(stretches(text, parts))]
             yield pd.DataFrame(rows, columns=["chunk_id", "page_id", "chunk_index", "content"])
 
     return pages.select("page_id", "body").mapInPandas(run, "chunk_id string, page_id string, chunk_index long, content string")
@@ -132,26 +138,26 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, cell: tuple[int, in
     rows, columns = (max(1, -(-df.count() // n)) for df, n in zip((queries, vectors), cell))
     group = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(group(rows).alias("row"), every(columns).alias("column"), "vec_id", "embedding")
-    v = vectors.select(every(rows).alias("row"), group(columns).alias("column"), "vec_id", "embedding")
+    q = queries.select(group(rows).alias("row"), every(columns).alias("column"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    v = vectors.select(every(rows).alias("row"), group(columns).alias("column"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        def matrix(frame: pd.DataFrame) -> np.ndarray:
-            x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+        def matrix(column: pd.Series) -> np.ndarray:
+            x = np.stack(column.to_numpy()).astype(np.float64)
             length = np.linalg.norm(x, axis=1, keepdims=True)
             return x / np.where(length > 0, length, 1)
 
         found = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})]
         if len(left) and len(right):
-            held, own = matrix(right).T, right["vec_id"].to_numpy()
+            held, own = matrix(right["embedding"]).T, right["vec_id"].to_numpy()
             step = max(1, (1 << 22) // len(right))  # scores of a few queries at a time
             for at in range(0, len(left), step):
                 part = left.iloc[at : at + step]
-                score = np.round(np.maximum(matrix(part) @ held, 0), 6)
+                score = np.round(np.maximum(matrix(part["query"]) @ held, 0), 6)
                 order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                found.append(pd.DataFrame({"query_id": np.repeat(part["vec_id"].to_numpy(), order.shape[1]), "vec_id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
+                found.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), order.shape[1]), "vec_id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
         return pd.concat(found)
 
     out = q.groupBy("row", "column").cogroup(v.groupBy("row", "column")).applyInPandas(nearest, "query_id long, vec_id long, score double")

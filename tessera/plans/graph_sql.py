@@ -6,14 +6,14 @@ The rounds of an iteration carry their whole state, so that a round sees only th
 COMMUNITIES = """n AS MATERIALIZED (SELECT DISTINCT unnest([source, target]) AS node FROM e),
 s AS MATERIALIZED (SELECT source AS node, target AS other FROM e WHERE source <> target UNION SELECT target, source FROM e WHERE source <> target),
 l AS (
-  SELECT 0 AS turn, node, node AS label FROM n
+  SELECT 0 AS turn, node, node AS label, 0 AS moves FROM n
   UNION ALL
-  SELECT turn + 1, node, CASE WHEN wants AND (most IS NULL OR rank > most) THEN best ELSE label END FROM (
+  SELECT turn + 1, node, CASE WHEN wants AND (least IS NULL OR rank < least) THEN best ELSE label END, moves + (wants AND (least IS NULL OR rank < least))::INTEGER FROM (
     SELECT *, bool_or(wants) OVER () AS live FROM (
-      SELECT w.*, (SELECT max(x.rank) FROM s JOIN (
-        SELECT l.node, md5(l.turn || ':' || l.node) || l.node AS rank FROM l JOIN (SELECT node, arg_min(label, (-k, label)) AS best FROM (SELECT s.node, l.label, count(*) AS k FROM s JOIN l ON l.node = s.other GROUP BY 1, 2) GROUP BY 1) v USING (node) WHERE v.best <> l.label
-      ) x ON x.node = s.other WHERE s.node = w.node) AS most
-      FROM (SELECT l.turn, l.node, l.label, v.best, coalesce(v.best <> l.label, false) AS wants, md5(l.turn || ':' || l.node) || l.node AS rank FROM l
+      SELECT w.*, (SELECT min(x.rank) FROM s JOIN (
+        SELECT l.node, CASE WHEN l.turn < 32 THEN lpad(moves::VARCHAR, 9, '0') ELSE md5(l.turn || ':' || l.node) END || l.node AS rank FROM l JOIN (SELECT node, arg_min(label, (-k, label)) AS best FROM (SELECT s.node, l.label, count(*) AS k FROM s JOIN l ON l.node = s.other GROUP BY 1, 2) GROUP BY 1) v USING (node) WHERE v.best <> l.label
+      ) x ON x.node = s.other WHERE s.node = w.node) AS least
+      FROM (SELECT l.turn, l.node, l.label, l.moves, v.best, coalesce(v.best <> l.label, false) AS wants, CASE WHEN l.turn < 32 THEN lpad(moves::VARCHAR, 9, '0') ELSE md5(l.turn || ':' || l.node) END || l.node AS rank FROM l
             LEFT JOIN (SELECT node, arg_min(label, (-k, label)) AS best FROM (SELECT s.node, l.label, count(*) AS k FROM s JOIN l ON l.node = s.other GROUP BY 1, 2) GROUP BY 1) v USING (node)) w
     )
   ) WHERE live

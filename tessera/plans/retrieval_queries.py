@@ -111,6 +111,29 @@ def mean_measures(spark, sf_dir):
 HITS = f"{FTS}, hits AS (SELECT page_id, score FROM fts ORDER BY score DESC, page_id LIMIT 20)"
 
 
+TF = """st AS (SELECT page_id, regexp_extract_all(lower(body), '[a-z0-9]{2,}') AS ts FROM vault), sr AS (SELECT page_id, len(ts) AS n, unnest(ts) AS token FROM st),
+sf AS (SELECT page_id, token, count(*) / n AS tf FROM sr GROUP BY page_id, token, n), sw AS (SELECT token, ln(((SELECT count(*) FROM vault) + 1) / (count(*) + 1)) + 1 AS idf FROM sf WHERE token IN ('src1', 'guide') GROUP BY token),
+ss AS (SELECT page_id, sum(tf * idf * idf / 2.0) AS dot, sqrt(sum(power(tf * coalesce(idf, 1.0), 2))) AS norm FROM sf LEFT JOIN sw USING (token) GROUP BY page_id),
+sparse AS (SELECT page_id, round(dot / (norm * (SELECT sqrt(sum(power(coalesce(idf, 1.0) / 2.0, 2))) FROM (VALUES ('src1'), ('guide')) t(token) LEFT JOIN sw USING (token))), 6) AS score FROM ss WHERE dot > 0 ORDER BY score DESC, page_id DESC LIMIT 30)"""
+FUSED = f"""{FTS}, {TF}, lx AS (SELECT page_id, row_number() OVER (ORDER BY score DESC, page_id) AS a FROM (SELECT * FROM fts ORDER BY score DESC, page_id LIMIT 30)), vx AS (SELECT page_id, row_number() OVER (ORDER BY score DESC, page_id) AS b FROM sparse),
+fused AS MATERIALIZED (SELECT page_id, a, b, round(coalesce(0.5 / (60 + a), 0) + coalesce(0.3 / (60 + b), 0), 6) AS score FROM lx FULL JOIN vx USING (page_id) ORDER BY score DESC, page_id LIMIT 30)"""
+
+
+def fused(spark, sf_dir, limit=30):
+    """Hits of the text and of the terms' weights, fused."""
+    v = vault(spark, sf_dir)
+    return storage.cut(lexical.full_text(v, TEXT, limit).select("page_id", "score")), storage.cut(vectors.sparse_cosine(v, TEXT, limit).select("page_id", "score"))
+
+
+@query(f"""WITH {VAULT}, {vault_queries.WIKI}, {FUSED}, k AS (SELECT source, target FROM links WHERE exists), g AS (SELECT target AS page_id, sum(score * 0.1 * 0.2) AS gain FROM k JOIN fused ON source = page_id GROUP BY 1),
+x AS (SELECT page_id, round(coalesce(score, 0) + coalesce(gain, 0), 6) AS score, concat_ws('+', CASE WHEN a IS NOT NULL THEN 'lexical' END, CASE WHEN b IS NOT NULL THEN 'vector' END, CASE WHEN page_id IN (SELECT page_id FROM g) THEN 'links' END) AS sources FROM fused FULL JOIN g USING (page_id))
+SELECT x.page_id, x.score, x.sources, title, kind, visibility, substr(body, 1, 200) AS citation FROM x LEFT JOIN vault USING (page_id) ORDER BY x.score DESC, len(string_split(x.sources, '+')) DESC, x.page_id LIMIT 30""")
+def hybrid_search(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    found = fusion.hybrid(*fused(spark, sf_dir), links.page_links(v).filter("exists").select("source", "target"), 30)
+    return fusion.cited(found, v.withColumn("snippet", F.lit(None).cast("string")))
+
+
 def hits(spark, sf_dir):
     return storage.cut(lexical.full_text(vault(spark, sf_dir), TEXT, 20).select("page_id", "score"))
 
@@ -123,19 +146,20 @@ def link_boosted(spark, sf_dir):
 TYPES = ["mentions", "supports", "source_of", "provenance"]
 STEP = "score * CASE dir WHEN 'outgoing' THEN 0.85 ELSE 0.65 END"
 ENTITY = f"coalesce(cn.type, 'page') IN {links.ENTITY_TYPES}"
-EXPANDED = f"""{vault_queries.CONTEXT}, {HITS}, adj AS (SELECT source AS node, target AS nbr, type, 'outgoing' AS dir FROM ce WHERE type IN ({', '.join(repr(t) for t in TYPES)}) UNION ALL SELECT target, source, type, 'incoming' FROM ce WHERE type IN ({', '.join(repr(t) for t in TYPES)})),
+EXPANDED = f"""{vault_queries.CONTEXT}, {FUSED}, hits AS (SELECT page_id, score FROM fused), adj AS (SELECT source AS node, target AS nbr, type, 'outgoing' AS dir FROM ce WHERE type IN ({', '.join(repr(t) for t in TYPES)}) UNION ALL SELECT target, source, type, 'incoming' FROM ce WHERE type IN ({', '.join(repr(t) for t in TYPES)})),
 c1 AS (SELECT h.page_id AS hit, nbr AS node, {STEP} AS score, adj.type || ' -> ' || coalesce(cn.type, 'page') AS path, CASE WHEN {ENTITY} THEN [nbr] ELSE [] END AS entities, cn.type AS t, 1 AS hops FROM hits h JOIN adj ON adj.node = h.page_id LEFT JOIN cn ON cn.id = nbr),
 f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, hit, path, entities) AS k FROM c1 WHERE node NOT IN (SELECT page_id FROM hits)) WHERE k = 1),
 c2 AS (SELECT f1.hit, nbr AS node, {STEP.replace('score', 'f1.score', 1)} AS score, f1.path || ' -> ' || adj.type || ' -> ' || coalesce(cn.type, 'page') AS path, CASE WHEN {ENTITY} AND NOT list_contains(f1.entities, nbr) THEN list_append(f1.entities, nbr) ELSE f1.entities END AS entities, cn.type AS t, 2 AS hops FROM f1 JOIN adj ON adj.node = f1.node LEFT JOIN cn ON cn.id = nbr),
-c AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2), e AS (SELECT node, list_sort(list_distinct(flatten(list(entities)))) AS entities FROM c GROUP BY 1), g AS (SELECT node, max(score) AS best, count(*) AS n_paths, arg_min(path, (hops, -score, hit, path)) AS path, max(t) AS t FROM c GROUP BY 1),
-x AS (SELECT coalesce(h.page_id, g.node) AS page_id, h.score AS base, best, n_paths, path, entities, t FROM g JOIN e USING (node) FULL JOIN hits h ON h.page_id = g.node)
-SELECT page_id, round(coalesce(base, best) + coalesce(best, 0) * 0.2, 6) AS score, coalesce(n_paths, 0) AS n_paths, path, coalesce(array_to_string(entities, ','), '') AS entities, concat_ws('; ', CASE WHEN base IS NOT NULL THEN 'direct text match' END, 'reachable via: ' || path) AS because
+c AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2), bp AS (SELECT node, string_agg(p, ' | ' ORDER BY k) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, score DESC, p) AS k FROM (SELECT DISTINCT node, hops, score, hit || ': ' || path AS p FROM c)) WHERE k <= 3 GROUP BY 1), e AS (SELECT node, list_sort(list_distinct(flatten(list(entities)))) AS entities FROM c GROUP BY 1), g AS (SELECT node, max(score) AS best, count(*) AS n_paths, arg_min(path, (hops, -score, hit, path)) AS path, max(t) AS t FROM c GROUP BY 1),
+x AS (SELECT coalesce(h.page_id, g.node) AS page_id, h.score AS base, best, n_paths, path, paths, entities, t FROM g JOIN e USING (node) JOIN bp USING (node) FULL JOIN hits h ON h.page_id = g.node)
+SELECT page_id, round(coalesce(base, best) + coalesce(best, 0) * 0.2, 6) AS score, coalesce(n_paths, 0) AS n_paths, path, paths, coalesce(array_to_string(entities, ','), '') AS entities, concat_ws('; ', CASE WHEN base IS NOT NULL THEN 'direct text match' END, 'reachable via: ' || path) AS because
 FROM x WHERE base IS NOT NULL OR t = 'page' ORDER BY round(coalesce(base, best) + coalesce(best, 0) * 0.2, 6) DESC, page_id LIMIT 15"""
 
 
 def expanded(spark, sf_dir):
     nodes, edges = vault_queries.context(spark, sf_dir)
-    return fusion.expand(hits(spark, sf_dir), storage.cut(edges), storage.cut(nodes), 2, TYPES, 15)
+    seeds = fusion.reciprocal_rank_fusion(*fused(spark, sf_dir), 30)  # twice the results
+    return fusion.expand(storage.cut(seeds.select("page_id", "score")), storage.cut(edges), storage.cut(nodes), 2, TYPES, 15)
 
 
 @query(EXPANDED)
@@ -202,3 +226,33 @@ def precedent_search(spark, sf_dir):
         precedents.page_precedents(vault(spark, sf_dir), "NOTES", "ops", entity="src1"), precedents.graph_precedents(edges, nodes, "task:T3"),
     ]
     return precedents.search(branches, 40)
+
+
+NAMES = "SELECT id, unnest([id, type || ':' || id, regexp_replace(id, '^[a-z]+:', '')]) AS node FROM found"
+
+
+@query(f"""{PRECEDENTS[: PRECEDENTS.rindex(' SELECT type, id, relevance')]}, found AS (SELECT type, id, relevance FROM d ORDER BY relevance DESC, type, id LIMIT 40), nm AS (SELECT DISTINCT * FROM ({NAMES})),
+mv AS (SELECT DISTINCT source AS node, target AS other, type FROM ce),
+b1 AS (SELECT other AS node, min([node || ' -' || type || '-> ' || other]) AS way FROM mv WHERE node = 'task:T3' AND other <> 'task:T3' GROUP BY 1),
+b2 AS (SELECT mv.other AS node, min(list_append(way, mv.node || ' -' || mv.type || '-> ' || mv.other)) AS way FROM b1 JOIN mv ON mv.node = b1.node WHERE mv.other <> 'task:T3' AND mv.other NOT IN (SELECT node FROM b1) GROUP BY 1),
+b3 AS (SELECT mv.other AS node, min(list_append(way, mv.node || ' -' || mv.type || '-> ' || mv.other)) AS way FROM b2 JOIN mv ON mv.node = b2.node WHERE mv.other <> 'task:T3' AND mv.other NOT IN (SELECT node FROM b1) AND mv.other NOT IN (SELECT node FROM b2) GROUP BY 1),
+wy AS (SELECT id, arg_min(array_to_string(way, '; '), (len(way), array_to_string(way, '; '))) AS path FROM nm JOIN (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3) USING (node) GROUP BY 1)
+SELECT type, id, relevance, path FROM found LEFT JOIN wy USING (id)""")
+def precedent_paths(spark, sf_dir):
+    nodes, edges = vault_queries.context(spark, sf_dir)
+    return precedents.with_paths(precedent_search(spark, sf_dir).select("type", "id", "relevance"), storage.cut(edges), "task:T3")
+
+
+@query()
+def chunk_vectors_fused(spark, sf_dir):
+    """For every 20th page, the pages whose chunks are most like its own first chunk, by vectors and by fusion with the text."""
+    chunked = vectors.embedded(vectors.chunks(vault(spark, sf_dir).filter("page_id is not null")))
+    rows = storage.cut(chunked.withColumn("vec_id", F.xxhash64("chunk_id")).select("vec_id", "page_id", "chunk_index", "embedding"))
+    asked = rows.filter("chunk_index = 0").join(vault(spark, sf_dir).filter("doc_id % 20 = 0").select("page_id"), "page_id", "left_semi")
+    near = vectors.knn(rows, asked, 10).join(rows.select("vec_id", "page_id"), "vec_id")
+    names = asked.select(F.col("vec_id").alias("query_id"), F.col("page_id").alias("asked"))
+    best = near.join(names, "query_id").filter("page_id <> asked").groupBy("asked", "page_id").agg(F.max("score").alias("score"))
+    lexical_ = storage.cut(lexical.full_text(vault(spark, sf_dir), TEXT, 30).select("page_id"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "page_id")))
+    both = ranked.join(F.broadcast(lexical_.withColumn("named", F.lit(True))), "page_id", "left")
+    return both.select("asked", "page_id", "rank", F.round(0.3 / (60 + F.col("rank")) + F.when(F.col("named"), 0.5 / 60).otherwise(0.0), 6).alias("score"))

@@ -226,6 +226,38 @@ def test_audit_is_compacted_without_loss_or_doubling(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+def test_audit_keeps_late_events_and_survives_a_crash(spark, tmp_path, monkeypatch):
+    log, old = str(tmp_path / "log"), str(tmp_path / "old")
+    add = lambda name, day: audit.append(spark.createDataFrame([(name, "p", "ann", DAY + dt.timedelta(days=day))], "action string, page_id string, actor string, ts timestamp"), log)
+    names = lambda: sorted(r["action"] for r in audit.read_all(spark, log, old).collect())
+    add("e1", 0), add("e2", 0), add("e3", 5)
+    assert names() == ["e1", "e2", "e3"]
+    assert audit.compact(spark, log, old, "2024-01-03") == 1 and names() == ["e1", "e2", "e3"]
+    add("late", 0)
+    assert names() == ["e1", "e2", "e3", "late"]
+    real = audit._files
+
+    class Crash:
+        """A file system that dies when files are to be deleted."""
+
+        def __init__(self, files):
+            self.files = files
+
+        def delete(self, *_):
+            raise RuntimeError("crash")
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+    monkeypatch.setattr(audit, "_files", lambda *a: Crash(real(*a)))
+    with pytest.raises(Exception, match="crash"):
+        audit.compact(spark, log, old, "2024-01-03")
+    monkeypatch.setattr(audit, "_files", real)
+    assert names() == ["e1", "e2", "e3", "late"]  # in both folders, counted once
+    assert audit.compact(spark, log, old, "2024-01-03") == 0 and names() == ["e1", "e2", "e3", "late"]
+    assert [r["action"] for r in audit.scan(spark, log).collect()] == ["e3"]
+
+
 def test_streams_of_buckets_windows_and_sessions(spark, tmp_path):
     """Each stream gives what its batch form gives on all but what its watermark still holds open."""
     source = str(tmp_path / "in")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import quality_rules, vectors
+from tessera.operators import graph, quality_rules, vectors
 
 
 def test_like_ids_equal_the_nested_loop(spark):
@@ -83,3 +83,95 @@ def test_hashed_embeddings_find_like_texts(spark):
     assert best == {2: 1}
     size = vectors.embedded(texts, lambda s: s.map(lambda t: [float(len(t))])).select("vec_id", F.col("embedding")[0].alias("n")).collect()
     assert {r["vec_id"]: r["n"] for r in size} == {1: 22.0, 2: 24.0, 3: 18.0, 4: 0.0, 5: 0.0}
+
+
+def edges(spark, pairs):
+    return spark.createDataFrame([(a, b, t) for a, b, t in pairs], "source string, target string, type string")
+
+
+@pytest.mark.parametrize("limit", [None, 4, 1000])
+def test_paths_against_all_walks(spark, limit):
+    dice = random.Random(6)
+    pairs = sorted({(f"n{dice.randrange(14)}", f"n{dice.randrange(14)}", "link") for _ in range(45)})
+    wanted = []
+
+    def walk(path):
+        if path[-1] == "n1":
+            wanted.append((">".join(path), len(path) - 1))
+        elif len(path) <= 5:
+            for _, b, _ in (p for p in pairs if p[0] == path[-1]):
+                if b not in path:
+                    walk([*path, b])
+
+    walk(["n0"])
+    got = [tuple(r) for r in graph.paths(edges(spark, pairs), "n0", "n1", 5, limit=limit).select("path", "hops").collect()]
+    order = sorted(wanted, key=lambda x: (x[1], x[0]))
+    assert (sorted(got) == sorted(wanted)) if limit is None else got == order[:limit]
+    assert len(wanted) > 10
+
+
+def test_a_dense_graph_has_few_walks(spark, monkeypatch):
+    """10,000 edges in six layers: 10^8 shortest paths, of which five are asked for; no level keeps more than five a node."""
+    layer = lambda k, i: f"l{k}_{i:02}"
+    pairs = [("s", layer(0, i), "x") for i in range(45)] + [(layer(4, i), "t", "x") for i in range(45)]
+    pairs += [(layer(k, i), layer(k + 1, j), "x") for k in range(4) for i in range(45) for j in range(45)]
+    sizes, real = [], graph.cut
+
+    def counted(df):
+        out = real(df)
+        if "path" in df.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got = [r["path"] for r in graph.paths(edges(spark, pairs), "s", "t", 6, limit=5).collect()]
+    assert got == [f"s>l0_00>l1_00>l2_00>l3_00>l4_0{i}>t" for i in range(5)] and max(sizes) <= 45 * 5
+
+
+def test_first_paths_to_many_targets(spark):
+    rows = edges(spark, [("a", "b", "x"), ("a", "c", "y"), ("b", "d", "x"), ("c", "d", "x"), ("d", "e", "x"), ("e", "f", "x"), ("b", "a", "x"), ("g", "a", "x")])
+    got = {r["node"]: (r["hops"], [tuple(s) for s in r["steps"]]) for r in graph.first_paths(rows, "a", 3).collect()}
+    assert got["d"] == (2, [("a", "x", "b"), ("b", "x", "d")]) and set(got) == {"b", "c", "d", "e"} and got["e"][0] == 3
+    assert [r["node"] for r in graph.first_paths(rows, "a", 3, spark.createDataFrame([("d",), ("g",)], "node string")).collect()] == ["d"]
+
+
+def communities_in_turn(pairs):
+    """The same schedule as plain updates, one node after the other."""
+    import hashlib
+
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set())
+        near.setdefault(b, set())
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    label, moves, turn = {n: n for n in near}, dict.fromkeys(near, 0), 0
+    while True:
+        wants = {}
+        for n in near:
+            if near[n]:
+                seen = [label[m] for m in near[n]]
+                best = min(seen, key=lambda x: (-seen.count(x), x))
+                if best != label[n]:
+                    wants[n] = best
+        if not wants:
+            break
+        rank = {n: (hashlib.md5(f"{turn}:{n}".encode()).hexdigest() if turn >= graph.ID_TURNS else f"{moves[n]:09}", n) for n in wants}
+        for n in [n for n in wants if all(rank[n] < rank[m] for m in near[n] if m in wants)]:
+            label[n], moves[n] = wants[n], moves[n] + 1
+        turn += 1
+    return {n: min(m for m in label if label[m] == label[n]) for n in label}
+
+
+def test_communities_settle_as_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ID_TURNS", 6)
+    swapping = [("n0", "n1"), ("n1", "n3"), ("n1", "n4"), ("n1", "n5"), ("n2", "n3"), ("n2", "n4"), ("n2", "n5")]
+    triangles = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f")]
+    dice = random.Random(7)
+    wild = [(f"n{dice.randrange(40)}", f"n{dice.randrange(40)}") for _ in range(60)]
+    chain = [(f"c{k:02}", f"c{k + 1:02}") for k in range(40)]
+    for pairs in (chain, swapping, triangles, [*triangles, ("c", "bridge"), ("bridge", "d")], wild):
+        got = {r["node"]: r["community"] for r in graph.communities(edges(spark, [(*p, "x") for p in pairs])).collect()}
+        assert got == communities_in_turn(pairs)
+    assert "bridge" in {r["node"] for r in graph.entry_points(edges(spark, [(*p, "x") for p in [*triangles, ("c", "bridge"), ("bridge", "d")]]), 3).collect()}
