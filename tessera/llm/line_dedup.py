@@ -1,19 +1,20 @@
 """Line dedup: later repeats of runs of lines are deleted, found by winnowing with one fingerprint a window.
 
 A text is its lines (split at \\n), a line its hash after case and white space are folded. A window is the fewest lines
-from a line on, or up to a line, that hold min_words words. Its fingerprint is the least hash of its lines (Schleimer,
-Wilkerson and Aiken, 2003), so two places that hold a run of min_words words share the fingerprints of all windows in
-it for certain. Places are joined by fingerprint and by a hash of the window's lines, as the first place of a fingerprint
-alone may hold less of a run than other places do.
-
-Every run of min_words words or more is the union of the windows within it: those that begin at its lines, and the one
-that ends with it, which the last words of a run may need. So a run is repeated just if all of its windows are, and a
-match is extended both ways by the windows that overlap it: each window's first place (least doc_id, then mark, then
-line) is kept, and the lines of all its other places are deleted, in other texts and in the same one. A line makes two
-windows at most, and a window that many texts hold is met once by each.
-
-A window's hash is 128 bits long, from prefix sums of its lines' hashes, so its cost does not depend on its length. Of N
-windows some two that differ have equal hashes with a probability of about N * N / 2**129, were they ideal.
+from a line on, or up to a line, that hold min_words words; its fingerprint is the least hash of its lines (Schleimer,
+Wilkerson and Aiken, 2003). Neighbouring windows mostly share it, so a text selects one fingerprint for some two lines in
+a window's length. Two places that hold a run of min_words words share the fingerprints of all windows in it for certain:
+only fingerprints that stand at two places or more are gone on with.
+
+The places of such a fingerprint are joined, and a match is extended both ways from it by the windows around it that it
+is the least hash of: places match in a window if the window's lines have the same 128-bit hash, so that each context of
+a fingerprint has its own first place (least doc_id, then mark, then line). Every run of min_words words or more is the
+union of its windows, those that begin at its lines and the one that ends with it; so a run is repeated just if all of
+its windows are, and the lines of all places of a window but the first are deleted, in other texts and in the same one.
+
+A window's hash comes from prefix sums of its lines' hashes, so its cost does not depend on its length. Of N windows some
+two that differ have equal hashes with a probability of about N * N / 2**129, were they ideal; the lines themselves are
+not compared again.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bind, materialise, mix64, pieces
+from tessera.llm.common import bind, discard, materialise, mix64, pieces, presence_bits, presence_size, present
 
 MIN_WORDS = 50
 KEY, WINDOW = ["doc_id", "mark"], ["print", "key", "key2"]
@@ -65,28 +66,71 @@ def window_minima(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return out
 
 
-def _window_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, mark, and the fingerprint, hash and bounds of each window of the text, a row a window."""
+def occurrences(hashes: np.ndarray, wanted: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often wanted[i], a value of hashes, stands in hashes[starts[i]:ends[i]]."""
+    values, kind = np.unique(hashes, return_inverse=True)
+    n = len(hashes) + 1
+    places = np.sort(kind * n + np.arange(len(hashes)))
+    own = np.searchsorted(values, wanted) * n
+    return np.searchsorted(places, own + ends) - np.searchsorted(places, own + starts)
+
+
+def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, mark, print, times, and the hashes and bounds of its windows: a row a selected fingerprint.
+
+    One row is what neighbouring windows of the same least hash share; times is how often that stands among their lines.
+    """
+    names = ["doc_id", "mark", "print", "times", "key", "key2", "start", "end"]
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in (part for whole in batches for part in pieces(whole, "text")):
-            rows, made = [], []
+            rows, single, lists, sizes = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 folded = [line.lower().split() for line in text.split("\n")]
                 starts, ends = windows(np.array([len(w) for w in folded], np.int64), min_words)
                 if len(starts):
                     hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in folded]), np.uint64).reshape(-1, 2)
-                    rows.append(np.full(len(starts), k))
-                    made.append((window_minima(hashes[:, 0], starts, ends).view(np.int64), *window_keys(hashes, starts, ends), starts, ends))
+                    least = window_minima(hashes[:, 0], starts, ends)
+                    begins = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+                    ends_at = np.append(begins[1:], len(least)) - 1
+                    prints = least[begins]
+                    rows.append(np.full(len(begins), k))
+                    single.append((prints.view(np.int64), occurrences(hashes[:, 0], prints, starts[begins], ends[ends_at])))
+                    lists.append((*window_keys(hashes, starts, ends), starts, ends))
+                    sizes.append(ends_at + 1 - begins)
             if rows:
-                row = pa.array(np.concatenate(rows))
-                columns = [pa.array(np.concatenate(c)) for c in zip(*made)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("mark").take(row), *columns], ["doc_id", "mark", *WINDOW, "start", "end"])
+                row, offsets = pa.array(np.concatenate(rows)), pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32))
+                columns = [pa.array(np.concatenate(c)) for c in zip(*single)] + [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c))) for c in zip(*lists)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("mark").take(row), *columns], names)
+
+    return docs.mapInArrow(run, "doc_id long, mark long, print long, times long, key array<long>, key2 array<long>, start array<long>, end array<long>")
+
+
+def _windows_of(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """The windows of the fingerprints that are shared, a row a window.
+
+    A bitmap of the shared ones passes nearly none of the others, which would do no harm: no window of theirs is met
+    twice. Where there are too many for a bitmap, they are joined instead.
+    """
+    size = presence_size(shared.count())
+    if size is None:
+        chosen = found.join(shared, "print", "left_semi")
+    else:
+        bits = found.sparkSession.sparkContext.broadcast(presence_bits(shared, "print", size))
+        place = F.pmod(F.xxhash64("print"), F.lit(size))
+
+        def known(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.filter(pa.array(present(bits.value, batch.column("place").to_numpy())))
 
-    return docs.mapInArrow(run, "doc_id long, mark long, print long, key long, key2 long, start long, end long")
+        marked = found.select(*KEY, "print", "key", "key2", "start", "end", place.alias("place"))
+        chosen = marked.mapInArrow(known, marked.schema)
+    return chosen.select(*KEY, "print", F.explode(F.arrays_zip("key", "key2", "start", "end")).alias("w")).select(*KEY, "print", "w.*")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -113,7 +157,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and rows that repeat both are one text. Null texts and doc_ids take no part. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    found = materialise(_window_rows(rows.filter("doc_id is not null and text is not null"), min_words), "windows")
+    prints = materialise(_fingerprints(rows.filter("doc_id is not null and text is not null"), min_words), "fingerprints")
+    shared = materialise(prints.groupBy("print").agg(F.sum("times").alias("n")).filter("n > 1").select("print"), "shared-fingerprints")
+    found = materialise(_windows_of(prints, shared), "windows")
+    discard(prints, shared)
     first = found.groupBy(*WINDOW).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start")).alias("first")).filter("n > 1")
     first = materialise(first.select(*WINDOW, F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.start").alias("first_start")), "first-places")
     later = found.join(first, WINDOW).filter("doc_id <> first_id or mark <> first_mark or start <> first_start")
