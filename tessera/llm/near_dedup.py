@@ -44,7 +44,7 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
 
 
 def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the whole set), the sketch and the odd sketch of each row's text."""
+    """doc_id, mark (a hash of the text), n_shingles, set_key (128-bit hash of the whole set), the sketch and the odd sketch of each row's text."""
 
     def run(batches):
         import pyarrow as pa
@@ -52,9 +52,10 @@ def shingle_rows(docs: DataFrame, shingle: int, sketch: int = SKETCH) -> DataFra
         for batch in (part for whole in batches for part in pieces(whole, "text")):
             sets = shingle_sets(arrow_texts(batch.column("text")), shingle)
             columns = _set_columns(batch, sets) + [pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sketch", "odd"])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("mark")], ["doc_id", "n_shingles", "set_key", "sketch", "odd", "mark"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>, odd array<long>")
+    marked = _texts(docs).withColumn("mark", F.xxhash64("text"))
+    return marked.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>, odd array<long>, mark long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -293,6 +294,11 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     A link is missed with a probability of about 1e-7 at the threshold, and less above it; with exact, none is (but for
     equal 63-bit hashes of different shingles), at the cost of the prefixes of all sets in the inverted lists.
     """
+    return _grouped(docs, shingle, percent, sketch, exact).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, sketch: int, exact: bool) -> DataFrame:
+    """near_components() with `mark`, a hash of the text, and `group`, which rows share just if links join their texts; null without words."""
     docs = docs.select("doc_id", "text")
     rows = materialise(shingle_rows(docs, shingle, sketch), "sketches")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
@@ -323,13 +329,34 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     members = materialise(classes.select("set_key", "doc_id").join(found.withColumnRenamed("node", "set_key"), "set_key"), "members")
     least = materialise(members.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     ids = materialise(members.join(least, "root").select("set_key", "component_id"), "ids")
-    named = materialise(classes.join(ids, "set_key", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    groups = found.withColumnRenamed("node", "set_key")
+    named = materialise(classes.join(ids, "set_key", "left").join(groups, "set_key", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "set_key").alias("group")), "named")
+    out = rows.select("doc_id", "mark", "n_shingles", "set_key").join(named, "set_key", "left")
+    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("group")).alias("group"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its group: one document of each group stays. See near_components."""
-    groups = near_components(docs, shingle, percent, exact=exact)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group of near duplicates: that of the least doc_id, then of the least hash of its text.
+
+    Rows are judged by their own texts, also where they repeat a doc_id; of equal rows (doc_id and text) of a group one
+    stays. Rows without a doc_id come after all others. Texts without words are near none, so all their rows stay. The
+    columns of docs are kept as they are; an empty table stays empty. See near_components.
+    """
+    groups = materialise(_grouped(docs, shingle, percent, SKETCH, exact), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = groups.filter("group is not null").groupBy("group").agg(F.min(order).alias("x")).select("group", F.col("x.doc_id").alias("doc_id"), F.col("x.mark").alias("mark"))
+    times = groups.filter("group is not null").groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    counted = first.join(times.withColumnsRenamed({"doc_id": "_i", "mark": "_m"}), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("mark") == F.col("_m")))
+    wordless = groups.filter("group is null").select("doc_id", "mark").distinct()
+    kept = materialise(counted.select("doc_id", "mark", "n").unionByName(wordless.withColumn("n", F.lit(1).cast("long"))), "kept")
+    again = materialise(kept.filter("n > 1"), "kept-repeated")
+
+    def among(some: DataFrame) -> DataFrame:
+        keys = some.select(F.col("doc_id").alias("_kept"), F.col("mark").alias("_mark"))
+        return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_mark")), "left_semi")
+
+    out = among(kept.filter("n = 1"))
+    if again.isEmpty():
+        return out
+    one = among(again).withColumn("_mark", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    return out.unionByName(one)
