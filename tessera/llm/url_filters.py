@@ -31,10 +31,11 @@ def path_of(url: Column) -> Column:
 
 
 def address_key(url: Column) -> Column:
-    """What equal addresses share: scheme and host in lower case, no #fragment, / for an empty path. Others stay as they are."""
+    """What equal addresses share: scheme and host in lower case, without the scheme's usual port, no #fragment, / for an empty path. Others stay as they are."""
     part = lambda k: F.regexp_extract(url, r"(?s)^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?", k)
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    whole = F.concat(lower(part(1)), F.lit("://"), lower(part(2)), F.when(part(3) == "", F.lit("/")).otherwise(part(3)), part(4))
+    host = F.when(lower(part(1)) == "http", F.regexp_replace(lower(part(2)), ":80$", "")).when(lower(part(1)) == "https", F.regexp_replace(lower(part(2)), ":443$", "")).otherwise(lower(part(2)))
+    whole = F.concat(lower(part(1)), F.lit("://"), host, F.when(part(3) == "", F.lit("/")).otherwise(part(3)), part(4))
     return F.when(part(1) == "", url).otherwise(whole)
 
 
@@ -78,20 +79,41 @@ def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+#: A tag with its quoted values, which may hold >, and the attributes in it, one after the other.
+_TAG = r"""(?is)(<(?:link|meta|base)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+_ATTRIBUTE = r"""(?s)([^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?)"""
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script(?=[\s/>]).*?(?:</script\s*>|\z)|<style(?=[\s/>]).*?(?:</style\s*>|\z)"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of a name; null if it has none."""
+    all_of = F.regexp_extract_all(F.regexp_replace(tag, r"^<\w+|>$", ""), F.lit(_ATTRIBUTE), F.lit(1))
+    first = F.get(F.filter(all_of, lambda a: F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)) == name), F.lit(0))
+    value = F.regexp_extract(first, r"(?s)^[^=]*=\s*(.*)$", 1)
+    return F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """source, target: the addresses that a page redirects to or names as canonical, from its html.
 
-    Targets without a scheme are resolved against the page's url. Pages without a url or such a tag give no edges.
+    What stands in comments, scripts and styles is no tag. A link counts if canonical is one of its rel's words, a meta
+    refresh with or without url=. Targets without a scheme are resolved against the page's base, else its url. Pages
+    without a url or such a tag give no edges.
     """
-    html = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?s)<!--.*?-->|<script\b.*?</script>", "")
-    tags = F.when(F.lower(F.col("html")).contains("canonical") | F.lower(F.col("html")).contains("refresh"), F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1)))
-    tag = pages.select(F.col("url").alias("source"), F.explode(tags).alias("tag"))
-    quoted = lambda name: F.coalesce(*(F.nullif(F.regexp_extract("tag", rf"(?is)\b{name}\s*=\s*{q}", 1), F.lit("")) for q in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)")))
-    canonical = F.when(F.lower(quoted("rel")) == "canonical", quoted("href"))
-    refresh = F.when(F.lower(quoted("http-equiv")) == "refresh", F.regexp_extract(quoted("content"), r"(?is)\burl\s*=\s*['\"]?([^'\"\s]+)", 1))
-    target = F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&"))
-
-    return tag.select("source", bind(target, lambda t: resolved(F.col("source"), t)).alias("target")).filter("source is not null and target is not null and target <> '' and source <> target")
+    asked = F.lower(F.col("html")).rlike("canonical|refresh")
+    tags = F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), _UNSEEN, ""), F.lit(_TAG), F.lit(1))
+    page = pages.filter(asked).select(F.col("url").alias("source"), tags.alias("tags"))
+    kind = lambda t, name: F.lower(t).rlike(rf"^<{name}[\s/>]")
+    plain = lambda x: F.replace(F.trim(x), F.lit("&amp;"), F.lit("&"))
+    base = plain(_attribute(F.get(F.filter("tags", lambda t: kind(t, "base") & F.coalesce(_attribute(t, "href") != "", F.lit(False))), F.lit(0)), "href"))
+    page = page.select("source", "tags", base.alias("base"))
+    page = page.select("source", F.coalesce(resolved(F.col("source"), F.col("base")), "source").alias("base"), F.explode("tags").alias("tag"))
+    canonical = F.when(kind(F.col("tag"), "link") & F.array_contains(F.split(F.lower(F.trim(_attribute(F.col("tag"), "rel"))), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
+    wait = r"""(?is)^\s*[\d.]*\s*(?:[;,]\s*|(?<=\d)\s+)(?:url\s*=\s*)?['"]?([^'"\s]+)"""
+    refresh = F.when(kind(F.col("tag"), "meta") & (F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh"), F.regexp_extract(_attribute(F.col("tag"), "content"), wait, 1))
+    target = plain(F.coalesce(canonical, refresh))
+    found = page.select("source", "base", target.alias("to")).filter("source is not null and to <> ''")
+    return found.select("source", bind(F.struct("base", "to"), lambda x: resolved(x["base"], x["to"])).alias("target")).filter("target is not null and target <> '' and source <> target")
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None) -> DataFrame:
