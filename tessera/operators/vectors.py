@@ -72,6 +72,38 @@ def frequency_change(old: DataFrame, new: DataFrame, frequencies: DataFrame) ->
     return rows.groupBy("token").agg(F.sum("n").alias("df")).filter("df > 0")
 
 
+def chunk_postings(chunked: DataFrame) -> DataFrame:
+    """chunk_id, page_id, token: the distinct tokens of each chunk."""
+    return chunked.select("chunk_id", "page_id", F.explode(F.array_distinct(tokens(F.col("content"), 2))).alias("token"))
+
+
+def upkeep(chunked: DataFrame, frequencies: DataFrame, pages: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, token frequencies (token, df: chunks that hold it) and the changes (page_id, change) after pages were edited.
+
+    chunked: chunks() with `page_hash`, a hash of the text they were made from (see hashed_chunks); pages: all pages as
+    they are now. Only pages that are new or whose hash differs are cut into chunks again; their old chunks and those of
+    pages that are gone leave, and frequencies change by what left and came. Rows of unchanged pages are kept as they are.
+    """
+    now = pages.select("page_id", "body", _text_hash(F.col("body")).alias("page_hash")).filter("page_id is not null")
+    before = chunked.select(F.col("page_id").alias("_id"), F.col("page_hash").alias("_hash")).distinct()
+    both = now.select("page_id", "page_hash").join(before, F.col("page_id") == F.col("_id"), "full_outer")
+    change = F.when(F.col("_id").isNull(), "new").when(F.col("page_id").isNull(), "gone").when(F.col("page_hash") != F.col("_hash"), "edited")
+    changes = cut(both.select(F.coalesce("page_id", "_id").alias("page_id"), change.alias("change")).filter("change is not null"))
+    left = chunked.join(changes, "page_id", "left_semi")
+    came = cut(hashed_chunks(now.join(changes.filter("change <> 'gone'"), "page_id", "left_semi"), **how))
+    counts = frequency_change(chunk_postings(left), chunk_postings(came), frequencies)
+    return chunked.join(changes, "page_id", "left_anti").unionByName(came), counts, changes
+
+
+def _text_hash(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def hashed_chunks(pages: DataFrame, **how) -> DataFrame:
+    """chunks() with `page_hash`. A page without any text has no chunk, and so counts as new each time."""
+    return chunks(pages, **how).join(pages.select("page_id", _text_hash(F.col("body")).alias("page_hash")), "page_id").select("chunk_id", "page_id", "chunk_index", "content", "page_hash")
+
+
 def term_frequencies(chunked: DataFrame) -> DataFrame:
     """page_id, token, tf (share of the chunk's tokens)."""
     all_tokens = chunked.select("page_id", tokens(F.col("body"), 2).alias("t"))

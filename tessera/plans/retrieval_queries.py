@@ -73,14 +73,29 @@ def chunk_search_scoped(spark, sf_dir):
     return vectors.sparse_cosine(vectors.index(vault(spark, sf_dir)), "service uses src1", key="chunk_id", text="content", lane="ops", actor="bob")
 
 
-@query("""WITH o AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents), n AS (SELECT token FROM o WHERE doc_id % 2 = 0 UNION ALL SELECT token FROM o WHERE doc_id % 2 = 1 AND doc_id % 3 <> 0) SELECT token, count(*) AS df FROM n GROUP BY 1""")
+EDITED = "doc_id % 2 = 1 AND doc_id % 3 = 0"
+
+
+@query(f"""WITH o AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(CASE WHEN {EDITED} THEN lang || ' is from ' || source ELSE text END), '[a-z0-9]+'))) AS token FROM documents) SELECT token, count(*) AS df FROM o GROUP BY 1""")
 def doc_freq_incremental(spark, sf_dir):
-    """Frequencies after the pages of odd numbers that 3 divides lose their postings."""
+    """Frequencies after the pages of odd numbers that 3 divides have got another text."""
     from tessera.sources import adapters
 
-    posts = lexical.postings(adapters.pages(spark, sf_dir))
-    gone = posts.filter("cast(page_id as long) % 2 = 1 and cast(page_id as long) % 3 = 0")
-    return vectors.frequency_change(gone, posts.filter("false"), lexical.document_frequency(posts))
+    pages = adapters.pages(spark, sf_dir)
+    posts = lexical.postings(pages)
+    edited = pages.filter("cast(page_id as long) % 2 = 1 and cast(page_id as long) % 3 = 0").withColumn("body", F.concat_ws(" is from ", "kind", "lane"))
+    gone = posts.join(edited.select("page_id"), "page_id", "left_semi")
+    return vectors.frequency_change(gone, lexical.postings(edited), lexical.document_frequency(posts))
+
+
+@query()
+def chunks_maintained(spark, sf_dir):
+    """Token frequencies of chunks after a seventh of the pages were edited, some are gone and some new."""
+    v = vault(spark, sf_dir).select("page_id", "body", "doc_id").filter("page_id is not null")
+    old = storage.cut(vectors.hashed_chunks(v.filter("doc_id % 11 <> 1")))
+    counts = vectors.chunk_postings(old).groupBy("token").agg(F.count("*").alias("df"))
+    now = v.filter("doc_id % 11 <> 2").withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.concat("body", F.lit("\n## Edited\nonce more"))).otherwise(F.col("body")))
+    return vectors.upkeep(old, counts, now)[1]
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(greatest(0, list_cosine_similarity(e, embedding::DOUBLE[])), 6) AS score FROM q, embeddings)

@@ -75,3 +75,34 @@ def render(fields: Column, text: Column) -> Column:
     lines = F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null"))))
     whole = F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), F.regexp_replace(text, "\r\n?", "\n"))
     return F.concat(F.rtrim(whole), F.lit("\n"))
+
+
+def plain_value(value: Column) -> Column:
+    """A header's value as it is written: on one line, in quotes where it would be read as something else; null as null."""
+    line = F.regexp_replace(value, r"\s*[\r\n]+\s*", " ")
+    odd = (line != F.trim(line)) | line.rlike(r"""^(['"]).*\1$|^,""") | (line == "")
+    return F.coalesce(F.when(odd, F.concat(F.lit('"'), line, F.lit('"'))).otherwise(line), F.lit("null"))
+
+
+def update_header(content: Column, changes: Column) -> Column:
+    """content with some header fields changed (a map of strings; null writes null), and all else byte for byte as it was.
+
+    A field is its line with the lines behind it up to the next field: lists, comments and lines of unknown form stay with
+    it. Of a repeated key the last field holds and is the one rewritten. New keys come last, by name; a text without a
+    header gets one. Values that the reader would take for null can't be told from it.
+    """
+    block = F.regexp_extract(content, HEADER, 1)
+    items = F.filter(F.split(F.concat(block, F.lit("\n")), r"(?m)^(?=[A-Za-z_][\w-]*[ \t]*:)"), lambda x: x != "")
+    key = lambda item: F.when(item.rlike(r"^[A-Za-z_][\w-]*[ \t]*:"), F.trim(F.substring_index(item, ":", 1)))
+    line = lambda name: F.concat(name, F.lit(": "), plain_value(F.element_at(changes, name)), F.lit("\n"))
+
+    def rewritten(item: Column, place: Column) -> Column:
+        later = F.exists(F.slice(items, place + 2, F.size(items)), lambda other: key(other) == key(item))
+        return F.when(F.map_contains_key(changes, F.coalesce(key(item), F.lit(""))) & ~F.coalesce(later, F.lit(False)), line(key(item))).otherwise(item)
+
+    there = F.transform(F.filter(items, lambda item: key(item).isNotNull()), key)
+    new = F.transform(F.array_sort(F.array_except(F.map_keys(changes), there)), line)
+    inside = F.concat(F.array_join(F.transform(items, rewritten), ""), F.array_join(new, ""))
+    has = content.rlike(HEADER)
+    rest = F.when(has, F.substr(content, F.length(F.concat(F.lit("---\n"), block, F.lit("\n"))) + 1)).otherwise(F.concat(F.lit("---\n"), content))
+    return F.when(F.size(changes) == 0, content).otherwise(F.concat(F.lit("---\n"), F.when(has, inside).otherwise(F.array_join(new, "")), rest))

@@ -21,6 +21,64 @@ def reinforcement(events: DataFrame, first: float = 0.5) -> DataFrame:
     return keyed.agg(F.count("*").alias("seen"), F.min("at").alias("valid_from"), F.max("at").alias("updated_at")).withColumn("strength", F.round(scoring.reinforced(first, F.col("seen")), 6))
 
 
+STATE = "candidate_id long, seen long, rank int, confidence string, epistemic_status string, created long, updated long, ids array<bigint>, times array<bigint>"
+UPDATES = "dedupe_hash string, actor string, candidate_id long, seen long, strength double, confidence string, epistemic_status string, created_at timestamp, updated_at timestamp, expired boolean"
+
+
+def reinforcement_state(sightings: DataFrame, first: float = 0.5, late: str = "2 days", idle_days: int = 90) -> DataFrame:
+    """Claims as state, in update mode: a row for each claim that a micro-batch touches, with all that is known of it.
+
+    sightings: sighting (long), subject, predicate, object, actor, confidence, epistemic_status, at. The key is the claim's
+    hash and its actor, null being one of its own. Sightings count in the order of their batches, and within one by time
+    and sighting; the first makes the claim, each other one adds a step. A sighting that comes again counts once: its id
+    is held until the watermark has passed it, behind which it is dropped as late. A claim that nothing has touched for
+    idle_days of event time expires, with a last row that says so, and would begin anew.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from tessera.functions.text import claim_hash
+
+    names = ("unknown", "low", "medium", "high")
+    who = F.coalesce(F.concat(F.lit("="), "actor"), F.lit(""))
+    keyed = sightings.withWatermark("at", late).select(claim_hash(F.col("subject"), F.col("predicate"), F.col("object")).alias("dedupe_hash"), who.alias("who"), "sighting", "confidence", "epistemic_status", "at", F.unix_micros("at").alias("us"))
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        def row(s, expired):
+            values = (s[0], s[1], round(min(1.0, first + scoring.STEP * (s[1] - 1)), 6), s[3], s[4], pd.Timestamp(s[5], unit="us", tz="UTC"), pd.Timestamp(s[6], unit="us", tz="UTC"), expired)
+            return pd.DataFrame([(key[0], key[1][1:] if key[1] else None, *values)], columns=[f.split()[0] for f in UPDATES.split(", ")])
+
+        if state.hasTimedOut:
+            old = tuple(state.get)
+            state.remove()
+            yield row(old, True)
+            return
+        known = tuple(state.get) if state.exists else (None, 0, -1, None, None, 0, 0, [], [])
+        who_, seen, rank, confidence, status, created, updated, ids, times = known
+        held = dict(zip(ids, times))
+        batch = pd.concat(list(frames)).sort_values(["us", "sighting"], kind="stable")
+        for sighting, given, said, us in batch[["sighting", "confidence", "epistemic_status", "us"]].itertuples(index=False):
+            if sighting in held:
+                continue
+            held[int(sighting)] = int(us)
+            if not seen:
+                who_, created = int(sighting), int(us)
+            seen, updated = seen + 1, max(updated, int(us))
+            place = names.index(given) if given in names else 0
+            if place > rank:
+                rank, confidence = place, names[place]
+            status = said if isinstance(said, str) else status
+        passed = state.getCurrentWatermarkMs() * 1000
+        held = {i: t for i, t in held.items() if t >= passed}
+        new = (who_, seen, rank, confidence, status, created, updated, list(held), list(held.values()))
+        state.update(new)
+        state.setTimeoutTimestamp(max(updated // 1000 + idle_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield row(new, False)
+
+    return keyed.groupBy("dedupe_hash", "who").applyInPandasWithState(step, UPDATES, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def daily_buckets(events: DataFrame, late: str = "2 days") -> DataFrame:
     """day, event_type, n by calendar day of event time; days close once the watermark has passed them."""
     day = F.window("at", "1 day")
