@@ -91,3 +91,24 @@ def consolidated_claims(spark, sf_dir):
 @query()
 def consolidated_pages(spark, sf_dir):
     return generation(spark, sf_dir).pages.select("page_id", "kind", "body")
+
+
+def patched(spark, sf_dir):
+    """A plan for every page in turn: update its statement of a language, add a fact, mark it, or make a page beside it."""
+    v = vault(spark, sf_dir).filter("page_id is not null")
+    operation = F.element_at(F.array(*map(F.lit, ("update_existing_fact", "append_sourced_paragraph", "mark_stale", "create_stub_page"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    page = F.when(F.col("doc_id") % 4 == 3, F.concat("page_id", F.lit("-new"))).otherwise(F.col("page_id"))
+    said = v.select("doc_id", "body", page.alias("page_id"), operation.alias("operation"), F.expr("'Runs on ' || tags[0]").alias("fact"), F.expr("'service uses ' || tags[0]").alias("old_fact"))
+    return said, v.select("page_id", "title", "kind", "body")
+
+
+@query(f"""WITH {model.cte('vault')}, t AS (SELECT doc_id, page_id, CASE WHEN doc_id % 4 = 0 THEN (length(b) - length(replace(b, lower('service uses ' || tags[1]), ''))) // length('service uses ' || tags[1]) END AS n FROM (SELECT *, lower(body[strpos(body, '## Facts'):strpos(body, '## Related pages')]) AS b FROM vault))
+SELECT CASE WHEN doc_id % 4 = 3 THEN page_id || '-new' ELSE page_id END AS page_id, CASE WHEN doc_id % 4 = 0 AND n <> 1 THEN 'review' WHEN doc_id % 4 = 3 THEN 'created' ELSE CASE WHEN doc_id % 5 = 0 THEN 'changed_since' ELSE 'applied' END END AS outcome FROM t""")
+def patch_outcomes(spark, sf_dir):
+    from tessera.operators import patches
+
+    said, pages = patched(spark, sf_dir)
+    rendered = patches.render(said, pages)
+    late = vault(spark, sf_dir).select("page_id", (F.col("doc_id") % 5 == 0).alias("late"))
+    edited = pages.join(late, "page_id").withColumn("body", F.when(F.col("late"), F.concat("body", F.lit("\nedited"))).otherwise(F.col("body"))).drop("late")
+    return patches.apply(edited, rendered)[1]
