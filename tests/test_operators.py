@@ -145,7 +145,7 @@ def test_close_ids_are_those_of_the_library(spark, monkeypatch):
 
     ids = [f"{a}/{b}{k}" for a in ("services", "projects", "concepts") for b in ("api", "worker", "gateway") for k in range(4)]
     wanted = ["service/api", "projects/gatewy2", "zzz", "concept/workers1"]
-    got = quality_rules.close_ids(spark.createDataFrame([(t,) for t in wanted], "target string"), spark.createDataFrame([(i,) for i in ids], "page_id string"), block=3)
+    got = quality_rules.close_ids(spark.createDataFrame([(t,) for t in wanted], "target string"), spark.createDataFrame([(i,) for i in ids], "page_id string"))
     rows = sorted(got.collect(), key=lambda r: (r["target"], r["place"]))
     for t in wanted:
         assert [r["page_id"] for r in rows if r["target"] == t] == difflib.get_close_matches(t, ids, n=2, cutoff=0.4)
