@@ -1,4 +1,8 @@
-"""A training corpus from the documents table, in five stages; each is written as Parquet and reread by the next."""
+"""A training corpus from the documents table, in five stages; each is written as Parquet and reread by the next.
+
+Every stage judges each row by its own text, null as empty, also where rows repeat a doc_id or have none, and gives an
+empty table for an empty one. Columns besides those of documents are left out.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of 50 words or more go; so do documents of which nothing is left."""
+    """Later repeats of runs of 50 words or more go; so do documents of which nothing, or only white space, is left by that.
+
+    Texts that were empty, blank or null before stay, and so do rows without a doc_id, as they are.
+    """
     out = line_dedup.line_dedup(docs.select(*COLUMNS))
     cut = F.size("removed_lines") > 0
     out = out.filter(~(cut & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
@@ -27,7 +34,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8)."""
+    """One row of each group of near duplicates (5-word shingles, Jaccard 0.8); texts without words are in no group and stay."""
     return near_dedup.near_dedup(docs).select(*COLUMNS)
 
 
