@@ -32,6 +32,12 @@ def digest(captures: DataFrame, key: Column, none: str) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("capture_id").alias("first_id"), F.max("capture_id").alias("last_id")).orderBy(F.desc("n"), "key")
 
 
+def digest_members(captures: DataFrame, key: Column, none: str) -> DataFrame:
+    """key, n, capture_id: digest() with its captures, one a row, so that a key may have any number of them."""
+    rows = captures.select(F.coalesce(key.cast("string"), F.lit(none)).alias("key"), "capture_id")
+    return rows.groupBy("key").agg(F.count("*").alias("n")).join(rows, "key").select("key", "n", "capture_id")
+
+
 def pending_days(captures: DataFrame, notes: DataFrame) -> DataFrame:
     """day, n of the days with captures but without a daily note (a column `day`)."""
     return captures.filter("day is not null").groupBy("day").agg(F.count("*").alias("n")).join(notes.select("day").distinct(), "day", "left_anti")
@@ -139,23 +145,38 @@ def repeated(captures: DataFrame, least: float = 0.4, rounds: int = 60, stop: tu
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 
+def repeat_members(captures: DataFrame, least: float = 0.4) -> DataFrame:
+    """capture_id, group_id of captures (capture_id, title, observation) with like keywords in title and text, stop words aside."""
+    texts = captures.select("capture_id", F.concat_ws(" ", "title", "observation").alias("observation"))
+    return repeated(texts, least, stop=STOP_WORDS)
+
+
+def named_groups(captures: DataFrame, members: DataFrame) -> DataFrame:
+    """group_id, n, key, title of groups (capture_id, group_id), largest first.
+
+    key has the first five words that all captures of a group share, found by counting; similar-captures if there are none.
+    Then the title has the first five of the sorted words of all its captures, each as often as captures have it.
+    """
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("n"))
+    texts = captures.select("capture_id", F.concat_ws(" ", "title", "observation").alias("observation"))
+    words = texts.join(members, "capture_id").select("group_id", F.explode(keywords(F.col("observation"), STOP_WORDS)).alias("word"))
+    counted = words.groupBy("group_id", "word").agg(F.count("*").alias("k")).join(sizes, "group_id").withColumn("common", F.col("k") == F.col("n"))
+    first = counted.withColumn("place", F.row_number().over(Window.partitionBy("group_id", "common").orderBy("word"))).filter("place <= 5")
+    lists = first.groupBy("group_id", "n").agg(F.array_sort(F.collect_list(F.when(F.col("common"), F.col("word")))).alias("shared"), F.array_sort(F.collect_list(F.when(~F.col("common"), F.struct("word", "k")))).alias("other"))
+    repeats = F.flatten(F.transform("other", lambda x: F.array_repeat(x["word"], F.least(x["k"], F.lit(5)).cast("int"))))
+    named = F.when(F.size("shared") > 0, F.col("shared")).otherwise(F.slice(repeats, 1, 5))
+    key = F.when(F.size("shared") > 0, F.array_join("shared", "-")).otherwise("similar-captures")
+    return lists.select("group_id", "n", key.alias("key"), F.concat(F.initcap(F.array_join(named, " ")), F.lit(" Procedure")).alias("title")).orderBy(F.desc("n"), "key", "group_id")
+
+
 def repeat_groups(captures: DataFrame, least: float = 0.4, newest: int | None = None) -> DataFrame:
     """group_id, n, key, title: groups of captures (capture_id, title, observation) with like keywords, largest first.
 
-    Keywords come from title and text, without stop words. key has the first five words that all captures of a group
-    share, found by counting; similar-captures if there are none. newest: only so many captures, by updated_at and id.
+    newest: only so many captures, by updated_at and id.
     """
     if newest is not None:
         captures = captures.orderBy(F.desc("updated_at"), F.desc("capture_id")).limit(newest)
-    texts = captures.select("capture_id", F.concat_ws(" ", "title", "observation").alias("observation"))
-    groups = cut(repeated(texts, least, stop=STOP_WORDS))
-    sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
-    words = texts.join(groups, "capture_id").select("group_id", F.explode(keywords(F.col("observation"), STOP_WORDS)).alias("word"))
-    common = words.groupBy("group_id", "word").agg(F.count("*").alias("k")).join(sizes, "group_id").filter("k = n").groupBy("group_id").agg(F.slice(F.array_sort(F.collect_set("word")), 1, 5).alias("words"))
-    named = sizes.join(common, "group_id", "left")
-    key = F.coalesce(F.array_join("words", "-"), F.lit("similar-captures"))
-    title = F.concat(F.initcap(F.coalesce(F.array_join("words", " "), F.lit("repeated pattern"))), F.lit(" Procedure"))
-    return named.select("group_id", "n", key.alias("key"), title.alias("title")).orderBy(F.desc("n"), "key", "group_id")
+    return named_groups(captures, cut(repeat_members(captures, least)))
 
 
 def proposals(groups: DataFrame, members: DataFrame, existing: DataFrame, most: int = 3) -> DataFrame:
@@ -167,15 +188,16 @@ def proposals(groups: DataFrame, members: DataFrame, existing: DataFrame, most:
     return groups.join(taken, "group_id", "left_anti").orderBy(F.desc("n"), "key", "group_id").limit(most)
 
 
-def steps(captures: DataFrame, most: int = 8) -> DataFrame:
+def steps(captures: DataFrame, most: int | None = 8) -> DataFrame:
     """capture_id, place, step: the steps that bullets and numbered lines of a text name, or its first plain line."""
     lines = F.split(F.coalesce("observation", F.lit("")), "\n")
     bullets = F.transform(F.filter(lines, lambda x: x.rlike(r"^\s*([-*+]\s+|\d+[.)]\s+)\S")), lambda x: F.trim(F.regexp_replace(x, r"^\s*([-*+]\s+|\d+[.)]\s+)", "")))
     plain = F.slice(F.transform(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.ltrim(x).rlike("^[#>]")), lambda x: F.trim(x)), 1, 1)
+    #: Verbs that a step begins with.
     verb = r"(?i)^(check|create|deploy|ensure|inspect|record|review|run|update|verify)\b"
     said = lambda x: F.when(x.rlike(verb), x).otherwise(F.concat(F.lit("Review and apply: "), x))
     found = F.array_distinct(F.transform(F.when(F.size(bullets) > 0, bullets).otherwise(plain), lambda x: F.substring(said(F.rtrim(x, F.lit("."))), 1, 300)))
-    rows = captures.select("capture_id", F.posexplode(F.slice(found, 1, most)).alias("place", "step"))
+    rows = captures.select("capture_id", F.posexplode(found if most is None else F.slice(found, 1, most)).alias("place", "step"))
     return rows.withColumn("place", F.col("place") + 1)
 
 
