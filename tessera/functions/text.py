@@ -113,6 +113,40 @@ def rewrite_wikilinks(x: Column) -> Column:
     return F.aggregate(F.split(x, "\n"), start, step, lambda s: F.array_join(s["lines"], "\n"))
 
 
+def prose(x: Column) -> Column:
+    """Markdown without its fenced lines and code spans."""
+    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("lines"))
+
+    def step(state: Column, line: Column) -> Column:
+        fence = line.rlike(r"^\s*(```|~~~)")
+        kept = F.when(fence | state["fenced"], state["lines"]).otherwise(F.concat(state["lines"], F.array(line)))
+        return F.struct((state["fenced"] != fence).alias("fenced"), kept.alias("lines"))
+
+    return F.regexp_replace(F.aggregate(F.split(x, "\n"), start, step, lambda s: F.array_join(s["lines"], "\n")), r"(`+)[^`\n]*\1", " ")
+
+
+def shown_links(x: Column) -> Column:
+    """href, label of the links in Markdown prose: wiki links, whose names are absolute, then inline links, then web addresses."""
+    wiki, inline = r"\[\[([^\[\]\n]+)\]\]", r"!?\[([^\[\]]*)\]\(\s*(?:<([^<>\n]*)>|([^\s()<>]+))(?:\s+[\"'][^\n]*?[\"'])?\s*\)"
+
+    def named(s: Column) -> Column:
+        bar = s.contains("|")
+        to = F.trim(F.when(bar, F.regexp_replace(s, r"^[^|]*\|", "")).otherwise(s))
+        said = F.when(bar, F.trim(F.substring_index(s, "|", 1))).otherwise(F.initcap(F.translate(F.substring_index(to, "/", -1), "-_", "  ")))
+        return F.struct(F.when(to.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|[/.#])"), to).otherwise(F.concat(F.lit("/"), to)).alias("href"), said.alias("label"))
+
+    def written(s: Column) -> Column:
+        href = F.concat(F.regexp_extract(s, inline, 2), F.regexp_extract(s, inline, 3))
+        return F.struct(href.alias("href"), F.regexp_extract(s, inline, 1).alias("label"))
+
+    no_wiki = F.regexp_replace(x, wiki, " ")
+    wikis = F.transform(F.regexp_extract_all(x, F.lit(wiki), F.lit(1)), lambda s: named(F.trim(s)))
+    inlines = F.transform(F.filter(F.regexp_extract_all(no_wiki, F.lit(inline), F.lit(0)), lambda s: ~s.startswith("!")), written)
+    bare = F.regexp_extract_all(F.regexp_replace(no_wiki, inline, " "), F.lit(r"https?://[^\s<>\")\]]*[^\s<>\")\].,;:!?']"), F.lit(0))
+    webs = F.transform(bare, lambda s: F.struct(s.alias("href"), s.alias("label")))
+    return F.filter(F.concat(wikis, inlines, webs), lambda link: (F.trim(link["href"]) != "") & (link["href"] != "/"))
+
+
 def path_date(page_id: Column, written: Column) -> Column:
     """The first part of a path that is a date, else the day of a timestamp's text; null for neither."""
     iso = lambda s: F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s.try_cast("date"))

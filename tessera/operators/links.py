@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import is_url, link_targets
+from tessera.functions.text import is_url, link_targets, prose, resolve_link, shown_links
 from tessera.operators.graph import both_ways
 
 ENTITY_TYPES = ("entity", "claim", "capture", "trace", "decision", "policy")
@@ -186,3 +186,23 @@ def url_sources(pages: DataFrame) -> DataFrame:
     """page_id, source, is_url of every source of a page."""
     rows = pages.select("page_id", F.explode("sources").alias("source"))
     return rows.withColumn("is_url", is_url(F.col("source")))
+
+
+def link_edges(pages: DataFrame) -> DataFrame:
+    """source, source_title, target, target_title, href, label, exists, external: the distinct links that pages show.
+
+    Links are [[wiki links]], [inline](links) and web addresses, in this order of reading, outside code fences, code spans
+    and images. A path is resolved against its page; what leads nowhere inside, addresses and #fragments are external, have
+    no target and count as existing. href is what the page would show. Ordered by source, target, href and label, null as
+    empty. Null bodies have no links.
+    """
+    rows = pages.select(F.col("page_id").alias("source"), F.col("title").alias("source_title"), prose(F.coalesce("body", F.lit(""))).alias("x"))
+    rows = rows.select("source", "source_title", F.explode(shown_links(F.col("x"))).alias("l")).select("source", "source_title", "l.*")
+    path, fragment = F.substring_index("href", "#", 1), F.regexp_extract("href", "#.*$", 0)
+    target = F.when(F.col("href").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//|#)"), None).otherwise(resolve_link(path, F.col("source")))
+    edges = rows.withColumn("target", target).withColumn("href", F.when(F.col("target").isNotNull(), F.concat(F.lit("/"), "target", F.when(F.length(fragment) > 1, fragment).otherwise(""))).otherwise(F.col("href")))
+    edges = edges.select("source", "source_title", "target", "href", F.nullif(F.trim(F.regexp_replace("label", r"\s+", " ")), F.lit("")).alias("label")).distinct()
+    known = pages.select(F.col("page_id").alias("target"), F.col("title").alias("target_title"), F.lit(True).alias("_there"))
+    joined = edges.join(known, "target", "left").withColumn("external", F.col("target").isNull()).withColumn("exists", F.col("external") | F.col("_there").isNotNull())
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return joined.select("source", "source_title", "target", "target_title", "href", "label", "exists", "external").orderBy("source", empty("target"), "href", empty("label"))

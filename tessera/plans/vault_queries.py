@@ -386,3 +386,27 @@ def lint_suggested(spark, sf_dir):
     v = vault(spark, sf_dir)
     known = links.page_links(v)
     return quality_rules.with_suggestions(quality_rules.link_findings(v, known), v, known).withColumn("suggestions", F.array_join("suggestions", ","))
+
+
+SHOWN = "body || chr(10) || '[the  index](../index.md#top) and ![no](/x.png) of <https://example.org/' || coalesce(status, 'none') || '>.' || chr(10) || '```' || chr(10) || '[[not/seen]]' || chr(10) || '```' || chr(10) || '`[[code/span]]` [up](../../..) [here](#there)'"
+SEGMENT = r"^[A-Za-z0-9_][\w.-]*(/[A-Za-z0-9_][\w.-]*)*$"
+#: A page's name with capitals.
+TITLED = "array_to_string(list_transform(string_split(regexp_replace(string_split(t, '/')[-1], '[-_]', ' ', 'g'), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+
+
+@query(rf"""WITH {VAULT}, w AS (SELECT page_id, title, trim(unnest(regexp_extract_all(body, '\[\[([^\]]+)\]\]', 1))) AS s FROM vault),
+n AS (SELECT page_id, title, trim(CASE WHEN contains(s, '|') THEN regexp_replace(s, '^[^|]*\|', '') ELSE s END) AS t, CASE WHEN contains(s, '|') THEN trim(string_split(s, '|')[1]) END AS said FROM w),
+p AS (SELECT page_id, title, string_split(page_id, '/') AS parts, coalesce(status, 'none') AS status FROM vault),
+a AS (SELECT page_id, title, CASE WHEN regexp_matches(t, '{SEGMENT}') THEN t END AS target, '/' || t AS href, coalesce(said, {TITLED}) AS label FROM n
+UNION SELECT page_id, title, CASE WHEN len(parts) >= 2 THEN array_to_string(list_append(parts[:-3], 'index'), '/') END, CASE WHEN len(parts) >= 2 THEN '/' || array_to_string(list_append(parts[:-3], 'index'), '/') || '#top' ELSE '../index.md#top' END, 'the index' FROM p
+UNION SELECT page_id, title, NULL, 'https://example.org/' || status, 'https://example.org/' || status FROM p
+UNION SELECT page_id, title, CASE WHEN len(parts) > 4 THEN array_to_string(parts[:-5], '/') END, CASE WHEN len(parts) > 4 THEN '/' || array_to_string(parts[:-5], '/') ELSE '../../..' END, 'up' FROM p UNION SELECT page_id, title, NULL, '#there', 'here' FROM p)
+SELECT a.page_id AS source, a.title AS source_title, a.target, v.title AS target_title, a.href, a.label, a.target IS NULL OR v.page_id IS NOT NULL AS exists, a.target IS NULL AS external FROM a LEFT JOIN vault v ON v.page_id = a.target""")
+def link_edges(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    return links.link_edges(v.withColumn("body", F.expr(SHOWN)))
+
+
+@query(f"WITH {VAULT}, s AS (SELECT page_id, unnest(sources) AS source FROM vault) SELECT *, regexp_matches(source, '^https?://') AS is_url FROM s")
+def page_sources(spark, sf_dir):
+    return links.url_sources(vault(spark, sf_dir))
