@@ -105,10 +105,9 @@ def hashed_chunks(pages: DataFrame, **how) -> DataFrame:
 
 
 def term_frequencies(chunked: DataFrame) -> DataFrame:
-    """page_id, token, tf (share of the chunk's tokens)."""
-    all_tokens = chunked.select("page_id", tokens(F.col("body"), 2).alias("t"))
-    rows = all_tokens.select("page_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    return rows.groupBy("page_id", "token", "n").agg((F.count("*") / F.col("n")).alias("tf")).drop("n")
+    """chunk_id, token, n, tf: how often each token of two characters or more is in a chunk, and its share of all of them."""
+    rows = chunked.select("chunk_id", tokens(F.col("content"), 2).alias("t")).select("chunk_id", F.size("t").alias("size"), F.explode("t").alias("token"))
+    return rows.groupBy("chunk_id", "token", "size").agg(F.count("*").alias("n")).select("chunk_id", "token", "n", F.round(F.col("n") / F.col("size"), 9).alias("tf"))
 
 
 def squares(x: Column) -> Column:

@@ -53,12 +53,33 @@ def search_provenance(spark, sf_dir):
     return precedents.search_provenance(vault(spark, sf_dir).select("page_id", "actor", "lane", "observed_at"), claims)
 
 
-@query()
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def chunk_sql(pages: str = "vault") -> str:
+    """Common table expressions, for WITH RECURSIVE, whose last, `chunk`, has the chunks of a table of pages: sections are read one after the other."""
+    return rf"""cs AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(coalesce(body, ''), '\n(#{{1,6}}\s)', chr(1) || chr(10) || '\1', 'g'), chr(1)), lambda x: trim(x, {BLANK})), lambda x: x <> '') AS parts FROM {pages}),
+ct AS MATERIALIZED (SELECT page_id, array_to_string(parts, chr(10)) AS text, list_transform(parts, lambda x: length(x)) AS lens FROM cs WHERE len(parts) > 0),
+cw AS MATERIALIZED (SELECT page_id, 0::BIGINT AS i, 0::BIGINT AS b, 0::BIGINT AS e, NULL::BIGINT AS cb, NULL::BIGINT AS ce FROM ct
+UNION ALL SELECT page_id, i + 1, CASE WHEN over THEN greatest(b, e - 100) ELSE e - length(ltrim(substr(text, b + 1, e - b), {BLANK})) END, (coalesce(list_sum(lens[:i]), 0) + i + lens[i + 1])::BIGINT, CASE WHEN over THEN b END, CASE WHEN over THEN e END FROM (SELECT cw.*, text, lens, e > b AND e - b + lens[i + 1] > 500 AS over FROM cw JOIN ct USING (page_id) WHERE i < len(lens))),
+cr AS (SELECT page_id, cb AS b, ce AS e FROM cw WHERE cb IS NOT NULL UNION ALL SELECT page_id, b, e FROM cw JOIN ct USING (page_id) WHERE i = len(lens)),
+chunk AS MATERIALIZED (SELECT page_id || '#' || k::VARCHAR AS chunk_id, page_id, k AS chunk_index, content FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY e) - 1 AS k, trim(substr(text, b + 1, e - b), {BLANK}) AS content FROM cr JOIN ct USING (page_id)))"""
+
+
+CHUNK_WORDS = "regexp_extract_all(lower(content), '[a-z0-9]{2,}')"
+
+
+@query(f"WITH RECURSIVE {VAULT}, {chunk_sql()} SELECT * FROM chunk")
 def page_chunks(spark, sf_dir):
     return vectors.chunks(vault(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {VAULT}, {chunk_sql()}, x AS MATERIALIZED (SELECT chunk_id, {CHUNK_WORDS} AS ts FROM chunk), t AS (SELECT chunk_id, unnest(ts) AS token, len(ts) AS size FROM x) SELECT chunk_id, token, count(*) AS n, round(count(*) / size, 9) AS tf FROM t GROUP BY chunk_id, token, size")
+def chunk_term_frequencies(spark, sf_dir):
+    return vectors.term_frequencies(vectors.chunks(vault(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {VAULT}, {chunk_sql()} SELECT count(*) AS n_chunks, count(DISTINCT page_id) AS n_pages, count(*) FILTER (actor IS NOT NULL OR lane IS NOT NULL) AS n_scoped FROM chunk JOIN (SELECT page_id, actor, lane FROM vault) USING (page_id)")
 def chunk_index_counts(spark, sf_dir):
     return vectors.index_counts(vectors.index(vault(spark, sf_dir)))
 
@@ -68,7 +89,10 @@ def chunk_page_scopes(spark, sf_dir):
     return vectors.page_scopes(vectors.index(vault(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VAULT}, {chunk_sql()}, x AS MATERIALIZED (SELECT chunk_id, {CHUNK_WORDS} AS ts FROM chunk), r AS (SELECT chunk_id, len(ts) AS size, unnest(ts) AS token FROM x), tf AS MATERIALIZED (SELECT chunk_id, token, count(*) / size AS tf FROM r GROUP BY chunk_id, token, size),
+w AS MATERIALIZED (SELECT token, ln(((SELECT count(*) FROM x) + 1) / (count(*) + 1)) + 1 AS idf FROM tf WHERE token IN ('service', 'uses', 'src1') GROUP BY token),
+s AS (SELECT chunk_id, sum(tf * idf * idf / 3.0) AS dot, sqrt(sum(power(tf * coalesce(idf, 1.0), 2))) AS norm FROM tf LEFT JOIN w USING (token) GROUP BY chunk_id)
+SELECT chunk_id, round(dot / (norm * (SELECT sqrt(sum(power(idf / 3.0, 2))) FROM w)), 6) AS score FROM s JOIN chunk USING (chunk_id) JOIN (SELECT page_id, actor, lane FROM vault) USING (page_id) WHERE dot > 0 AND actor = 'bob' AND lane = 'ops' ORDER BY score DESC, chunk_id DESC LIMIT 10""")
 def chunk_search_scoped(spark, sf_dir):
     return vectors.sparse_cosine(vectors.index(vault(spark, sf_dir)), "service uses src1", key="chunk_id", text="content", lane="ops", actor="bob")
 
@@ -88,7 +112,8 @@ def doc_freq_incremental(spark, sf_dir):
     return vectors.frequency_change(gone, lexical.postings(edited), lexical.document_frequency(posts))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VAULT}, edited AS (SELECT page_id, CASE WHEN doc_id % 7 = 0 THEN body || chr(10) || '## Edited' || chr(10) || 'once more' ELSE body END AS body FROM vault WHERE page_id IS NOT NULL AND doc_id % 11 <> 2), {chunk_sql('edited')},
+t AS (SELECT unnest(list_distinct({CHUNK_WORDS})) AS token FROM chunk) SELECT token, count(*) AS df FROM t GROUP BY 1""")
 def chunks_maintained(spark, sf_dir):
     """Token frequencies of chunks after a seventh of the pages were edited, some are gone and some new."""
     v = vault(spark, sf_dir).select("page_id", "body", "doc_id").filter("page_id is not null")

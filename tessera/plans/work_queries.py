@@ -70,7 +70,13 @@ def repeat_groups(spark, sf_dir):
     return captures.repeat_groups(rows)
 
 
-@query()
+BULLET = r"^\s*([-*+]\s+|\d+[.)]\s+)"
+
+
+@query(rf"""WITH {VAULT}, l AS (SELECT page_id, string_split(coalesce(body, ''), chr(10)) AS lines FROM vault), b AS (SELECT page_id, list_transform(list_filter(lines, lambda x: regexp_matches(x, '{BULLET}\S')), lambda x: trim(regexp_replace(x, '{BULLET}', ''))) AS listed, list_transform(list_filter(lines, lambda x: trim(x) <> '' AND NOT regexp_matches(ltrim(x), '^[#>]')), lambda x: trim(x))[:1] AS plain FROM l),
+s AS (SELECT page_id, list_transform(list_transform(CASE WHEN len(listed) > 0 THEN listed ELSE plain END, lambda x: rtrim(x, '.')), lambda x: substr(CASE WHEN regexp_matches(x, '(?i)^(check|create|deploy|ensure|inspect|record|review|run|update|verify)\b') THEN x ELSE 'Review and apply: ' || x END, 1, 300)) AS said FROM b),
+u AS (SELECT page_id, unnest(said) AS step, generate_subscripts(said, 1) AS k FROM s), f AS (SELECT page_id, step, min(k) AS k FROM u GROUP BY ALL)
+SELECT * FROM (SELECT page_id AS capture_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS place, step FROM f) WHERE place <= 8""")
 def procedure_steps(spark, sf_dir):
     return captures.steps(observed(spark, sf_dir))
 
@@ -231,7 +237,10 @@ def plan_review(spark, sf_dir):
     return policy.review(model.frame(spark, sf_dir, "plans"))
 
 
-@query()
+FACT = "'## Facts' || chr(10) || chr(10)"
+
+
+@query(rf"""WITH {VAULT} SELECT page_id, regexp_replace(replace(body, {FACT}, {FACT} || 'Checked by ' || coalesce(author, 'nobody') || chr(10) || chr(10)), '\s+$', '') || chr(10) AS content FROM vault""")
 def rendered_patches(spark, sf_dir):
     """Each page with a fact inserted into its section of facts."""
     rows = vault(spark, sf_dir)
