@@ -16,7 +16,8 @@ symbols has a heap of its own.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +33,22 @@ PART = 256 << 10  # bytes of text, or ids, taken from an Arrow batch at once
 _K = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xCA5A826395121157, 0xA0761D6478BD642F)]
 
 
+_FIRST_BLANK = re.compile("(?<! ) ")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """text in parts of about SLICE code points, to be joined by a blank: cut where a word begins with its first blank.
+
+    An empty text has no parts: no text has no ids, not even the dummy prefix.
+    """
+    at = 0
+    while cut := _FIRST_BLANK.search(text, at + SLICE):
+        yield text[at : cut.start()]
+        at = cut.end()
+    if text:
+        yield text[at:]
+
+
 class PieceCodec:
     """A merge-type SentencePiece model with byte fallback, from its file."""
 
@@ -185,20 +202,38 @@ class PieceCodec:
         return pieces[order], np.bincount(words, minlength=len(lengths)), merged[by_word], bounds[by_word]
 
     def encode(self, texts: Sequence[str], seed: int = 0, dropout: float = 0.0, keys: Sequence[int] | None = None) -> list[np.ndarray]:
-        """Each text's ids. keys (one integer a text, by default its place) key its draws, with the seed."""
-        keys = list(range(len(texts)) if keys is None else keys)
-        if "" in texts:  # no text has no ids, not even the dummy prefix
-            full = iter(self.encode([t for t in texts if t], seed, dropout, [k for k, t in zip(keys, texts) if t]))
-            return [next(full) if t else np.empty(0, np.int64) for t in texts]
-        out, at, size = [], 0, 0
-        for k, t in enumerate(texts):
-            size += len(t)
-            if size > SLICE or k == len(texts) - 1:
-                out += self._slice(texts[at : k + 1], keys[at : k + 1], seed, dropout)
-                at, size = k + 1, 0
-        return out
+        """Each text's ids. keys (one integer a text, by default its place) key its draws, with the seed.
 
-    def _slice(self, texts: Sequence[str], keys: Sequence[int], seed: int, dropout: float) -> list[np.ndarray]:
+        Some SLICE code points are worked on at once, of long texts a part after the other; the memory that this takes
+        grows with the longest word, not with the text.
+        """
+        keys = list(range(len(texts)) if keys is None else keys)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        places = [0] * len(texts)  # words of each text that are done
+        held: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            if held:
+                which = [k for k, _ in held]
+                made, words = self._slice([part for _, part in held], [keys[k] for k in which], [places[k] for k in which], seed, dropout)
+                for k, ids, n in zip(which, made, words.tolist()):
+                    out[k].append(ids)
+                    places[k] += n
+                held.clear()
+
+        size = 0
+        for k, text in enumerate(texts):
+            for part in _parts(text):
+                if held and (size > SLICE or held[-1][0] == k):
+                    flush()
+                    size = 0
+                held.append((k, part))
+                size += len(part) + 1
+        flush()
+        return [ids[0] if len(ids) == 1 else np.concatenate(ids) if ids else np.empty(0, np.int64) for ids in out]
+
+    def _slice(self, texts: Sequence[str], keys: Sequence[int], places: Sequence[int], seed: int, dropout: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of texts, or parts, of which so many words were before, and how many words each has."""
         joined = " " + " ".join(texts)  # the blank in front of each text is the model's dummy prefix
         ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -213,7 +248,7 @@ class PieceCodec:
         starts = np.flatnonzero(begin)
         lengths = np.diff(np.append(starts, len(points)))
         text = np.searchsorted(ends, starts, side="right")
-        place = np.arange(len(starts)) - np.searchsorted(starts, starts_of_text)[text]
+        place = np.arange(len(starts)) - np.searchsorted(starts, starts_of_text)[text] + np.array(places, np.int64)[text]
         salt = mix64(np.array([seed & (2**64 - 1)], np.uint64) + _GOLD)
         base = np.array([k & (2**64 - 1) for k in keys], np.uint64)
         inner = (np.arange(len(points)) - np.repeat(starts, lengths)).astype(np.uint64)
@@ -276,7 +311,7 @@ class PieceCodec:
         n = sizes[which]
         ids = pool[np.repeat(begins[which] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))]
         cuts = np.cumsum(np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64))
-        return np.split(ids, cuts[:-1])
+        return np.split(ids, cuts[:-1]), np.bincount(text, minlength=len(texts))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids that encode made: pieces and bytes joined, without the blank in front."""
@@ -316,7 +351,8 @@ def encode(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1) -> D
     """docs with a column ids (an older one is replaced): the ids of each whole text.
 
     A null text has null ids, an empty one none. doc_id, where there is one, keys a text's draws; a null doc_id counts
-    as 0, so equal texts of equal doc_id are encoded alike. An empty table stays empty.
+    as 0, so equal texts of equal doc_id are encoded alike. A very long text is encoded part by part, with the same ids.
+    An empty table stays empty.
     """
     docs = docs.drop("ids", "_key")
     return _keyed(docs).mapInArrow(lambda batches: _encoded(PieceCodec(path), batches, seed, dropout), _kinds(docs) + "ids array<int>")
@@ -329,7 +365,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1) -> DataFrame:
-    """decode(encode(docs)) in one pass: each task has one Python worker, with one codec, instead of two."""
+    """decode(encode(docs)) in one pass, rows of any kind as there: each task has one Python worker, with one codec, instead of two."""
     docs = docs.drop("ids", "_key", "decoded")
 
     def run(batches):
