@@ -77,7 +77,7 @@ def chunk_postings(spark, sf_dir):
 
 @query(f"WITH {PAGES}, {POSTS} SELECT token, count(*) AS df FROM post GROUP BY token")
 def doc_freq(spark, sf_dir):
-    return lexical.document_frequency(lexical.postings(adapters.pages(spark, sf_dir)))
+    return lexical.page_frequency(adapters.pages(spark, sf_dir))
 
 
 @query(f"""WITH {PAGES}, {POSTS}, len AS (SELECT page_id, len(regexp_extract_all(lower(body), '[a-z0-9]{{1,}}')) AS dl FROM p), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
