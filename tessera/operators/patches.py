@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.policy import insert_into_section
+from tessera.sources.storage import small
 
 FACTS, NOTES = "## Facts", "## Review Notes"
 STALE = "<!-- a claim contradicts this page: to be reviewed -->"
@@ -66,15 +67,17 @@ def render(plans: DataFrame, pages: DataFrame, section: str = FACTS) -> DataFram
     text = text.when(F.col("operation") == "update_existing_fact", F.col("old")).otherwise(insert_into_section(F.col("old"), F.lit(section), F.col("fact")))
     first = rows.select("page_id", "operation", base.alias("base_hash"), text.alias("content"), "fact", "old_fact", F.col("old").isNotNull().alias("known"))
 
-    def update(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = []
-            for r in frame.itertuples(index=False):
-                content, reason = replaced_fact(r.content, section, r.old_fact, r.fact) if r.operation == "update_existing_fact" and r.known else (r.content, None)
-                made.append((r.page_id, r.operation, r.base_hash, content, "needs_manual_review" if reason else "ready", reason))
-            yield pd.DataFrame(made, columns=[f.split()[0] for f in RENDERED.split(", ")])
-
-    return first.mapInPandas(update, RENDERED)
+    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            contents, reasons = [], []
+            for operation, content, fact, old_fact, known in zip(*(batch.column(c).to_pylist() for c in ("operation", "content", "fact", "old_fact", "known"))):
+                content, reason = replaced_fact(content, section, old_fact, fact) if operation == "update_existing_fact" and known else (content, None)
+                contents.append(content)
+                reasons.append(reason)
+            status = ["needs_manual_review" if r else "ready" for r in reasons]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "operation", "base_hash")), *(pa.array(x, pa.string()) for x in (contents, status, reasons))], [f.split()[0] for f in RENDERED.split(", ")])
+
+    return first.mapInArrow(update, RENDERED)
 
 
 def apply(pages: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
