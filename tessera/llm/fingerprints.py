@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, pieces
+from tessera.llm.common import materialise, pieces, presence_size, present
 
 CHECK_SEED = 0x5EED  # of the second hash
 
@@ -37,8 +37,43 @@ def digest(form: str) -> bytes:
     return xxhash.xxh3_128_digest(form.encode())
 
 
-def _forms(docs: DataFrame, hashed: Callable[[str], bytes], text: str) -> DataFrame:
-    """digest and packed: each text's form, compressed for the way; one encoder gives equal bytes for equal forms only."""
+def _place(digest: bytes, size: int) -> int:
+    """The bit of a digest in a bitmap of so many."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(digest) % size
+
+
+def _repeated(digests: DataFrame) -> tuple[int, np.ndarray] | None:
+    """Size and bits (see present) of a bitmap of the digests that more than one row has; None if they are too many for one.
+
+    A digest of one row needs no comparison, so its form need not move. The driver gets words of 62 bits, of which there
+    are MOST_BITS / 62 at most.
+    """
+    several = materialise(digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "repeated-digests")
+    size = presence_size(several.count())
+    if size is None:
+        return None
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_place(d, size) for d in batch.column("digest").to_pylist()], pa.int64())], ["p"])
+
+    words = several.mapInArrow(run, "p long").groupBy(F.floor(F.col("p") / 62).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 62 as int)))").alias("bits"))
+    bits = np.zeros(size // 62 + 1, np.int64)
+    for word, b in words.collect():
+        bits[word] = b
+    return size, bits
+
+
+def _forms(docs: DataFrame, hashed: Callable[[str], bytes], text: str, among: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """digest and packed: each text's form, compressed for the way; one encoder gives equal bytes for equal forms only.
+
+    among: only forms whose digest may be in this bitmap (of _repeated).
+    """
+    known = docs.sparkSession.sparkContext.broadcast(among) if among else None
 
     def run(batches):
         import pyarrow as pa
@@ -47,7 +82,12 @@ def _forms(docs: DataFrame, hashed: Callable[[str], bytes], text: str) -> DataFr
         pack = zstandard.ZstdCompressor(level=3)
         for batch in (part for whole in batches for part in pieces(whole, text)):
             forms = [canonical(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([hashed(f) for f in forms], pa.binary()), pa.array([pack.compress(f.encode()) for f in forms], pa.binary())], ["digest", "packed"])
+            digests = [hashed(f) for f in forms]
+            if known:
+                size, bits = known.value
+                kept = present(bits, np.array([_place(d, size) for d in digests], np.int64)).tolist()
+                forms, digests = [f for f, k in zip(forms, kept) if k], [d for d, k in zip(digests, kept) if k]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([pack.compress(f.encode()) for f in forms], pa.binary())], ["digest", "packed"])
 
     return docs.select(F.col(text).cast("string").alias(text)).mapInArrow(run, "digest binary, packed binary")
 
@@ -267,7 +307,7 @@ def edit_report(docs: DataFrame, hashed: Callable[[str], bytes] = digest) -> Dat
     table of one row is its own next; an empty one gives no rows; other columns are ignored. A text of any length is
     one row, which a task holds with its neighbour.
 
-    Documents' forms are compared by their bytes. Where an edited form shares a digest, a second hash of 128 bits tells
+    Documents' forms are compared by their bytes, where a digest has more than one. Where an edited form shares a digest, a second hash of 128 bits tells
     whether forms differ; if any do, all forms of these digests are numbered by their bytes.
     """
     docs = docs.select("doc_id", "text")
@@ -275,7 +315,7 @@ def edit_report(docs: DataFrame, hashed: Callable[[str], bytes] = digest) -> Dat
     rows = materialise(_edited(dealt, hashed, False), "edits")
     checks = rows.select(F.col("hash").alias("digest"), "check").unionAll(rows.select("edited_hash", "edited_check"))
     apart = checks.groupBy("digest").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least <> most").select("digest")
-    shared = materialise(apart.unionAll(_shared(_forms(docs, hashed, "text"))).distinct(), "shared-digests")
+    shared = materialise(apart.unionAll(_shared(_forms(docs, hashed, "text", _repeated(rows.select(F.col("hash").alias("digest")))))).distinct(), "shared-digests")
     if shared.isEmpty():
         rows = rows.withColumn("fingerprint", F.lower(F.hex("hash"))).withColumn("edited_fingerprint", F.lower(F.hex("edited_hash")))
     else:

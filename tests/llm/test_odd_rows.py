@@ -364,3 +364,10 @@ def test_pipeline_stages(spark, number, tmp_path):
     # Two labels, one good: every text scores 0.5. Of near dedup, the four texts without words stay, and one of each other text.
     assert out.count() == {0: 0, 1: 11, 2: 9, 3: 10, 4: 11}[number]
     assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+
+
+def test_only_forms_of_repeated_digests_move(spark):
+    docs = spark.createDataFrame([(k, f"Text {k % 90}") for k in range(100)], "doc_id long, text string")
+    digests = spark.createDataFrame([(fingerprints.digest(fingerprints.canonical(f"Text {k % 90}")),) for k in range(100)], "digest binary")
+    moved = [bytes(r["digest"]) for r in fingerprints._forms(docs, fingerprints.digest, "text", fingerprints._repeated(digests)).collect()]
+    assert sorted(moved) == sorted(2 * [fingerprints.digest(f"text {k}") for k in range(10)])
