@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import cut
+
 RISKS = ("low", "medium", "high")
 POLICY_BOUND = 10_000
 #: Kinds that are protected where a policy names none, operations that are risky, and the order of epistemic statuses.
@@ -78,9 +80,9 @@ def plan(claims: DataFrame, clashes: DataFrame, pages: DataFrame, policies: Data
     old fact updated if it holds one, else it is marked stale; others are appended to, or get their first facts. A plan
     applies by itself only if all is of high confidence, safe for the kind of page, and no policy fails.
     """
-    clash = clashes.join(claims.select("candidate_id", "target"), "candidate_id").select("target", "object").distinct()
-    known = pages.select(F.col("page_id").alias("target"), "kind", "body", F.lit(True).alias("known"))
-    held = clash.join(known, "target", "left").groupBy("target").agg(F.coalesce(F.bool_or(F.contains("body", "object")), F.lit(False)).alias("held"), F.lit(True).alias("clash"))
+    clash = cut(clashes.join(claims.select("candidate_id", "target"), "candidate_id").select("target", "object").distinct())  # of known size, so that few go to the bodies
+    known = pages.select(F.col("page_id").alias("target"), "kind", F.contains(F.coalesce("body", F.lit("")), F.lit(section)).alias("sectioned"), F.lit(True).alias("known"))
+    held = clash.join(pages.select(F.col("page_id").alias("target"), "body"), "target", "left").groupBy("target").agg(F.coalesce(F.bool_or(F.contains("body", "object")), F.lit(False)).alias("held"), F.lit(True).alias("clash"))
     rank = lambda c: F.nullif(F.array_position(F.array(*(F.lit(e) for e in EPISTEMIC)), c), F.lit(0))
     by = claims.groupBy("target").agg(F.count("*").alias("n_claims"), F.count_if(F.coalesce(F.col("confidence") != "high", F.lit(True))).alias("unsure"), F.max(rank(F.col("epistemic_status"))).alias("weakest"), F.max("trace_id").alias("trace_id"))
     rows = by.join(known, "target", "left").join(held, "target", "left").na.fill(False, ["known", "held", "clash"])
@@ -88,9 +90,9 @@ def plan(claims: DataFrame, clashes: DataFrame, pages: DataFrame, policies: Data
     rows = rows.withColumn("kind", F.coalesce("kind", folder)).withColumn("confident", F.col("unsure") == 0).withColumn("epistemic_status", F.get(F.array(*(F.lit(e) for e in EPISTEMIC)), (F.col("weakest") - 1).cast("int")))
     operation = (
         F.when(~F.col("known"), "create_stub_page").when(F.col("clash") & F.col("held"), "update_existing_fact").when(F.col("clash"), "mark_stale")
-        .when(F.contains(F.coalesce("body", F.lit("")), F.lit(section)), "append_sourced_paragraph").otherwise("insert_new_fact")
+        .when(F.col("sectioned"), "append_sourced_paragraph").otherwise("insert_new_fact")
     )
-    rows = rows.withColumn("operation", operation).drop("body")
+    rows = rows.withColumn("operation", operation).drop("sectioned")
     risk = (
         F.when(F.col("operation").isin(*RISKY), "high").when(F.col("kind").isin(*PROTECTED), F.when(F.col("clash"), "high").otherwise("medium"))
         .when(F.col("kind").isin("procedure", "service", "project", "ops"), F.when(F.col("clash"), "medium").otherwise("low")).otherwise("medium")
