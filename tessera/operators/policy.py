@@ -82,7 +82,8 @@ def plan(claims: DataFrame, clashes: DataFrame, pages: DataFrame, policies: Data
     """
     clash = cut(clashes.join(claims.select("candidate_id", "target"), "candidate_id").select("target", "object").distinct())  # of known size, so that few go to the bodies
     known = pages.select(F.col("page_id").alias("target"), "kind", F.contains(F.coalesce("body", F.lit("")), F.lit(section)).alias("sectioned"), F.lit(True).alias("known"))
-    held = clash.join(pages.select(F.col("page_id").alias("target"), "body"), "target", "left").groupBy("target").agg(F.coalesce(F.bool_or(F.contains("body", "object")), F.lit(False)).alias("held"), F.lit(True).alias("clash"))
+    hits = pages.select(F.col("page_id").alias("target"), "body").join(clash, "target").filter(F.contains("body", "object")).select("target", F.lit(True).alias("held")).distinct()
+    held = clash.select("target", F.lit(True).alias("clash")).distinct().join(hits, "target", "left")
     rank = lambda c: F.nullif(F.array_position(F.array(*(F.lit(e) for e in EPISTEMIC)), c), F.lit(0))
     by = claims.groupBy("target").agg(F.count("*").alias("n_claims"), F.count_if(F.coalesce(F.col("confidence") != "high", F.lit(True))).alias("unsure"), F.max(rank(F.col("epistemic_status"))).alias("weakest"), F.max("trace_id").alias("trace_id"))
     rows = by.join(known, "target", "left").join(held, "target", "left").na.fill(False, ["known", "held", "clash"])
