@@ -117,17 +117,21 @@ def paths(edges: DataFrame, start: str, end: str, depth: int, types: list[str] |
 def first_paths(edges: DataFrame, start: str, depth: int, targets: DataFrame | None = None) -> DataFrame:
     """node, hops, steps (from, edge, to) of one shortest path along the edges from start to each node, or each of some targets (node).
 
-    All targets share one search: a node keeps the least path by which it is first reached.
+    All targets share one search: a node keeps the least path by which it is first reached. A hop reads the edges of its
+    frontier only, and a search that meets nothing new ends.
     """
-    moves = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type").distinct()
     step = "struct<`from`:string,edge:string,to:string>"
     frontier = edges.sparkSession.createDataFrame([(start, 0, [])], f"node string, hops int, steps array<{step}>")
     seen = frontier
     for hop in range(1, depth + 1):
+        moves = edges.filter(F.col("source") == start) if hop == 1 else edges.join(frontier.select(F.col("node").alias("source")), "source", "left_semi")
+        moves = moves.select(F.col("source").alias("node"), F.col("target").alias("other"), "type")
         taken = F.concat("steps", F.array(F.struct(F.col("node").alias("from"), F.col("type").alias("edge"), F.col("other").alias("to"))))
         grown = frontier.join(moves, "node").select(F.col("other").alias("node"), taken.alias("steps"))
         new = grown.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("steps").alias("steps"))
         frontier = cut(new.select("node", F.lit(hop).alias("hops"), "steps"))
+        if frontier.isEmpty():
+            break
         seen = cut(seen.unionByName(frontier))
     found = seen.filter("hops > 0")
     return found if targets is None else found.join(targets.select("node").distinct(), "node", "left_semi")

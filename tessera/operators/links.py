@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import is_url, link_targets, prose, resolve_link, shown_links
 from tessera.operators.graph import both_ways
+from tessera.sources.storage import cut
 
 ENTITY_TYPES = ("entity", "claim", "capture", "trace", "decision", "policy")
 
@@ -161,7 +162,9 @@ def neighbours(edges: DataFrame, nodes: DataFrame, node: str, direction: str = "
     way = {"outgoing": F.when(out, "outgoing"), "incoming": F.when(into, "incoming"), "both": F.when(out, "outgoing").when(into, "incoming")}[direction]
     found = found.filter(out | into).withColumn("direction", way).filter("direction is not null")
     found = found.select(F.when(F.col("direction") == "outgoing", F.col("target")).otherwise(F.col("source")).alias("id"), "type", "direction")
-    found = found.join(nodes.select("id", F.col("type").alias("node_type")), "id")
+    found = cut(found)
+    known = nodes.join(found.select("id").distinct(), "id", "left_semi").select("id", F.col("type").alias("node_type"))  # of all nodes only those are made
+    found = cut(found.join(known, "id"))
     found = found.filter(F.col("node_type").isin(node_types)) if node_types else found
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy("id", "type", "direction").limit(limit).join(F.broadcast(total)).select("id", "node_type", "type", "direction", "total")  # one row of a total
@@ -169,8 +172,6 @@ def neighbours(edges: DataFrame, nodes: DataFrame, node: str, direction: str = "
 
 def explain(edges: DataFrame, nodes: DataFrame, node: str, depth: int = 1, edge_types: list[str] | None = None) -> DataFrame:
     """type, n: how many nodes within depth of a node are first reached over which type of edge (of several the first by name)."""
-    from tessera.sources.storage import cut
-
     known = nodes.select("id")
     steps = both_ways(edges.filter(F.col("type").isin(edge_types)) if edge_types else edges).select("node", "other", "type").filter("node <> other")
     seen = edges.sparkSession.createDataFrame([(node, None)], "id string, type string")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import cut
+
 #: Fixed weights of what makes a precedent relevant.
 TRACE_WEIGHTS = {"base": 0.2, "actor": 0.2, "keyword": 0.35, "policy": 0.3, "entity": 0.2, "task": 0.15}
 PAGE_WEIGHTS = {"base": 0.1, "decision": 0.35, "capture": 0.1, "keyword": 0.25, "entity": 0.2, "actor": 0.2, "policy": 0.2, "task": 0.2, "lane": 0.15}
@@ -22,6 +24,14 @@ def haystack(*columns: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", *columns), r"\s+", " ")))
 
 
+def holds(word: str, *columns: Column | str) -> Column:
+    """Whether the haystack of the columns contains the needle of a word; runs of white space matter to several words only."""
+    parts = needle(word).split(" ")
+    plain = F.lower(F.concat_ws(" ", *columns))
+    found = reduce(lambda a, b: a & b, (plain.contains(p) for p in parts))
+    return found & haystack(*columns).contains(needle(word)) if len(parts) > 1 else found
+
+
 def _scored(rows: DataFrame, weights: dict[str, float], given: dict[str, Column | None], base: Column) -> tuple[DataFrame, Column]:
     """The rows that meet every criterion that is given, and their score: the base and the weights of the criteria."""
     score = base
@@ -34,33 +44,32 @@ def _scored(rows: DataFrame, weights: dict[str, float], given: dict[str, Column
 
 def trace_precedents(traces: DataFrame, keyword: str | None = None, actor: str | None = None, policy: str | None = None, task: str | None = None, lane: str | None = None, situation: str | None = None, entity: str | None = None) -> DataFrame:
     """type, id, relevance of traces that meet all criteria; an entity only adds to the score."""
-    text = haystack("trace_id", "actor", "reason_summary", "outcome", F.array_join("policy_refs", " "), "task_id", "page_id", "candidate_id")
+    text = ("trace_id", "actor", "reason_summary", "outcome", F.array_join("policy_refs", " "), "task_id", "page_id", "candidate_id")
     given = {
         "actor": F.col("actor") == actor if actor else None, "policy": F.array_contains("policy_refs", policy) if policy else None, "task": F.col("task_id") == task if task else None,
-        "keyword": text.contains(needle(keyword)) if keyword else None, "lane": F.col("lane") == lane if lane else None, "situation": haystack("reason_summary").contains(needle(situation)) if situation else None,
+        "keyword": holds(keyword, *text) if keyword else None, "lane": F.col("lane") == lane if lane else None, "situation": holds(situation, "reason_summary") if situation else None,
     }
-    base = F.lit(TRACE_WEIGHTS["base"]) + (F.when(text.contains(needle(entity)), TRACE_WEIGHTS["entity"]).otherwise(0.0) if entity else F.lit(0.0))
+    base = F.lit(TRACE_WEIGHTS["base"]) + (F.when(holds(entity, *text), TRACE_WEIGHTS["entity"]).otherwise(0.0) if entity else F.lit(0.0))
     rows, score = _scored(traces, TRACE_WEIGHTS, given, base)
     return rows.select(F.lit("trace").alias("type"), F.concat(F.lit("trace:"), "trace_id").alias("id"), score.alias("relevance"))
 
 
 def policy_precedents(policies: DataFrame, keyword: str | None = None, policy: str | None = None, entity: str | None = None) -> DataFrame:
     """type, id, relevance of policies (policy_id, name, description) that meet all criteria; none without a criterion."""
-    text = haystack("policy_id", "name", "description")
     rows = policies if keyword or policy or entity else policies.filter("false")
     rows = rows.filter(F.col("policy_id") == policy) if policy else rows
     for word in (keyword, entity):
-        rows = rows.filter(text.contains(needle(word))) if word else rows
+        rows = rows.filter(holds(word, "policy_id", "name", "description")) if word else rows
     return rows.select(F.lit("policy").alias("type"), F.concat(F.lit("policy:"), "policy_id").alias("id"), F.lit(POLICY_EXACT if policy else POLICY_OTHER).alias("relevance"))
 
 
 def page_precedents(pages: DataFrame, keyword: str | None = None, lane: str | None = None, actor: str | None = None, policy: str | None = None, task: str | None = None, situation: str | None = None, entity: str | None = None) -> DataFrame:
     """type (page, decision, capture), id, relevance of pages that meet all criteria."""
-    text = haystack("page_id", "title", "summary", "body")
+    text = ("page_id", "title", "summary", "body")
     kind = F.coalesce("kind", F.lit("page"))
     given = {
         "lane": F.col("lane") == lane if lane else None, "actor": F.col("actor") == actor if actor else None, "task": F.col("source_task") == task if task else None, "policy": F.array_contains("policies", policy) if policy else None,
-        "keyword": text.contains(needle(keyword)) if keyword else None, "entity": text.contains(needle(entity)) if entity else None, "situation": haystack(kind, "summary", "body").contains(needle(situation)) if situation else None,
+        "keyword": holds(keyword, *text) if keyword else None, "entity": holds(entity, *text) if entity else None, "situation": holds(situation, kind, "summary", "body") if situation else None,
     }
     base = F.lit(PAGE_WEIGHTS["base"]) + F.when(kind == "decision", PAGE_WEIGHTS["decision"]).when(kind == "capture", PAGE_WEIGHTS["capture"]).otherwise(0.0)
     rows, score = _scored(pages, PAGE_WEIGHTS, given, base)
@@ -82,6 +91,7 @@ def with_paths(found: DataFrame, edges: DataFrame, node: str, depth: int = 3) ->
     """
     from tessera.operators.graph import first_paths
 
+    found = cut(found)
     names = found.select("id", F.explode(F.array_distinct(F.array("id", F.concat_ws(":", "type", "id"), F.regexp_replace("id", "^[a-z]+:", "")))).alias("node"))
     ways = first_paths(edges, node, depth, names).select("node", "hops", F.array_join(F.transform("steps", lambda s: F.concat(s["from"], F.lit(" -"), s["edge"], F.lit("-> "), s["to"])), "; ").alias("way"))
     best = names.join(ways, "node").groupBy("id").agg(F.min_by("way", F.struct("hops", "way")).alias("path"))
@@ -91,7 +101,7 @@ def with_paths(found: DataFrame, edges: DataFrame, node: str, depth: int = 3) ->
 def search(branches: list[DataFrame], limit: int) -> DataFrame:
     """The most relevant of several branches; of one id in several, the branch named first. With the total before the cut."""
     rows = reduce(DataFrame.unionByName, (b.withColumn("branch", F.lit(k)) for k, b in enumerate(branches)))
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("branch"))).filter("place = 1").drop("place", "branch")
+    first = cut(rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("branch"))).filter("place = 1").drop("place", "branch"))
     total = first.agg(F.count("*").alias("total"))
     return first.orderBy(F.desc("relevance"), "type", "id").limit(limit).join(F.broadcast(total))  # one row of a total
 
