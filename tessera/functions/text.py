@@ -71,7 +71,8 @@ def looks_like_page_id(x: Column) -> Column:
 
 def link_targets(x: Column) -> Column:
     """The page that each [[...]] names, in order: of two parts the right one if it looks like a page, else the left one if it does."""
-    inner = F.regexp_extract_all(x, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))
+    begun = F.substr(x, F.greatest(F.locate("[[", x), F.lit(1)))  # no pattern is tried on what comes before the first one
+    inner = F.regexp_extract_all(begun, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))
 
     def target(s: Column) -> Column:
         left, right = F.trim(F.substring_index(s, "|", 1)), F.when(s.contains("|"), F.trim(F.regexp_replace(s, r"^[^|]*\|", ""))).otherwise(F.lit(""))

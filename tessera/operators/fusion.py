@@ -63,14 +63,15 @@ def expand(hits: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 2, t
     no hit has the best path's score besides. paths: the `most` first ones, each with the hit that it comes from, by edges,
     then score; path: the first of them; entities: what is no page on its paths.
     """
-    kinds = nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type"))
-    chosen = edges.filter(F.col("type").isin(*types)) if types else edges
+    chosen = cut((edges.filter(F.col("type").isin(*types)) if types else edges).select("source", "target", "type"))  # of other types no edge is made
     both = both_ways(chosen).select("node", "other", F.col("type").alias("edge"), F.when(F.col("direction") == "out", OUTGOING).otherwise(INCOMING).alias("decay"))
     seeds = cut(hits.select(F.col("page_id").alias("node"), F.col("page_id").alias("hit"), "score"))
     frontier = seeds.withColumn("path", F.lit("")).withColumn("entities", F.array().cast("array<string>"))
     seen, reached = seeds.select("node"), None
     for hop in range(1, hops + 1):
-        step = frontier.join(both, "node").join(kinds, "other", "left")
+        met = cut(frontier.join(both, "node"))
+        kinds = nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type")).join(met.select("other").distinct(), "other", "left_semi")
+        step = met.join(kinds, "other", "left")
         kind = F.coalesce("other_type", F.lit("page"))
         text = F.concat_ws(" -> ", F.nullif("path", F.lit("")), F.concat_ws(" -> ", "edge", kind))
         entities = F.when(kind.isin(*ENTITY_TYPES), F.array_union("entities", F.array("other"))).otherwise(F.col("entities"))

@@ -104,8 +104,8 @@ def context_edges(pages: DataFrame, claims: DataFrame, plans: DataFrame, traces:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def context_nodes(pages: DataFrame, claims: DataFrame, plans: DataFrame, traces: DataFrame) -> DataFrame:
-    """id, type, label, actor: one row a node; what a table describes comes before what others only name."""
+def _context_parts(pages: DataFrame, claims: DataFrame, plans: DataFrame, traces: DataFrame) -> DataFrame:
+    """id, type, label, actor, priority: every row that describes or names a node."""
     c, each = F.col, F.explode
     live = claims.filter("status in ('candidate', 'active') and candidate_type <> 'edge'")
     kind = F.when(c("candidate_type").isin("claim", "invalidation"), c("candidate_type")).otherwise("entity")
@@ -127,10 +127,21 @@ def context_nodes(pages: DataFrame, claims: DataFrame, plans: DataFrame, traces:
         _nodes(tasks, _named("task:", c("x")), "task", c("x")),
         _nodes(paths, _named("source:", c("x")), "source", c("x")),
     ]
-    first = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min(F.struct("priority", "type", "label", "actor")).alias("x"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def context_nodes(pages: DataFrame, claims: DataFrame, plans: DataFrame, traces: DataFrame) -> DataFrame:
+    """id, type, label, actor: one row a node; what a table describes comes before what others only name."""
+    first = _context_parts(pages, claims, plans, traces).groupBy("id").agg(F.min(F.struct("priority", "type", "label", "actor")).alias("x"))
     return first.select("id", "x.type", "x.label", "x.actor")
 
 
+def context_types(pages: DataFrame, claims: DataFrame, plans: DataFrame, traces: DataFrame) -> DataFrame:
+    """id, type of context_nodes(), without moving their labels."""
+    first = _context_parts(pages, claims, plans, traces).groupBy("id").agg(F.min(F.struct("priority", "type")).alias("x"))
+    return first.select("id", "x.type")
+
+
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges both of whose ends are nodes."""
     ends = lambda side: nodes.select(F.col("id").alias(side))

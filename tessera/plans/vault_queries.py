@@ -299,8 +299,12 @@ UNION ALL SELECT 'task:' || x, 'task', x, NULL, 5 FROM (SELECT source_task AS x
 cn AS (SELECT id, type, label, actor FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, type, label, actor) AS z FROM n0) WHERE z = 1)"""
 
 
+def context_tables(spark, sf_dir):
+    return [model.frame(spark, sf_dir, t) for t in ("vault", "ledger", "plans", "traces")]
+
+
 def context(spark, sf_dir):
-    tables = [model.frame(spark, sf_dir, t) for t in ("vault", "ledger", "plans", "traces")]
+    tables = context_tables(spark, sf_dir)
     return links.context_nodes(*tables), links.context_edges(*tables)
 
 
