@@ -1,7 +1,8 @@
 """One consolidation run: captures become claims, claims settle, plans are made and the safe ones applied.
 
 Every step takes tables and gives new ones. A run's outputs are one generation: claims, sources, pages, plans, log, dead
-letters, sweep and the record of the run, each written once, so that a reader sees all of a run or nothing of it.
+letters, sweep and the record of the run, each written once or made of written ones, so that a reader sees all of a run or
+nothing of it.
 """
 
 from __future__ import annotations
@@ -91,7 +92,8 @@ def store(claims: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame,
     groups = groups.join(present.withColumnsRenamed({"_hash": "p_hash", "actor": "p_actor"}), (F.col("_hash") == F.col("p_hash")) & F.col("actor").eqNullSafe(F.col("p_actor")), "left")
     groups = cut(groups.select("_hash", F.col("actor").alias("_actor"), "_seen", "_confidence", "_epistemic_status", "_valid_from", "_valid_until", "_first", "known"))
     rank = lambda c: scoring.confidence_rank(F.col(c))
-    after = claims.join(groups.filter("known is not null").withColumnRenamed("known", "candidate_id").drop("_first", "_hash", "_actor"), "candidate_id", "left")
+    known = cut(groups.filter("known is not null").withColumnRenamed("known", "candidate_id").drop("_first", "_hash", "_actor"))  # of known size, so that few go to the ledger
+    after = claims.join(known, "candidate_id", "left")
     hit = F.col("_seen").isNotNull()
     confidence = F.when(hit & (rank("_confidence") > rank("confidence")), F.col("_confidence")).when(hit, F.coalesce("confidence", F.lit("unknown"))).otherwise(F.col("confidence"))
     status = F.when(hit, F.coalesce("_epistemic_status", "epistemic_status")).otherwise(F.col("epistemic_status"))
@@ -123,34 +125,48 @@ def store(claims: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame,
     return after, outcome
 
 
-def sweep(claims: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
-    """place, old_id, new_id, reasons, allowed, done: what a batch's claims do to the live claims that they contradict.
+def settle(claims: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+    """place, old_id, new_id: the pairs of a sweep that are done, without the others being made.
 
     Sightings go by place, each with the claim that it was stored in; a claim that an earlier one has retired retires
     none, and is retired once. Contradictions are those of the ledger as the batch has left it.
     """
     one = stored.groupBy("candidate_id").agg(F.min("place").alias("at"))
+    done = ledger.superseding(claims.join(one, "candidate_id").withColumn("claim_id", F.col("candidate_id")), claims, now)
+    return done.select(F.struct("at", F.col("new_id").alias("n"), F.col("old_id").alias("o")).alias("place"), "old_id", "new_id")
+
+
+def sweep(claims: DataFrame, stored: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """place, old_id, new_id, reasons, allowed, done: what a batch's claims do to the live claims that they contradict; done: of settle.
+
+    All pairs, refused ones as well: they grow with the claims of a subject times those of the batch.
+    """
+    one = stored.groupBy("candidate_id").agg(F.min("place").alias("at"))
     new = claims.join(one, "candidate_id").withColumn("claim_id", F.col("candidate_id"))
     pairs = ledger.contradicting(new, claims, now).withColumnsRenamed({"claim_id": "new_id", "candidate_id": "old_id"}).filter("old_id <> new_id").distinct()
     side = lambda s: claims.select(F.col("candidate_id").alias(f"{s}_id"), ledger.temporal_key().alias(f"{s}_at"), F.col("confidence").alias(f"{s}_confidence"), F.col("actor").alias(f"{s}_actor"), F.col("epistemic_status").alias(f"{s}_status"), F.col("trace_id").alias(f"{s}_trace"))
     gated = ledger.supersession(pairs.join(side("old"), "old_id").join(side("new"), "new_id").join(one.withColumnRenamed("candidate_id", "new_id"), "new_id"))
-    ranked = gated.select(F.struct(F.col("at"), F.col("new_id").alias("n"), F.col("old_id").alias("o")).alias("place"), "old_id", "new_id", "allowed", F.lit(True).alias("needs_live"), F.array_join("reasons", ",").alias("reasons"))
-    return ledger.in_order(cut(ranked))
+    ranked = gated.select(F.struct(F.col("at"), F.col("new_id").alias("n"), F.col("old_id").alias("o")).alias("place"), "old_id", "new_id", "allowed", F.array_join("reasons", ",").alias("reasons"))
+    return ranked.join(done.select("place", F.lit(True).alias("done")), "place", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+
+
+def ends(done: DataFrame, forgotten: DataFrame) -> DataFrame:
+    """candidate_id, _to: superseded claims, and those at their floor that are archived."""
+    gone = done.groupBy(F.col("old_id").alias("candidate_id")).agg(F.lit("superseded").alias("_to"))
+    return gone.unionByName(forgotten.join(gone, "candidate_id", "left_anti").select("candidate_id", F.lit("archived").alias("_to")))
 
 
-def retired(claims: DataFrame, swept: DataFrame, forgotten: DataFrame, now: Column) -> DataFrame:
-    """Claims after a sweep (superseded ones end now) and after those at their floor are archived."""
-    gone = swept.filter("done").groupBy(F.col("old_id").alias("candidate_id")).agg(F.lit("superseded").alias("_to"))
-    done = gone.unionByName(forgotten.join(gone, "candidate_id", "left_anti").select("candidate_id", F.lit("archived").alias("_to")))
-    rows = claims.join(done, "candidate_id", "left")
-    ended = F.col("_to") == "superseded"
-    new = {"status": F.coalesce("_to", "status"), "valid_until": F.when(ended, now).otherwise(F.col("valid_until")), "updated_at": F.when(F.col("_to").isNotNull(), now).otherwise(F.col("updated_at"))}
+def retired(claims: DataFrame, ended: DataFrame, now: Column) -> DataFrame:
+    """Claims after some have ended (of ends): superseded ones end now."""
+    rows = claims.join(ended, "candidate_id", "left")
+    over = F.col("_to") == "superseded"
+    new = {"status": F.coalesce("_to", "status"), "valid_until": F.when(over, now).otherwise(F.col("valid_until")), "updated_at": F.when(F.col("_to").isNotNull(), now).otherwise(F.col("updated_at"))}
     return rows.select(*(new.get(c, F.col(c)).alias(c) for c in claims.columns))
 
 
 @dataclass(frozen=True)
 class Generation:
-    """All tables that one run leaves."""
+    """All tables that one run leaves; swept and pages are made where they are read, of tables that the run has written."""
 
     claims: DataFrame
     stored: DataFrame
@@ -171,11 +187,12 @@ def run(captures: DataFrame, claims: DataFrame, log: DataFrame, plans: DataFrame
     target, and never to a guarded kind of page: their facts go into the section and their claims become active.
     """
     drafts = captures.filter("status = 'draft'").join(ledger.processed(log), "capture_id", "left_anti")
-    drafts = cut(drafts if batch is None else drafts.orderBy("capture_id").limit(batch))
+    drafts = drafts if batch is None else cut(drafts.orderBy("capture_id").limit(batch))
     if extractor is None:
         found, failures = extract.claims(drafts, "subject").drop("dedupe_hash").withColumns({"confidence": F.lit(None).cast("string"), "epistemic_status": F.lit(None).cast("string")}), drafts.select("capture_id", F.lit("").alias("failure_kind"), F.lit("").alias("failure")).filter("false")
     else:
         found, failures = attempt(drafts, extractor)
+    found, drafts = cut(found), cut(drafts.drop("observation"))
     meta = drafts.select("capture_id", *(F.col(c).alias(f"_{c}") for c in ("actor", "lane", "confidence", "epistemic_status", "trace_id", "observed_at", "valid_from", "valid_until", "source_page_ids")))
     joined = found.join(meta, "capture_id").withColumns({"confidence": F.coalesce("confidence", "_confidence"), "epistemic_status": F.coalesce("epistemic_status", "_epistemic_status")})
     valid, bad = extract.checked(joined)
@@ -188,38 +205,42 @@ def run(captures: DataFrame, claims: DataFrame, log: DataFrame, plans: DataFrame
     )
     after, stored = store(claims, cut(sightings), now)
     after, stored = cut(after), cut(stored)
-    swept = cut(sweep(after, stored, now))
-    settled = cut(retired(after, swept, ledger.forget(after, now, forget_days), now))
-    open_ = cut(policy.plannable(settled, plans).join(policy.route(settled, captures.select(F.col("capture_id").alias("page_id"), "suggested_target")), "candidate_id"))
-    clashes = ledger.contradicting(open_.withColumn("claim_id", F.col("candidate_id")), settled, now)
-    clashes = clashes.withColumnRenamed("candidate_id", "old_id").join(settled.select(F.col("candidate_id").alias("old_id"), "object"), "old_id").select(F.col("claim_id").alias("candidate_id"), "object")
+    done = cut(settle(after, stored, now))
+    swept = sweep(after, stored, done, now)
+    ended = cut(ends(done, ledger.forget(after, now, forget_days)))
+    settled = cut(retired(after, ended, now))
+    waiting = cut(policy.plannable(settled, plans))
+    open_ = cut(waiting.join(policy.route(waiting, captures.select(F.col("capture_id").alias("page_id"), "suggested_target")), "candidate_id"))
+    clashes = ledger.contradicted(open_, settled, now)
     made = cut(policy.plan(open_, clashes, pages, policies, section))
     kind = made.join(pages.select(F.col("page_id").alias("target"), "kind"), "target", "left").withColumn("kind", F.coalesce("kind", F.regexp_replace(F.split("target", "/")[0], "s$", "")))
     chosen = cut(policy.apply_bounded(kind.filter(~F.col("kind").isin(*GUARDED)), most).select("target"))
     applied = open_.join(chosen, "target", "left_semi")
     fact = F.concat_ws(" ", F.lit("-"), "subject", "predicate", "object")
     facts = applied.select("target", fact.alias("fact")).distinct().groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("fact")), "\n").alias("facts"))
-    old = pages.join(facts.withColumnRenamed("target", "page_id"), "page_id", "left")
+    facts = cut(facts)
+    touched = F.broadcast(chosen.withColumnRenamed("target", "page_id"))  # `most` targets at most, so no body moves but theirs
+    old = pages.join(touched, "page_id", "left_semi").join(facts.withColumnRenamed("target", "page_id"), "page_id", "left")
     body = F.when(F.col("facts").isNull(), F.col("body")).otherwise(policy.insert_into_section(F.coalesce("body", F.lit("")), F.lit(section), F.col("facts")))
-    changed = old.select(*((body if c == "body" else F.col(c)).alias(c) for c in pages.columns))
+    changed = old.select(*((body if c == "body" else F.col(c)).alias(c) for c in pages.columns)).unionByName(pages.join(touched, "page_id", "left_anti"))
     stub = facts.join(pages.select(F.col("page_id").alias("target")), "target", "left_anti")
     title = F.initcap(F.translate(F.element_at(F.split("target", "/"), -1), "-_", "  "))
     types = {f.name: f.dataType for f in pages.schema}
     values = {"page_id": F.col("target"), "title": title, "kind": F.regexp_replace(F.split("target", "/")[0], "s$", ""), "body": F.concat(F.lit("# "), title, F.lit("\n\n"), F.lit(section), F.lit("\n\n"), "facts", F.lit("\n"))}
     stubs = stub.select(*(values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in pages.columns))
-    active = applied.select("candidate_id", F.lit("active").alias("_to"))
+    active = cut(applied.select("candidate_id", F.lit("active").alias("_to")))
     final = settled.join(active, "candidate_id", "left").select(*((F.coalesce("_to", "status") if c == "status" else F.col(c)).alias(c) for c in settled.columns))
     outcome = made.join(chosen.withColumn("_done", F.lit(True)), "target", "left").withColumn("status", F.when(F.col("_done"), "applied").when(F.col("auto_appliable"), "ready").otherwise("needs_manual_review")).drop("_done")
     read = drafts.select("capture_id").join(failures.select("capture_id", F.lit(False).alias("success")).distinct(), "capture_id", "left").select("capture_id", F.coalesce("success", F.lit(True)).alias("success"))
     outcome, read = cut(outcome), cut(read)
     count = lambda df, name, hold="true": df.agg(F.count_if(F.expr(hold)).alias(name))
     parts = [
-        count(read, "captures_processed", "success"), count(read, "captures_failed", "not success"), count(stored, "claims_inserted", "action = 'inserted'"), count(stored, "claims_reinforced", "action = 'reinforced'"), count(swept, "claims_superseded", "done"),
-        count(settled.join(after.filter("status <> 'archived'").select("candidate_id"), "candidate_id", "left_semi"), "claims_archived", "status = 'archived'"), count(outcome, "plans_generated"), count(outcome, "auto_applied", "status = 'applied'"), count(outcome, "review_required", "status <> 'applied'"),
+        count(read, "captures_processed", "success"), count(read, "captures_failed", "not success"), count(stored, "claims_inserted", "action = 'inserted'"), count(stored, "claims_reinforced", "action = 'reinforced'"), count(done, "claims_superseded"),
+        count(settled.join(ended.filter("_to = 'archived'"), "candidate_id", "left_semi"), "claims_archived"), count(outcome, "plans_generated"), count(outcome, "auto_applied", "status = 'applied'"), count(outcome, "review_required", "status <> 'applied'"),
     ]
     record = parts[0]
     for p in parts[1:]:
         record = record.join(F.broadcast(p))  # one row of one count each
-    return Generation(cut(final), stored, swept, outcome, cut(changed.unionByName(stubs)), read, failures, cut(record))
+    return Generation(cut(final), stored, swept, outcome, changed.unionByName(stubs), read, failures, cut(record))
 
 

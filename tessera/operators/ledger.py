@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions import scoring
 from tessera.functions.text import claim_hash, folded, tokens
@@ -202,6 +203,60 @@ def supersession(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("reasons", reasons).withColumn("allowed", F.size("reasons") == 0)
 
 
+def _spans(new: DataFrame, claims: DataFrame, now: Column, a_columns: list, b_columns: list) -> tuple[DataFrame, DataFrame]:
+    """New claims and live ones as contradicting() compares them: n_subject, n_predicate, n_object, begin, end and more columns; without those that lack a part."""
+    micros = lambda time, open_end: F.coalesce(F.unix_micros(time.cast("timestamp")), F.lit(open_end))
+    parts = ["n_subject", "n_predicate", "n_object"]
+    low, high = -(2**60), 2**60
+    end = micros(F.col("valid_until"), high).alias("end")
+    a = triple(new).select(*parts, micros(F.coalesce("valid_from", "observed_at", now), high).alias("begin"), end, *a_columns)
+    b = triple(live_claims(claims)).select(*parts, micros(F.col("valid_from"), low).alias("begin"), end, *b_columns)
+    return a.na.drop(subset=parts), b.na.drop(subset=parts)
+
+
+def contradicted(new: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
+    """target, object: the objects of live claims that contradict some new claim (with a target) as contradicting() has it, each once.
+
+    No pairs are made of claims. Of intervals that end together the longest stands for all, and of a target's claims that
+    hold together two objects, as another object differs from one of them if it differs from any.
+    """
+    a, b = _spans(new, claims, now, ["target", F.nullif("actor", F.lit("")).alias("actor")], ["object", "actor"])
+    key = ["n_subject", "n_predicate"]
+    a = a.groupBy("target", *key, "n_object", "actor", "end").agg(F.min("begin").alias("begin"))
+    a = a.groupBy("target", *key, "actor", "begin", "end").agg(F.min("n_object").alias("least"), F.max("n_object").alias("most"))
+    b = b.groupBy(*key, "n_object", "object", "actor", "end").agg(F.min("begin").alias("begin")).withColumnsRenamed({c: f"b_{c}" for c in ("actor", "begin", "end")})
+    other = (F.col("least") != F.col("n_object")) | (F.col("most") != F.col("n_object"))
+    holds = (F.col("begin") < F.col("b_end")) & (F.col("b_begin") < F.col("end")) & (F.col("actor").isNull() | (F.col("actor") == F.col("b_actor")))
+    return a.join(b, key).filter(other & holds).select("target", "object").distinct()
+
+
+def superseding(new: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
+    """old_id, new_id, at: the live claims that new ones (claim_id, at: a turn, and the columns of a claim) retire, one after the other by turn and id.
+
+    The same as the allowed pairs of contradicting() and supersession() judged by in_order(), where a new claim must not
+    have been retired before its turn. As only a higher confidence supersedes, claims of the highest one are never retired,
+    and each lower one is settled once the higher ones are; a claim is retired by the first that may. So no pairs are kept,
+    and of new claims of one subject, owner and time that hold together the first ones of two objects stand for all.
+    """
+    owner = F.coalesce(F.concat(F.lit("="), "actor"), F.lit("")).alias("owner")
+    key, rank, since = ["n_subject", "n_predicate", "owner"], scoring.confidence_rank(F.col("confidence")).alias("rank"), temporal_key().alias("since")
+    barred = (F.col("epistemic_status") == "assumption") | ((F.col("epistemic_status") == "inferred") & F.col("trace_id").isNull())
+    may = new.filter(~F.coalesce(barred, F.lit(False)))
+    a, b = _spans(may, claims, now, [owner, rank, since, F.struct("at", F.col("claim_id").alias("id")).alias("turn")], [owner, rank, since, F.col("candidate_id").alias("old_id")])
+    a = cut(a.filter("since is not null"))
+    b = cut(b.join(cut(a.select(*key).distinct()), key, "left_semi"))
+    found = b.sparkSession.createDataFrame([], StructType([b.schema["old_id"], a.schema["turn"]]))
+    for r in range(len(scoring.CONFIDENCE) - 1, 0, -1):
+        gone = found.groupBy(F.col("old_id").alias("id")).agg(F.min("turn").alias("_gone"))
+        free = a.filter(F.col("rank") == r).withColumn("id", F.col("turn.id")).join(gone, "id", "left").filter("_gone is null or _gone > turn")
+        same = [*key, "begin", "end", "since"]
+        first = free.groupBy(*same, "n_object").agg(F.min("turn").alias("turn")).withColumn("_place", F.row_number().over(Window.partitionBy(*same).orderBy("turn"))).filter("_place <= 2")
+        first = first.select(*key, *(F.col(c).alias(f"a_{c}") for c in ("n_object", "begin", "end", "since")), "turn")
+        holds = (F.col("a_begin") < F.col("end")) & (F.col("begin") < F.col("a_end")) & (F.col("a_n_object") != F.col("n_object")) & (F.col("since").isNull() | (F.col("a_since") > F.col("since")))
+        found = cut(found.unionByName(b.filter(F.col("rank") < r).join(first, key).filter(holds).groupBy("old_id").agg(F.min("turn").alias("turn"))))
+    return found.groupBy("old_id").agg(F.min("turn").alias("turn")).select("old_id", F.col("turn.id").alias("new_id"), F.col("turn.at").alias("at"))
+
+
 def in_order(pairs: DataFrame) -> DataFrame:
     """pairs (place, old_id, new_id, allowed, needs_live) with `done`, each judged after the ones before it.
 

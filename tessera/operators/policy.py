@@ -75,12 +75,13 @@ def route(claims: DataFrame, captures: DataFrame) -> DataFrame:
 def plan(claims: DataFrame, clashes: DataFrame, pages: DataFrame, policies: DataFrame, section: str = "## Facts") -> DataFrame:
     """One plan for each target page: target, n_claims, operation, risk, auto_appliable, epistemic_status.
 
-    claims: candidate_id, target, confidence, epistemic_status, trace_id; clashes: candidate_id, object of live claims that
-    contradict them; pages: page_id, kind, body. A target that is no page is created; one with contradicted claims has an
+    claims: candidate_id, target, confidence, epistemic_status, trace_id; clashes: candidate_id, or their target, and object
+    of live claims that contradict them; pages: page_id, kind, body. A target that is no page is created; one with contradicted claims has an
     old fact updated if it holds one, else it is marked stale; others are appended to, or get their first facts. A plan
     applies by itself only if all is of high confidence, safe for the kind of page, and no policy fails.
     """
-    clash = cut(clashes.join(claims.select("candidate_id", "target"), "candidate_id").select("target", "object").distinct())  # of known size, so that few go to the bodies
+    clashes = clashes if "target" in clashes.columns else clashes.join(claims.select("candidate_id", "target"), "candidate_id")
+    clash = cut(clashes.select("target", "object").distinct())  # of known size, so that few go to the bodies
     known = pages.select(F.col("page_id").alias("target"), "kind", F.contains(F.coalesce("body", F.lit("")), F.lit(section)).alias("sectioned"), F.lit(True).alias("known"))
     hits = pages.select(F.col("page_id").alias("target"), "body").join(clash, "target").filter(F.contains("body", "object")).select("target", F.lit(True).alias("held")).distinct()
     held = clash.select("target", F.lit(True).alias("clash")).distinct().join(hits, "target", "left")
